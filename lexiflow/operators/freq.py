@@ -32,7 +32,9 @@ def frequency_table(units: DataFrame, ndocs, per: float = 1_000_000.0) -> DataFr
     """Token, Tag, AF, RF (per million units), Range (% of documents)."""
     base = base_counts(units)
     agg = base.groupBy("Token", "Tag").agg(F.sum("n").alias("AF"), F.count(F.lit(1)).alias("_docs"))
-    total = base.select(F.sum("n")).scalar()
+    # total over the aggregated table: the subquery shares agg's shuffle
+    # (ReusedExchange), so the tokens are not produced a second time.
+    total = agg.select(F.sum("AF")).scalar()
     return agg.select(
         "Token", "Tag", F.col("AF").cast("long").alias("AF"),
         (F.col("AF") / total * F.lit(per)).alias("RF"),
@@ -47,7 +49,7 @@ def tags_table(units: DataFrame, ndocs) -> DataFrame:
 
 def tags_from_dtm(dtm: DataFrame, ndocs) -> DataFrame:
     agg = dtm.filter(F.col("n") > 0).groupBy("Tag").agg(F.sum("n").alias("AF"), F.count(F.lit(1)).alias("_docs"))
-    total = dtm.select(F.sum("n")).scalar()
+    total = agg.select(F.sum("AF")).scalar()
     return agg.select("Tag", F.col("AF").cast("long").alias("AF"),
                       (F.col("AF") / total * F.lit(100.0)).alias("RF"),
                       (F.col("_docs") * F.lit(100.0) / ndocs).alias("Range"))

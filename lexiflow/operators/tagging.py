@@ -25,11 +25,11 @@ TOKEN_COLUMNS = ["doc_id", "token_idx", "token", "pos_tag", "ds_tag", "pos_id",
 
 # Fixed values (ours): suffix rules for open-class words, first match wins.
 SUFFIX_RULES = [
-    (r"ing$", "VVG"),
-    (r"ed$", "VVD"),
-    (r"ly$", "RR"),
-    (r"(ous|ful|ive|al|able|ible)$", "JJ"),
-    (r"s$", "NN2"),
+    (("ing",), "VVG"),
+    (("ed",), "VVD"),
+    (("ly",), "RR"),
+    (("ous", "ful", "ive", "al", "able", "ible"), "JJ"),
+    (("s",), "NN2"),
 ]
 
 
@@ -37,6 +37,12 @@ def _map_literal(d: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for k in sorted(d) for x in (k, d[k])])
 
 
+def _lookup(key: Column, d: dict[str, str]) -> Column:
+    """Value of ``key`` in a small fixed dict, NULL if absent.  The hashed
+    ``isin`` (InSet) guard rejects misses in O(1); the map is read on hits."""
+    return F.when(key.isin(*sorted(d)), _map_literal(d)[key])
+
+
 def tokenize(docs: DataFrame) -> DataFrame:
     """(doc_id, text) -> (doc_id, token_idx, token); narrow, no shuffle."""
     return docs.select(
@@ -44,22 +50,35 @@ def tokenize(docs: DataFrame) -> DataFrame:
     ).withColumn("token_idx", F.col("token_idx").cast("long"))
 
 
-def pos_tag_expr(token: Column, lexicon: dict[str, str] | None = None) -> Column:
-    lex = _map_literal(POS_LEXICON if lexicon is None else lexicon)
-    s = surface(token)
-    low = F.lower(s)
-    expr = (F.when(s.rlike(r"^[^\p{L}\p{N}]$"), F.lit(PUNCT_TAG))
+def lexicon_frame(spark, lexicon: dict[str, str] | None = None) -> DataFrame:
+    lex = POS_LEXICON if lexicon is None else lexicon
+    return spark.createDataFrame(sorted(lex.items()), "_lw string, _lex_tag string")
+
+
+def pos_tag_expr(s: Column, low: Column, lex_tag: Column) -> Column:
+    """Rule chain of D3 given the surface ``s``, its lower case and the
+    lexicon hit.  Non-ASCII test: more UTF-8 bytes than characters."""
+    expr = (F.when((F.length(s) == 1) & ~s.rlike(r"[\p{L}\p{N}]"), F.lit(PUNCT_TAG))
              .when(s.rlike(r"^\p{N}+$"), F.lit("MC"))
-             .when(lex[low].isNotNull(), lex[low])
-             .when(s.rlike(r"[^\x00-\x7F]"), F.lit(UNCLASSIFIED_TAG)))
-    for pattern, tag in SUFFIX_RULES:
-        expr = expr.when(low.rlike(pattern), F.lit(tag))
+             .when(lex_tag.isNotNull(), lex_tag)
+             .when(F.octet_length(s) != F.length(s), F.lit(UNCLASSIFIED_TAG)))
+    for suffixes, tag in SUFFIX_RULES:
+        cond = F.lit(False)
+        for suf in suffixes:
+            cond = cond | low.endswith(suf)
+        expr = expr.when(cond, F.lit(tag))
     return expr.otherwise(F.lit("NN1"))
 
 
 def pos_tag(tokens: DataFrame, lexicon: dict[str, str] | None = None) -> DataFrame:
-    return (tokens.withColumn("pos_tag", pos_tag_expr(F.col("token"), lexicon))
-                  .withColumn("pos_id", F.col("token_idx")))
+    """Closed-class words by a broadcast hash join with the lexicon (fixed
+    size, so the broadcast is bounded), then suffix rules."""
+    lex = F.broadcast(lexicon_frame(tokens.sparkSession, lexicon))
+    t = tokens.withColumn("_s", surface("token")).withColumn("_lw", F.lower(F.col("_s")))
+    t = t.join(lex, on="_lw", how="left")
+    return (t.withColumn("pos_tag", pos_tag_expr(F.col("_s"), F.col("_lw"), F.col("_lex_tag")))
+             .withColumn("pos_id", F.col("token_idx"))
+             .drop("_s", "_lw", "_lex_tag"))
 
 
 def phrase_candidates(tokens: DataFrame, lexicon: dict[str, str] | None = None) -> DataFrame:
@@ -70,7 +89,6 @@ def phrase_candidates(tokens: DataFrame, lexicon: dict[str, str] | None = None)
     """
     lexicon = DS_LEXICON if lexicon is None else lexicon
     max_len = max(len(p.split(" ")) for p in lexicon)
-    lex = _map_literal(lexicon)
     t = with_context(tokens.select("doc_id", "token_idx", norm("token").alias("_w")),
                      "token_idx", before=0, after=max_len - 1)
     w = Window.partitionBy("doc_id", "_blk").orderBy("token_idx")
@@ -79,9 +97,12 @@ def phrase_candidates(tokens: DataFrame, lexicon: dict[str, str] | None = None)
     for n in range(1, max_len + 1):
         cols[f"_p{n}"] = F.concat_ws(" ", *words[:n]) if n == 1 else F.when(words[n - 1].isNotNull(), F.concat_ws(" ", *words[:n]))
     t = t.withColumns(cols).filter("_own")
+    by_len = {n: {p: t for p, t in lexicon.items() if len(p.split(" ")) == n} for n in range(1, max_len + 1)}
     best = None
     for n in range(max_len, 0, -1):   # longest first
-        hit = lex[F.col(f"_p{n}")]
+        if not by_len[n]:
+            continue
+        hit = _lookup(F.col(f"_p{n}"), by_len[n])
         cand = F.when(hit.isNotNull(), F.struct(F.lit(n).alias("n"), hit.alias("tag")))
         best = cand if best is None else F.coalesce(best, cand)
     return (t.select("doc_id", F.col("token_idx").alias("s"), best.alias("_c"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import freq as fq
-from ..operators.tagging import tag_tokens
+from ..operators.tagging import pos_tag, tag_tokens, tokenize
 from ..operators.units import analytic_units, units
 
 
@@ -20,19 +20,30 @@ from ..operators.units import analytic_units, units
 class Corpus:
     tokens: DataFrame
     single_token_pos: bool = False
+    pos_tokens: DataFrame | None = None   # same rows without the DS columns, cheaper to build
+    docs: DataFrame | None = None         # (doc_id, text) when built from documents
 
     @classmethod
     def from_documents(cls, docs: DataFrame, pos_lexicon=None, ds_lexicon=None) -> "Corpus":
-        return cls(tag_tokens(docs, pos_lexicon, ds_lexicon), single_token_pos=True)
+        pos_only = pos_tag(tokenize(docs), pos_lexicon)
+        return cls(tag_tokens(docs, pos_lexicon, ds_lexicon), single_token_pos=True, pos_tokens=pos_only, docs=docs)
+
+    def _for(self, kind: str) -> DataFrame:
+        return self.pos_tokens if (kind == "pos" and self.pos_tokens is not None) else self.tokens
 
     def units(self, kind: str = "pos") -> DataFrame:
-        return units(self.tokens, kind, single_token=(kind == "pos" and self.single_token_pos))
+        return units(self._for(kind), kind, single_token=(kind == "pos" and self.single_token_pos))
 
     def analytic(self, kind: str = "pos") -> DataFrame:
-        return analytic_units(self.tokens, kind, single_token=(kind == "pos" and self.single_token_pos))
+        return analytic_units(self._for(kind), kind, single_token=(kind == "pos" and self.single_token_pos))
 
     def ndocs(self):
-        return fq.n_docs(self.tokens)
+        """Documents with at least one token.  From the raw documents a text
+        has a token iff it has a non-space character, so the count needs no
+        tokenizing (a cheap scan-side scalar subquery)."""
+        if self.docs is not None:
+            return self.docs.filter(F.col("text").rlike(r"\S")).select(F.countDistinct("doc_id")).scalar()
+        return fq.n_docs(self._for("pos"))
 
     def frequency(self, kind: str = "pos") -> DataFrame:
         return fq.frequency_table(self.analytic(kind), self.ndocs())
@@ -44,7 +55,9 @@ class Corpus:
         return fq.dtm_long(self.analytic(kind))
 
     def subset(self, condition) -> "Corpus":
-        return Corpus(self.tokens.filter(condition), self.single_token_pos)
+        pt = None if self.pos_tokens is None else self.pos_tokens.filter(condition)
+        docs = None if self.docs is None else self.docs.filter(condition)
+        return Corpus(self.tokens.filter(condition), self.single_token_pos, pt, docs)
 
     def persist_tokens(self, path: str | None = None) -> "Corpus":
         """Cut lineage: write the token table to the shared checkpoint folder

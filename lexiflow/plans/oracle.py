@@ -53,7 +53,8 @@ def token_ctes(docs: str = "docs", out: str = "tok", pfx: str = "") -> list[str]
     max_len = max(len(x.split(" ")) for x in DS_LEXICON)
     pos_values = ", ".join(f"({q(k)}, {q(v)})" for k, v in sorted(POS_LEXICON.items()))
     ds_values = ", ".join(f"({q(k)}, {len(k.split(' '))}, {q(v)})" for k, v in sorted(DS_LEXICON.items()))
-    suffix = " ".join(f"WHEN regexp_matches(lower(s), {q(pat)}) THEN {q(tag)}" for pat, tag in SUFFIX_RULES)
+    suffix = " ".join("WHEN " + " OR ".join(f"suffix(lower(s), {q(x)})" for x in sufs) + f" THEN {q(tag)}"
+                      for sufs, tag in SUFFIX_RULES)
     leads = []
     for n in range(2, max_len + 1):
         parts = ["w"] + [f"lead(w, {k}) OVER o" for k in range(1, n)]
@@ -69,7 +70,7 @@ def token_ctes(docs: str = "docs", out: str = "tok", pfx: str = "") -> list[str]
         f"WHEN regexp_matches(s, '^[^\\p{{L}}\\p{{N}}]$') THEN 'Y' "
         f"WHEN regexp_matches(s, '^\\p{{N}}+$') THEN 'MC' "
         f"WHEN l.tag IS NOT NULL THEN l.tag "
-        f"WHEN regexp_matches(s, '[^\\x00-\\x7F]') THEN 'FU' "
+        f"WHEN strlen(s) <> length(s) THEN 'FU' "
         f"{suffix} ELSE 'NN1' END AS pos_tag "
         f"FROM (SELECT *, regexp_replace(token, '\\s+$', '') AS s FROM {p}t0) t LEFT JOIN {p}poslex l ON l.word = lower(t.s))",
         f"{p}dslex AS (SELECT * FROM (VALUES {ds_values}) v(phrase, n, tag))",

@@ -30,8 +30,20 @@ def corpus_documents(spark: SparkSession, sf_dir: str, sources: Sequence[str] |
         d = d.filter(F.col("lang") == lang)
     if sources is not None:
         d = d.filter(F.col("source").isin(list(sources)))
-    return d.select(F.concat(F.col(category_from), F.lit("_"), F.col("doc_id").cast("string")).alias("doc_id"),
-                    F.col("text"))
+    d = d.select(F.concat(F.col(category_from), F.lit("_"), F.col("doc_id").cast("string")).alias("doc_id"),
+                 F.col("text"))
+    return at_least_one_task_per_core(d)
+
+
+def at_least_one_task_per_core(df: DataFrame) -> DataFrame:
+    """Spread a scan that yields fewer splits than cores (a small file with
+    few row groups) so tokenizing uses every core.  A large input already
+    has many splits and is left alone (no shuffle of the raw text)."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 def documents_from_text_files(spark: SparkSession, path: str, fold_ascii: bool = False) -> DataFrame:
