@@ -1,0 +1,32 @@
+"""Cut lineage by writing a table to the shared checkpoint folder.
+
+Used for small intermediate aggregates that feed both a driver-side scalar
+and the final result (two passes over the same data would otherwise rerun
+tokenizing and tagging).  The folder comes from ``spark.checkpoint.dir`` of
+the session; the written table survives executor loss.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame
+
+from ..session import ensure_checkpoint_dir
+
+
+def materialize(df: DataFrame, name: str = "tmp") -> DataFrame:
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/lexiflow/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def scalars(*cols):
+    """Evaluate one-row scalar expressions (scalar subqueries) in one job."""
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    row = spark.range(1).select(*[c.alias(f"_v{i}") for i, c in enumerate(cols)]).first()
+    return [row[f"_v{i}"] for i in range(len(cols))]
