@@ -1,0 +1,16 @@
+"""Pandas UDFs (Arrow-batched).  Kept in a module without postponed
+annotations: pandas UDF type hints must be real types."""
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+from .stats import student_t_two_sided_p
+
+
+@F.pandas_udf("double")
+def t_test_p(r: pd.Series, n: pd.Series) -> pd.Series:
+    """Two-sided p of Pearson's r with n - 2 degrees of freedom."""
+    out = []
+    for ri, ni in zip(r, n):
+        out.append(None if ri is None or pd.isna(ri) else student_t_two_sided_p(float(ri), int(ni)))
+    return pd.Series(out, dtype="float64")
