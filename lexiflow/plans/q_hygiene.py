@@ -1 +1,193 @@
-"""Registered queries (filled in below)."""
+"""Registered queries: ingest, corpus checks, categories (§2.1, §2.2, §2.3)."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..functions.text import category
+from ..operators import checks as CH
+from ..operators import ingest as IN
+from ..operators import langid as LI
+from ..operators import meta as M
+from ..session import ensure_checkpoint_dir
+from ..sources.documents import read_table
+from . import oracle as O
+from .catalog import ALL_EN, english, register, rounded
+
+STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+
+
+def _fold_sql(x: str) -> str:
+    out = f"translate({x}, {O.q(IN.FOLD_FROM)}, {O.q(IN.FOLD_TO)})"
+    for pat, rep in IN.FOLD_MULTI:
+        out = f"regexp_replace({out}, {O.q(pat)}, {O.q(rep)}, 'g')"
+    return f"regexp_replace({out}, '[^\\x00-\\x7F]', '', 'g')"
+
+
+def _raw(spark, sf):
+    d = read_table(spark, sf, "documents")
+    return d.select(F.concat(F.col("source"), F.lit("_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file_name"), "text")
+
+
+@register("ingest_documents", "SELECT regexp_replace(regexp_replace(source || '_' || CAST(doc_id AS VARCHAR) || '.txt', ' ', '', 'g'), "
+          "'\\.[^.]*$', '') AS doc_id, " + STRIP.format(_fold_sql("text")) + " AS text FROM documents")
+def ingest_documents(spark, sf):
+    return IN.clean_documents(_raw(spark, sf), fold=True)
+
+
+@register("undecodable_docs")
+def undecodable_docs(spark, sf):
+    d = read_table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"),
+                                                   F.encode("text", "UTF-8").alias("content"))
+    return IN.decode_check(d).select("doc_id", "valid")
+
+
+def _scratch(spark, name):
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/lexiflow/{name}-{uuid.uuid4().hex}"
+
+
+@register("load_token_parquet")
+def load_token_parquet(spark, sf):
+    path = _scratch(spark, "tokens6")
+    (english(spark, sf).tokens.repartition("doc_id").sortWithinPartitions("doc_id", "token_idx")
+        .select(*[f.name for f in IN.TOKEN_SCHEMA.fields]).write.parquet(path))
+    return IN.load_token_parquet(spark, path)
+
+
+@register("corpus_bundle")
+def corpus_bundle(spark, sf):
+    c = english(spark, sf)
+    path = _scratch(spark, "bundle")
+    IN.save_bundle({"ds_tokens": c.tokens, "ft_pos": c.frequency("pos"), "ft_ds": c.frequency("ds"),
+                    "tt_pos": c.tags("pos"), "tt_ds": c.tags("ds"), "dtm_pos": c.dtm("pos"), "dtm_ds": c.dtm("ds")}, path)
+    tables = IN.load_bundle(spark, path)
+    parts = [df.select(F.lit(name).alias("table")) for name, df in tables.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.groupBy("table").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def _upload_ids(spark, sf):
+    a = read_table(spark, sf, "documents").select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("doc_id"))
+    b = read_table(spark, sf, "benchmark").select(F.concat(F.lit("doc_"), F.col("item_id").cast("string")).alias("doc_id"))
+    return a, b
+
+
+@register("duplicate_doc_ids", "SELECT doc_id, count(*) AS n FROM (SELECT 'doc_' || CAST(doc_id AS VARCHAR) AS doc_id FROM documents "
+          "UNION ALL SELECT 'doc_' || CAST(item_id AS VARCHAR) FROM benchmark) GROUP BY doc_id HAVING count(*) > 1")
+def duplicate_doc_ids(spark, sf):
+    a, b = _upload_ids(spark, sf)
+    return CH.duplicate_doc_ids(a.unionByName(b))
+
+
+@register("target_reference_overlap", "SELECT DISTINCT 'doc_' || CAST(doc_id AS VARCHAR) AS doc_id FROM documents "
+          "WHERE 'doc_' || CAST(doc_id AS VARCHAR) IN (SELECT 'doc_' || CAST(item_id AS VARCHAR) FROM benchmark)")
+def target_reference_overlap(spark, sf):
+    a, b = _upload_ids(spark, sf)
+    return CH.target_reference_overlap(a, b)
+
+
+@register("corpus_size", "SELECT CAST(coalesce(sum(strlen(text)), 0) AS BIGINT) AS bytes, CAST(20000000 AS BIGINT) AS \"limit\", "
+          "coalesce(sum(strlen(text)), 0) <= 20000000 AS within_limit FROM documents WHERE lang = 'en'")
+def corpus_size(spark, sf):
+    return CH.corpus_size(english(spark, sf).docs)
+
+
+def _profiles(spark, sf):
+    return LI.train_profiles(read_table(spark, sf, "documents").select("lang", "text"))
+
+
+@register("language_filter")
+def language_filter(spark, sf):
+    docs = read_table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    return rounded(LI.language_filter(docs, _profiles(spark, sf), "en"))
+
+
+@register("language_fail_list")
+def language_fail_list(spark, sf):
+    docs = read_table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    lang = LI.language_filter(docs, _profiles(spark, sf), "en").filter(~F.col("passed")).select("doc_id", F.lit("language").alias("reason"))
+    dec = IN.decode_check(docs.select("doc_id", F.encode("text", "UTF-8").alias("content"))).filter(~F.col("valid"))
+    return lang.unionByName(dec.select("doc_id", F.lit("decode").alias("reason")))
+
+
+@register("corpus_readiness", O.with_(ALL_EN, "SELECT "
+          "(SELECT count(*) FROM (SELECT doc_id FROM tok_docs WHERE split_part(doc_id, '_', 1) IN " + O.in_list([f"src{i}" for i in range(10)]) +
+          " GROUP BY doc_id HAVING count(*) > 1)) = 0 AS no_duplicates, "
+          "(SELECT count(*) FROM (SELECT DISTINCT doc_id FROM tok_docs WHERE split_part(doc_id, '_', 1) IN " + O.in_list([f"src{i}" for i in range(10)]) +
+          ") a WHERE doc_id IN (SELECT doc_id FROM tok_docs WHERE split_part(doc_id, '_', 1) IN " + O.in_list([f"src{i}" for i in range(10, 20)]) + ")) = 0 AS no_overlap, "
+          "(SELECT coalesce(sum(strlen(text)), 0) FROM tok_docs) <= 20000000 AS size_ok, "
+          "(SELECT count(*) FROM tok_docs) > 0 AS not_empty, "
+          "((SELECT count(*) FROM (SELECT doc_id FROM tok_docs WHERE split_part(doc_id, '_', 1) IN " + O.in_list([f"src{i}" for i in range(10)]) +
+          " GROUP BY doc_id HAVING count(*) > 1)) = 0 AND (SELECT count(*) FROM (SELECT DISTINCT doc_id FROM tok_docs WHERE split_part(doc_id, '_', 1) IN "
+          + O.in_list([f"src{i}" for i in range(10)]) + ") a WHERE doc_id IN (SELECT doc_id FROM tok_docs WHERE split_part(doc_id, '_', 1) IN "
+          + O.in_list([f"src{i}" for i in range(10, 20)]) + ")) = 0 AND (SELECT coalesce(sum(strlen(text)), 0) FROM tok_docs) <= 20000000 "
+          "AND (SELECT count(*) FROM tok_docs) > 0) AS ready"))
+def corpus_readiness(spark, sf):
+    c = english(spark, sf)
+    cat = F.split("doc_id", "_", 2).getItem(0)
+    t = c.docs.filter(cat.isin([f"src{i}" for i in range(10)])).select("doc_id")
+    r = c.docs.filter(cat.isin([f"src{i}" for i in range(10, 20)])).select("doc_id")
+    return CH.corpus_readiness(t, r, c.docs)
+
+
+CATS = O.with_(ALL_EN, "")[:-1]
+
+
+@register("doc_categories", O.with_(ALL_EN, "SELECT doc_id, regexp_replace(doc_id, '_\\S+$', '') AS category FROM "
+                                    "(SELECT DISTINCT doc_id FROM tok_docs WHERE regexp_matches(text, '\\S')) "
+                                    "WHERE (SELECT bool_and(contains(doc_id, '_') AND length(regexp_replace(doc_id, '_\\S+$', '')) > 0) FROM tok_docs)"))
+def doc_categories(spark, sf):
+    c = english(spark, sf)
+    return M.doc_categories(c.docs.filter(F.col("text").rlike(r"\S")).select("doc_id").distinct())
+
+
+def _cats(spark, sf):
+    c = english(spark, sf)
+    return M.doc_categories(c.docs.filter(F.col("text").rlike(r"\S")).select("doc_id").distinct())
+
+
+_CATS_SQL = "cats AS (SELECT doc_id, regexp_replace(doc_id, '_\\S+$', '') AS category FROM (SELECT DISTINCT doc_id FROM tok_docs WHERE regexp_matches(text, '\\S')))"
+
+
+@register("category_gate", O.with_(ALL_EN + [_CATS_SQL], "SELECT count(DISTINCT category) AS n_categories, "
+                                   "count(DISTINCT category) BETWEEN 2 AND 20 AS accepted FROM cats"))
+def category_gate(spark, sf):
+    return M.category_gate(_cats(spark, sf))
+
+
+@register("category_counts", O.with_(ALL_EN + [_CATS_SQL], "SELECT category, count(*) AS n_docs FROM cats GROUP BY category"))
+def category_counts(spark, sf):
+    return M.category_counts(_cats(spark, sf))
+
+
+LANG_LABELS = {"en": "English", "de": "German", "fr": "French"}
+
+
+@register("category_labels", "SELECT lang AS category, count(*) AS n_docs, CASE lang " + " ".join(
+    f"WHEN {O.q(k)} THEN {O.q(v)}" for k, v in LANG_LABELS.items()) + " ELSE lang END AS description FROM documents GROUP BY lang")
+def category_labels(spark, sf):
+    d = read_table(spark, sf, "documents").select(F.concat(F.col("lang"), F.lit("_"), F.col("doc_id").cast("string")).alias("doc_id"))
+    cats = M.doc_categories(d)
+    return M.category_labels(M.category_counts(cats), LANG_LABELS)
+
+
+@register("subset_by_category", O.with_(ALL_EN, "SELECT doc_id, token_idx, token, pos_tag FROM tok WHERE split_part(doc_id, '_', 1) IN ('src1', 'src2')"))
+def subset_by_category(spark, sf):
+    return M.subset_by_category(english(spark, sf).pos_tokens, ["src1", "src2"]).select("doc_id", "token_idx", "token", "pos_tag")
+
+
+@register("split_corpus_counts", O.with_(ALL_EN, "SELECT count(*) FILTER (WHERE starts_with(doc_id, 'src1')) AS tar_tokens, "
+          "count(*) FILTER (WHERE starts_with(doc_id, 'src1') AND NOT starts_with(pos_tag, 'Y')) AS tar_words, "
+          "count(DISTINCT doc_id) FILTER (WHERE starts_with(doc_id, 'src1')) AS tar_ndocs, "
+          "count(*) FILTER (WHERE starts_with(doc_id, 'src2')) AS ref_tokens, "
+          "count(*) FILTER (WHERE starts_with(doc_id, 'src2') AND NOT starts_with(pos_tag, 'Y')) AS ref_words, "
+          "count(DISTINCT doc_id) FILTER (WHERE starts_with(doc_id, 'src2')) AS ref_ndocs FROM tok"))
+def split_corpus_counts(spark, sf):
+    return M.split_corpus_counts(english(spark, sf).pos_tokens, ["src1"], ["src2"])
+
+
+_ = (category, CATS)
