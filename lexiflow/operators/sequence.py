@@ -31,7 +31,8 @@ def _blk(order: str, block: int) -> Column:
 
 
 def prefix_sum(df: DataFrame, part: Sequence[str], order: str, value: Column, out: str,
-               inclusive: bool = True, block: int = BLOCK) -> DataFrame:
+               inclusive: bool = True, block: int | None = None) -> DataFrame:
+    block = block or BLOCK
     part = list(part)
     d = df.withColumn("_pblk", _blk(order, block)).withColumn("_pv", value)
     w = Window.partitionBy(*part, "_pblk").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -46,18 +47,19 @@ def prefix_sum(df: DataFrame, part: Sequence[str], order: str, value: Column, ou
     return res.withColumn(out, val).drop("_pblk", "_pv", "_pin", "_poff")
 
 
-def dense_rank_in_doc(df: DataFrame, part: Sequence[str], order: str, out: str, block: int = BLOCK) -> DataFrame:
+def dense_rank_in_doc(df: DataFrame, part: Sequence[str], order: str, out: str, block: int | None = None) -> DataFrame:
     """0-based ordinal of each row inside ``part`` by ``order`` (unique)."""
     return prefix_sum(df, part, order, F.lit(1).cast("long"), out, inclusive=False, block=block)
 
 
-def with_context(df: DataFrame, order: str, before: int, after: int, block: int = BLOCK) -> DataFrame:
+def with_context(df: DataFrame, order: str, before: int, after: int, block: int | None = None) -> DataFrame:
     """Add ``_blk`` and ``_own``; ``order`` must be dense (0..n-1 per document).
 
     Evaluate windows over ``partitionBy(<doc>, "_blk").orderBy(order)`` and keep
     ``_own`` rows: every owned row then sees ``before`` preceding and ``after``
     following rows of its document.
     """
+    block = block or BLOCK
     if before >= block or after >= block:
         raise ValueError("context reach must be smaller than the block size")
     o = F.col(order)
