@@ -7,19 +7,19 @@ Output is the token table::
 
 ``pos_id`` is the token index (one token per POS unit); ``ds_id`` is the token
 index of the first token of the rhetorical unit, so tokens sharing a phrase
-share an id.  Tokenizing and POS tagging are one projection per document (no
-shuffle); phrase tagging needs one bounded-reach window pass and one join.
+share an id.  Tokenizing, phrase tagging (higher-order functions over the
+document's token array) and POS tagging (broadcast lexicon join) are all
+narrow: building the token table shuffles nothing.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import DS_LEXICON, POS_LEXICON
 from ..functions.tags import PUNCT_TAG, UNCLASSIFIED_TAG, UNTAGGED
 from ..functions.text import norm, surface, token_array
-from .sequence import with_context
 
 TOKEN_COLUMNS = ["doc_id", "token_idx", "token", "pos_tag", "ds_tag", "pos_id", "ds_id"]
 
@@ -81,72 +81,92 @@ def pos_tag(tokens: DataFrame, lexicon: dict[str, str] | None = None) -> DataFra
              .drop("_s", "_lw", "_lex_tag"))
 
 
-def phrase_candidates(tokens: DataFrame, lexicon: dict[str, str] | None = None) -> DataFrame:
-    """Longest lexicon phrase starting at each token: (doc_id, s, n, tag).
+UNIT_TYPE = "array<struct<pos:bigint,n:int,tag:string>>"
 
-    The phrase of length k at a token is its word joined with the next k-1
-    words (``lead`` over a window of reach max_len-1, evaluated per block).
+
+def _singles(a: Column, b: Column) -> Column:
+    """Untagged one-token units for positions a..b (empty when b < a)."""
+    return F.when(b >= a, F.transform(F.sequence(a, b), lambda j: F.struct(
+        j.alias("pos"), F.lit(1).alias("n"), F.lit(UNTAGGED).alias("tag")))).otherwise(F.array().cast(UNIT_TYPE))
+
+
+def with_ds_units(df: DataFrame, tokens: str = "toks", out: str = "units",
+                  lexicon: dict[str, str] | None = None) -> DataFrame:
+    """Add the rhetorical units of each document row as an ordered array of
+    ``struct(pos, n, tag)`` covering every token exactly once.
+
+    Runs inside the document row with higher-order functions: candidate
+    starts are the positions whose word can open a phrase; the longest
+    lexicon phrase at each start is looked up; a left-to-right fold keeps
+    the leftmost-longest non-overlapping spans; gaps become Untagged
+    one-token units.  Work is O(tokens x max phrase length) per document and
+    nothing is shuffled or gathered (the document is already one row).
+    Intermediate arrays are separate columns so each is evaluated once.
     """
     lexicon = DS_LEXICON if lexicon is None else lexicon
     max_len = max(len(p.split(" ")) for p in lexicon)
-    t = with_context(tokens.select("doc_id", "token_idx", norm("token").alias("_w")),
-                     "token_idx", before=0, after=max_len - 1)
-    w = Window.partitionBy("doc_id", "_blk").orderBy("token_idx")
-    words = [F.col("_w")] + [F.lead("_w", k).over(w) for k in range(1, max_len)]
-    cols = {}
-    for n in range(1, max_len + 1):
-        cols[f"_p{n}"] = F.concat_ws(" ", *words[:n]) if n == 1 else F.when(words[n - 1].isNotNull(), F.concat_ws(" ", *words[:n]))
-    t = t.withColumns(cols).filter("_own")
     by_len = {n: {p: t for p, t in lexicon.items() if len(p.split(" ")) == n} for n in range(1, max_len + 1)}
-    best = None
-    for n in range(max_len, 0, -1):   # longest first
-        if not by_len[n]:
-            continue
-        hit = _lookup(F.col(f"_p{n}"), by_len[n])
-        cand = F.when(hit.isNotNull(), F.struct(F.lit(n).alias("n"), hit.alias("tag")))
-        best = cand if best is None else F.coalesce(best, cand)
-    return (t.select("doc_id", F.col("token_idx").alias("s"), best.alias("_c"))
-             .filter(F.col("_c").isNotNull())
-             .select("doc_id", "s", F.col("_c.n").alias("n"), F.col("_c.tag").alias("tag")))
-
-
-def resolve_leftmost_longest(cands: DataFrame) -> DataFrame:
-    """Keep the leftmost-longest non-overlapping spans.
-
-    Overlapping candidates form islands (gaps-and-islands over the running
-    maximum end); a greedy left-to-right fold runs inside each island only,
-    so no whole document is ever gathered.
-    """
-    w = Window.partitionBy("doc_id").orderBy("s")
-    isl = (cands.withColumn("_prev_end", F.max(F.col("s") + F.col("n")).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-                .withColumn("_new", F.when(F.col("_prev_end").isNull() | (F.col("s") >= F.col("_prev_end")), 1).otherwise(0))
-                .withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))))
-    folded = isl.groupBy("doc_id", "_island").agg(
-        F.aggregate(
-            F.array_sort(F.collect_list(F.struct("s", "n", "tag"))),
-            F.struct(F.lit(-1).cast("long").alias("e"),
-                     F.array().cast("array<struct<s:bigint,n:int,tag:string>>").alias("c")),
-            lambda acc, x: F.when(x["s"] >= acc["e"],
-                                  F.struct((x["s"] + x["n"]).alias("e"), F.array_append(acc["c"], x).alias("c")))
-                            .otherwise(acc),
-        )["c"].alias("chosen"))
-    return folded.select("doc_id", F.explode("chosen").alias("x")).select("doc_id", "x.s", "x.n", "x.tag")
-
-
-def ds_tag(tokens: DataFrame, lexicon: dict[str, str] | None = None) -> DataFrame:
-    spans = resolve_leftmost_longest(phrase_candidates(tokens, lexicon))
-    covered = spans.select(
-        "doc_id",
-        F.explode(F.sequence(F.col("s"), F.col("s") + F.col("n") - 1)).alias("token_idx"),
-        F.col("tag").alias("_dtag"), F.col("s").alias("_dstart"))
-    return (tokens.join(covered, on=["doc_id", "token_idx"], how="left")
-                  .withColumn("ds_tag", F.coalesce("_dtag", F.lit(UNTAGGED)))
-                  .withColumn("ds_id", F.coalesce("_dstart", "token_idx"))
-                  .drop("_dtag", "_dstart"))
+    firsts = sorted({p.split(" ")[0] for p in lexicon})
+    words, size = F.col("_dw"), F.col("_dn")
+
+    def longest(i):
+        best = None
+        for n in range(max_len, 0, -1):
+            if not by_len[n]:
+                continue
+            hit = F.when(i + n <= size, _lookup(F.array_join(F.slice(words, (i + 1).cast("int"), n), " "), by_len[n]))
+            cand = F.when(hit.isNotNull(), F.struct(i.alias("s"), F.lit(n).alias("n"), hit.alias("tag")))
+            best = cand if best is None else F.coalesce(best, cand)
+        return best
+
+    init = F.struct(F.lit(-1).cast("long").alias("e"),
+                    F.array().cast("array<struct<s:bigint,n:int,tag:string>>").alias("c"))
+    d = (df.withColumn("_dw", F.transform(tokens, lambda t: F.lower(F.regexp_replace(t, r"\s+$", ""))))
+           .withColumn("_dn", F.size(tokens).cast("long")))
+    positions = F.when(size > 0, F.sequence(F.lit(0).cast("long"), size - 1)).otherwise(F.array().cast("array<bigint>"))
+    d = d.withColumn("_dc", F.filter(F.transform(F.filter(positions, lambda i: words[i].isin(*firsts)), longest),
+                                     lambda x: x.isNotNull()))
+    d = d.withColumn("_ds", F.aggregate("_dc", init, lambda acc, x: F.when(
+        x["s"] >= acc["e"], F.struct((x["s"] + x["n"]).alias("e"), F.array_append(acc["c"], x).alias("c"))
+    ).otherwise(acc))["c"])
+    d = d.withColumn("_de", F.transform("_ds", lambda x: x["s"] + x["n"]))
+    prev_ends = F.slice(F.concat(F.array(F.lit(0).cast("long")), F.col("_de")), 1, F.size("_ds"))
+    segments = F.zip_with("_ds", prev_ends, lambda x, pe: F.concat(
+        _singles(pe, x["s"] - 1), F.array(F.struct(x["s"].alias("pos"), x["n"].alias("n"), x["tag"].alias("tag")))))
+    last_end = F.coalesce(F.get(F.col("_de"), F.size("_de") - 1), F.lit(0).cast("long"))
+    return (d.withColumn(out, F.concat(F.flatten(segments), _singles(last_end, size - 1)))
+             .drop("_dw", "_dn", "_dc", "_ds", "_de"))
+
+
+def document_units(docs: DataFrame, lexicon: dict[str, str] | None = None) -> DataFrame:
+    """(doc_id, toks, units): token strings and DS units per document row."""
+    return with_ds_units(docs.select("doc_id", token_array("text").alias("toks")), "toks", "units", lexicon)
+
+
+def tokens_from_units(doc_units: DataFrame) -> DataFrame:
+    """Explode a document's arrays into token rows with ds_tag / ds_id (the
+    first token index of the unit); narrow, no shuffle."""
+    per_token = F.flatten(F.transform("units", lambda u: F.transform(
+        F.sequence(u["pos"], u["pos"] + u["n"] - 1), lambda j: F.struct(u["tag"].alias("t"), u["pos"].alias("i")))))
+    zipped = F.zip_with("toks", per_token, lambda tok, d: F.struct(tok.alias("token"), d["t"].alias("ds_tag"),
+                                                                   d["i"].alias("ds_id")))
+    return (doc_units.select("doc_id", F.posexplode(zipped).alias("token_idx", "x"))
+                     .select("doc_id", F.col("token_idx").cast("long").alias("token_idx"),
+                             "x.token", "x.ds_tag", "x.ds_id"))
+
+
+def ds_units_from_documents(doc_units: DataFrame) -> DataFrame:
+    """DS unit rows (doc_id, unit_id, Tag, pos, utext) straight from the
+    document arrays: no grouping shuffle."""
+    with_text = F.transform("units", lambda u: F.struct(
+        u["pos"].alias("pos"), u["tag"].alias("Tag"),
+        F.array_join(F.slice("toks", (u["pos"] + 1).cast("int"), u["n"]), "").alias("utext")))
+    return (doc_units.select("doc_id", F.explode(with_text).alias("u"))
+                     .select("doc_id", F.col("u.pos").alias("unit_id"), F.col("u.Tag").alias("Tag"),
+                             F.col("u.pos").alias("pos"), F.col("u.utext").alias("utext")))
 
 
 def tag_tokens(docs: DataFrame, pos_lexicon: dict[str, str] | None = None,
                ds_lexicon: dict[str, str] | None = None) -> DataFrame:
-    """(doc_id, text) -> token table (TOKEN_COLUMNS)."""
-    toks = pos_tag(tokenize(docs), pos_lexicon)
-    return ds_tag(toks, ds_lexicon).select(*TOKEN_COLUMNS)
+    """(doc_id, text) -> token table (TOKEN_COLUMNS); no shuffle."""
+    return pos_tag(tokens_from_units(document_units(docs, ds_lexicon)), pos_lexicon).select(*TOKEN_COLUMNS)

@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import freq as fq
-from ..operators.tagging import pos_tag, tag_tokens, tokenize
-from ..operators.units import analytic_units, units
+from ..operators.tagging import (TOKEN_COLUMNS, document_units, ds_units_from_documents, pos_tag, tokenize,
+                                 tokens_from_units)
+from ..operators.units import analytic_units, unit_key, units
 
 
 @dataclass
@@ -22,19 +23,27 @@ class Corpus:
     single_token_pos: bool = False
     pos_tokens: DataFrame | None = None   # same rows without the DS columns, cheaper to build
     docs: DataFrame | None = None         # (doc_id, text) when built from documents
+    doc_units: DataFrame | None = None    # (doc_id, toks, units) document-row arrays
 
     @classmethod
     def from_documents(cls, docs: DataFrame, pos_lexicon=None, ds_lexicon=None) -> "Corpus":
         pos_only = pos_tag(tokenize(docs), pos_lexicon)
-        return cls(tag_tokens(docs, pos_lexicon, ds_lexicon), single_token_pos=True, pos_tokens=pos_only, docs=docs)
+        du = document_units(docs, ds_lexicon)
+        tokens = pos_tag(tokens_from_units(du), pos_lexicon).select(*TOKEN_COLUMNS)
+        return cls(tokens, single_token_pos=True, pos_tokens=pos_only, docs=docs, doc_units=du)
 
     def _for(self, kind: str) -> DataFrame:
         return self.pos_tokens if (kind == "pos" and self.pos_tokens is not None) else self.tokens
 
     def units(self, kind: str = "pos") -> DataFrame:
+        if kind == "ds" and self.doc_units is not None:
+            # DS units straight from the document arrays: no grouping shuffle
+            return ds_units_from_documents(self.doc_units).withColumn("Token", unit_key("utext"))
         return units(self._for(kind), kind, single_token=(kind == "pos" and self.single_token_pos))
 
     def analytic(self, kind: str = "pos") -> DataFrame:
+        if kind == "ds":
+            return self.units("ds")
         return analytic_units(self._for(kind), kind, single_token=(kind == "pos" and self.single_token_pos))
 
     def ndocs(self):
@@ -57,7 +66,8 @@ class Corpus:
     def subset(self, condition) -> "Corpus":
         pt = None if self.pos_tokens is None else self.pos_tokens.filter(condition)
         docs = None if self.docs is None else self.docs.filter(condition)
-        return Corpus(self.tokens.filter(condition), self.single_token_pos, pt, docs)
+        du = None if self.doc_units is None else self.doc_units.filter(condition)
+        return Corpus(self.tokens.filter(condition), self.single_token_pos, pt, docs, du)
 
     def persist_tokens(self, path: str | None = None) -> "Corpus":
         """Cut lineage: write the token table to the shared checkpoint folder
