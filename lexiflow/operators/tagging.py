@@ -82,6 +82,7 @@ def pos_tag(tokens: DataFrame, lexicon: dict[str, str] | None = None) -> DataFra
 
 
 UNIT_TYPE = "array<struct<pos:bigint,n:int,tag:string>>"
+FOLD_CHUNK = 256
 
 
 def _singles(a: Column, b: Column) -> Column:
@@ -126,9 +127,28 @@ def with_ds_units(df: DataFrame, tokens: str = "toks", out: str = "units",
     positions = F.when(size > 0, F.sequence(F.lit(0).cast("long"), size - 1)).otherwise(F.array().cast("array<bigint>"))
     d = d.withColumn("_dc", F.filter(F.transform(F.filter(positions, lambda i: words[i].isin(*firsts)), longest),
                                      lambda x: x.isNotNull()))
-    d = d.withColumn("_ds", F.aggregate("_dc", init, lambda acc, x: F.when(
-        x["s"] >= acc["e"], F.struct((x["s"] + x["n"]).alias("e"), F.array_append(acc["c"], x).alias("c"))
-    ).otherwise(acc))["c"])
+    # Greedy fold in two levels: an outer fold over chunks of FOLD_CHUNK
+    # candidates carries only the end of the last chosen span, the inner fold
+    # appends inside one chunk; appending costs O(chunk) instead of O(spans)
+    # per step, so a very long document stays near-linear.
+    def inner(e0, chunk):
+        return F.aggregate(chunk, F.struct(e0.alias("e"), init["c"].alias("c")), lambda acc, x: F.when(
+            x["s"] >= acc["e"], F.struct((x["s"] + x["n"]).alias("e"), F.array_append(acc["c"], x).alias("c"))
+        ).otherwise(acc))
+
+    n_chunks = F.ceil(F.size("_dc") / F.lit(FOLD_CHUNK)).cast("int")
+    chunks = F.when(n_chunks > 0, F.transform(F.sequence(F.lit(0), n_chunks - 1),
+                                              lambda j: F.slice("_dc", j * FOLD_CHUNK + 1, FOLD_CHUNK)))
+    chunks = F.coalesce(chunks, F.array().cast("array<array<struct<s:bigint,n:int,tag:string>>>"))
+    outer_init = F.struct(F.lit(-1).cast("long").alias("e"),
+                          F.array().cast("array<array<struct<s:bigint,n:int,tag:string>>>").alias("parts"))
+    # (a one-element transform binds the inner result so it is evaluated once)
+    chunked = F.flatten(F.aggregate(chunks, outer_init, lambda acc, ch: F.transform(
+        F.array(inner(acc["e"], ch)),
+        lambda r: F.struct(r["e"].alias("e"), F.array_append(acc["parts"], r["c"]).alias("parts")))[0]
+    )["parts"])
+    d = d.withColumn("_ds", F.when(F.size("_dc") <= FOLD_CHUNK, inner(F.lit(-1).cast("long"), F.col("_dc"))["c"])
+                             .otherwise(chunked))
     d = d.withColumn("_de", F.transform("_ds", lambda x: x["s"] + x["n"]))
     prev_ends = F.slice(F.concat(F.array(F.lit(0).cast("long")), F.col("_de")), 1, F.size("_ds"))
     segments = F.zip_with("_ds", prev_ends, lambda x, pe: F.concat(

@@ -46,6 +46,14 @@ class Corpus:
             return self.units("ds")
         return analytic_units(self._for(kind), kind, single_token=(kind == "pos" and self.single_token_pos))
 
+    def doc_tokens(self) -> DataFrame:
+        """(doc_id, toks): one row per document with its token array."""
+        if self.doc_units is not None:
+            return self.doc_units.select("doc_id", "toks")
+        from ..operators.units import ordered_concat  # noqa: F401  (imported tables: regroup)
+        return self.tokens.groupBy("doc_id").agg(
+            F.transform(F.array_sort(F.collect_list(F.struct("token_idx", "token"))), lambda x: x["token"]).alias("toks"))
+
     def ndocs(self):
         """Documents with at least one token.  From the raw documents a text
         has a token iff it has a non-space character, so the count needs no

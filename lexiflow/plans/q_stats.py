@@ -11,6 +11,7 @@ from ..operators import freq as fq
 from ..operators import groupstats as G
 from ..operators import pca as P
 from . import oracle as O
+from .materialize import materialize
 from .catalog import ALL_EN, english, register, rounded
 
 SIMPLE_TAGS = sorted({lab for _, lab in SIMPLE_TAG_RULES} | {"Other"})
@@ -47,10 +48,18 @@ def _c(spark, sf):
     return english(spark, sf)
 
 
+def _dtm(c):
+    """The POS document-term matrix (docs x tags, small next to the tokens),
+    written once to the checkpoint folder: the statistics below read it in
+    several passes (tag list, pivots, quantile ranks, ML fits) without
+    re-tokenizing."""
+    return materialize(c.dtm("pos"), "dtm-pos")
+
+
 def dense_prop_simple(c):
     """Simplified POS DTM, non-analytic columns dropped BEFORE weighting, row
     proportions, zero-filled (pivot over the present tags)."""
-    d = fq.drop_non_analytic(fq.dtm_simplify(c.dtm("pos")))
+    d = fq.drop_non_analytic(fq.dtm_simplify(_dtm(c)))
     return fq.dtm_dense(fq.dtm_weight_prop(d).select("doc_id", "Tag", "RF"), value="RF")
 
 
@@ -67,7 +76,7 @@ def dtm_weight_prop(spark, sf):
      "dz AS (SELECT zd.doc_id, zt.Tag, coalesce(pp.RF, 0.0) AS RF FROM zd CROSS JOIN zt LEFT JOIN pp "
      "ON pp.doc_id = zd.doc_id AND pp.Tag = zt.Tag)"]))
 def dtm_weight_scale(spark, sf):
-    dense = fq.dtm_dense(fq.dtm_weight_prop(_c(spark, sf).dtm("pos")).select("doc_id", "Tag", "RF"), value="RF")
+    dense = fq.dtm_dense(fq.dtm_weight_prop(_dtm(_c(spark, sf))).select("doc_id", "Tag", "RF"), value="RF")
     return rounded(fq.dtm_weight_scale(dense, "RF", "Z").select("doc_id", "Tag", "Z"))
 
 
@@ -94,7 +103,7 @@ G_EXTRA = ["gd AS (SELECT DISTINCT doc_id FROM dtm)", "gt AS (SELECT DISTINCT Ta
 
 
 def _grouped_dense(c):
-    return fq.with_group(fq.dtm_dense(c.dtm("pos")))
+    return fq.with_group(fq.dtm_dense(_dtm(c)))
 
 
 @register("tags_table_grouped", S(f"SELECT Tag, \"Group\", AF, {O.r('RF')} AS RF, {O.r('Range')} AS Range FROM gtab", G_EXTRA))
@@ -112,7 +121,7 @@ def make_percent(spark, sf):
     "FROM sd CROSS JOIN st LEFT JOIN dtm_s ON dtm_s.doc_id = sd.doc_id AND dtm_s.Tag = st.Tag",
     ["sd AS (SELECT DISTINCT doc_id FROM dtm_s)", "st AS (SELECT DISTINCT Tag FROM dtm_s)"]))
 def dtm_simplify_grouped(spark, sf):
-    d = fq.dtm_dense(fq.dtm_simplify(_c(spark, sf).dtm("pos")))
+    d = fq.dtm_dense(fq.dtm_simplify(_dtm(_c(spark, sf))))
     return fq.with_group(d).select("doc_id", "Group", "Tag", F.col("n").cast("long").alias("n"))
 
 
@@ -226,12 +235,13 @@ def tag_bar_data(spark, sf):
 def pca_input(c):
     """dtm_pos -> simplify -> prop -> scale; drop Other/FU/Untagged AFTER
     scaling; wide with Group."""
-    d = fq.dtm_simplify(c.dtm("pos"))
+    d = fq.dtm_simplify(_dtm(c))
     dense = fq.dtm_dense(fq.dtm_weight_prop(d).select("doc_id", "Tag", "RF"), value="RF")
     z = fq.drop_non_analytic(fq.dtm_weight_scale(dense, "RF", "Z"))
     tags = sorted(r[0] for r in z.select("Tag").distinct().collect())   # closed tagset
     wide = z.groupBy("doc_id").pivot("Tag", tags).agg(F.first("Z")).na.fill(0.0)
-    return wide.withColumn("Group", first_segment("doc_id")), tags
+    # the PCA fit makes several passes: read them from one written table
+    return materialize(wide.withColumn("Group", first_segment("doc_id")), "pca-input"), tags
 
 
 @register("pca_scores")

@@ -148,3 +148,14 @@ def test_partition_invariance(spark, corpus):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert a == b
+
+
+def test_chunked_phrase_fold_matches(spark, monkeypatch):
+    """The two-level greedy fold (long documents) equals the one-level fold."""
+    from lexiflow.operators import tagging
+
+    docs = english(spark, SF_SMALL).docs
+    a = sorted(tagging.document_units(docs).select("doc_id", "units").collect())
+    monkeypatch.setattr(tagging, "FOLD_CHUNK", 3)
+    b = sorted(tagging.document_units(docs).select("doc_id", "units").collect())
+    assert a == b and sum(len(r.units) for r in a) > 0
