@@ -21,9 +21,10 @@ def normalised(text: Column) -> Column:
 
 
 def trigrams(df: DataFrame, text: str = "text") -> DataFrame:
-    t = normalised(F.col(text))
-    grams = F.expr("transform(sequence(1, greatest(length(_t) - 2, 1)), i -> substring(_t, i, 3))")
-    return df.withColumn("_t", t).select("*", F.explode(grams).alias("gram")).drop("_t")
+    """Every overlapping character trigram of the whole normalised text
+    (a zero-width lookahead match per position; JVM-side, no lambda)."""
+    grams = F.regexp_extract_all(normalised(F.col(text)), F.lit("(?=(.{3}))"), 1)
+    return df.select("*", F.explode(grams).alias("gram"))
 
 
 def train_profiles(labelled: DataFrame, lang: str = "lang") -> DataFrame:

@@ -92,12 +92,6 @@ def keyness_sort(spark, sf):
     return K.keyness_sort(_keyness(spark, sf, "pos", False, 0.001, "positive"), by="LR", descending=True)
 
 
-@register("tag_filter", O.with_(["k AS (" + keyness_sql("ds", True, 1.0, "both")[5:].replace("\nSELECT", ") SELECT", 0) + ")"]
-                                , "SELECT 1") if False else None)
-def _unused(spark, sf):  # pragma: no cover - placeholder removed below
-    return None
-
-
 def keyness_parts_table(spark, sf, kind="pos", tags_only=False):
     c = english(spark, sf, PART_TAR + PART_REF)
     u = c.analytic(kind)
@@ -136,9 +130,7 @@ def keyness_parts_counts(spark, sf):
     return pos.join(ds, "side").join(nd, "side")
 
 
-@register("compare_bar_data", O.with_(
-    ["k AS (" + keyness_sql("pos", True, 1.0, "both")[len("WITH "):].split("\nSELECT ", 1)[0] + ")"] if False else [],
-    "SELECT 1") if False else None)
+@register("compare_bar_data")
 def compare_bar_data(spark, sf):
     return rounded(K.compare_bar_data(_keyness(spark, sf, "pos", True, 1.0, "both")))
 
@@ -160,7 +152,4 @@ from .catalog import SQL  # noqa: E402
 SQL["compare_bar_data"] = _wrap(O_TAGS_POS, "SELECT Tag, round((RF + RF_Ref) / 2.0, 6) AS Mean, 'Target' AS Corpus, RF FROM k "
                                             "UNION ALL SELECT Tag, round((RF + RF_Ref) / 2.0, 6), 'Reference', RF_Ref FROM k")
 SQL["tag_filter"] = _wrap(O_TAGS_DS, "SELECT * FROM k WHERE Tag NOT IN ('FU', 'Untagged')")
-from .catalog import QUERIES  # noqa: E402
-
-QUERIES.pop("_unused", None)
 _ = (F, first_segment)

@@ -125,3 +125,25 @@ def corpus_summary(spark, sf):
 
 
 _ = (F, simplify_tag)
+
+
+# --- SQL surface and table lookup (§2.13, §2.14) ---------------------------
+from ..functions.tags import simplify_tag_sql as _simp  # noqa: E402
+from .views import register_views, table_by_name  # noqa: E402
+
+
+@register("sql_surface", O.with_(ALL_EN + U_POS + [
+    "base AS (SELECT doc_id, Token, Tag, count(*) AS n FROM upos GROUP BY ALL)"],
+    "SELECT Tag, CAST(sum(n) AS BIGINT) AS AF, count(DISTINCT Token) AS types FROM base GROUP BY Tag"))
+def sql_surface(spark, sf):
+    register_views(english(spark, sf), prefix="lf_")
+    return spark.sql("SELECT Tag, CAST(sum(AF) AS BIGINT) AS AF, count(*) AS types FROM lf_ft_pos GROUP BY Tag")
+
+
+@register("table_by_name", O.with_(ALL_EN + U_POS + [
+    f"s AS (SELECT doc_id, {_simp('Tag')} AS Tag, count(*) AS n FROM upos GROUP BY ALL)",
+    "sd AS (SELECT DISTINCT doc_id FROM s)", "st AS (SELECT DISTINCT Tag FROM s)",
+    "dn AS (SELECT sd.doc_id, st.Tag, coalesce(s.n, 0) AS n FROM sd CROSS JOIN st LEFT JOIN s ON s.doc_id = sd.doc_id AND s.Tag = st.Tag)"],
+    "SELECT doc_id, split_part(doc_id, '_', 1) AS \"Group\", Tag, round(n / sum(n) OVER (PARTITION BY doc_id), 6) AS RF FROM dn"))
+def table_by_name_q(spark, sf):
+    return rounded(table_by_name(english(spark, sf), "Document-Term Matrix: Parts-of-Speech Simplified", "Grouped"))

@@ -97,7 +97,11 @@ def corpus_size(spark, sf):
 
 
 def _profiles(spark, sf):
-    return LI.train_profiles(read_table(spark, sf, "documents").select("lang", "text"))
+    """Trigram profiles (languages x trigram alphabet: small) written once;
+    scoring reads them several times."""
+    from .materialize import materialize
+
+    return materialize(LI.train_profiles(read_table(spark, sf, "documents").select("lang", "text")), "lang-profiles")
 
 
 @register("language_filter")
