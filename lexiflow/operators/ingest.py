@@ -55,7 +55,8 @@ def decode_check(raw_bytes: DataFrame) -> DataFrame:
 
 def read_binary_documents(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.format("binaryFile").load(path)
-    return raw.select(doc_id_from_file(F.element_at(F.split("path", "/"), -1)).alias("doc_id"), "content")
+    name = F.url_decode(F.element_at(F.split("path", "/"), -1))   # paths are URIs
+    return raw.select(doc_id_from_file(name).alias("doc_id"), "content")
 
 
 def check_token_schema(df: DataFrame) -> bool:

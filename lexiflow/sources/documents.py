@@ -52,8 +52,8 @@ def documents_from_text_files(spark: SparkSession, path: str, fold_ascii: bool =
     from ..operators.ingest import clean_documents
 
     raw = (spark.read.option("wholetext", True).text(path)
-                .select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("text")))
-    return clean_documents(raw, fold_ascii=fold_ascii)
+                .select(F.url_decode(F.col("_metadata.file_name")).alias("file_name"), F.col("value").alias("text")))
+    return clean_documents(raw, fold=fold_ascii)
 
 
 def strip_text(df: DataFrame) -> DataFrame:
