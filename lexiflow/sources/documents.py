@@ -39,11 +39,12 @@ def at_least_one_task_per_core(df: DataFrame) -> DataFrame:
     """Spread a scan that yields fewer splits than cores (a small file with
     few row groups) so tokenizing uses every core.  A large input already
     has many splits and is left alone (no shuffle of the raw text)."""
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD access (e.g. a remote session): leave the scan as is
+        return df
+    return df.repartition(cores) if splits < cores else df
 
 
 def documents_from_text_files(spark: SparkSession, path: str, fold_ascii: bool = False) -> DataFrame:

@@ -159,3 +159,24 @@ def test_chunked_phrase_fold_matches(spark, monkeypatch):
     monkeypatch.setattr(tagging, "FOLD_CHUNK", 3)
     b = sorted(tagging.document_units(docs).select("doc_id", "units").collect())
     assert a == b and sum(len(r.units) for r in a) > 0
+
+
+def test_invariance_to_input_row_order(spark, fixture_tokens):
+    """Imported token tables: results do not depend on row order or on the
+    number of shuffle partitions (token_idx carries the order)."""
+    from lexiflow.operators import docview
+    from lexiflow.plans.corpus import Corpus
+
+    def run(tokens, parts):
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        c = Corpus(tokens, single_token_pos=False)
+        return (sorted(c.frequency("ds").collect()), sorted(docview.tagged_text(c.units("ds"), "ds").collect()),
+                sorted(ngrams.ngrams(c.units("pos"), F.lit(11), F.lit(2), span=2, min_rf=None).collect()))
+
+    try:
+        base = run(fixture_tokens, 1)
+        shuffled = fixture_tokens.orderBy(F.rand(seed=3)).repartition(5)
+        assert run(shuffled, 4) == base
+        assert run(shuffled, 13) == base
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
