@@ -94,6 +94,20 @@ def tagged_text_ds(spark, sf):
     return D.tagged_text(english(spark, sf).units("ds"), "ds")
 
 
+def table_counts_sql(tables: dict[str, str], formats: list[str] | None = None) -> str:
+    """Row counts of the corpus tables (twin of the write-then-read sinks)."""
+    ctes = ALL_EN + O.unit_ctes("tok", "pos", "up", analytic=True) + O.unit_ctes("tok", "ds", "ud") + [
+        "ft_pos AS (SELECT DISTINCT Token, Tag FROM up)", "ft_ds AS (SELECT DISTINCT Token, Tag FROM ud)",
+        "tt_pos AS (SELECT DISTINCT Tag FROM up)", "tt_ds AS (SELECT DISTINCT Tag FROM ud)",
+        "dtm_pos AS (SELECT DISTINCT doc_id, Tag FROM up)", "dtm_ds AS (SELECT DISTINCT doc_id, Tag FROM ud)"]
+    parts = []
+    for name, cte in tables.items():
+        for fmt in (formats or [None]):
+            fcol = f", '{fmt}' AS format" if fmt else ""
+            parts.append(f"SELECT '{name}' AS \"table\"{fcol}, count(*) AS rows FROM {cte}")
+    return O.with_(ctes, " UNION ALL ".join(parts))
+
+
 def _scratch(spark, name):
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/lexiflow/{name}-{uuid.uuid4().hex}"
 
@@ -104,7 +118,8 @@ def export_tokens(spark, sf):
     return spark.read.parquet(path)
 
 
-@register("export_all_tables")
+@register("export_all_tables", table_counts_sql({"ft_pos": "ft_pos", "ft_ds": "ft_ds", "tt_pos": "tt_pos", "tt_ds": "tt_ds",
+                                                "dtm_pos": "dtm_pos", "dtm_ds": "dtm_ds"}, ["parquet", "csv"]))
 def export_all_tables(spark, sf):
     c = english(spark, sf)
     tables = {"ft_pos": c.frequency("pos"), "ft_ds": c.frequency("ds"), "tt_pos": c.tags("pos"),
@@ -120,7 +135,7 @@ def export_all_tables(spark, sf):
     return out.groupBy("table", "format").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@register("write_tagged_text")
+@register("write_tagged_text", "WITH t AS (" + tagged_sql("pos") + ") SELECT file_name || chr(9) || text AS value FROM t")
 def write_tagged_text(spark, sf):
     path = X.write_tagged_text(D.tagged_text(english(spark, sf).units("pos"), "pos"), _scratch(spark, "tagged"))
     return spark.read.text(path)

@@ -37,18 +37,25 @@ def ingest_documents(spark, sf):
     return IN.clean_documents(_raw(spark, sf), fold=True)
 
 
-@register("undecodable_docs")
+@register("undecodable_docs", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, true AS valid FROM documents")
 def undecodable_docs(spark, sf):
     d = read_table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"),
                                                    F.encode("text", "UTF-8").alias("content"))
     return IN.decode_check(d).select("doc_id", "valid")
 
 
+def _bundle_sql() -> str:
+    from .q_docs import table_counts_sql
+
+    return table_counts_sql({"ds_tokens": "tok", "ft_pos": "ft_pos", "ft_ds": "ft_ds", "tt_pos": "tt_pos",
+                             "tt_ds": "tt_ds", "dtm_pos": "dtm_pos", "dtm_ds": "dtm_ds"})
+
+
 def _scratch(spark, name):
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/lexiflow/{name}-{uuid.uuid4().hex}"
 
 
-@register("load_token_parquet")
+@register("load_token_parquet", O.with_(ALL_EN, "SELECT doc_id, token_idx, token, pos_tag, ds_tag, pos_id, ds_id FROM tok"))
 def load_token_parquet(spark, sf):
     path = _scratch(spark, "tokens6")
     (english(spark, sf).tokens.repartition("doc_id").sortWithinPartitions("doc_id", "token_idx")
@@ -56,7 +63,7 @@ def load_token_parquet(spark, sf):
     return IN.load_token_parquet(spark, path)
 
 
-@register("corpus_bundle")
+@register("corpus_bundle", _bundle_sql())
 def corpus_bundle(spark, sf):
     c = english(spark, sf)
     path = _scratch(spark, "bundle")
