@@ -67,5 +67,7 @@ def kwic_in_documents(doc_tokens: DataFrame, node_word: str, search_type: str =
         post = F.array_join(F.slice(toks, (i + 2).cast("int"), reach), "")
         return F.struct(i.alias("token_idx"), strip_ws(pre).alias("pre"), surf(i).alias("node"), strip_ws(post).alias("post"))
 
-    return (doc_tokens.filter(probe).select("doc_id", F.explode(F.transform(hits, row)).alias("k"))
-                      .select("doc_id", "k.token_idx", "k.pre", "k.node", "k.post"))
+    off = F.col("_off") if "_off" in doc_tokens.columns else F.lit(0).cast("long")
+    return (doc_tokens.filter(probe).select("doc_id", off.alias("_o"), F.explode(F.transform(hits, row)).alias("k"))
+                      .select("doc_id", (F.col("_o") + F.col("k.token_idx")).alias("token_idx"),
+                              "k.pre", "k.node", "k.post"))

@@ -43,11 +43,17 @@ def _lookup(key: Column, d: dict[str, str]) -> Column:
     return F.when(key.isin(*sorted(d)), _map_literal(d)[key])
 
 
+def _offset(df: DataFrame) -> Column:
+    """Token offset of a document row: 0, or ``_off`` for segmented
+    documents (see ``sources.documents.with_segment_offsets``)."""
+    return F.col("_off") if "_off" in df.columns else F.lit(0).cast("long")
+
+
 def tokenize(docs: DataFrame) -> DataFrame:
     """(doc_id, text) -> (doc_id, token_idx, token); narrow, no shuffle."""
-    return docs.select(
-        "doc_id", F.posexplode(token_array("text")).alias("token_idx", "token")
-    ).withColumn("token_idx", F.col("token_idx").cast("long"))
+    return (docs.select("doc_id", _offset(docs).alias("_o"),
+                        F.posexplode(token_array("text")).alias("token_idx", "token"))
+                .select("doc_id", (F.col("_o") + F.col("token_idx")).cast("long").alias("token_idx"), "token"))
 
 
 def lexicon_frame(spark, lexicon: dict[str, str] | None = None) -> DataFrame:
@@ -159,8 +165,11 @@ def with_ds_units(df: DataFrame, tokens: str = "toks", out: str = "units",
 
 
 def document_units(docs: DataFrame, lexicon: dict[str, str] | None = None) -> DataFrame:
-    """(doc_id, toks, units): token strings and DS units per document row."""
-    return with_ds_units(docs.select("doc_id", token_array("text").alias("toks")), "toks", "units", lexicon)
+    """(doc_id, toks, units[, _off]): token strings and DS units per document
+    row (per segment row for segmented documents; phrases do not cross
+    segment rows)."""
+    extra = ["_off"] if "_off" in docs.columns else []
+    return with_ds_units(docs.select("doc_id", *extra, token_array("text").alias("toks")), "toks", "units", lexicon)
 
 
 def tokens_from_units(doc_units: DataFrame) -> DataFrame:
@@ -170,9 +179,10 @@ def tokens_from_units(doc_units: DataFrame) -> DataFrame:
         F.sequence(u["pos"], u["pos"] + u["n"] - 1), lambda j: F.struct(u["tag"].alias("t"), u["pos"].alias("i")))))
     zipped = F.zip_with("toks", per_token, lambda tok, d: F.struct(tok.alias("token"), d["t"].alias("ds_tag"),
                                                                    d["i"].alias("ds_id")))
-    return (doc_units.select("doc_id", F.posexplode(zipped).alias("token_idx", "x"))
-                     .select("doc_id", F.col("token_idx").cast("long").alias("token_idx"),
-                             "x.token", "x.ds_tag", "x.ds_id"))
+    o = F.col("_o")
+    return (doc_units.select("doc_id", _offset(doc_units).alias("_o"), F.posexplode(zipped).alias("token_idx", "x"))
+                     .select("doc_id", (o + F.col("token_idx")).cast("long").alias("token_idx"),
+                             "x.token", "x.ds_tag", (o + F.col("x.ds_id")).alias("ds_id")))
 
 
 def ds_units_from_documents(doc_units: DataFrame) -> DataFrame:
@@ -181,9 +191,10 @@ def ds_units_from_documents(doc_units: DataFrame) -> DataFrame:
     with_text = F.transform("units", lambda u: F.struct(
         u["pos"].alias("pos"), u["tag"].alias("Tag"),
         F.array_join(F.slice("toks", (u["pos"] + 1).cast("int"), u["n"]), "").alias("utext")))
-    return (doc_units.select("doc_id", F.explode(with_text).alias("u"))
-                     .select("doc_id", F.col("u.pos").alias("unit_id"), F.col("u.Tag").alias("Tag"),
-                             F.col("u.pos").alias("pos"), F.col("u.utext").alias("utext")))
+    o = F.col("_o")
+    return (doc_units.select("doc_id", _offset(doc_units).alias("_o"), F.explode(with_text).alias("u"))
+                     .select("doc_id", (o + F.col("u.pos")).alias("unit_id"), F.col("u.Tag").alias("Tag"),
+                             (o + F.col("u.pos")).alias("pos"), F.col("u.utext").alias("utext")))
 
 
 def tag_tokens(docs: DataFrame, pos_lexicon: dict[str, str] | None = None,

@@ -49,7 +49,8 @@ class Corpus:
     def doc_tokens(self) -> DataFrame:
         """(doc_id, toks): one row per document with its token array."""
         if self.doc_units is not None:
-            return self.doc_units.select("doc_id", "toks")
+            extra = ["_off"] if "_off" in self.doc_units.columns else []
+            return self.doc_units.select("doc_id", *extra, "toks")
         from ..operators.units import ordered_concat  # noqa: F401  (imported tables: regroup)
         return self.tokens.groupBy("doc_id").agg(
             F.transform(F.array_sort(F.collect_list(F.struct("token_idx", "token"))), lambda x: x["token"]).alias("toks"))

@@ -59,3 +59,21 @@ def documents_from_text_files(spark: SparkSession, path: str, fold_ascii: bool =
 
 def strip_text(df: DataFrame) -> DataFrame:
     return df.withColumn("text", strip_ws("text"))
+
+
+def with_segment_offsets(segments: DataFrame, segment: str = "segment") -> DataFrame:
+    """Documents stored as several rows ``(doc_id, <segment>, text)``: add
+    ``_off``, the number of tokens in the earlier segments of the document,
+    so token positions are global.  The offsets are a blocked prefix sum
+    over the per-segment token counts, so a document with very many segments
+    is spread over many tasks.  Ordered operators (n-grams, collocations,
+    document views) then run across segment edges on the token table;
+    phrase tagging and KWIC contexts stay inside a segment row."""
+    from ..functions.text import token_array
+    from ..operators.sequence import prefix_sum
+
+    counts = segments.select("doc_id", F.col(segment).cast("long").alias("_seg"),
+                             F.size(token_array("text")).cast("long").alias("_n"))
+    offsets = prefix_sum(counts, ["doc_id"], "_seg", F.col("_n"), "_off", inclusive=False).drop("_n")
+    return (segments.withColumn("_seg", F.col(segment).cast("long"))
+                    .join(offsets, ["doc_id", "_seg"]).drop("_seg"))

@@ -180,3 +180,22 @@ def test_invariance_to_input_row_order(spark, fixture_tokens):
         assert run(shuffled, 13) == base
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_segmented_documents_match_whole_documents(spark, corpus):
+    """Documents split into line rows give the same token positions, POS
+    tags and n-grams (n-grams run across segment edges)."""
+    from lexiflow.plans.corpus import Corpus
+    from lexiflow.sources.documents import with_segment_offsets
+
+    lines = corpus.docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("segment", "text"))
+    seg = Corpus.from_documents(with_segment_offsets(lines))
+    a = corpus.pos_tokens.select("doc_id", "token_idx", F.regexp_replace("token", r"\s+$", "").alias("s"), "pos_tag")
+    b = seg.pos_tokens.select("doc_id", "token_idx", F.regexp_replace("token", r"\s+$", "").alias("s"), "pos_tag")
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    t = seg.tokens.select("doc_id", "token_idx", F.regexp_replace("token", r"\s+$", "").alias("s"), "pos_tag")
+    assert t.exceptAll(b).count() == 0
+    n = corpus.analytic("pos").count()
+    ga = sorted(ngrams.ngrams(corpus.units("pos"), F.lit(n), F.lit(1), span=3, min_rf=None, dense=True).collect())
+    gb = sorted(ngrams.ngrams(seg.units("pos"), F.lit(n), F.lit(1), span=3, min_rf=None, dense=True).collect())
+    assert ga == gb
