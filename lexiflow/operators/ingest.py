@@ -66,15 +66,25 @@ def check_token_schema(df: DataFrame) -> bool:
     return got == want
 
 
-def load_token_parquet(spark: SparkSession, path: str) -> DataFrame:
+def load_token_parquet(spark: SparkSession, path: str, block: int = 1 << 16) -> DataFrame:
     """Read a pre-tagged token table and recover ``token_idx`` from the file
-    order: (file path, row index) ranks rows inside each document."""
+    order: rows of a document are ranked by (file path, row index).
+
+    The rank is a blocked ordinal: rows are numbered inside blocks of
+    (document, file, row_index div block) and the counts of earlier blocks
+    of the document are added from a small per-block table, so a document
+    spread over many rows never lands in one task."""
     df = spark.read.parquet(path)
     if not check_token_schema(df):
         raise ValueError(f"not a token table: {df.schema.simpleString()}")
     d = df.select("*", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.row_index").alias("_r"))
-    w = Window.partitionBy("doc_id").orderBy("_f", "_r")
-    return (d.withColumn("token_idx", F.row_number().over(w) - 1)
+    d = d.withColumn("_b", F.expr(f"_r div {int(block)}"))
+    d = d.withColumn("_in", F.row_number().over(Window.partitionBy("doc_id", "_f", "_b").orderBy("_r")) - 1)
+    totals = d.groupBy("doc_id", "_f", "_b").agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy("doc_id").orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("doc_id", "_f", "_b", F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_o"))
+    return (d.join(offsets, ["doc_id", "_f", "_b"])
+             .withColumn("token_idx", (F.col("_o") + F.col("_in")).cast("long"))
              .select("doc_id", "token_idx", "token", "pos_tag", "ds_tag", "pos_id", "ds_id"))
 
 

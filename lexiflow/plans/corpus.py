@@ -46,14 +46,24 @@ class Corpus:
             return self.units("ds")
         return analytic_units(self._for(kind), kind, single_token=(kind == "pos" and self.single_token_pos))
 
-    def doc_tokens(self) -> DataFrame:
-        """(doc_id, toks): one row per document with its token array."""
-        if self.doc_units is not None:
-            extra = ["_off"] if "_off" in self.doc_units.columns else []
-            return self.doc_units.select("doc_id", *extra, "toks")
-        from ..operators.units import ordered_concat  # noqa: F401  (imported tables: regroup)
-        return self.tokens.groupBy("doc_id").agg(
-            F.transform(F.array_sort(F.collect_list(F.struct("token_idx", "token"))), lambda x: x["token"]).alias("toks"))
+    def doc_tokens(self) -> DataFrame | None:
+        """(doc_id, toks[, _off]): one row per document (segment) with its
+        token array, when the corpus was built from documents."""
+        if self.doc_units is None:
+            return None
+        extra = ["_off"] if "_off" in self.doc_units.columns else []
+        return self.doc_units.select("doc_id", *extra, "toks")
+
+    def kwic(self, node_word: str, search_type: str = "fixed", ignore_case: bool = True, reach: int = 10) -> DataFrame:
+        """KWIC inside document rows when available; for an imported token
+        table, bounded frames over (doc, block) windows (no per-document
+        gathering)."""
+        from ..operators import kwic as kw
+
+        rows = self.doc_tokens()
+        if rows is not None:
+            return kw.kwic_in_documents(rows, node_word, search_type, ignore_case, reach)
+        return kw.kwic(self.tokens, node_word, search_type, ignore_case, reach)
 
     def ndocs(self):
         """Documents with at least one token.  From the raw documents a text

@@ -134,9 +134,9 @@ def kwic_sql(node: str, reach: int = 10, search: str = "fixed") -> str:
 
 @register("kwic", kwic_sql("of"))
 def kwic(spark, sf):
-    return KW.kwic_in_documents(english(spark, sf).doc_tokens(), "of", "fixed", True, 10)
+    return english(spark, sf).kwic("of", "fixed", True, 10)
 
 
 @register("kwic_ends_with", kwic_sql("ing", 5, "ends_with"))
 def kwic_ends_with(spark, sf):
-    return KW.kwic_in_documents(english(spark, sf).doc_tokens(), "ing", "ends_with", True, 5)
+    return english(spark, sf).kwic("ing", "ends_with", True, 5)

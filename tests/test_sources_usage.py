@@ -79,3 +79,14 @@ def test_rolling_quota_counts_previous_day(spark):
     got = {r.event_id: r.n_24h for r in usage.rolling_quota(df).collect()}
     # frames are inclusive: +24.5h still sees +0.5h (exactly 24 h earlier)
     assert got == {0: 1, 1: 2, 2: 3, 3: 4, 4: 4, 5: 2}
+
+
+def test_token_parquet_round_trip_small_blocks(spark, fixture_tokens):
+    """Blocked ordinal across several files and many blocks per document."""
+    d = os.path.join(_tmpdir(), "tok3")
+    (fixture_tokens.repartitionByRange(3, "doc_id", "token_idx").sortWithinPartitions("doc_id", "token_idx")
+        .select(*[f.name for f in ingest.TOKEN_SCHEMA.fields]).write.parquet(d))
+    back = ingest.load_token_parquet(spark, d, block=2)
+    a = sorted((r.doc_id, r.token_idx, r.token) for r in fixture_tokens.collect())
+    b = sorted((r.doc_id, r.token_idx, r.token) for r in back.collect())
+    assert a == b
