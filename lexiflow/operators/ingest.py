@@ -88,12 +88,14 @@ def load_token_parquet(spark: SparkSession, path: str, block: int = 1 << 16) ->
              .select("doc_id", "token_idx", "token", "pos_tag", "ds_tag", "pos_id", "ds_id"))
 
 
-def save_bundle(tables: dict[str, DataFrame], path: str) -> str:
+def save_bundle(tables: dict[str, DataFrame], path: str, skip: tuple[str, ...] = ()) -> str:
+    """Write all seven tables (``skip``: names already written there)."""
     missing = set(BUNDLE_TABLES) - set(tables)
     if missing:
         raise ValueError(f"bundle needs all of {BUNDLE_TABLES}; missing {sorted(missing)}")
     for name in BUNDLE_TABLES:
-        tables[name].write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}")
+        if name not in skip:
+            tables[name].write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}")
     return path
 
 

@@ -88,6 +88,20 @@ class Corpus:
         du = None if self.doc_units is None else self.doc_units.filter(condition)
         return Corpus(self.tokens.filter(condition), self.single_token_pos, pt, docs, du)
 
+    def save_bundle(self, path: str) -> str:
+        """Write the seven corpus tables.  The token table is written first
+        and the six derived tables are computed from the written copy, so
+        tokenizing and tagging run once (and the lineage is cut there)."""
+        from ..operators.ingest import save_bundle
+
+        base = path.rstrip("/")
+        (self.tokens.repartition(F.col("doc_id")).sortWithinPartitions("doc_id", "token_idx")
+             .write.mode("overwrite").parquet(f"{base}/ds_tokens"))
+        saved = Corpus(self.tokens.sparkSession.read.parquet(f"{base}/ds_tokens"), self.single_token_pos)
+        derived = {"ft_pos": saved.frequency("pos"), "ft_ds": saved.frequency("ds"), "tt_pos": saved.tags("pos"),
+                   "tt_ds": saved.tags("ds"), "dtm_pos": saved.dtm("pos"), "dtm_ds": saved.dtm("ds")}
+        return save_bundle({"ds_tokens": saved.tokens, **derived}, base, skip=("ds_tokens",))
+
     def persist_tokens(self, path: str | None = None) -> "Corpus":
         """Cut lineage: write the token table to the shared checkpoint folder
         (or ``path``) and read it back; survives executor loss, unlike a

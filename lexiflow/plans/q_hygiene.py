@@ -65,10 +65,7 @@ def load_token_parquet(spark, sf):
 
 @register("corpus_bundle", _bundle_sql())
 def corpus_bundle(spark, sf):
-    c = english(spark, sf)
-    path = _scratch(spark, "bundle")
-    IN.save_bundle({"ds_tokens": c.tokens, "ft_pos": c.frequency("pos"), "ft_ds": c.frequency("ds"),
-                    "tt_pos": c.tags("pos"), "tt_ds": c.tags("ds"), "dtm_pos": c.dtm("pos"), "dtm_ds": c.dtm("ds")}, path)
+    path = english(spark, sf).save_bundle(_scratch(spark, "bundle"))
     tables = IN.load_bundle(spark, path)
     parts = [df.select(F.lit(name).alias("table")) for name, df in tables.items()]
     out = parts[0]
