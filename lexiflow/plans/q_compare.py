@@ -153,3 +153,19 @@ SQL["compare_bar_data"] = _wrap(O_TAGS_POS, "SELECT Tag, round((RF + RF_Ref) / 2
                                             "UNION ALL SELECT Tag, round((RF + RF_Ref) / 2.0, 6), 'Reference', RF_Ref FROM k")
 SQL["tag_filter"] = _wrap(O_TAGS_DS, "SELECT * FROM k WHERE Tag NOT IN ('FU', 'Untagged')")
 _ = (F, first_segment)
+
+
+# the other three corpus-parts tables (the parts view builds all four)
+@register("keyness_parts_tokens_ds", keyness_sql("ds", False, tar=PART_TAR, ref=PART_REF))
+def keyness_parts_tokens_ds(spark, sf):
+    return keyness_parts_table(spark, sf, "ds", False)
+
+
+@register("keyness_parts_tags_pos", keyness_sql("pos", True, tar=PART_TAR, ref=PART_REF))
+def keyness_parts_tags_pos(spark, sf):
+    return keyness_parts_table(spark, sf, "pos", True)
+
+
+@register("keyness_parts_tags_ds", keyness_sql("ds", True, tar=PART_TAR, ref=PART_REF))
+def keyness_parts_tags_ds(spark, sf):
+    return keyness_parts_table(spark, sf, "ds", True)

@@ -140,3 +140,13 @@ def kwic(spark, sf):
 @register("kwic_ends_with", kwic_sql("ing", 5, "ends_with"))
 def kwic_ends_with(spark, sf):
     return english(spark, sf).kwic("ing", "ends_with", True, 5)
+
+
+@register("kwic_starts_with", kwic_sql("th", 3, "starts_with"))
+def kwic_starts_with(spark, sf):
+    return english(spark, sf).kwic("th", "starts_with", True, 3)
+
+
+@register("kwic_contains", kwic_sql("tion", 4, "contains"))
+def kwic_contains(spark, sf):
+    return english(spark, sf).kwic("tion", "contains", True, 4)
