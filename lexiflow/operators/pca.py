@@ -19,7 +19,7 @@ def fit_pca(wide: DataFrame, tags: Sequence[str], k: int | None = None):
 
     tags = list(tags)
     k = k or len(tags)
-    assembled = VectorAssembler(inputCols=[f"`{t}`" if False else t for t in tags], outputCol="_x").transform(wide)
+    assembled = VectorAssembler(inputCols=tags, outputCol="_x").transform(wide)
     model = PCA(k=k, inputCol="_x", outputCol="_pc").fit(assembled)
     loadings = model.pc.toArray()          # tags x k
     signs = []
@@ -36,8 +36,7 @@ def pca_scores(wide: DataFrame, tags: Sequence[str], k: int | None = None, group
 
     model, assembled, loadings, _ = fit_pca(wide, tags, k)
     k = loadings.shape[1]
-    arr = F.array(*[F.lit(0.0)])  # placeholder replaced below
-    x = vector_to_array(F.col("_x"))
+    x = vector_to_array(F.col("_x"))   # scores = x . loadings, as Column arithmetic
     comps = []
     for j in range(k):
         expr = None
@@ -46,7 +45,6 @@ def pca_scores(wide: DataFrame, tags: Sequence[str], k: int | None = None, group
             expr = term if expr is None else expr + term
         comps.append(expr.alias(f"PC{j + 1}"))
     cols = ["doc_id"] + (["Group"] if group and "Group" in wide.columns else [])
-    _ = arr
     return assembled.select(*cols, *comps)
 
 

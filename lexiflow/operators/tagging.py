@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lexicon import DS_LEXICON, POS_LEXICON
 from ..functions.tags import PUNCT_TAG, UNCLASSIFIED_TAG, UNTAGGED
-from ..functions.text import norm, surface, token_array
+from ..functions.text import surface, token_array
 
 TOKEN_COLUMNS = ["doc_id", "token_idx", "token", "pos_tag", "ds_tag", "pos_id", "ds_id"]
 

@@ -142,9 +142,6 @@ def corpus_readiness(spark, sf):
     return CH.corpus_readiness(t, r, c.docs)
 
 
-CATS = O.with_(ALL_EN, "")[:-1]
-
-
 @register("doc_categories", O.with_(ALL_EN, "SELECT doc_id, regexp_replace(doc_id, '_\\S+$', '') AS category FROM "
                                     "(SELECT DISTINCT doc_id FROM tok_docs WHERE regexp_matches(text, '\\S')) "
                                     "WHERE (SELECT bool_and(contains(doc_id, '_') AND length(regexp_replace(doc_id, '_\\S+$', '')) > 0) FROM tok_docs)"))
@@ -198,4 +195,4 @@ def split_corpus_counts(spark, sf):
     return M.split_corpus_counts(english(spark, sf).pos_tokens, ["src1"], ["src2"])
 
 
-_ = (category, CATS)
+_ = category

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import colloc as C
-from ..operators import kwic as KW
 from ..operators import ngrams as NG
 from . import oracle as O
 from .catalog import ALL_EN, english, register, rounded
