@@ -27,9 +27,10 @@ def quota_windows(stream: DataFrame, user: str = "user_id", ts: str = "ts", wate
 
 
 def run_quota_stream(spark: SparkSession, source_glob: str, is_user_message, out_path: str | None = None,
-                     user: str = "user_id", ts: str = "ts") -> DataFrame:
-    """Process everything available (``availableNow``) and return the final
-    table (window_start, window_end, user, n)."""
+                     user: str = "user_id", ts: str = "ts", max_files_per_trigger: int = 1000) -> DataFrame:
+    """Process everything available (``availableNow``, in micro-batches of at
+    most ``max_files_per_trigger`` files so the watermark advances between
+    batches) and return the final table (window_start, window_end, user, n)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     run = uuid.uuid4().hex
     out_path = out_path or f"{base}/lexiflow/quota-out-{run}"
@@ -37,7 +38,7 @@ def run_quota_stream(spark: SparkSession, source_glob: str, is_user_message, out
     schema = spark.read.parquet(source_glob).schema
     # the file source watches a directory or a glob, not a bare file name
     glob = source_glob if any(ch in source_glob for ch in "*?[{") else source_glob[:-1] + "[" + source_glob[-1] + "]"
-    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(glob)
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(glob)
     agg = quota_windows(src.filter(is_user_message), user, ts)
 
     def sink(batch: DataFrame, epoch: int) -> None:
