@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 # run of digits, or one other non-space character; trailing whitespace stays on
 # the token so that concatenating tokens rebuilds the text.
 TOKEN_PATTERN = r"(?:\p{L}+(?:['’]\p{L}+)*|\p{N}+|[^\s\p{L}\p{N}])\s*"
+# The word and number alternatives of the same pattern (tokens that are not
+# punctuation).
+WORD_OR_NUMBER_PATTERN = r"\p{L}+(?:['’]\p{L}+)*|\p{N}+"
 # A unit made only of ASCII punctuation and spaces (metadata filter for DS units).
 PUNCT_SPACE_PATTERN = r"^[\p{Punct} ]+\z"
 

@@ -73,6 +73,21 @@ class Corpus:
             return self.docs.filter(F.col("text").rlike(r"\S")).select(F.countDistinct("doc_id")).scalar()
         return fq.n_docs(self._for("pos"))
 
+    def analytic_count(self, kind: str = "pos"):
+        """Number of units that count (N of the frequency tables), as a
+        scalar subquery.  For POS units of a corpus tagged here, a token is
+        punctuation exactly when it is one non-letter, non-digit character
+        (the lexicon maps no word to Y), so N is the number of word / number
+        matches in the texts: a scan-side count with no explode or join."""
+        from ..functions.lexicon import POS_LEXICON
+        from ..functions.tags import PUNCT_TAG
+        from ..functions.text import WORD_OR_NUMBER_PATTERN, rstrip_ws
+
+        if kind == "pos" and self.docs is not None and PUNCT_TAG not in POS_LEXICON.values():
+            matches = F.regexp_extract_all(rstrip_ws("text"), F.lit(WORD_OR_NUMBER_PATTERN), 0)
+            return self.docs.select(F.coalesce(F.sum(F.size(matches)), F.lit(0)).cast("long")).scalar()
+        return self.analytic(kind).select(F.count(F.lit(1))).scalar()
+
     def frequency(self, kind: str = "pos") -> DataFrame:
         return fq.frequency_table(self.analytic(kind), self.ndocs())
 

@@ -42,7 +42,7 @@ def ngram_sql(kind: str, span: int, where: str = "", min_rf: float | None = 10.0
 def _ctx(spark, sf, kind):
     c = english(spark, sf)
     units = c.units(kind)
-    n_units = c.analytic(kind).select(F.count(F.lit(1))).scalar()
+    n_units = c.analytic_count(kind)
     return c, units, n_units, kind == "pos"
 
 

@@ -199,3 +199,9 @@ def test_segmented_documents_match_whole_documents(spark, corpus):
     ga = sorted(ngrams.ngrams(corpus.units("pos"), F.lit(n), F.lit(1), span=3, min_rf=None, dense=True).collect())
     gb = sorted(ngrams.ngrams(seg.units("pos"), F.lit(n), F.lit(1), span=3, min_rf=None, dense=True).collect())
     assert ga == gb
+
+
+def test_scan_side_unit_count(corpus):
+    """N from the texts equals the number of non-punctuation POS units."""
+    got = corpus.tokens.sparkSession.range(1).select(corpus.analytic_count("pos")).first()[0]
+    assert got == corpus.analytic("pos").count() > 0
