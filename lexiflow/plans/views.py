@@ -27,20 +27,21 @@ def register_views(corpus: Corpus, prefix: str = "") -> list[str]:
     return [prefix + n for n in tables]
 
 
-# Display names of the stored tables.
+# Display names of the stored tables (our wording for the
+# rhetorical tagset; the part-of-speech names follow the original).
 CORPUS_TABLES = {
-    "Tags Table: DocuScope": "tt_ds",
+    "Tags Table: Rhetorical Categories": "tt_ds",
     "Tags Table: Parts-of-Speech": "tt_pos",
     "Tags Table: Parts-of-Speech Simplified": "dtm_pos",
-    "Document-Term Matrix: DocuScope": "dtm_ds",
+    "Document-Term Matrix: Rhetorical Categories": "dtm_ds",
     "Document-Term Matrix: Parts-of-Speech": "dtm_pos",
     "Document-Term Matrix: Parts-of-Speech Simplified": "dtm_pos",
 }
 KEYNESS_TABLES = {
-    "Keywords: DocuScope": "kw_ds",
+    "Keywords: Rhetorical Categories": "kw_ds",
     "Keywords: Parts-of-Speech": "kw_pos",
     "Keywords: Parts-of-Speech Simplified": "kt_pos",   # resolves to the key-tags table, as in the original
-    "Keytags: DocuScope": "kt_ds",
+    "Keytags: Rhetorical Categories": "kt_ds",
     "Keytags Table: Parts-of-Speech": "kt_pos",
 }
 
