@@ -205,3 +205,14 @@ def test_scan_side_unit_count(corpus):
     """N from the texts equals the number of non-punctuation POS units."""
     got = corpus.tokens.sparkSession.range(1).select(corpus.analytic_count("pos")).first()[0]
     assert got == corpus.analytic("pos").count() > 0
+
+
+def test_kwic_paths_agree(corpus, monkeypatch):
+    """Document-row KWIC equals the blocked-window KWIC used for imported
+    token tables (forced into many blocks)."""
+    from lexiflow.operators import kwic
+
+    a = sorted(kwic.kwic_in_documents(corpus.doc_tokens(), "the", "fixed", True, 6).collect())
+    monkeypatch.setattr(sequence, "BLOCK", 9)
+    b = sorted(kwic.kwic(corpus.tokens, "the", "fixed", True, 6).collect())
+    assert a == b and len(a) > 0
