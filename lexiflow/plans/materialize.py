@@ -8,18 +8,41 @@ the session; the written table survives executor loss.
 
 from __future__ import annotations
 
+import atexit
+import os
 import uuid
 
 from pyspark.sql import DataFrame
 
 from ..session import ensure_checkpoint_dir
 
+_WRITTEN: list[tuple[object, str]] = []
+
+
+def _cleanup() -> None:
+    """Delete the intermediate tables of this driver when it exits (the
+    DataFrames that read them live only as long as the driver).  Set
+    LEXIFLOW_KEEP_INTERMEDIATE=1 to keep them."""
+    if os.environ.get("LEXIFLOW_KEEP_INTERMEDIATE"):
+        return
+    for spark, path in _WRITTEN:
+        try:
+            jvm = spark.sparkContext._jvm
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # noqa: BLE001 - best effort at shutdown
+            pass
+
+
+atexit.register(_cleanup)
+
 
 def materialize(df: DataFrame, name: str = "tmp") -> DataFrame:
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/lexiflow/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    _WRITTEN.append((spark, path))
     return spark.read.parquet(path)
 
 
