@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialize
 from .ngrams import ordered_units, validate_node_word
 from .sequence import with_context
 from .units import is_punct_unit
@@ -65,8 +66,6 @@ def association(freq_span: Column, freq_total: Column, f_node: Column, n: Column
 def coll_table(units: DataFrame, node_word: str, node_tag: str | None = None, preceding: int = 4,
                following: int = 4, statistic: str = "npmi", kind: str = "pos") -> DataFrame:
     """Token, Tag, freq_span, freq_total, mi -- collocates with freq_span > 0."""
-    from ..plans.materialize import materialize
-
     counts = materialize(span_counts(units, node_word, node_tag, preceding, following, kind), "coll-counts")
     n, f_node = counts.agg(F.sum("freq_total"), F.sum(F.when(F.col("_is_node") == 1, F.col("freq_total")))).first()
     if not f_node:

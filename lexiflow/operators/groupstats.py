@@ -149,6 +149,3 @@ def linear_trend(wide: DataFrame, x: str, y: str) -> DataFrame:
 def highlight_split(df: DataFrame, groups: Sequence[str] | None, group_col: str = "Group") -> DataFrame:
     flag = F.lit(True) if not groups else F.col(group_col).isin(list(groups))
     return df.withColumn("highlight", flag)
-
-
-_ = math

@@ -3,13 +3,12 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import strip_ws
+from ..storage import table_exists
 
 # Fixed values (ours): ASCII folding of Latin letters, then multi-letter
 # replacements; anything else outside ASCII is dropped.
@@ -101,17 +100,9 @@ def save_bundle(tables: dict[str, DataFrame], path: str, skip: tuple[str, ...] =
 
 def load_bundle(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Accepted only when all seven tables are present."""
-    present = {n for n in BUNDLE_TABLES if _exists(spark, f"{path.rstrip('/')}/{n}")}
+    present = {n for n in BUNDLE_TABLES if table_exists(spark, f"{path.rstrip('/')}/{n}")}
     if present != set(BUNDLE_TABLES):
         raise ValueError(f"incomplete bundle: missing {sorted(set(BUNDLE_TABLES) - present)}")
     return {n: spark.read.parquet(f"{path.rstrip('/')}/{n}") for n in BUNDLE_TABLES}
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.exists(p))
-
-
-_ = os

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import LL_CRITICAL, erfc, xlogx_ratio
 from ..functions.tags import UNCLASSIFIED_TAG, UNTAGGED
+from ..storage import materialize
 
 
 def side_counts(target: DataFrame, reference: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -89,11 +90,9 @@ def finish_keyness(counts: DataFrame, ndocs_t: Column, ndocs_r: Column, per: flo
                    threshold: float = 0.05, direction: str = "positive") -> DataFrame:
     """Write the (vocabulary-sized) side counts once, read N1, N2 and the
     document counts in one small job, and finish with literals."""
-    from ..plans.materialize import materialize, scalars
-
     counts = materialize(counts, "keyness-counts")
     n1, n2 = counts.agg(F.sum("AF"), F.sum("AF_Ref")).first()
-    d1, d2 = scalars(ndocs_t, ndocs_r)
+    d1, d2 = counts.sparkSession.range(1).select(ndocs_t.alias("t"), ndocs_r.alias("r")).first()
     lit = lambda v: F.lit(float(v or 0))
     return significance_filter(keyness_stats(counts, lit(n1), lit(n2), lit(d1), lit(d2), per), threshold, direction)
 

@@ -127,4 +127,3 @@ def ndocs_sql(tok: str = "tok") -> str:
 
 
 __all__ = [n for n in dir() if not n.startswith("__")]
-_ = (erfc_sql, simplify_tag_sql)

@@ -152,7 +152,6 @@ from .catalog import SQL  # noqa: E402
 SQL["compare_bar_data"] = _wrap(O_TAGS_POS, "SELECT Tag, round((RF + RF_Ref) / 2.0, 6) AS Mean, 'Target' AS Corpus, RF FROM k "
                                             "UNION ALL SELECT Tag, round((RF + RF_Ref) / 2.0, 6), 'Reference', RF_Ref FROM k")
 SQL["tag_filter"] = _wrap(O_TAGS_DS, "SELECT * FROM k WHERE Tag NOT IN ('FU', 'Untagged')")
-_ = (F, first_segment)
 
 
 # the other three corpus-parts tables (the parts view builds all four)

@@ -124,9 +124,6 @@ def corpus_summary(spark, sf):
     return meta.corpus_summary(english(spark, sf))
 
 
-_ = (F, simplify_tag)
-
-
 # --- SQL surface and table lookup (§2.13, §2.14) ---------------------------
 from ..functions.tags import simplify_tag_sql as _simp  # noqa: E402
 from .views import register_views, table_by_name  # noqa: E402

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions.tags import simplify_tag_sql
 from ..operators import docview as D
 from ..operators import freq as fq
-from ..session import ensure_checkpoint_dir
 from ..sinks import export as X
+from ..storage import scratch_path
 from . import oracle as O
 from .catalog import ALL_EN, english, register, rounded
 
@@ -108,13 +106,9 @@ def table_counts_sql(tables: dict[str, str], formats: list[str] | None = None) -
     return O.with_(ctes, " UNION ALL ".join(parts))
 
 
-def _scratch(spark, name):
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/lexiflow/{name}-{uuid.uuid4().hex}"
-
-
 @register("export_tokens", O.with_(ALL_EN, "SELECT * FROM tok"))
 def export_tokens(spark, sf):
-    path = X.export_tokens(english(spark, sf).tokens, _scratch(spark, "export-tokens"))
+    path = X.export_tokens(english(spark, sf).tokens, scratch_path(spark, "export-tokens"))
     return spark.read.parquet(path)
 
 
@@ -124,7 +118,7 @@ def export_all_tables(spark, sf):
     c = english(spark, sf)
     tables = {"ft_pos": c.frequency("pos"), "ft_ds": c.frequency("ds"), "tt_pos": c.tags("pos"),
               "tt_ds": c.tags("ds"), "dtm_pos": c.dtm("pos"), "dtm_ds": c.dtm("ds")}
-    base = _scratch(spark, "export-tables")
+    base = scratch_path(spark, "export-tables")
     pq = X.export_tables(tables, base + "/parquet", "parquet")
     csv = X.export_tables(tables, base + "/csv", "csv")
     parts = [spark.read.parquet(p).select(F.lit(n).alias("table"), F.lit("parquet").alias("format")) for n, p in pq.items()]
@@ -137,8 +131,6 @@ def export_all_tables(spark, sf):
 
 @register("write_tagged_text", "WITH t AS (" + tagged_sql("pos") + ") SELECT file_name || chr(9) || text AS value FROM t")
 def write_tagged_text(spark, sf):
-    path = X.write_tagged_text(D.tagged_text(english(spark, sf).units("pos"), "pos"), _scratch(spark, "tagged"))
+    path = X.write_tagged_text(D.tagged_text(english(spark, sf).units("pos"), "pos"), scratch_path(spark, "tagged"))
     return spark.read.text(path)
 
-
-_ = fq

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from ..functions.text import category
 from ..operators import checks as CH
 from ..operators import ingest as IN
 from ..operators import langid as LI
 from ..operators import meta as M
-from ..session import ensure_checkpoint_dir
 from ..sources.documents import read_table
+from ..storage import materialize, scratch_path
 from . import oracle as O
 from .catalog import ALL_EN, english, register, rounded
 
@@ -51,13 +48,9 @@ def _bundle_sql() -> str:
                              "tt_ds": "tt_ds", "dtm_pos": "dtm_pos", "dtm_ds": "dtm_ds"})
 
 
-def _scratch(spark, name):
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/lexiflow/{name}-{uuid.uuid4().hex}"
-
-
 @register("load_token_parquet", O.with_(ALL_EN, "SELECT doc_id, token_idx, token, pos_tag, ds_tag, pos_id, ds_id FROM tok"))
 def load_token_parquet(spark, sf):
-    path = _scratch(spark, "tokens6")
+    path = scratch_path(spark, "tokens6")
     (english(spark, sf).tokens.repartition("doc_id").sortWithinPartitions("doc_id", "token_idx")
         .select(*[f.name for f in IN.TOKEN_SCHEMA.fields]).write.parquet(path))
     return IN.load_token_parquet(spark, path)
@@ -65,7 +58,7 @@ def load_token_parquet(spark, sf):
 
 @register("corpus_bundle", _bundle_sql())
 def corpus_bundle(spark, sf):
-    path = english(spark, sf).save_bundle(_scratch(spark, "bundle"))
+    path = english(spark, sf).save_bundle(scratch_path(spark, "bundle"))
     tables = IN.load_bundle(spark, path)
     parts = [df.select(F.lit(name).alias("table")) for name, df in tables.items()]
     out = parts[0]
@@ -103,8 +96,6 @@ def corpus_size(spark, sf):
 def _profiles(spark, sf):
     """Trigram profiles (languages x trigram alphabet: small) written once;
     scoring reads them several times."""
-    from .materialize import materialize
-
     return materialize(LI.train_profiles(read_table(spark, sf, "documents").select("lang", "text")), "lang-profiles")
 
 
@@ -194,5 +185,3 @@ def subset_by_category(spark, sf):
 def split_corpus_counts(spark, sf):
     return M.split_corpus_counts(english(spark, sf).pos_tokens, ["src1"], ["src2"])
 
-
-_ = category

@@ -11,7 +11,7 @@ from ..operators import freq as fq
 from ..operators import groupstats as G
 from ..operators import pca as P
 from . import oracle as O
-from .materialize import materialize
+from ..storage import materialize
 from .catalog import ALL_EN, english, register, rounded
 
 SIMPLE_TAGS = sorted({lab for _, lab in SIMPLE_TAG_RULES} | {"Other"})

@@ -81,6 +81,3 @@ def table_by_name(corpus: Corpus, name: str, scope: str = "Target", reference: C
         return K.keyness_table(corpus.analytic(kind), reference.analytic(kind), corpus.ndocs(), reference.ndocs(),
                                tags_only=key.startswith("kt_"), threshold=threshold)
     return None
-
-
-_ = F

@@ -34,8 +34,9 @@ def get_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names in
-    ``spark.checkpoint.dir``; only when it is unset (tests, laptops) pick a
-    scratch folder of our own."""
+    ``spark.checkpoint.dir``.  Where it is unset, a ``local[...]`` session gets
+    a scratch folder of its own; on a cluster that would be a different disk on
+    each machine, so it is an error."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     try:
         sc = spark.sparkContext
@@ -47,7 +48,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     if not configured:
-        configured = tempfile.mkdtemp(prefix="lexiflow-ckpt-")   # tests / laptops only
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        configured = tempfile.mkdtemp(prefix="lexiflow-ckpt-")   # one JVM: tests, laptops
         spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()

@@ -11,12 +11,10 @@ under the session's ``spark.checkpoint.dir`` so a restarted query resumes.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..storage import scratch_path
 
 
 def quota_windows(stream: DataFrame, user: str = "user_id", ts: str = "ts", watermark: str = "1 hour") -> DataFrame:
@@ -31,10 +29,8 @@ def run_quota_stream(spark: SparkSession, source_glob: str, is_user_message, out
     """Process everything available (``availableNow``, in micro-batches of at
     most ``max_files_per_trigger`` files so the watermark advances between
     batches) and return the final table (window_start, window_end, user, n)."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    run = uuid.uuid4().hex
-    out_path = out_path or f"{base}/lexiflow/quota-out-{run}"
-    ckpt = f"{base}/lexiflow/quota-ckpt-{run}"
+    out_path = out_path or scratch_path(spark, "quota-out")
+    ckpt = scratch_path(spark, "quota-ckpt")
     schema = spark.read.parquet(source_glob).schema
     # the file source watches a directory or a glob, not a bare file name
     glob = source_glob if any(ch in source_glob for ch in "*?[{") else source_glob[:-1] + "[" + source_glob[-1] + "]"
