@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.documents import read_table
-from . import packing, sharding, urls
+from . import packing, quality, samples, sharding, toxicity, urls
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -47,3 +47,15 @@ def op5_url_filter(spark, sf):
 @_query
 def op7_packing(spark, sf):
     return packing.pack(read_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@_query
+def op10_toxicity(spark, sf):
+    return toxicity.toxicity(read_table(spark, sf, "documents"), read_table(spark, sf, "labels"))
+
+
+@_query
+def op6_quality(spark, sf):
+    docs = read_table(spark, sf, "documents")
+    return quality.judge(docs, read_table(spark, sf, "labels")).drop("text", "n_chars").withColumn(
+        "held_out", ~samples.in_fit_fold())
