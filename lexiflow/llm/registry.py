@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.documents import read_table
-from . import packing, quality, samples, sharding, toxicity, urls
+from . import jaccard, packing, quality, samples, sharding, toxicity, urls
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -59,3 +59,8 @@ def op6_quality(spark, sf):
     docs = read_table(spark, sf, "documents")
     return quality.judge(docs, read_table(spark, sf, "labels")).drop("text", "n_chars").withColumn(
         "held_out", ~samples.in_fit_fold())
+
+
+@_query
+def op4_ngram_jaccard(spark, sf):
+    return jaccard.jaccard_join(read_table(spark, sf, "documents"))
