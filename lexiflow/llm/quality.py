@@ -25,8 +25,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..storage import materialize
+from .rows import with_columns
 from .samples import ROWS_PER_CLASS, labelled_sample
 from .words import runs, word_hashes
 
@@ -131,13 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS_PER_CLASS, id_col:
 
 def with_evidence(docs: DataFrame, evidence: Evidence, text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` and ``_evidence``, the log-odds of low quality."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            b["_evidence"] = evidence(list(b[text_col]))
-            yield b
-
-    docs = docs.drop("_evidence")
-    return docs.mapInPandas(run, docs.schema.simpleString()[len("struct<"):-1] + ",_evidence:double")
+    return with_columns(docs, [text_col], lambda texts: [evidence(texts).tolist()], [("_evidence", T.DoubleType())])
 
 
 def _logit(p):

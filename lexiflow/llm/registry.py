@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.documents import read_table
-from . import jaccard, packing, quality, samples, sharding, toxicity, urls
+from . import jaccard, packing, quality, samples, sharding, substrings, toxicity, urls
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -64,3 +65,13 @@ def op6_quality(spark, sf):
 @_query
 def op4_ngram_jaccard(spark, sf):
     return jaccard.jaccard_join(read_table(spark, sf, "documents"))
+
+
+@_query
+def op8_substring_dedup(spark, sf):
+    return substrings.digest(read_table(spark, sf, "documents"))
+
+
+@_query
+def pipeline(spark, sf):
+    return corpus_pipeline.run(spark, sf)

@@ -21,14 +21,16 @@ import math
 import re
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..storage import materialize
+from .rows import with_columns
 from .samples import ROWS_PER_CLASS, in_fit_fold, labelled_sample, without_copies
 
 #: Characters of the model: code points below this that are lower-case letters; all others are one class.
@@ -218,7 +220,9 @@ class Scorer:
         self.model, self.odds, self.prior = model, odds, prior
 
     def start(self) -> "Scorer":
-        self.reader, self.kept = Reader(self.model), {}
+        """Once per Python worker: what it remembers stays with it."""
+        if not hasattr(self, "kept"):
+            self.reader, self.kept = Reader(self.model), {}
         return self
 
     def evidence(self, word: str) -> tuple[float, str]:
@@ -284,16 +288,13 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS_PER_CLASS, id_col:
 def with_score(docs: DataFrame, scorer: Scorer, text_col: str = "text", name: str = "score") -> DataFrame:
     """All columns of ``docs`` and the score (0 to 1; null and empty texts get
     the prior).  A column called ``name`` is replaced."""
-    docs = docs.drop(name)
     sent = docs.sparkSession.sparkContext.broadcast(scorer)
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def compute(texts: list) -> list:
         s = sent.value.start()
-        for b in batches:
-            b[name] = [s.score(t) for t in b[text_col]]
-            yield b
+        return [[s.score(t) for t in texts]]
 
-    return docs.mapInPandas(run, docs.schema.simpleString()[len("struct<"):-1] + f",{name}:double")
+    return with_columns(docs, [text_col], compute, [(name, T.DoubleType())])
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, rows: int = ROWS_PER_CLASS, id_col: str = "doc_id",
