@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.documents import read_table
-from . import jaccard, packing, quality, samples, sharding, substrings, toxicity, urls
+from . import jaccard, neighbours, packing, pieces, quality, samples, sharding, substrings, toxicity, urls, vector_dedup
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -75,3 +75,18 @@ def op8_substring_dedup(spark, sf):
 @_query
 def pipeline(spark, sf):
     return corpus_pipeline.run(spark, sf)
+
+
+@_query
+def op1_vector_dedup(spark, sf):
+    return vector_dedup.near_duplicates(read_table(spark, sf, "embeddings"))
+
+
+@_query
+def op2_sentencepiece(spark, sf):
+    return pieces.round_trip(read_table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@_query
+def op9_neighbours(spark, sf):
+    return neighbours.search(read_table(spark, sf, "embeddings"))
