@@ -27,6 +27,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import materialize
+
 MIN_PAGES = 8
 Z2 = 1.96 * 1.96
 PURITY = 0.75
@@ -130,4 +132,5 @@ def _generalise(tree: DataFrame, node: list[str], value: str, name: str) -> Data
     became = (F.when(F.col(value).isNull(), F.lit(None).cast("string"))
                .when(F.col("cl") == 0, F.lit("*"))
                .when((F.col("cn") < MIN_PAGES) | similar, F.lit("~")).otherwise(F.col(value)))
-    return _join(tree, both.select(*node, value, became.alias(name)), [*node, value])
+    # written, so that the plan of one level does not repeat those before it
+    return materialize(_join(tree, both.select(*node, value, became.alias(name)), [*node, value]), "url-tree")
