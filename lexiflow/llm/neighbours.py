@@ -28,15 +28,15 @@ from ..storage import materialize
 from .vectors import stacked, usable
 
 #: Vectors that the index is fitted on, parts, neighbours of the graph, share of true neighbours aimed at.
-SAMPLE, PARTS, DEGREE, TARGET = 8192, 16, 10, 0.97
+SAMPLE, PARTS, DEGREE, TARGET = 6000, 16, 10, 0.97
 #: Rows of a chunk, queries that meet a chunk in one task, queries multiplied at once.
 CHUNK, QUERIES, AT_ONCE = 8192, 4096, 256
 
 
 def _nearest(q: np.ndarray, x: np.ndarray, k: int, same: bool) -> np.ndarray:
     out = []
-    for at in range(0, len(q), 512):
-        s = q[at:at + 512] @ x.T
+    for at in range(0, len(q), 256):
+        s = q[at:at + 256] @ x.T
         if same:
             s[np.arange(len(s)), at + np.arange(len(s))] = -np.inf
         out.append(np.argpartition(-s, k - 1, axis=1)[:, :k])
@@ -187,7 +187,10 @@ def search(table: DataFrame, every: int = 20, k: int = 20, parts: int = PARTS, s
     spark = table.sparkSession
     t = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     t = t.filter(usable(F.col("v")) & F.col("vec_id").isNotNull())
-    chosen = t.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()
+    # by hash; a first cut at twice the sample keeps what tasks send to the driver bounded as well
+    place = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30))
+    limit = min(1 << 30, math.ceil(2 * sample / max(1, t.count()) * (1 << 30)))
+    chosen = t.filter(place < limit).orderBy(place, "vec_id").limit(sample).toPandas()
     routers = {dim: fit_router(stacked(same["v"].to_numpy()), parts, k) for dim, same in chosen.groupby(chosen["v"].map(len))}
     sent = spark.sparkContext.broadcast(routers)
     index = materialize(t.mapInPandas(lambda b: _route(b, sent, every),
