@@ -34,6 +34,8 @@ from .words import mix, runs, shingle_set, word_hashes
 
 #: Hashed counts that order the shingles.
 CELLS = 1 << 20
+#: Ids of at most this number are broadcast; beyond it Spark joins by a shuffle.
+BROADCAST_IDS = 1_000_000
 _CELL_SHIFT = np.uint64(64 - 20)
 
 
@@ -130,11 +132,16 @@ def _may_reach(n: Column, rest: Column, m: Column, other_rest: Column, share: in
     return (F.least(n, m) * 100 >= F.greatest(n, m) * share) & (F.least(rest, other_rest) >= need)
 
 
+def _small(ids: DataFrame) -> DataFrame:
+    """Broadcast while there are few, so that texts need not be shuffled."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def _linked(pairs: DataFrame, texts: DataFrame, width: int, share: int) -> DataFrame:
     """The pairs (a, b) whose whole sets agree to ``share`` %.  The sets are
     made from the texts of the documents in a pair only."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    wanted = texts.join(ids, texts["doc_id"] == ids["id"]).select("id", "text")
+    ids = materialize(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "pair-ids")
+    wanted = texts.join(_small(ids), texts["doc_id"] == F.col("id")).select("id", "text")
     sets = materialize(wanted.mapInPandas(lambda b: _whole_sets(b, width), "id long, s binary").dropDuplicates(["id"]), "shingle-sets")
     a = sets.select(F.col("id").alias("a"), F.col("s").alias("sa"))
     b = sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
@@ -162,17 +169,20 @@ def jaccard_join(docs: DataFrame, share: int = 85, width: int = 4, id_col: str =
     classes = known.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("class_id"))
     firsts = materialize(classes, "shingle-classes")
 
-    cells = materialize(
-        known.join(firsts.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-             .select(F.col("doc_id").alias("id"), "n", F.posexplode("head").alias("i", "t"))
-             .select("t", "id", "n", (F.col("n") - F.col("i")).alias("rest")), "shingle-cells")
-    shared = cells.groupBy("t").agg(F.min(F.struct("id", "n", "rest")).alias("first"), F.max("id").alias("last")).filter(
-        "first.id <> last").select("t", "first")
-    cells = materialize(cells.join(shared, "t"), "shared-cells")        # shingles of one class only are gone
+    # copies stay out of the search; a repeated id repeats its cells, which changes no result
+    copies = materialize(known.select("doc_id").join(
+        firsts.select(F.col("class_id").alias("doc_id")), "doc_id", "left_anti").distinct(), "shingle-copies")
+    every = (known.select("doc_id", "n", "head").join(_small(copies), "doc_id", "left_anti")
+                  .select(F.col("doc_id").alias("id"), "n", F.posexplode("head").alias("i", "t"))
+                  .select("t", "id", "n", (F.col("n") - F.col("i")).alias("rest")))
+    shared = every.groupBy("t").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first <> last")
+    cells = materialize(every.join(shared.select("t", "first"), "t"), "shared-cells")     # shingles of one class only are gone
 
+    heads_of = cells.filter("id = first").select("t", F.col("n").alias("fn"), F.col("rest").alias("frest")).distinct()
     tried = materialize(
-        cells.filter("id <> first.id").filter(_may_reach(F.col("n"), F.col("rest"), F.col("first.n"), F.col("first.rest"), share))
-             .select(F.col("first.id").alias("a"), F.col("id").alias("b")).distinct(), "first-pairs")
+        cells.filter("id <> first").join(heads_of, "t")
+             .filter(_may_reach(F.col("n"), F.col("rest"), F.col("fn"), F.col("frest"), share))
+             .select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), "first-pairs")
     links = _linked(tried, texts, width, share)
     groups = components(links)
 
