@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -18,6 +19,24 @@ import numpy as np
 #: Chunks kept by a Python worker.
 KEPT = 400_000
 _ODD_SPACE = re.compile(r"\s ")
+#: Chunks of these characters only: there the two libraries' character classes cannot differ.
+_LATIN = re.compile(r"[\x20-\x7e\n\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]*").fullmatch
+
+
+def _chunk_encoder(tokenizer):
+    """The same vocabulary in the library that is quick for short texts: a
+    byte-level BPE gives its merges as ids in their order, and writes each byte
+    as a printable character."""
+    import public_tokenizers
+    import tiktoken
+
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    shift = [b for b in range(256) if b not in plain]
+    byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(shift)}
+    ranks = {bytes(byte[c] for c in t): i for t, i in tokenizer.get_vocab(with_added_tokens=False).items() if all(c in byte for c in t)}
+    special = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
+    ranks = {t: i for t, i in ranks.items() if t.decode("utf-8", "replace") not in special}
+    return tiktoken.Encoding("chunks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 _WORKERS: dict[str, "ByteBpe"] = {}
 
 
@@ -30,6 +49,7 @@ class ByteBpe:
             self = super().__new__(cls)
             self.tokenizer = Tokenizer.from_file(path)
             self.tokenizer.encode_special_tokens = True     # their strings in a text are ordinary text
+            self.chunks = _chunk_encoder(self.tokenizer)
             self.kept: dict[str, np.ndarray] = {}
             _WORKERS[path] = self
         return _WORKERS[path]
@@ -39,8 +59,9 @@ class ByteBpe:
         if len(self.kept) + len(chunks) > KEPT:
             self.kept.clear()
             chunks = list(wanted)
-        for c, e in zip(chunks, self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False), strict=True):
-            self.kept[c] = np.array(e.ids, "<u4").tobytes()
+        for c in chunks:
+            ids = self.chunks(c) if _LATIN(c) else self.tokenizer.encode(c, add_special_tokens=False).ids
+            self.kept[c] = array("I", ids).tobytes()
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
         """Ids of each text (null: none)."""
