@@ -105,9 +105,23 @@ def _heads(batches: Iterator[pd.DataFrame], levels, width: int, share: int) -> I
             u = s.view(np.uint64)
             order = mix(u)
             h = np.lexsort((order, level[_cells(s)]))[:n - _needed(n, share) + 1] if n else []
-            out.append((n, int(u.sum(dtype=np.uint64).astype(np.int64)), int(order.sum(dtype=np.uint64).astype(np.int64)), s[h]))
+            spread = np.bincount((order >> np.uint64(58)).astype(np.int64), minlength=64).astype("<i4").tobytes()
+            out.append((n, int(u.sum(dtype=np.uint64).astype(np.int64)), int(order.sum(dtype=np.uint64).astype(np.int64)), s[h], spread))
         yield pd.DataFrame({"doc_id": b["doc_id"], "n": [x[0] for x in out], "s1": [x[1] for x in out],
-                            "s2": [x[2] for x in out], "head": [x[3] for x in out]})
+                            "s2": [x[2] for x in out], "head": [x[3] for x in out],
+                            "spread": [x[4] for x in out]})
+
+
+def _bounded(batches: Iterator[pd.DataFrame], share: int) -> Iterator[pd.DataFrame]:
+    """Pairs whose counts of shingles in 64 classes allow the overlap: no class
+    holds more common shingles than the smaller count."""
+    for b in batches:
+        keep = []
+        for x, y in zip(b["pa"], b["pb"], strict=True):
+            x, y = np.frombuffer(x, "<i4").astype(np.int64), np.frombuffer(y, "<i4").astype(np.int64)
+            both = int(np.minimum(x, y).sum())
+            keep.append(100 * both >= share * (int(x.sum() + y.sum()) - both))
+        yield b.loc[keep, ["a", "b"]]
 
 
 def _whole_sets(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
@@ -137,12 +151,19 @@ def _small(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, width: int, share: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets agree to ``share`` %.  The sets are
-    made from the texts of the documents in a pair only."""
+def _linked(pairs: DataFrame, texts: DataFrame, heads: DataFrame, repeated: bool, width: int, share: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets agree to ``share`` %.  Pairs that a
+    rigorous bound on 64 counts rules out go first; sets are made from the texts
+    of the documents in a remaining pair only."""
+    spread = heads.filter("n > 0").select("doc_id", "spread")
+    spread = spread.dropDuplicates(["doc_id"]) if repeated else spread
+    pairs = materialize(
+        pairs.select("a", "b").join(spread.toDF("a", "pa"), "a").join(spread.toDF("b", "pb"), "b")
+             .mapInPandas(lambda x: _bounded(x, share), "a long, b long"), "bounded-pairs")
     ids = materialize(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "pair-ids")
     wanted = texts.join(_small(ids), texts["doc_id"] == F.col("id")).select("id", "text")
-    sets = materialize(wanted.mapInPandas(lambda b: _whole_sets(b, width), "id long, s binary").dropDuplicates(["id"]), "shingle-sets")
+    sets = wanted.mapInPandas(lambda b: _whole_sets(b, width), "id long, s binary")
+    sets = materialize(sets.dropDuplicates(["id"]) if repeated else sets, "shingle-sets")
     a = sets.select(F.col("id").alias("a"), F.col("s").alias("sa"))
     b = sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
     return materialize(pairs.select("a", "b").join(a, "a").join(b, "b").mapInPandas(
@@ -164,8 +185,9 @@ def jaccard_join(docs: DataFrame, share: int = 85, width: int = 4, id_col: str =
     spark = docs.sparkSession
     levels = spark.sparkContext.broadcast(shingle_counts(texts.select("text"), width))
     heads = materialize(texts.mapInPandas(lambda b: _heads(b, levels, width, share),
-                                          "doc_id long, n long, s1 long, s2 long, head array<long>"), "shingle-heads")
+                                          "doc_id long, n long, s1 long, s2 long, head array<long>, spread binary"), "shingle-heads")
     known = heads.filter("n > 0 AND doc_id IS NOT NULL")
+    repeated = not known.groupBy("doc_id").count().filter("count > 1").isEmpty()
     classes = known.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("class_id"))
     firsts = materialize(classes, "shingle-classes")
 
@@ -183,7 +205,7 @@ def jaccard_join(docs: DataFrame, share: int = 85, width: int = 4, id_col: str =
         cells.filter("id <> first").join(heads_of, "t")
              .filter(_may_reach(F.col("n"), F.col("rest"), F.col("fn"), F.col("frest"), share))
              .select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), "first-pairs")
-    links = _linked(tried, texts, width, share)
+    links = _linked(tried, texts, heads, repeated, width, share)
     groups = components(links)
 
     cells = materialize(cells.select("t", "id", "n", "rest").join(groups, "id", "left")
@@ -203,7 +225,7 @@ def jaccard_join(docs: DataFrame, share: int = 85, width: int = 4, id_col: str =
                      .filter(_may_reach(F.col("n"), F.col("rest"), F.col("bn"), F.col("brest"), share))
                      .select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
                      .join(tried, ["a", "b"], "left_anti"))
-    more = _linked(materialize(opened, "open-pairs"), texts, width, share)
+    more = _linked(materialize(opened, "open-pairs"), texts, heads, repeated, width, share)
     joined = components(links.unionByName(more))
 
     named = firsts.join(joined.withColumnRenamed("id", "class_id"), "class_id", "left").select(
