@@ -29,7 +29,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score of 0.5 or more go."""
     scorer = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
-    return toxicity.with_score(docs, scorer, name="_toxic").filter(F.col("_toxic") < 0.5).select(*docs.columns)
+    return toxicity.with_score(docs, scorer, name="__llm_toxic").filter(F.col("__llm_toxic") < 0.5).select(*docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

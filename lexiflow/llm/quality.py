@@ -132,8 +132,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS_PER_CLASS, id_col:
 
 
 def with_evidence(docs: DataFrame, evidence: Evidence, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` and ``_evidence``, the log-odds of low quality."""
-    return with_columns(docs, [text_col], lambda texts: [evidence(texts).tolist()], [("_evidence", T.DoubleType())])
+    """All columns of ``docs`` and ``__llm_evidence``, the log-odds of low quality."""
+    return with_columns(docs, [text_col], lambda texts: [evidence(texts).tolist()], [("__llm_evidence", T.DoubleType())])
 
 
 def _logit(p):
@@ -143,10 +143,10 @@ def _logit(p):
 def path_posteriors(scored: DataFrame, prior: float, site: str = "source", path: str = "lang") -> DataFrame:
     """(site, path, path_posterior, site_posterior): shares of low quality,
     shrunk from path to site to the global mean."""
-    p = 1 / (1 + F.exp(-(F.col("_evidence") + F.lit(prior))))
-    paths = materialize(scored.groupBy(F.col(site).alias("_site"), F.col(path).alias("_path"))
+    p = 1 / (1 + F.exp(-(F.col("__llm_evidence") + F.lit(prior))))
+    paths = materialize(scored.groupBy(F.col(site).alias("__llm_site"), F.col(path).alias("__llm_path"))
                               .agg(F.count(F.lit(1)).alias("n"), F.sum(p).alias("bad")), "quality-paths")
-    sites = paths.groupBy("_site").agg(F.sum("n").alias("sn"), F.sum("bad").alias("sbad"))
+    sites = paths.groupBy("__llm_site").agg(F.sum("n").alias("sn"), F.sum("bad").alias("sbad"))
 
     def weight(t: DataFrame, n: str, bad: str) -> tuple[float, float]:
         """Global share, and the documents that the prior is worth."""
@@ -161,8 +161,8 @@ def path_posteriors(scored: DataFrame, prior: float, site: str = "source", path:
     mean, site_weight = weight(sites, "sn", "sbad")
     _, path_weight = weight(paths, "n", "bad")
     sites = sites.withColumn("site_posterior", (F.col("sbad") + site_weight * mean) / (F.col("sn") + site_weight))
-    return (paths.join(sites.withColumnRenamed("_site", "_s"), F.col("_site").eqNullSafe(F.col("_s")))
-                 .select("_site", "_path", "site_posterior",
+    return (paths.join(sites.withColumnRenamed("__llm_site", "_s"), F.col("__llm_site").eqNullSafe(F.col("_s")))
+                 .select("__llm_site", "__llm_path", "site_posterior",
                          ((F.col("bad") + path_weight * F.col("site_posterior")) / (F.col("n") + path_weight))
                          .alias("path_posterior")))
 
@@ -175,14 +175,14 @@ def judge(docs: DataFrame, labels: DataFrame, rows: int = ROWS_PER_CLASS, id_col
     paths are groups of their own; repeated rows are judged alike; an empty
     table gives an empty result."""
     made = ["low_quality", "site_posterior", "path_posterior", "rejected"]
-    docs = docs.drop(*made, "_evidence", "_site", "_path")
+    docs = docs.drop(*made)
     evidence = fit(docs, labels, rows, id_col, text_col)
     posteriors = materialize(path_posteriors(
         with_evidence(docs.select(site, path, text_col), evidence, text_col), evidence.prior, site, path), "quality-posteriors")
     if posteriors.count() <= BROADCAST_ROWS:
         posteriors = F.broadcast(posteriors)
     out = with_evidence(docs, evidence, text_col).join(
-        posteriors, F.col(site).eqNullSafe(F.col("_site")) & F.col(path).eqNullSafe(F.col("_path")), "left")
-    x = F.col("_evidence") + _logit(F.least(F.greatest(F.col("path_posterior"), F.lit(1e-6)), F.lit(1 - 1e-6)))
+        posteriors, F.col(site).eqNullSafe(F.col("__llm_site")) & F.col(path).eqNullSafe(F.col("__llm_path")), "left")
+    x = F.col("__llm_evidence") + _logit(F.least(F.greatest(F.col("path_posterior"), F.lit(1e-6)), F.lit(1 - 1e-6)))
     p = 1 / (1 + F.exp(-x))
     return out.select(*docs.columns, p.alias("low_quality"), "site_posterior", "path_posterior", (p >= 0.5).alias("rejected"))

@@ -160,13 +160,12 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
     found = Repeats(docs, length, id_col, text_col)
     copies = found.read.filter("first < doc_id").select("doc_id", F.array(F.lit(-1)).alias("starts")).distinct()
     todo = materialize(found.starts.unionByName(copies).select(
-        F.col("doc_id").alias("_id"), F.col("starts").alias("_starts")), "substring-todo")
+        F.col("doc_id").alias("__llm_id"), F.col("starts").alias("__llm_starts")), "substring-todo")
 
     def cut(texts: list, starts: list) -> list:
         return [[t if s is None or t is None else "" if s == [-1] else
                  _without(t.encode("utf-8"), np.asarray(s, np.int64), length)[0].decode("utf-8")
                  for t, s in zip(texts, starts, strict=True)]]
 
-    clean = docs.drop("_id", "_starts")
-    joined = clean.join(todo, clean[id_col] == todo["_id"], "left").drop("_id")
-    return with_columns(joined, [text_col, "_starts"], cut, [(text_col, T.StringType())]).drop("_starts")
+    joined = docs.join(todo, docs[id_col] == todo["__llm_id"], "left").drop("__llm_id")
+    return with_columns(joined, [text_col, "__llm_starts"], cut, [(text_col, T.StringType())]).drop("__llm_starts")
