@@ -20,14 +20,15 @@ def target_reference_overlap(target_ids: DataFrame, reference_ids: DataFrame) ->
     return target_ids.select("doc_id").distinct().join(reference_ids.select("doc_id").distinct(), "doc_id", "left_semi")
 
 
-def corpus_size(docs: DataFrame, limit: int = MAX_BYTES_TEXT) -> DataFrame:
+def corpus_size(docs: DataFrame, limit: int | None = None) -> DataFrame:
+    """Bytes of text; without a limit any size is within it."""
     return (docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).cast("long").alias("bytes"))
                 .withColumn("limit", F.lit(limit).cast("long"))
-                .withColumn("within_limit", F.col("bytes") <= F.col("limit")))
+                .withColumn("within_limit", F.coalesce(F.col("bytes") <= F.col("limit"), F.lit(True))))
 
 
 def corpus_readiness(target_ids: DataFrame, reference_ids: DataFrame, docs: DataFrame,
-                     limit: int = MAX_BYTES_TEXT, language_rejects: DataFrame | None = None) -> DataFrame:
+                     limit: int | None = None, language_rejects: DataFrame | None = None) -> DataFrame:
     """One row of booleans; each check is a scalar subquery of one small
     aggregate (no joins between the one-row results)."""
     dup = duplicate_doc_ids(target_ids).select(F.count(F.lit(1))).scalar()
@@ -35,7 +36,7 @@ def corpus_readiness(target_ids: DataFrame, reference_ids: DataFrame, docs: Data
     size = docs.select(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).scalar()
     n = docs.select(F.count(F.lit(1))).scalar()
     cols = [(dup == 0).alias("no_duplicates"), (ovl == 0).alias("no_overlap"),
-            (size <= F.lit(limit)).alias("size_ok"), (n > 0).alias("not_empty")]
+            (F.lit(True) if limit is None else size <= F.lit(limit)).alias("size_ok"), (n > 0).alias("not_empty")]
     if language_rejects is not None:
         cols.append((language_rejects.select(F.count(F.lit(1))).scalar() == 0).alias("language_ok"))
     spark = docs.sparkSession

@@ -57,8 +57,6 @@ def doc_tag_counts(units: DataFrame, view: str = "pos") -> DataFrame:
 
 def doc_tag_positions(units: DataFrame, tags: Sequence[str], dense: bool = False) -> DataFrame:
     """(doc_id, pos, Tag, X): X = (unit index + 1) / units in the document."""
-    if len(tags) > 5:
-        raise ValueError("at most 5 tags")
     u = units.withColumn("ord", F.col("pos")) if dense else dense_rank_in_doc(units, ["doc_id"], "pos", "ord")
     n = u.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
     return (u.filter(F.col("Tag").isin(list(tags))).join(n, "doc_id")

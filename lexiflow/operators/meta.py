@@ -64,30 +64,6 @@ def category_counts(cats: DataFrame) -> DataFrame:
     return cats.groupBy("category").agg(F.count(F.lit(1)).alias("n_docs")).orderBy("category")
 
 
-# Category descriptions of the published corpora families.
-CATEGORY_DESCRIPTIONS = {
-    "MICUSP": {
-        "BIO": "Biology", "CEE": "Civil and Environmental Engineering", "CLS": "Classical Studies",
-        "ECO": "Economics", "EDU": "Education", "ENG": "English", "HIS": "History",
-        "IOE": "Industrial and Operational Engineering", "LIN": "Linguistics", "MEC": "Mechanical Engineering",
-        "NRE": "Natural Resources", "NUR": "Nursing", "PHI": "Philosophy", "PHY": "Physics",
-        "POL": "Political Science", "PSY": "Psychology", "SOC": "Sociology",
-    },
-    "BAWE": {"AH": "Arts and Humanities", "LS": "Life Sciences", "PS": "Physical Sciences", "SS": "Social Sciences"},
-    "ELSEVIER": {
-        "ARTS": "Arts and Humanities", "BIOC": "Biochemistry, Genetics and Molecular Biology",
-        "BUSI": "Business, Management and Accounting", "CENG": "Chemical Engineering", "CHEM": "Chemistry",
-        "COMP": "Computer Science", "DECI": "Decision Sciences", "ECON": "Economics, Econometrics and Finance",
-        "ENGI": "Engineering", "ENVI": "Environmental Science", "HEAL": "Health Professions",
-        "IMMU": "Immunology and Microbiology", "MATE": "Material Science", "MATH": "Mathematics",
-        "MEDI": "Medicine", "NEUR": "Neuroscience", "NURS": "Nursing", "PHYS": "Physics and Astronomy",
-        "PSYC": "Psychology", "SOCI": "Social Sciences",
-    },
-    "MICUSP_by_level": {"G0": "Final Year Undergraduate", "G1": "First Year Graduate",
-                        "G2": "Second Year Graduate", "G3": "Third Year Graduate"},
-}
-
-
 def category_labels(counts: DataFrame, mapping: dict[str, str]) -> DataFrame:
     """Add ``description``; unmapped categories keep their code.  The
     mapping is a fixed small dict, inlined as a map literal (no join)."""

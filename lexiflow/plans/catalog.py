@@ -48,9 +48,9 @@ def reference(spark, sf_dir) -> Corpus:
 
 
 # SQL prefixes shared by many twins
-ALL_EN = O.corpus_ctes(None, "en", "tok")
-TAR = O.corpus_ctes(TARGET_SOURCES, "en", "tar")
-REF = O.corpus_ctes(REFERENCE_SOURCES, "en", "ref")
+ALL_EN = O.corpus_ctes(None, None, "tok")
+TAR = O.corpus_ctes(TARGET_SOURCES, None, "tar")
+REF = O.corpus_ctes(REFERENCE_SOURCES, None, "ref")
 
 
 def import_all():

@@ -24,13 +24,15 @@ class Corpus:
     pos_tokens: DataFrame | None = None   # same rows without the DS columns, cheaper to build
     docs: DataFrame | None = None         # (doc_id, text) when built from documents
     doc_units: DataFrame | None = None    # (doc_id, toks, units) document-row arrays
+    pos_lexicon: dict | None = None       # the one it was tagged with, if not the default
 
     @classmethod
     def from_documents(cls, docs: DataFrame, pos_lexicon=None, ds_lexicon=None) -> "Corpus":
         pos_only = pos_tag(tokenize(docs), pos_lexicon)
         du = document_units(docs, ds_lexicon)
         tokens = pos_tag(tokens_from_units(du), pos_lexicon).select(*TOKEN_COLUMNS)
-        return cls(tokens, single_token_pos=True, pos_tokens=pos_only, docs=docs, doc_units=du)
+        return cls(tokens, single_token_pos=True, pos_tokens=pos_only, docs=docs, doc_units=du,
+                   pos_lexicon=pos_lexicon)
 
     def _for(self, kind: str) -> DataFrame:
         return self.pos_tokens if (kind == "pos" and self.pos_tokens is not None) else self.tokens
@@ -83,7 +85,7 @@ class Corpus:
         from ..functions.tags import PUNCT_TAG
         from ..functions.text import WORD_OR_NUMBER_PATTERN, rstrip_ws
 
-        if kind == "pos" and self.docs is not None and PUNCT_TAG not in POS_LEXICON.values():
+        if kind == "pos" and self.docs is not None and PUNCT_TAG not in (self.pos_lexicon or POS_LEXICON).values():
             matches = F.regexp_extract_all(rstrip_ws("text"), F.lit(WORD_OR_NUMBER_PATTERN), 0)
             return self.docs.select(F.coalesce(F.sum(F.size(matches)), F.lit(0)).cast("long")).scalar()
         return self.analytic(kind).select(F.count(F.lit(1))).scalar()
@@ -101,7 +103,7 @@ class Corpus:
         pt = None if self.pos_tokens is None else self.pos_tokens.filter(condition)
         docs = None if self.docs is None else self.docs.filter(condition)
         du = None if self.doc_units is None else self.doc_units.filter(condition)
-        return Corpus(self.tokens.filter(condition), self.single_token_pos, pt, docs, du)
+        return Corpus(self.tokens.filter(condition), self.single_token_pos, pt, docs, du, self.pos_lexicon)
 
     def save_bundle(self, path: str) -> str:
         """Write the seven corpus tables.  The token table is written first
@@ -116,16 +118,3 @@ class Corpus:
         derived = {"ft_pos": saved.frequency("pos"), "ft_ds": saved.frequency("ds"), "tt_pos": saved.tags("pos"),
                    "tt_ds": saved.tags("ds"), "dtm_pos": saved.dtm("pos"), "dtm_ds": saved.dtm("ds")}
         return save_bundle({"ds_tokens": saved.tokens, **derived}, base, skip=("ds_tokens",))
-
-    def persist_tokens(self, path: str | None = None) -> "Corpus":
-        """Cut lineage: write the token table to the shared checkpoint folder
-        (or ``path``) and read it back; survives executor loss, unlike a
-        local checkpoint."""
-        spark = self.tokens.sparkSession
-        if path is None:
-            from ..session import ensure_checkpoint_dir
-            import uuid
-            path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
-        (self.tokens.repartition(F.col("doc_id")).sortWithinPartitions("doc_id", "token_idx")
-             .write.mode("overwrite").parquet(path))
-        return Corpus(spark.read.parquet(path), self.single_token_pos)

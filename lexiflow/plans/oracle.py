@@ -35,7 +35,7 @@ def unit_key_sql(tok: str) -> str:
     return f"lower(regexp_replace(regexp_replace({tok}, '\\s+$', ''), '\\s+', ' ', 'g'))"
 
 
-def docs_cte(sources: Sequence[str] | None = None, lang: str | None = "en", category_from: str = "source",
+def docs_cte(sources: Sequence[str] | None = None, lang: str | None = None, category_from: str = "source",
              name: str = "docs") -> str:
     where = []
     if lang is not None:
@@ -117,7 +117,7 @@ def with_(ctes: list[str], final: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n" + final
 
 
-def corpus_ctes(sources: Sequence[str] | None = None, lang: str | None = "en", name: str = "tok",
+def corpus_ctes(sources: Sequence[str] | None = None, lang: str | None = None, name: str = "tok",
                 category_from: str = "source") -> list[str]:
     return [docs_cte(sources, lang, category_from, name=f"{name}_docs")] + token_ctes(f"{name}_docs", name)
 

@@ -247,7 +247,7 @@ def pca_input(c):
 @register("pca_scores")
 def pca_scores(spark, sf):
     wide, tags = pca_input(_c(spark, sf))
-    return rounded(P.pca_scores(wide, tags, min(len(tags), 4)))
+    return rounded(P.pca_scores(wide, tags, min(len(tags), wide.count())))
 
 
 @register("pca_variance")

@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import strip_ws
-
 # Fixed values (ours): the comparison used throughout the registered queries.
 TARGET_SOURCES = [f"src{i}" for i in range(0, 10)]
 REFERENCE_SOURCES = [f"src{i}" for i in range(10, 20)]
@@ -19,7 +17,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def corpus_documents(spark: SparkSession, sf_dir: str, sources: Sequence[str] | None = None,
-                     lang: str | None = "en", category_from: str = "source") -> DataFrame:
+                     lang: str | None = None, category_from: str = "source") -> DataFrame:
     """(doc_id, text) from the ``documents`` table.
 
     ``doc_id`` = ``<category>_<id>`` so that categories follow the
@@ -30,21 +28,8 @@ def corpus_documents(spark: SparkSession, sf_dir: str, sources: Sequence[str] |
         d = d.filter(F.col("lang") == lang)
     if sources is not None:
         d = d.filter(F.col("source").isin(list(sources)))
-    d = d.select(F.concat(F.col(category_from), F.lit("_"), F.col("doc_id").cast("string")).alias("doc_id"),
+    return d.select(F.concat(F.col(category_from), F.lit("_"), F.col("doc_id").cast("string")).alias("doc_id"),
                  F.col("text"))
-    return at_least_one_task_per_core(d)
-
-
-def at_least_one_task_per_core(df: DataFrame) -> DataFrame:
-    """Spread a scan that yields fewer splits than cores (a small file with
-    few row groups) so tokenizing uses every core.  A large input already
-    has many splits and is left alone (no shuffle of the raw text)."""
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD access (e.g. a remote session): leave the scan as is
-        return df
-    return df.repartition(cores) if splits < cores else df
 
 
 def documents_from_text_files(spark: SparkSession, path: str, fold_ascii: bool = False) -> DataFrame:
@@ -57,10 +42,6 @@ def documents_from_text_files(spark: SparkSession, path: str, fold_ascii: bool =
     return clean_documents(raw, fold=fold_ascii)
 
 
-def strip_text(df: DataFrame) -> DataFrame:
-    return df.withColumn("text", strip_ws("text"))
-
-
 def with_segment_offsets(segments: DataFrame, segment: str = "segment") -> DataFrame:
     """Documents stored as several rows ``(doc_id, <segment>, text)``: add
     ``_off``, the number of tokens in the earlier segments of the document,

@@ -216,3 +216,24 @@ def test_kwic_paths_agree(corpus, monkeypatch):
     monkeypatch.setattr(sequence, "BLOCK", 9)
     b = sorted(kwic.kwic(corpus.tokens, "the", "fixed", True, 6).collect())
     assert a == b and len(a) > 0
+
+
+def test_quota_stream_keeps_every_row(spark, tmp_path):
+    """Files out of time order: the bounded stream gives one answer for any batch size."""
+    from pyspark.sql import functions as F
+
+    from lexiflow.streaming.quota import run_quota_stream
+
+    for i, day in enumerate((20, 21, 22, 5)):
+        spark.createDataFrame([(1, f"2024-01-{day:02d} 10:30:00"), (2, f"2024-01-{day:02d} 11:15:00")], "user_id long, t string") \
+             .select("user_id", F.to_timestamp("t").alias("ts")).coalesce(1).write.mode("append").parquet(str(tmp_path / "e"))
+    key = lambda df: sorted(tuple(r) for r in df.collect())
+    one, many = (key(run_quota_stream(spark, str(tmp_path / "e") + "/*.parquet", F.lit(True), max_files_per_trigger=n)) for n in (1, 1000))
+    assert one == many and len(one) == 4 * 2 * 24
+
+
+def test_default_corpus_reads_all_documents(spark):
+    from lexiflow.plans.catalog import english
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter(r"text rlike '\\S'")
+    assert english(spark, "/root/testdata/sf0.001").pos_tokens.select("doc_id").distinct().count() == docs.count()
