@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 #: Words, and pairs of tokens, that a Python worker remembers.
-KEPT = 400_000
+KEPT, KEPT_PAIRS = 600_000, 800_000
 _WORKERS: dict[str, "Pieces"] = {}
 
 
@@ -67,7 +67,7 @@ class Pieces:
         for p in self.ids:
             self.lengths.setdefault(p[-1], []).append(len(p))
         self.lengths = {c: sorted({*n, 1}, reverse=True) for c, n in self.lengths.items()}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[str, bool] = {}
         self.words: dict[str, bytes] = {}
         self.table = np.array(self.text, object)
 
@@ -86,10 +86,10 @@ class Pieces:
             t[at:at + 2] = [t[at] + t[at + 1]]
 
     def stays(self, before: str, token: str) -> bool:
-        key = (before, token)
+        key = before + "\0" + token
         r = self.pairs.get(key)
         if r is None:
-            if len(self.pairs) >= KEPT:
+            if len(self.pairs) >= KEPT_PAIRS:
                 self.pairs.clear()
             r = self.pairs[key] = self.merged(before + token) == ([before, token] if before else [token])
         return r
