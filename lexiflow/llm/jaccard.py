@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from ..storage import materialize
 from .components import components
+from .scratch import Scratch
 from .words import mix, runs, shingle_set, word_hashes
 
 #: Hashed counts that order the shingles.
@@ -80,14 +81,15 @@ def shingle_counts(texts: DataFrame, width: int) -> np.ndarray:
     """Level (logarithm) of the hashed count of shingles, CELLS bytes.  Each
     task counts into its own table; tables are added in rounds, so that neither
     a task nor the driver gets more than a few dozen of them."""
-    t = materialize(texts.mapInPandas(lambda b: _count_cells(b, width), "part int, n binary"), "shingle-counts")
-    rows = t.count()
-    while rows > 16 * 64:
-        t = materialize(t.repartition(max(1, rows // (64 * 16))).mapInPandas(_add_cells, t.schema), "shingle-counts")
+    with Scratch() as scratch:
+        t = scratch.write(texts.mapInPandas(lambda b: _count_cells(b, width), "part int, n binary"), "shingle-counts")
         rows = t.count()
-    total = np.zeros((64, CELLS // 64), np.int64)
-    for r in t.toLocalIterator():
-        total[r["part"]] += np.frombuffer(bytes(r["n"]), "<i4")
+        while rows > 16 * 64:
+            t = scratch.write(t.repartition(max(1, rows // (64 * 16))).mapInPandas(_add_cells, t.schema), "shingle-counts")
+            rows = t.count()
+        total = np.zeros((64, CELLS // 64), np.int64)
+        for r in t.toLocalIterator():
+            total[r["part"]] += np.frombuffer(bytes(r["n"]), "<i4")
     return np.log2(total.ravel() + 1.0).astype(np.uint8)
 
 
@@ -157,62 +159,52 @@ def _linked(pairs: DataFrame, texts: DataFrame, heads: DataFrame, repeated: bool
     of the documents in a remaining pair only."""
     spread = heads.filter("n > 0").select("doc_id", "spread")
     spread = spread.dropDuplicates(["doc_id"]) if repeated else spread
-    pairs = materialize(
-        pairs.select("a", "b").join(spread.toDF("a", "pa"), "a").join(spread.toDF("b", "pb"), "b")
-             .mapInPandas(lambda x: _bounded(x, share), "a long, b long"), "bounded-pairs")
-    ids = materialize(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "pair-ids")
-    wanted = texts.join(_small(ids), texts["doc_id"] == F.col("id")).select("id", "text")
-    sets = wanted.mapInPandas(lambda b: _whole_sets(b, width), "id long, s binary")
-    sets = materialize(sets.dropDuplicates(["id"]) if repeated else sets, "shingle-sets")
-    a = sets.select(F.col("id").alias("a"), F.col("s").alias("sa"))
-    b = sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
-    return materialize(pairs.select("a", "b").join(a, "a").join(b, "b").mapInPandas(
-        lambda x: _compare(x, share), "a long, b long"), "links")
-
-
-def jaccard_join(docs: DataFrame, share: int = 85, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, class_id, component_id, a row per row of ``docs``.
-
-    Texts are lower-cased (A-Z); a set holds the distinct ``width``-word
-    shingles, or the whole sequence of a shorter text; ``share`` is the least
-    Jaccard share in percent.  class_id is the smallest doc_id with the same
-    set, component_id the smallest reachable by links.  Null, empty and
-    wordless texts have an empty set and link with nothing.  Rows with one id
-    must have one text.  A row with a null id links with nothing and has null
-    class and component.  Other columns are left out; empty tables give empty
-    results."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    spark = docs.sparkSession
-    levels = spark.sparkContext.broadcast(shingle_counts(texts.select("text"), width))
-    heads = materialize(texts.mapInPandas(lambda b: _heads(b, levels, width, share),
-                                          "doc_id long, n long, s1 long, s2 long, head array<long>, spread binary"), "shingle-heads")
+    with Scratch() as scratch:
+        pairs = scratch.write(
+            pairs.select("a", "b").join(spread.toDF("a", "pa"), "a").join(spread.toDF("b", "pb"), "b")
+                 .mapInPandas(lambda x: _bounded(x, share), "a long, b long"), "bounded-pairs")
+        ids = scratch.write(
+            pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "pair-ids")
+        wanted = texts.join(_small(ids), texts["doc_id"] == F.col("id")).select("id", "text")
+        sets = wanted.mapInPandas(lambda b: _whole_sets(b, width), "id long, s binary")
+        sets = scratch.write(sets.dropDuplicates(["id"]) if repeated else sets, "shingle-sets")
+        a = sets.select(F.col("id").alias("a"), F.col("s").alias("sa"))
+        b = sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
+        return materialize(pairs.select("a", "b").join(a, "a").join(b, "b").mapInPandas(
+            lambda x: _compare(x, share), "a long, b long"), "links")
+
+
+def _search(texts: DataFrame, heads: DataFrame, scratch: Scratch, share: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """The classes, and links between them that join what belongs together."""
     known = heads.filter("n > 0 AND doc_id IS NOT NULL")
     repeated = not known.groupBy("doc_id").count().filter("count > 1").isEmpty()
     classes = known.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("class_id"))
     firsts = materialize(classes, "shingle-classes")
 
     # copies stay out of the search; a repeated id repeats its cells, which changes no result
-    copies = materialize(known.select("doc_id").join(
+    copies = scratch.write(known.select("doc_id").join(
         firsts.select(F.col("class_id").alias("doc_id")), "doc_id", "left_anti").distinct(), "shingle-copies")
     every = (known.select("doc_id", "n", "head").join(_small(copies), "doc_id", "left_anti")
                   .select(F.col("doc_id").alias("id"), "n", F.posexplode("head").alias("i", "t"))
                   .select("t", "id", "n", (F.col("n") - F.col("i")).alias("rest")))
     shared = every.groupBy("t").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first <> last")
-    cells = materialize(every.join(shared.select("t", "first"), "t"), "shared-cells")     # shingles of one class only are gone
+    cells = scratch.write(every.join(shared.select("t", "first"), "t"), "shared-cells")     # shingles of one class only are gone
 
     heads_of = cells.filter("id = first").select("t", F.col("n").alias("fn"), F.col("rest").alias("frest")).distinct()
-    tried = materialize(
+    tried = scratch.write(
         cells.filter("id <> first").join(heads_of, "t")
              .filter(_may_reach(F.col("n"), F.col("rest"), F.col("fn"), F.col("frest"), share))
              .select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), "first-pairs")
     links = _linked(tried, texts, heads, repeated, width, share)
     groups = components(links)
 
-    cells = materialize(cells.select("t", "id", "n", "rest").join(groups, "id", "left")
+    cells = scratch.write(cells.select("t", "id", "n", "rest").join(groups, "id", "left")
                              .withColumn("g", F.coalesce("component", "id")).drop("component"), "group-cells")
+    scratch.drop("shared-cells")
+    several = cells.groupBy("t").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).filter("g0 <> g1").select("t")
+    cells = scratch.write(cells.join(several, "t", "left_semi"), "open-cells")
+    scratch.drop("group-cells")
     matrix = cells.groupBy("t", "g").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("longest"))
-    several = matrix.groupBy("t").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).filter("g0 <> g1").select("t")
-    cells = materialize(cells.join(several, "t", "left_semi"), "open-cells")
     # the smallest size in the group that n can agree with bounds the overlap that any member needs
     m = F.greatest(F.col("least"), F.ceil(F.col("n") * share / 100.0 - 1e-6))
     queries = (cells.alias("q").join(matrix.alias("m"), (F.col("q.t") == F.col("m.t")) & (F.col("q.g") < F.col("m.g")))
@@ -225,13 +217,35 @@ def jaccard_join(docs: DataFrame, share: int = 85, width: int = 4, id_col: str =
                      .filter(_may_reach(F.col("n"), F.col("rest"), F.col("bn"), F.col("brest"), share))
                      .select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
                      .join(tried, ["a", "b"], "left_anti"))
-    more = _linked(materialize(opened, "open-pairs"), texts, heads, repeated, width, share)
-    joined = components(links.unionByName(more))
+    opened = scratch.write(opened, "open-pairs")
+    scratch.drop("open-cells")
+    return firsts, links.unionByName(_linked(opened, texts, heads, repeated, width, share))
 
+
+def jaccard_join(docs: DataFrame, share: int = 85, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, class_id, component_id, a row per row of ``docs``.
+
+    Texts are lower-cased (A-Z); a set holds the distinct ``width``-word
+    shingles, or the whole sequence of a shorter text; ``share`` is the least
+    Jaccard share in percent.  class_id is the smallest doc_id with the same
+    set, component_id the smallest reachable by links.  Null, empty and
+    wordless texts have an empty set and link with nothing.  Rows with one id
+    must have one text.  A row with a null id links with nothing and has null
+    class and component.  Other columns are left out; empty tables give empty
+    results."""
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    spark = docs.sparkSession
+    levels = spark.sparkContext.broadcast(shingle_counts(texts.select("text"), width))
+    with Scratch() as scratch:
+        heads = scratch.write(texts.mapInPandas(lambda b: _heads(b, levels, width, share),
+                                                "doc_id long, n long, s1 long, s2 long, head array<long>, spread binary"), "shingle-heads")
+        sizes = materialize(heads.select("doc_id", "n", "s1", "s2"), "shingle-sizes")
+        firsts, links = _search(texts, heads, scratch, share, width)
+    joined = components(links)
     named = firsts.join(joined.withColumnRenamed("id", "class_id"), "class_id", "left").select(
         F.col("s1").alias("k1"), F.col("s2").alias("k2"), F.col("n").alias("k"), "class_id",
         F.coalesce("component", "class_id").alias("component_id"))
-    return (heads.join(named, (F.col("s1") == F.col("k1")) & (F.col("s2") == F.col("k2")) & (F.col("n") == F.col("k"))
+    return (sizes.join(named, (F.col("s1") == F.col("k1")) & (F.col("s2") == F.col("k2")) & (F.col("n") == F.col("k"))
                        & F.col("doc_id").isNotNull(), "left")
                  .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"),
                          F.coalesce("component_id", "doc_id").alias("component_id")))

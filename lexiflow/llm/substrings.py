@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 
 from ..storage import materialize
 from .rows import with_columns
+from .scratch import Scratch
 from .words import mix, runs, sequence_hashes, word_hashes
 
 LENGTH = 50
@@ -118,14 +119,16 @@ class Repeats:
         known = read.filter(F.col("doc_id").isNotNull() & (F.col("n_words") >= length))
         firsts = materialize(known.groupBy("h1", "h2", "n_words").agg(F.min("doc_id").alias("first")), "substring-firsts")
         ids = firsts.select(F.col("first").alias("doc_id"))
-        least = materialize(read.join(ids, "doc_id", "left_semi").select("doc_id", F.explode("least").alias("h")), "substring-half")
-        several = (least.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a <> b").select("h"))
-        alive = (least.join(several, "h", "left_semi").groupBy("doc_id").agg(F.collect_list("h").alias("alive")))
-        self.candidates = materialize(self.texts.join(alive, "doc_id").dropDuplicates(["doc_id"]), "substring-texts")
-        windows = materialize(self.candidates.mapInPandas(lambda b: _extend(b, length), "h long, doc_id long, at int"), "substring-full")
-        start = windows.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a <> b").select("h", "a")
-        self.starts = materialize(windows.join(start, "h").filter("doc_id > a").groupBy("doc_id").agg(
-            F.collect_list("at").alias("starts")), "substring-starts")
+        with Scratch() as scratch:
+            least = scratch.write(read.join(ids, "doc_id", "left_semi").select("doc_id", F.explode("least").alias("h")), "substring-half")
+            several = (least.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a <> b").select("h"))
+            alive = (least.join(several, "h", "left_semi").groupBy("doc_id").agg(F.collect_list("h").alias("alive")))
+            self.candidates = materialize(self.texts.join(alive, "doc_id").dropDuplicates(["doc_id"]), "substring-texts")
+            scratch.drop("substring-half")
+            windows = scratch.write(self.candidates.mapInPandas(lambda b: _extend(b, length), "h long, doc_id long, at int"), "substring-full")
+            start = windows.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a <> b").select("h", "a")
+            self.starts = materialize(windows.join(start, "h").filter("doc_id > a").groupBy("doc_id").agg(
+                F.collect_list("at").alias("starts")), "substring-starts")
         f = firsts.select("first", F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.col("n_words").alias("k"))
         self.read = read.join(f, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")) & (F.col("n_words") == F.col("k"))
                               & F.col("doc_id").isNotNull(), "left").select("doc_id", "n_words", "sha", "first")
