@@ -7,21 +7,26 @@ required overlap must share one of them.  (Any order is right; how rare a
 shingle is comes from a table of hashed counts over all documents, a fixed
 number of them.)
 
-1. Groups: for each shingle of a head, the classes that have it are compared
-   with the smallest of them.  What links is one group, and groups that share a
-   class are one.
+0. Sizes fall into bands that a link spans at most two of.  A shingle of a head
+   counts only where another class has it in the same or a neighbouring band.
+1. Groups: for each shingle of a head and band, the classes that have it are
+   compared with the smallest of them.  What links is one group, and groups that
+   share a class are one.
 2. Token-group matrix: for each shingle and group, the smallest and largest set
    and the longest rest after the shingle.  A class and a group that share a
    shingle are compared only if these allow the required overlap.
 3. Open groups: the members with that shingle whose own sizes and rests allow it.
 
-Every comparison is of whole sets.  A class is never compared with its own
+Every link comes from whole sets.  A class is never compared with its own
 group again, so many near copies cost one comparison each instead of all pairs.
+Before whole sets move, counts of shingles per hash class, a byte for one or two
+shingles, rule out pairs that cannot have the overlap.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -98,6 +103,25 @@ def _needed(n: np.ndarray | int, share: int):
     return -(-share * n // 100)
 
 
+def _spread(s: np.ndarray) -> bytes:
+    """Counts of the shingles by the leading bits of their mixed hashes, one or two a class."""
+    order, bits = mix(s.view(np.uint64)), max(1, len(s).bit_length() - 1)
+    while True:
+        counts = np.bincount((order >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+        if counts.max() < 256:
+            return counts.astype(np.uint8).tobytes()
+        bits += 1
+
+
+def _most_common(x: bytes, y: bytes) -> tuple[int, int]:
+    """At most so many hashes are in both sets, and the sum of their sizes: no
+    class holds more common ones than its smaller count."""
+    x, y = np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(y, np.uint8).astype(np.int64)
+    k = min(len(x), len(y))
+    x, y = x.reshape(k, -1).sum(axis=1), y.reshape(k, -1).sum(axis=1)
+    return int(np.minimum(x, y).sum()), int(x.sum() + y.sum())
+
+
 def _heads(batches: Iterator[pd.DataFrame], levels, width: int, share: int) -> Iterator[pd.DataFrame]:
     level = levels.value
     for b in batches:
@@ -107,38 +131,52 @@ def _heads(batches: Iterator[pd.DataFrame], levels, width: int, share: int) -> I
             u = s.view(np.uint64)
             order = mix(u)
             h = np.lexsort((order, level[_cells(s)]))[:n - _needed(n, share) + 1] if n else []
-            spread = np.bincount((order >> np.uint64(58)).astype(np.int64), minlength=64).astype("<i4").tobytes()
-            out.append((n, int(u.sum(dtype=np.uint64).astype(np.int64)), int(order.sum(dtype=np.uint64).astype(np.int64)), s[h], spread))
+            out.append((n, int(u.sum(dtype=np.uint64).astype(np.int64)), int(order.sum(dtype=np.uint64).astype(np.int64)), s[h]))
         yield pd.DataFrame({"doc_id": b["doc_id"], "n": [x[0] for x in out], "s1": [x[1] for x in out],
-                            "s2": [x[2] for x in out], "head": [x[3] for x in out],
-                            "spread": [x[4] for x in out]})
+                            "s2": [x[2] for x in out], "head": [x[3] for x in out]})
 
 
 def _bounded(batches: Iterator[pd.DataFrame], share: int) -> Iterator[pd.DataFrame]:
-    """Pairs whose counts of shingles in 64 classes allow the overlap: no class
-    holds more common shingles than the smaller count."""
+    """Pairs whose counts allow the overlap."""
     for b in batches:
         keep = []
         for x, y in zip(b["pa"], b["pb"], strict=True):
-            x, y = np.frombuffer(x, "<i4").astype(np.int64), np.frombuffer(y, "<i4").astype(np.int64)
-            both = int(np.minimum(x, y).sum())
-            keep.append(100 * both >= share * (int(x.sum() + y.sum()) - both))
+            both, sizes = _most_common(x, y)
+            keep.append(100 * both >= share * (sizes - both))
         yield b.loc[keep, ["a", "b"]]
 
 
-def _whole_sets(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
+def _of_sets(batches: Iterator[pd.DataFrame], width: int, value: Callable[[np.ndarray], bytes]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        yield pd.DataFrame({"id": b["id"], "s": [s.tobytes() for s in _sets(list(b["text"]), width)]})
+        yield pd.DataFrame({"id": b["id"], "s": [value(s) for s in _sets(list(b["text"]), width)]})
 
 
 def _compare(batches: Iterator[pd.DataFrame], share: int) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        keep = []
-        for x, y in zip(b["sa"], b["sb"], strict=True):
-            x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(100 * both >= share * (len(x) + len(y) - both))
-        yield b.loc[keep, ["a", "b"]]
+    """Linked pairs from rows (a, b, second, s) in that order: the set of a, then that of b."""
+    pair, first = None, None
+    for batch in batches:
+        out = []
+        for a, b, second, s in zip(batch["a"], batch["b"], batch["second"], batch["s"], strict=True):
+            s = np.frombuffer(s, np.int64)
+            if not second:
+                pair, first = (a, b), s
+                continue
+            assert pair == (a, b)
+            both = len(np.intersect1d(first, s, assume_unique=True))
+            if 100 * both >= share * (len(first) + len(s) - both):
+                out.append(pair)
+        yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+
+def _band(n: Column, share: int) -> Column:
+    """Bands of sizes; sizes that may link are in the same or in neighbouring
+    bands (a little wider than that takes, so rounding cannot matter)."""
+    return F.floor(F.log(n) / max(math.log(100 / share) * 1.0001, 1e-3)).cast("int")
+
+
+def _bit(band: Column) -> Column:
+    """One of 64 bits for a band.  Bands 64 apart share one, which only keeps more."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(band, F.lit(64)).cast("int"))
 
 
 def _may_reach(n: Column, rest: Column, m: Column, other_rest: Column, share: int) -> Column:
@@ -153,25 +191,31 @@ def _small(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, heads: DataFrame, repeated: bool, width: int, share: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets agree to ``share`` %.  Pairs that a
-    rigorous bound on 64 counts rules out go first; sets are made from the texts
-    of the documents in a remaining pair only."""
-    spread = heads.filter("n > 0").select("doc_id", "spread")
-    spread = spread.dropDuplicates(["doc_id"]) if repeated else spread
+def _linked(pairs: DataFrame, texts: DataFrame, repeated: bool, width: int, share: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets agree to ``share`` %.  Pairs that their
+    counts rule out go first; sets are made from the texts of the documents in a
+    remaining pair only, and move once, to the pair."""
+    def ids_of(p: DataFrame) -> DataFrame:
+        return p.select(F.col("a").alias("id")).unionByName(p.select(F.col("b").alias("id"))).distinct()
+
+    def of_texts(ids: DataFrame, value: Callable[[np.ndarray], bytes]) -> DataFrame:
+        wanted = texts.join(_small(ids), texts["doc_id"] == F.col("id")).select("id", "text")
+        made = wanted.mapInPandas(lambda b: _of_sets(b, width, value), "id long, s binary")
+        return made.dropDuplicates(["id"]) if repeated else made
+
     with Scratch() as scratch:
-        pairs = scratch.write(
+        ids = scratch.write(ids_of(pairs), "pair-ids")
+        spread = scratch.write(of_texts(ids, _spread), "pair-spreads")
+        likely = scratch.write(
             pairs.select("a", "b").join(spread.toDF("a", "pa"), "a").join(spread.toDF("b", "pb"), "b")
                  .mapInPandas(lambda x: _bounded(x, share), "a long, b long"), "bounded-pairs")
-        ids = scratch.write(
-            pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "pair-ids")
-        wanted = texts.join(_small(ids), texts["doc_id"] == F.col("id")).select("id", "text")
-        sets = wanted.mapInPandas(lambda b: _whole_sets(b, width), "id long, s binary")
-        sets = scratch.write(sets.dropDuplicates(["id"]) if repeated else sets, "shingle-sets")
-        a = sets.select(F.col("id").alias("a"), F.col("s").alias("sa"))
-        b = sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
-        return materialize(pairs.select("a", "b").join(a, "a").join(b, "b").mapInPandas(
-            lambda x: _compare(x, share), "a long, b long"), "links")
+        ids = scratch.write(ids_of(likely), "pair-ids")
+        sides = scratch.write(likely.select("a", "b", F.lit(False).alias("second"), F.col("a").alias("id")).unionByName(
+            likely.select("a", "b", F.lit(True).alias("second"), F.col("b").alias("id"))), "pair-sides")
+        sets = of_texts(ids, np.ndarray.tobytes)
+        return materialize(
+            sets.join(_small(sides), "id").select("a", "b", "second", "s").repartition("a", "b")
+                .sortWithinPartitions("a", "b", "second").mapInPandas(lambda x: _compare(x, share), "a long, b long"), "links")
 
 
 def _search(texts: DataFrame, heads: DataFrame, scratch: Scratch, share: int, width: int) -> tuple[DataFrame, DataFrame]:
@@ -187,18 +231,27 @@ def _search(texts: DataFrame, heads: DataFrame, scratch: Scratch, share: int, wi
     every = (known.select("doc_id", "n", "head").join(_small(copies), "doc_id", "left_anti")
                   .select(F.col("doc_id").alias("id"), "n", F.posexplode("head").alias("i", "t"))
                   .select("t", "id", "n", (F.col("n") - F.col("i")).alias("rest")))
-    shared = every.groupBy("t").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first <> last")
-    cells = scratch.write(every.join(shared.select("t", "first"), "t"), "shared-cells")     # shingles of one class only are gone
-
-    heads_of = cells.filter("id = first").select("t", F.col("n").alias("fn"), F.col("rest").alias("frest")).distinct()
+    # of each shingle the bands that have it, and those that have it an odd number of times
+    band = _band(F.col("n"), share)
+    shared = (every.groupBy("t").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("times"),
+                                     F.bit_or(_bit(band)).alias("bands"), F.bit_xor(_bit(band)).alias("odd"))
+                   .filter("first <> last").drop("first", "last"))
+    # as many as if each odd band had it once and each other band twice: then it is alone in the odd ones
+    alone = ((F.col("times") == 2 * F.bit_count("bands") - F.bit_count("odd"))
+             & (F.col("odd").bitwiseAND(_bit(band)) != 0))
+    beside = F.col("bands").bitwiseAND(_bit(band - 1).bitwiseOR(_bit(band + 1))) != 0
+    cells = scratch.write(every.join(shared, "t").filter(beside | ~alone).select("t", band.alias("band"), "id", "n", "rest"), "shared-cells")
+
+    heads_of = cells.groupBy("t", "band").agg(F.min(F.struct("id", "n", "rest")).alias("f")).select(
+        "t", "band", F.col("f.id").alias("first"), F.col("f.n").alias("fn"), F.col("f.rest").alias("frest"))
     tried = scratch.write(
-        cells.filter("id <> first").join(heads_of, "t")
+        cells.join(heads_of, ["t", "band"]).filter("id <> first")
              .filter(_may_reach(F.col("n"), F.col("rest"), F.col("fn"), F.col("frest"), share))
              .select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), "first-pairs")
-    links = _linked(tried, texts, heads, repeated, width, share)
+    links = _linked(tried, texts, repeated, width, share)
     groups = components(links)
 
-    cells = scratch.write(cells.select("t", "id", "n", "rest").join(groups, "id", "left")
+    cells = scratch.write(cells.select("t", "id", "n", "rest").join(_small(groups), "id", "left")
                              .withColumn("g", F.coalesce("component", "id")).drop("component"), "group-cells")
     scratch.drop("shared-cells")
     several = cells.groupBy("t").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).filter("g0 <> g1").select("t")
@@ -219,7 +272,7 @@ def _search(texts: DataFrame, heads: DataFrame, scratch: Scratch, share: int, wi
                      .join(tried, ["a", "b"], "left_anti"))
     opened = scratch.write(opened, "open-pairs")
     scratch.drop("open-cells")
-    return firsts, links.unionByName(_linked(opened, texts, heads, repeated, width, share))
+    return firsts, links.unionByName(_linked(opened, texts, repeated, width, share))
 
 
 def jaccard_join(docs: DataFrame, share: int = 85, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -238,7 +291,7 @@ def jaccard_join(docs: DataFrame, share: int = 85, width: int = 4, id_col: str =
     levels = spark.sparkContext.broadcast(shingle_counts(texts.select("text"), width))
     with Scratch() as scratch:
         heads = scratch.write(texts.mapInPandas(lambda b: _heads(b, levels, width, share),
-                                                "doc_id long, n long, s1 long, s2 long, head array<long>, spread binary"), "shingle-heads")
+                                                "doc_id long, n long, s1 long, s2 long, head array<long>"), "shingle-heads")
         sizes = materialize(heads.select("doc_id", "n", "s1", "s2"), "shingle-sizes")
         firsts, links = _search(texts, heads, scratch, share, width)
     joined = components(links)
