@@ -4,13 +4,14 @@ import hashlib
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from lexiflow.llm import (jaccard, neighbours, packing, pieces, quality, sharding, substrings, toxicity, urls,
-                          vector_dedup)
+from lexiflow.llm import (jaccard, neighbours, packing, pieces, quality, registry, sharding, substrings, toxicity,
+                          urls, vector_dedup)
 from lexiflow.llm.registry import URL_RULES
 
 SMALL = "/root/testdata/sf0.001"
@@ -244,3 +245,15 @@ def test_pipeline(spark):
         assert after.columns == docs.columns and after.count() <= before
         docs, before, stays = after, after.count(), k
     assert stays == 3 and corpus_pipeline.pack(spark, docs, SMALL).select("doc_id").distinct().count() == before
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_sql_twin(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SMALL}/{t}.parquet')")
+    got = registry.queries()[name](spark, SMALL)
+    want = con.execute(registry.oracle_sql()[name])
+    columns = [d[0] for d in want.description]
+    assert sorted(got.columns) == sorted(columns)
+    assert sorted(tuple(r) for r in got.select(*columns).collect()) == sorted(want.fetchall())
