@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 MARK = "▁"
 #: Words, and pairs of tokens, that a Python worker remembers.
 KEPT, KEPT_PAIRS = 600_000, 800_000
+#: Texts of about so many characters are encoded together; a longer text is encoded whole.
+RUN_CHARS = 1 << 20
 _WORKERS: dict[str, "Pieces"] = {}
 
 
@@ -63,10 +65,10 @@ class Pieces:
         known = sorted({c for p in self.ids for c in p} - {MARK})
         inner = "".join(re.escape(c) for c in known)
         self.unit = re.compile(f"{MARK}*[{inner}]+|{MARK}+|[^{MARK}{inner}]")
-        self.lengths: dict[str, list[int]] = {}
+        lengths: dict[str, set[int]] = {}
         for p in self.ids:
-            self.lengths.setdefault(p[-1], []).append(len(p))
-        self.lengths = {c: sorted({*n, 1}, reverse=True) for c, n in self.lengths.items()}
+            lengths.setdefault(p[-2:], {1}).add(len(p))
+        self.lengths = {c: sorted(n, reverse=True) for c, n in lengths.items() if len(c) == 2}   # longest first
         self.pairs: dict[str, bool] = {}
         self.words: dict[str, bytes] = {}
         self.table = np.array(self.text, object)
@@ -110,7 +112,7 @@ class Pieces:
                 n += 1
             del last[n:]
             for i in range(n, len(w)):
-                for k in self.lengths.get(w[i], (1,)):
+                for k in self.lengths.get(w[i - 1:i + 1], (1,)) if i else (1,):
                     j = i + 1 - k
                     if j < 0:
                         continue
@@ -135,14 +137,21 @@ class Pieces:
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
         """Ids of each text; null and empty texts have none."""
+        held, size = [], 0
         for t in texts:
-            if not t:
-                yield np.empty(0, "<u4")
-                continue
-            units = self.unit.findall(MARK + t.replace(" ", MARK))
-            self.learn(set(units))
-            words = self.words
-            yield np.frombuffer(b"".join([words[u] for u in units]), "<u4")
+            held.append(t)
+            size += len(t or "")
+            if size >= RUN_CHARS:
+                yield from self._encode_run(held)
+                held, size = [], 0
+        yield from self._encode_run(held)
+
+    def _encode_run(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        units = [self.unit.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        self.learn(set().union(*units))
+        words = self.words
+        for u in units:
+            yield np.frombuffer(b"".join([words[x] for x in u]), "<u4")
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of ids; the mark put before the first word goes."""
