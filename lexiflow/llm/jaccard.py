@@ -90,7 +90,7 @@ def shingle_counts(texts: DataFrame, width: int) -> np.ndarray:
         t = scratch.write(texts.mapInPandas(lambda b: _count_cells(b, width), "part int, n binary"), "shingle-counts")
         rows = t.count()
         while rows > 16 * 64:
-            t = scratch.write(t.repartition(max(1, rows // (64 * 16))).mapInPandas(_add_cells, t.schema), "shingle-counts")
+            t = scratch.write(t.repartition(rows // (64 * 4)).mapInPandas(_add_cells, t.schema), "shingle-counts")
             rows = t.count()
         total = np.zeros((64, CELLS // 64), np.int64)
         for r in t.toLocalIterator():
@@ -147,8 +147,12 @@ def _bounded(batches: Iterator[pd.DataFrame], share: int) -> Iterator[pd.DataFra
 
 
 def _of_sets(batches: Iterator[pd.DataFrame], width: int, value: Callable[[np.ndarray], bytes]) -> Iterator[pd.DataFrame]:
+    """Sets of a run of texts at a time, which bounds what a worker holds."""
     for b in batches:
-        yield pd.DataFrame({"id": b["id"], "s": [value(s) for s in _sets(list(b["text"]), width)]})
+        for first, run in runs(list(b["text"])):
+            h, at, _, _ = word_hashes(run, lower=True)
+            yield pd.DataFrame({"id": b["id"].iloc[first:first + len(run)],
+                                "s": [value(shingle_set(h[at[i]:at[i + 1]], width)) for i in range(len(run))]})
 
 
 def _compare(batches: Iterator[pd.DataFrame], share: int) -> Iterator[pd.DataFrame]:
