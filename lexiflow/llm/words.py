@@ -14,7 +14,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 
 #: Texts are handled in runs of about so many bytes, which bounds memory; one longer text is a run of its own.
-RUN_BYTES = 1 << 18
+RUN_BYTES = 1 << 20
 
 _BYTE_BASE = 0x9E3779B97F4A7C15   # odd, so it has an inverse modulo 2**64
 _WORD_BASE = 0xD1B54A32D192ED03
