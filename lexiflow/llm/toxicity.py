@@ -1,12 +1,14 @@
 """Toxicity: noisy-channel restoration of disguised words, then a score.
 
 1. A character trigram model is counted over all documents.
-2. Words that look disguised (digits or signs among letters, letters repeated
-   three times or more, single letters set apart) become lattices: each sign
-   may stand for the letters it resembles or for nothing, a run of a letter for
-   one or two of it.  Viterbi finds the path that the character model and the
-   channel costs like best.
-3. Restored words are looked up, whole or else by their first letters, in a
+2. Words that look disguised (digits or signs among or around letters or in
+   their place, letters repeated three times or more, single letters set apart)
+   become lattices: each sign may stand for the letters it resembles or for
+   nothing, a run of a letter for one or two of it, a space between single
+   letters for a word break or for nothing.  Viterbi finds the READINGS paths
+   that the character model and the channel costs like best.  A number is read
+   as such.
+3. All readings are looked up, whole or else by their first letters, in a
    table of log-odds learned from a bounded sample of labelled documents,
    near copies counted once.  An entry must be more frequent in toxic documents
    than chance explains over all entries tried.  A document's score is the
@@ -17,6 +19,7 @@ Scores use the text alone.
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 import unicodedata
@@ -42,6 +45,8 @@ TOP_WORDS, LEAST, MODEL_ENTRIES = 3, 2.5, 20_000
 DEVIATIONS, SUPPORT, CHANCE = 1.0, 0.001, 0.5
 #: Evidence that a restored word loses, as a disguise may be an accident.
 DISGUISE = 0.5
+#: Readings of a disguised word that are looked up.
+READINGS = 8
 #: Words that a Python worker remembers.
 KEPT = 500_000
 
@@ -51,11 +56,16 @@ LOOKALIKES = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou", "#": "aeiou",
 }
 SWAP_COST, DROP_COST, DOUBLE_COST = 1.0, 2.0, 1.0
+#: Of a sign at a word's edge that is no punctuation (which costs nothing there).
+EDGE_COST = 0.5
 _FILLERS = "*.-_~'`^+#,"
 _STOPS = ".,;:!?\"'()[]{}<>|…«»“”‘’¡¿"
 _SIGNS = _STOPS + "*%&$#-_~`^+=/\\"
 _REPEAT = re.compile(r"(.)\1\1")
-_APART = re.compile(r"(?<!\S)\S(?:[ \t]+\S(?!\S)){2,}")
+_APART = re.compile(rf"(?<!\S)[{re.escape(_STOPS)}]*\S(?:[ \t]+\S(?!\S))+[ \t]+\S[{re.escape(_SIGNS)}]*(?!\S)")
+_EDGES = re.compile("[" + re.escape("".join(LOOKALIKES)) + "]")
+_GAP = re.compile(r"[ \t]+")
+_NUMBER = re.compile(r"[+\-#]?[$€£]?\d+(?:[.,:/'\-]\d+)*[%$€£]?")
 
 
 def _classes() -> tuple[np.ndarray, int]:
@@ -103,62 +113,92 @@ def character_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return np.log(p3).astype(np.float32)
 
 
+_PLAIN = {chr(i): int(c) for i, c in enumerate(CLASS)}
+
+
 def _plain(ch: str) -> int:
-    o = ord(ch)
-    return int(CLASS[o]) if o < CODES else 0
+    return _PLAIN.get(ch, 0)
 
 
 def lattice(word: str) -> list[list[tuple[str, float]]]:
-    """For each sign or run of letters: what it may stand for, and the cost."""
+    """For each sign or run of letters: what it may stand for, and the cost.
+    Signs at the edges may also be dropped; a space may be a break or nothing,
+    two spaces (a wider gap) are more likely a break."""
     out: list[list[tuple[str, float]]] = []
+    first, last = len(word) - len(word.lstrip(_SIGNS)), len(word.rstrip(_SIGNS))
     i = 0
     while i < len(word):
         c, j = word[i], i + 1
         while j < len(word) and word[j] == c:
             j += 1
         if c.isalpha():
-            if j - i == 1:
-                out.append([(c, 0.0)])
-            elif j - i == 2:
-                out.append([(c + c, 0.0)])
+            if j - i <= 2 and i > 0 and len(out[-1]) == 1:     # letters that stand for themselves are one step
+                out[-1] = [(out[-1][0][0] + word[i:j], out[-1][0][1])]
+            elif j - i <= 2:
+                out.append([(word[i:j], 0.0)])
             else:
                 out.append([(c, DOUBLE_COST), (c + c, DOUBLE_COST)])
+        elif c == " ":
+            out.append([(" ", 0.0), ("", 0.0 if j - i == 1 else DROP_COST)])
         else:
             options = [(x, SWAP_COST) for x in LOOKALIKES.get(c, "")]
             if j - i > 1:
                 options += [(x + x, SWAP_COST) for x in LOOKALIKES.get(c, "")]
-            if c in _FILLERS or not options:
+            if i < first or i >= last:
+                options.append(("", 0.0 if c in _STOPS else EDGE_COST))
+            elif c in _FILLERS or not options:
                 options.append(("", DROP_COST if c not in "._-" else 0.5))
             out.append(options)
         i = j
     return out
 
 
-def restore(word: str, model: np.ndarray) -> str:
-    """Viterbi over the word's lattice; states are the last two characters."""
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+def restore(word: str, model: np.ndarray, k: int = READINGS) -> list[str]:
+    """The ``k`` best paths of the word's lattice, best first (Viterbi that keeps
+    ``k`` paths to a state); states are the last two characters."""
+    states: dict[tuple[int, int], list[tuple[float, tuple | None]]] = {(0, 0): [(0.0, None)]}
     for options in lattice(word):
-        after: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, done) in states.items():
+        after: dict[tuple[int, int], list[tuple[float, tuple | None]]] = defaultdict(list)
+        for (a, b), paths in states.items():
             for text, cost in options:
-                x, y, s = a, b, score - cost
+                x, y, s = a, b, -cost
                 for ch in text:
-                    z = _plain(ch)
-                    s += float(model[x, y, z])
+                    z = _PLAIN.get(ch, 0)
+                    s += model.item(x, y, z)
                     x, y = y, z
-                if (x, y) not in after or after[x, y][0] < s:
-                    after[x, y] = (s, done + text)
-        states = after
-    return max((s + float(model[a, b, 0]), t) for (a, b), (s, t) in states.items())[1]
+                after[x, y] += [(score + s, (done, text)) for score, done in paths]
+        states = {at: paths if len(paths) <= k else heapq.nlargest(k, paths, key=lambda p: p[0])
+                  for at, paths in after.items()}
+    ends = [(score + model.item(a, b, 0), done) for (a, b), paths in states.items() for score, done in paths]
+    out = []
+    for _, done in heapq.nlargest(k, ends, key=lambda p: p[0]):
+        parts = []
+        while done is not None:
+            done, text = done
+            parts.append(text)
+        out.append("".join(reversed(parts)))
+    return list(dict.fromkeys(out))
 
 
 def _disguised(word: str) -> bool:
-    """A letter three times running, or letters mixed with signs that may stand
-    for letters (a long word is a key or an address, not a disguise)."""
+    """A letter three times running, letters set apart, or signs that may stand
+    for letters, alone or with letters or fillers.  Not a number, nor what
+    cannot become three letters, as no shorter word is looked up."""
     if word.isalpha():
         return _REPEAT.search(word) is not None
-    return len(word) <= 40 and sum(c.isalpha() for c in word) >= 2 and all(
-        c.isalpha() or c in LOOKALIKES or c in _FILLERS for c in word)
+    if len(word) < 3:
+        return False
+    core = word.strip(_SIGNS)
+    if core.isalpha():
+        if _EDGES.search(word) is None and _REPEAT.search(core) is None and " " not in word:
+            return False
+        if len(core) >= 3:
+            return True
+    elif not all(c.isalpha() or c in LOOKALIKES or c in _FILLERS or c == " " for c in core):
+        return False
+    if all(_NUMBER.fullmatch(w.strip(_STOPS)) for w in word.split()):
+        return False
+    return sum(max(len(text.strip()) for text, _ in options) for options in lattice(word)) >= 3
 
 
 def stems(word: str) -> list[str]:
@@ -167,37 +207,56 @@ def stems(word: str) -> list[str]:
 
 
 def words_of(text: str) -> set[str]:
-    """Distinct lower-cased words, with single letters set apart put together."""
+    """Distinct lower-cased words; single letters set apart also put together,
+    and as they stand (with one space, or two where the gap is wider)."""
     t = unicodedata.normalize("NFKC", text).lower() if not text.isascii() else text.lower()
     found = set(t.split())
-    if sum(len(w) == 1 for w in found) >= 3:
+    if any(len(w) == 1 for w in found):
         for m in _APART.finditer(t):
+            least = min(map(len, _GAP.findall(m.group())))
             found.add("".join(m.group().split()))
+            found.add(_GAP.sub(lambda g: " " if len(g.group()) == least else "  ", m.group()))
     return found
 
 
 class Reader:
-    """Words to restored words, remembered per Python worker."""
+    """Words to restored words."""
 
     def __init__(self, model: np.ndarray):
-        self.model, self.kept = model, {}
+        self.model = model
+
+    def readings(self, word: str) -> list[tuple[tuple[str, ...], bool]]:
+        """What a word may be, best first (single letters set apart may be
+        several words), and whether more than its edges differs."""
+        plain = word if word.isalpha() else word.strip(_SIGNS)
+        if not _disguised(word):
+            return [(tuple(plain.split()), False)]
+        texts = restore(word, self.model)
+        if plain.isalpha() and plain not in texts and _REPEAT.search(plain) is None:
+            texts.append(plain)
+        return [(tuple(t.split()), t != plain) for t in texts]
 
     def read(self, word: str) -> tuple[str, bool]:
-        w = word if word.isalpha() else word.lstrip(_STOPS).rstrip(_SIGNS)
-        if _disguised(w):
-            return restore(w, self.model), True
-        return (w if w.isalpha() else w.lstrip(_SIGNS)), False
+        words, changed = self.readings(word)[0]
+        return " ".join(words), changed
 
 
 def _fit_counts(batches: Iterator[pd.DataFrame], model: np.ndarray, wanted: frozenset | None, without: frozenset | None):
     """Documents with each word, or (``without`` given) with each stem of other
     words than those; under the empty feature all documents."""
     reader, seen, total = Reader(model), Counter(), 0
+    kept: dict[str, list[str]] = {}
     for b in batches:
         for t in b["text"]:
             total += 1
             if isinstance(t, str):
-                f = {w for w in (reader.read(w)[0] for w in words_of(t)) if len(w) >= 3}
+                f = set()
+                for word in words_of(t):
+                    if word not in kept:
+                        if len(kept) >= KEPT:
+                            kept.clear()
+                        kept[word] = [w for words, _ in reader.readings(word) for w in words if len(w) >= 3]
+                    f.update(kept[word])
                 if without is not None:
                     f = {x for w in f - without for x in stems(w)}
                 seen.update(f if wanted is None else f & wanted)
@@ -225,13 +284,21 @@ class Scorer:
             self.reader, self.kept = Reader(self.model), {}
         return self
 
-    def evidence(self, word: str) -> tuple[float, str]:
+    def evidence(self, word: str) -> tuple[tuple[float, str], ...]:
+        """Evidence and restored word, or words, of the strongest reading."""
         if word not in self.kept:
             if len(self.kept) >= KEPT:
                 self.kept.clear()
-            w, changed = self.reader.read(word)
-            found = [self.odds[w]] if w in self.odds else [self.odds[f] for f in stems(w) if f in self.odds]
-            self.kept[word] = (max(found) - DISGUISE * changed, w) if found else (0.0, "")
+            strongest: tuple[tuple[float, str], ...] = ()
+            for words, changed in self.reader.readings(word):
+                pairs = []
+                for w in words:
+                    found = [self.odds[w]] if w in self.odds else [self.odds[f] for f in stems(w) if f in self.odds]
+                    if found and max(found) > DISGUISE * changed:
+                        pairs.append((max(found) - DISGUISE * changed, w))
+                if sum(e for e, _ in pairs) > sum(e for e, _ in strongest):
+                    strongest = tuple(pairs)
+            self.kept[word] = strongest
         return self.kept[word]
 
     def score(self, text: str | None) -> float:
@@ -239,9 +306,12 @@ class Scorer:
         if isinstance(text, str):
             kept = self.kept
             for w in words_of(text):
-                e = kept.get(w) or self.evidence(w)
-                if e[0] > 0:
-                    best[e[1]] = max(best[e[1]], e[0])
+                pairs = kept.get(w)
+                if pairs is None:
+                    pairs = self.evidence(w)
+                if pairs:
+                    for e, word in pairs:
+                        best[word] = max(best[word], e)
         x = self.prior + sum(sorted(best.values())[-TOP_WORDS:])
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 

@@ -216,6 +216,29 @@ def test_restore():
     assert "stupid" in toxicity.words_of("so s t u p i d x1")
 
 
+def test_disguises():
+    """Signs at the edges, words almost without letters, long words, spaced words of few different letters."""
+    def model(*texts):
+        m = np.zeros((toxicity.N_CLASSES,) * 3, np.float32) - 3
+        for t in texts:
+            path = [0, 0, *[toxicity._plain(c) for c in t], 0]
+            for a, b, c in zip(path, path[1:], path[2:]):
+                m[a, b, c] = -0.1
+        return m
+
+    for raw, word in (("!diot", "idiot"), ("idio+", "idiot"), ("jacka$$", "jackass"), ("5h17", "shit"), ("@$$", "ass"),
+                      ("stupid!", "stupid"), ("*stupid*", "stupid"), ("$tupid!", "stupid"), ("455", "455"),
+                      ("st0pid" * 10, "stopid" * 10)):
+        assert toxicity.Reader(model(word)).read(raw)[0] == word
+    assert "ass" in toxicity.words_of("so a s s")
+    runs = [w for w in toxicity.words_of("you are a s t u p i d! person") if " " in w]
+    assert [toxicity.Reader(model("a stupid")).read(w)[0] for w in runs] == ["a stupid"]
+    scorer = toxicity.Scorer(model("a stupid", "idiot"), {"stupid": 9.0, "idiot": 9.0}, -3.0).start()
+    for text in ("you are a s t u p i d person", "what an !diot", "an idio+", "stupid!"):
+        assert scorer.score(text) >= 0.5
+    assert scorer.score("a b c d and 455") < 0.5
+
+
 def test_classifiers(docs, labels, spark):
     t = toxicity.toxicity(docs, labels).collect()
     assert len(t) == docs.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in t)
