@@ -4,14 +4,15 @@ Pages that a rule covers are the labelled ones.  The others are judged by the
 template of their path: digits and long hexadecimal runs are masked, each
 path is a branch of its host's tree, and level by level
 
-* a value without labelled pages becomes the wildcard ``*``;
-* a labelled value seen on fewer than MIN_PAGES pages, or whose share of blocked
+* where a segment varies (MIN_VALUES values or more that are seen on fewer than
+  MIN_PAGES pages each), these values, labelled or not, become the wildcard ``*``;
+* another labelled value seen on fewer than MIN_PAGES pages, or whose share of blocked
   pages does not differ from that of its labelled siblings (two-proportion
   test, |z| < 1.96), is merged with them into ``~``;
 * any other value stays as it is.
 
-So an unlabelled value never inherits the verdict of a sibling that only
-happens to stand under the same host.
+So an unlabelled value that is seen often, or has few siblings, never inherits
+the verdict of one that only happens to stand under the same host.
 
 Templates are rejected by smoothed purity: (blocked + 1) / (labelled + 2) of
 at least PURITY.  Without labelled pages a template has 0.5 and is allowed.
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ..storage import materialize
 
-MIN_PAGES = 8
+MIN_PAGES, MIN_VALUES = 8, 8
 Z2 = 1.96 * 1.96
 PURITY = 0.75
 #: Levels of the tree; what lies deeper is one tail ``**``.
@@ -123,14 +124,16 @@ def _generalise(tree: DataFrame, node: list[str], value: str, name: str) -> Data
     """Add ``name``: what the branch ``value`` under ``node`` becomes."""
     child = tree.groupBy(*node, value).agg(F.sum("n").alias("cn"), F.sum("labelled").alias("cl"),
                                            F.sum("blocked").alias("cb"))
-    parent = child.groupBy(*node).agg(F.sum("cl").alias("pl"), F.sum("cb").alias("pb"))
+    seldom = F.col(value).isNotNull() & (F.col("cn") < MIN_PAGES)
+    parent = child.groupBy(*node).agg(F.sum("cl").alias("pl"), F.sum("cb").alias("pb"), F.count_if(seldom).alias("varied"))
     both = _join(child, parent, node)
     others, others_b = F.col("pl") - F.col("cl"), F.col("pb") - F.col("cb")
     share = F.col("pb") / F.col("pl")
     gap = F.col("cb") / F.col("cl") - others_b / others
     similar = (others > 0) & (gap * gap <= F.lit(Z2) * share * (1 - share) * (1.0 / F.col("cl") + 1.0 / others))
     became = (F.when(F.col(value).isNull(), F.lit(None).cast("string"))
-               .when(F.col("cl") == 0, F.lit("*"))
+               .when(seldom & (F.col("varied") >= MIN_VALUES), F.lit("*"))
+               .when(F.col("cl") == 0, F.col(value))
                .when((F.col("cn") < MIN_PAGES) | similar, F.lit("~")).otherwise(F.col(value)))
     # written, so that the plan of one level does not repeat those before it
     return materialize(_join(tree, both.select(*node, value, became.alias(name)), [*node, value]), "url-tree")

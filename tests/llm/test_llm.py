@@ -168,6 +168,20 @@ def test_urls(spark):
     assert (got[2].host, got[2].path, got[4].host, got[9].path) == ("b.example.com", "/en/1", "", "")
 
 
+def test_url_templates(spark):
+    """Pages that only the tree judges: varied segments share their labels, settled ones do not."""
+    paths = [("varied.net", f"{s}/{i}") for s in ("es", "fr") for i in range(7)]
+    paths += [("varied.net", f"{'abcdefghij'[k] * 3}/{k}") for k in range(10)]
+    paths += [("settled.net", f"{s}/{i}") for s in ("es", "fr", "en", "de") for i in range(20)]
+    paths += [("plain.org", f"{'abcdefghij'[k] * 3}/{k}") for k in range(10)]
+    got = urls.judge_pages(spark.createDataFrame([(i, f"http://{h}/{p}") for i, (h, p) in enumerate(paths)],
+                                                 "page_id long, url string"), URL_RULES).collect()
+    assert len(got) == len(paths)
+    judged = {(r.host, r.verdict, r.template, r.purity) for r in got if r.rule is None}
+    assert judged == {("varied.net", "block", "varied.net/*/{n}", 15 / 16), ("plain.org", "allow", "plain.org/*/{n}", 0.5),
+                      ("settled.net", "allow", "settled.net/en/{n}", 0.5), ("settled.net", "allow", "settled.net/de/{n}", 0.5)}
+
+
 def vector_table(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(300, 8))
