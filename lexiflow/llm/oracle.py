@@ -72,3 +72,59 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(l.n_removed, 0) A
        sha256(coalesce(l.kept, '')) AS kept_sha256
 FROM worded d LEFT JOIN left_over l ON d.doc_id = l.doc_id
 """
+
+#: CRC-32 of a short ASCII text, by the bitwise rule (reversed polynomial 0xEDB88320).
+_CRC32 = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split({text}, ''), lambda ch: CAST(ascii(ch) AS BIGINT))),
+  lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), CAST(range(8) AS BIGINT[])),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)), 4294967295)"""
+
+
+def _encoded(value: str) -> str:
+    return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_encoded(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+def _tree(name: str, leaves: str) -> str:
+    """Nodes (g, level, i, h) of 8-ary trees over ``leaves`` (g, i, h), then what
+    lies left and right of each node that has a parent."""
+    return f"""
+{name}_nodes(g, level, i, h) AS (
+  SELECT g, 0, i, h FROM {leaves}
+  UNION ALL
+  SELECT g, any_value(level) + 1, i // 8, sha256(string_agg(h, '' ORDER BY i))
+  FROM (SELECT *, count(*) OVER (PARTITION BY g) AS c FROM {name}_nodes) WHERE c > 1 GROUP BY g, i // 8),
+{name}_steps AS (
+  SELECT a.g, a.level, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l,
+         coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS r
+  FROM {name}_nodes a JOIN {name}_nodes b ON a.g = b.g AND a.level = b.level AND a.i // 8 = b.i // 8
+  WHERE a.level < (SELECT max(t.level) FROM {name}_nodes t WHERE t.g = a.g)
+  GROUP BY a.g, a.level, a.i)"""
+
+
+MERKLE = f"""
+WITH RECURSIVE hashed AS (
+  SELECT coalesce('=' || lang, '') AS g, doc_id, {_leaf('text')} AS h,
+         CASE WHEN {_CRC32.format(text="CAST(doc_id AS VARCHAR)")} % 3 = 0 THEN {_leaf(_LOWER)} END AS changed FROM documents),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS i FROM hashed),
+{_tree("part", "leaves")},
+subroots AS (SELECT g, arg_max(h, level) AS h FROM part_nodes GROUP BY g),
+tops AS (SELECT '' AS g, row_number() OVER (ORDER BY encode(g)) - 1 AS i, h, g AS part FROM subroots),
+{_tree("all", "(SELECT g, i, h FROM tops)")},
+root AS (SELECT arg_max(h, level) AS root FROM all_nodes),
+ways AS (
+  SELECT x.g, x.i, s.level, s.l, s.r FROM leaves x JOIN part_steps s ON s.g = x.g AND s.i = x.i // CAST(pow(8, s.level) AS BIGINT)
+  UNION ALL
+  SELECT x.g, x.i, 1000 + s.level, s.l, s.r FROM leaves x JOIN tops t ON t.part = x.g
+    JOIN all_steps s ON s.i = t.i // CAST(pow(8, s.level) AS BIGINT)),
+paths AS (SELECT g, i, list({{'l': l, 'r': r, 'h': ''}} ORDER BY level) AS path FROM ways GROUP BY g, i),
+folded AS (
+  SELECT x.doc_id, x.h AS leaf, s.h AS subroot, root.root,
+         sha256(array_to_string(list_transform(coalesce(path, []), lambda p: p.l || p.r), '')) AS proof_sha256,
+         list_reduce(list_prepend({{'l': '', 'r': '', 'h': coalesce(x.changed, x.h)}}, coalesce(path, [])),
+                     lambda a, p: {{'l': '', 'r': '', 'h': sha256(p.l || a.h || p.r)}}).h AS folded_root
+  FROM leaves x JOIN subroots s ON s.g = x.g CROSS JOIN root LEFT JOIN paths p ON p.g = x.g AND p.i = x.i)
+SELECT *, folded_root = root AS verified FROM folded
+"""

@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.documents import read_table
-from . import jaccard, neighbours, oracle, packing, pieces, quality, samples, sharding, substrings, toxicity, urls, vector_dedup
+from . import jaccard, merkle, neighbours, oracle, packing, pieces, quality, samples, sharding, substrings, toxicity, urls, vector_dedup
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {"op1_vector_dedup": oracle.VECTOR_DEDUP, "op4_ngram_jaccard": oracle.NGRAM_JACCARD,
-                        "op8_substring_dedup": oracle.SUBSTRING_DEDUP}
+                        "op8_substring_dedup": oracle.SUBSTRING_DEDUP, "op12_merkle_manifest": oracle.MERKLE}
 
 #: Fixed values of the URL query.
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"),
@@ -91,3 +91,8 @@ def op2_sentencepiece(spark, sf):
 @_query
 def op9_neighbours(spark, sf):
     return neighbours.search(read_table(spark, sf, "embeddings"))
+
+
+@_query
+def op12_merkle_manifest(spark, sf):
+    return merkle.manifest_of_documents(read_table(spark, sf, "documents"))

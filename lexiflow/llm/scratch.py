@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ..storage import release, scratch_path
+from ..storage import materialize, release, scratch_path
 
 
 class Scratch:
@@ -27,6 +27,10 @@ class Scratch:
         self.paths.setdefault(name, []).append(path)
         return spark.read.schema(df.schema).parquet(path)
 
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """A written table that outlives the block: the result."""
+        return materialize(df, name)
+
     def drop(self, *names: str) -> None:
         """Remove these tables before the block ends."""
         for name in names:
