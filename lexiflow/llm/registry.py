@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.documents import read_table
-from . import dialogues, jaccard, merkle, neighbours, oracle, packing, pieces, quality, samples, sharding, substrings, toxicity, urls, vector_dedup
+from . import dialogues, jaccard, licenses, merkle, neighbours, oracle, packing, pieces, quality, samples, sharding, substrings, toxicity, urls, vector_dedup
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {"op1_vector_dedup": oracle.VECTOR_DEDUP, "op4_ngram_jaccard": oracle.NGRAM_JACCARD,
@@ -101,3 +101,8 @@ def op12_merkle_manifest(spark, sf):
 @_query
 def op13_conversation_repair(spark, sf):
     return dialogues.digest(read_table(spark, sf, "conversations"))
+
+
+@_query
+def op11_license_scan(spark, sf):
+    return licenses.digest(read_table(spark, sf, "documents"))
