@@ -20,12 +20,16 @@ def col_(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# The characters that ``\s`` stands for.
+WHITESPACE = " \t\n\x0b\f\r"
+
+
 def rstrip_ws(c: str | Column) -> Column:
-    return F.regexp_replace(col_(c), r"\s+$", "")
+    return F.rtrim(col_(c), F.lit(WHITESPACE))
 
 
 def strip_ws(c: str | Column) -> Column:
-    return F.regexp_replace(col_(c), r"^\s+|\s+$", "")
+    return F.trim(col_(c), F.lit(WHITESPACE))
 
 
 def token_array(text: str | Column) -> Column:

@@ -1,52 +1,35 @@
-"""Collocations of a node word -- no self-join.
+"""Collocations of a node word -- no self-join, no window.
 
-For every unit, the number of node hits within reach is a sum over a
-bounded rows frame (``sum(is_node)`` over the following units that can see
-it as a preceding collocate, and the preceding units that can see it as a
-following collocate).  Frames are evaluated per ``(doc, block)`` with
-context rows, then one aggregation by (Token, Tag) yields both the span and
-the total frequency.  N and f(node) come from that (vocabulary-sized) table.
+For every word, the number of nodes within reach is read from its sequence's
+array (``operators.docrows``); one aggregation by (Token, Tag) yields both the
+span and the total frequency.  N and f(node) are scalar subqueries over that
+vocabulary-sized result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import materialize
-from .ngrams import ordered_units, validate_node_word
-from .sequence import with_context
-from .units import is_punct_unit
+from .docrows import near_nodes
+from .ngrams import validate_node_word
 
 STATISTICS = ("pmi", "npmi", "pmi2", "pmi3")
 
 
-def node_predicate(node_word: str, node_tag: str | None = None) -> Column:
-    cond = F.col("Token") == F.lit(node_word.lower())
-    if node_tag:
-        cond = cond & F.col("Tag").startswith(node_tag)
-    return cond
-
-
-def span_counts(units: DataFrame, node_word: str, node_tag: str | None = None, preceding: int = 4,
-                following: int = 4, kind: str = "pos") -> DataFrame:
-    """(Token, Tag, freq_span, freq_total, is_node_key) over units that count."""
+def span_counts(sequences: DataFrame, node_word: str, node_tag: str | None = None, preceding: int = 4,
+                following: int = 4) -> DataFrame:
+    """(Token, Tag, freq_span, freq_total, _is_node) over words (units that are no punctuation)."""
     validate_node_word(node_word)
     if not (0 <= preceding <= 9 and 0 <= following <= 9):
         raise ValueError("reach must be between 0 and 9")
-    u = units.filter(~is_punct_unit(kind))
-    u = ordered_units(u).withColumn("_node", node_predicate(node_word, node_tag).cast("int"))
-    u = with_context(u, "ord", before=following, after=preceding)
-    w = Window.partitionBy("doc_id", "_blk").orderBy("ord")
-    weight = F.lit(0)
-    if preceding > 0:   # the unit precedes a node by 1..preceding
-        weight = weight + F.coalesce(F.sum("_node").over(w.rowsBetween(1, preceding)), F.lit(0))
-    if following > 0:   # the unit follows a node by 1..following
-        weight = weight + F.coalesce(F.sum("_node").over(w.rowsBetween(-following, -1)), F.lit(0))
-    u = u.withColumn("_wt", weight).filter("_own")
-    return u.groupBy("Token", "Tag").agg(
-        F.sum("_wt").cast("long").alias("freq_span"), F.count(F.lit(1)).alias("freq_total"),
-        F.max("_node").alias("_is_node"))
+
+    def is_node(w):
+        cond = w["Token"] == F.lit(node_word.lower())
+        return cond & w["Tag"].startswith(node_tag) if node_tag else cond
+
+    return near_nodes(sequences, is_node, preceding, following).groupBy("Token", "Tag").agg(
+        F.sum("nodes").alias("freq_span"), F.count(F.lit(1)).alias("freq_total"), F.max("is_node").alias("_is_node"))
 
 
 def association(freq_span: Column, freq_total: Column, f_node: Column, n: Column, statistic: str) -> Column:
@@ -63,14 +46,12 @@ def association(freq_span: Column, freq_total: Column, f_node: Column, n: Column
     raise ValueError(f"statistic must be one of {STATISTICS}")
 
 
-def coll_table(units: DataFrame, node_word: str, node_tag: str | None = None, preceding: int = 4,
-               following: int = 4, statistic: str = "npmi", kind: str = "pos") -> DataFrame:
+def coll_table(sequences: DataFrame, node_word: str, node_tag: str | None = None, preceding: int = 4,
+               following: int = 4, statistic: str = "npmi") -> DataFrame:
     """Token, Tag, freq_span, freq_total, mi -- collocates with freq_span > 0."""
-    counts = materialize(span_counts(units, node_word, node_tag, preceding, following, kind), "coll-counts")
-    n, f_node = counts.agg(F.sum("freq_total"), F.sum(F.when(F.col("_is_node") == 1, F.col("freq_total")))).first()
-    if not f_node:
-        return counts.limit(0).select("Token", "Tag", "freq_span", "freq_total", F.lit(None).cast("double").alias("mi"))
-    n_c, f_c = F.lit(float(n)), F.lit(float(f_node))
-    return (counts.filter(F.col("freq_span") > 0)
+    counts = span_counts(sequences, node_word, node_tag, preceding, following)
+    totals = counts.select(F.struct(F.sum("freq_total").cast("double").alias("n"),
+                                    F.sum(F.when(F.col("_is_node") == 1, F.col("freq_total"))).cast("double").alias("f"))).scalar()
+    return (counts.filter(F.col("freq_span") > 0).withColumn("_t", totals)
                   .select("Token", "Tag", "freq_span", "freq_total",
-                          association(F.col("freq_span"), F.col("freq_total"), f_c, n_c, statistic).alias("mi")))
+                          association(F.col("freq_span"), F.col("freq_total"), F.col("_t.f"), F.col("_t.n"), statistic).alias("mi")))

@@ -1,8 +1,10 @@
 """Single-document views, built for all documents at once,
 and tagged-text rendering (§2.11).
 
-Character offsets are running sums over units in order; they use the
-blocked prefix sum (a long document never lands in one task).
+Whole document rows (``operators.tagging``) are viewed in place: character
+offsets are running sums inside the document's array, texts are joined in the
+row, and nothing is shuffled.  Unit rows of any origin, documents larger than a
+row included, take the blocked prefix sum instead.
 """
 
 from __future__ import annotations
@@ -13,29 +15,73 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tags import OTHER, PUNCT_TAG, UNCLASSIFIED_TAG, UNTAGGED, simplify_tag
-from ..functions.text import strip_ws
+from ..functions.text import WHITESPACE, strip_ws
 from .sequence import dense_rank_in_doc, prefix_sum
+from .tagging import in_chunks, unit_text
 
 NOT_WRAPPED = {"pos": PUNCT_TAG, "simple": OTHER, "ds": UNTAGGED}
 
 
+def running_sums(values: Column) -> Column:
+    """Inclusive running sums of an array: a fold over chunks carries the sum,
+    the fold inside a chunk appends, so long arrays stay near-linear."""
+    def inner(s0, chunk):
+        return F.aggregate(chunk, F.struct(s0.alias("s"), F.array().cast("array<bigint>").alias("o")), lambda acc, x: F.struct(
+            (acc["s"] + x).alias("s"), F.array_append(acc["o"], acc["s"] + x).alias("o")))
+
+    init = F.struct(F.lit(0).cast("long").alias("s"), F.array().cast("array<array<bigint>>").alias("parts"))
+    return F.flatten(F.aggregate(in_chunks(values, "array<bigint>"), init, lambda acc, ch: F.transform(
+        F.array(inner(acc["s"], ch)),
+        lambda r: F.struct(r["s"].alias("s"), F.array_append(acc["parts"], r["o"]).alias("parts")))[0])["parts"])
+
+
+def _viewed(tag: Column, view: str) -> Column:
+    return simplify_tag(tag) if view == "simple" else tag
+
+
+def _span_text(utext: Column, tag: Column, plain: str) -> Column:
+    """A unit as HTML: wrapped unless it has the view's plain tag; one trailing whitespace stays."""
+    token, last = strip_ws(utext), F.right(utext, F.lit(1))
+    wrapped = F.concat(F.lit('<span class="'), tag, F.lit('">'), token, F.lit("</span>"))
+    return F.concat(F.when(tag != F.lit(plain), wrapped).otherwise(token), F.when(last.isin(*WHITESPACE), last).otherwise(F.lit("")))
+
+
 def doc_spans(units: DataFrame, view: str = "pos") -> DataFrame:
     """(doc_id, pos, token, Tag, tag_start, tag_end, Text) per unit.
 
     ``units`` are POS units for views 'pos'/'simple' (simplified after the
     units are formed) and DS units for 'ds'."""
-    u = units
-    if view == "simple":
-        u = u.withColumn("Tag", simplify_tag("Tag"))
-    plain = NOT_WRAPPED[view]
-    u = (u.withColumn("_ws", F.regexp_extract("utext", r"(\s)\z", 1))
-          .withColumn("token", strip_ws("utext"))
-          .withColumn("_len", F.length("token").cast("long")))
-    u = prefix_sum(u, ["doc_id"], "pos", F.col("_len"), "tag_end")
-    wrapped = F.concat(F.lit('<span class="'), F.col("Tag"), F.lit('">'), F.col("token"), F.lit("</span>"))
-    text = F.concat(F.when(F.col("Tag") != F.lit(plain), wrapped).otherwise(F.col("token")), F.col("_ws"))
-    return u.select("doc_id", "pos", "token", "Tag", (F.col("tag_end") - F.col("_len")).alias("tag_start"),
-                    "tag_end", text.alias("Text"))
+    u = units.withColumn("Tag", _viewed(F.col("Tag"), view)).withColumn("token", strip_ws("utext"))
+    u = prefix_sum(u, ["doc_id"], "pos", F.length("token").cast("long"), "tag_end")
+    return u.select("doc_id", "pos", "token", "Tag", (F.col("tag_end") - F.length("token")).alias("tag_start"),
+                    "tag_end", _span_text(F.col("utext"), F.col("Tag"), NOT_WRAPPED[view]).alias("Text"))
+
+
+def row_units(rows: DataFrame, view: str) -> DataFrame:
+    """(doc_id, us): the units of whole document rows as struct(pos, utext, Tag)."""
+    if view == "ds":
+        us = F.transform("units", lambda u: F.struct(u["pos"].alias("pos"), unit_text(u).alias("utext"), u["tag"].alias("Tag")))
+    else:
+        both = F.zip_with("toks", "tags", lambda t, tag: F.struct(t.alias("utext"), tag.alias("Tag")))
+        us = F.transform(both, lambda x, i: F.struct(i.cast("long").alias("pos"), x["utext"].alias("utext"), x["Tag"].alias("Tag")))
+    return rows.filter("n > 0").select("doc_id", us.alias("us"))
+
+
+def doc_spans_in_rows(rows: DataFrame, view: str = "pos") -> DataFrame:
+    """``doc_spans`` of whole document rows."""
+    lengths = F.transform("us", lambda u: F.length(strip_ws(u["utext"])).cast("long"))
+    d = row_units(rows, view).withColumn("_l", lengths).withColumn("_e", running_sums(F.col("_l")))
+    d = d.select("doc_id", "_e", F.posexplode_outer("us").alias("_i", "u")).filter("u IS NOT NULL")
+    token, tag, end = strip_ws(F.col("u.utext")), _viewed(F.col("u.Tag"), view), F.get("_e", F.col("_i"))
+    return d.select("doc_id", F.col("u.pos").alias("pos"), token.alias("token"), tag.alias("Tag"),
+                    (end - F.length(token)).alias("tag_start"), end.alias("tag_end"),
+                    _span_text(F.col("u.utext"), tag, NOT_WRAPPED[view]).alias("Text"))
+
+
+def doc_html_in_rows(rows: DataFrame, view: str = "ds") -> DataFrame:
+    """One HTML string per whole document row."""
+    return row_units(rows, view).select("doc_id", F.array_join(F.transform(
+        "us", lambda u: _span_text(u["utext"], _viewed(u["Tag"], view), NOT_WRAPPED[view])), "").alias("html"))
 
 
 def ordered_join(value: str, order: str, sep: str = "") -> Column:
@@ -48,11 +94,12 @@ def doc_html(spans: DataFrame) -> DataFrame:
 
 
 def doc_tag_counts(units: DataFrame, view: str = "pos") -> DataFrame:
-    """(doc_id, Tag, AF, RF %) without the view's plain tag."""
-    u = units.withColumn("Tag", simplify_tag("Tag")) if view == "simple" else units
+    """(doc_id, Tag, AF, RF %) without the view's plain tag; per document by AF descending, then Tag."""
+    u = units.withColumn("Tag", _viewed(F.col("Tag"), view))
     c = u.filter(F.col("Tag") != F.lit(NOT_WRAPPED[view])).groupBy("doc_id", "Tag").agg(F.count(F.lit(1)).alias("AF"))
     tot = c.groupBy("doc_id").agg(F.sum("AF").alias("_t"))
-    return c.join(tot, "doc_id").select("doc_id", "Tag", "AF", (F.col("AF") / F.col("_t") * 100).alias("RF"))
+    return (c.join(tot, "doc_id").select("doc_id", "Tag", "AF", (F.col("AF") / F.col("_t") * 100).alias("RF"))
+             .orderBy("doc_id", F.col("AF").desc(), "Tag"))
 
 
 def doc_tag_positions(units: DataFrame, tags: Sequence[str], dense: bool = False) -> DataFrame:
@@ -63,11 +110,31 @@ def doc_tag_positions(units: DataFrame, tags: Sequence[str], dense: bool = False
              .select("doc_id", "pos", "Tag", ((F.col("ord") + 1) / F.col("_n")).alias("X")))
 
 
+def doc_tag_positions_in_rows(rows: DataFrame, tags: Sequence[str], view: str = "ds") -> DataFrame:
+    """``doc_tag_positions`` of whole document rows."""
+    d = row_units(rows, view).select("doc_id", F.size("us").alias("_n"), F.posexplode_outer("us").alias("_i", "u")).filter("u IS NOT NULL")
+    return (d.filter(F.col("u.Tag").isin(list(tags)))
+             .select("doc_id", F.col("u.pos").alias("pos"), F.col("u.Tag").alias("Tag"), ((F.col("_i") + 1) / F.col("_n")).alias("X")))
+
+
+def _tagged_item(utext: Column, tag: Column, kind: str) -> Column:
+    plain = [PUNCT_TAG, UNCLASSIFIED_TAG] if kind == "pos" else [UNTAGGED]
+    tok = F.replace(strip_ws(utext), F.lit(" "), F.lit("_"))
+    return F.when(tag.isin(plain), tok).otherwise(F.concat(tok, F.lit("|"), tag))
+
+
+def _with_file_name(texts: DataFrame) -> DataFrame:
+    return texts.select("doc_id", F.concat(F.col("doc_id"), F.lit("_tagged.txt")).alias("file_name"), "text")
+
+
 def tagged_text(units: DataFrame, kind: str = "pos") -> DataFrame:
     """(doc_id, file_name, text): units stripped, spaces -> '_', ``tok|TAG``
     except Y/FU (POS) or Untagged (DS); one space between units."""
-    plain = [PUNCT_TAG, UNCLASSIFIED_TAG] if kind == "pos" else [UNTAGGED]
-    tok = F.regexp_replace(strip_ws("utext"), " ", "_")
-    item = F.when(F.col("Tag").isin(plain), tok).otherwise(F.concat(tok, F.lit("|"), F.col("Tag")))
-    return (units.withColumn("_item", item).groupBy("doc_id").agg(ordered_join("_item", "pos", " ").alias("text"))
-                 .select("doc_id", F.concat(F.col("doc_id"), F.lit("_tagged.txt")).alias("file_name"), "text"))
+    items = units.withColumn("_item", _tagged_item(F.col("utext"), F.col("Tag"), kind))
+    return _with_file_name(items.groupBy("doc_id").agg(ordered_join("_item", "pos", " ").alias("text")))
+
+
+def tagged_text_in_rows(rows: DataFrame, kind: str = "pos") -> DataFrame:
+    """``tagged_text`` of whole document rows."""
+    return _with_file_name(row_units(rows, kind).select("doc_id", F.array_join(F.transform(
+        "us", lambda u: _tagged_item(u["utext"], u["Tag"], kind)), " ").alias("text")))

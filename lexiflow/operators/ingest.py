@@ -106,3 +106,9 @@ def load_bundle(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(f"{path.rstrip('/')}/{n}") for n in BUNDLE_TABLES}
 
 
+
+
+def load_optional(spark: SparkSession, path: str, name: str) -> DataFrame | None:
+    """A further table of a bundle, if it is there."""
+    table = f"{path.rstrip('/')}/{name}"
+    return spark.read.parquet(table) if table_exists(spark, table) else None

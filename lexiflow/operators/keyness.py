@@ -1,10 +1,10 @@
 """Keyness between two corpora or two parts of one corpus.
 
-Instead of building two frequency tables and a full outer join, both sides
-are tagged with a ``side`` flag, unioned, and rolled up in one two-level
-aggregation with conditional sums: one shuffle on (doc, key), one on key.
-Totals (N1, N2, document counts) are scalar subqueries that reuse the same
-shuffle.
+Instead of building two frequency tables and a full outer join, the counting
+rows of both sides (``operators.freq``) are tagged with a ``side`` flag,
+unioned, and summed in one aggregation on the key: one vocabulary-sized
+shuffle.  N1, N2 and the document counts are one scalar subquery over that
+result, so nothing runs while the plan is built.
 """
 
 from __future__ import annotations
@@ -16,33 +16,30 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import LL_CRITICAL, erfc, xlogx_ratio
 from ..functions.tags import UNCLASSIFIED_TAG, UNTAGGED
-from ..storage import materialize
+from .freq import document_marks, unit_counts
 
 
 def side_counts(target: DataFrame, reference: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys..., AF, AF_Ref, D, D_Ref) from two unit tables."""
-    keys = list(keys)
-    u = (target.select("doc_id", *keys, F.lit(True).alias("_t"))
-               .unionByName(reference.select("doc_id", *keys, F.lit(False).alias("_t"))))
-    return side_counts_flagged(u, keys)
-
-
-def side_counts_flagged(u: DataFrame, keys: Sequence[str], flag: str = "_t") -> DataFrame:
-    base = u.groupBy(flag, "doc_id", *keys).agg(F.count(F.lit(1)).alias("n"))
-    t = F.col(flag)
-    return base.groupBy(*keys).agg(
-        F.sum(F.when(t, F.col("n")).otherwise(0)).cast("long").alias("AF"),
-        F.sum(F.when(~t, F.col("n")).otherwise(0)).cast("long").alias("AF_Ref"),
-        F.count_if(t).alias("D"), F.count_if(~t).alias("D_Ref"))
-
-
-def keyness_stats(counts: DataFrame, n1: Column, n2: Column, d1: Column, d2: Column, per: float) -> DataFrame:
-    # The four totals are scalar subqueries; bind each to a column once so
-    # the arithmetic below references columns, not repeated subqueries.
-    keys = [c for c in counts.columns if c not in ("AF", "AF_Ref", "D", "D_Ref")]
-    counts = counts.select("*", n1.cast("double").alias("_n1"), n2.cast("double").alias("_n2"),
-                           d1.cast("double").alias("_d1"), d2.cast("double").alias("_d2"))
-    n1, n2, d1, d2 = F.col("_n1"), F.col("_n2"), F.col("_d1"), F.col("_d2")
+    """(keys..., AF, AF_Ref, D, D_Ref) from the counting rows of two corpora;
+    the row with null keys has the document counts."""
+    u = (target.select(*keys, "n", "docs", F.lit(True).alias("_t"))
+               .unionByName(reference.select(*keys, "n", "docs", F.lit(False).alias("_t"))))
+    t = F.col("_t")
+    part = lambda side, c: F.coalesce(F.sum(F.when(side, F.col(c))), F.lit(0)).cast("long")
+    return u.groupBy(*keys).agg(part(t, "n").alias("AF"), part(~t, "n").alias("AF_Ref"),
+                                part(t, "docs").alias("D"), part(~t, "docs").alias("D_Ref"),
+                                F.max(F.col(keys[0]).isNotNull()).alias("_key"))
+
+
+def keyness_stats(counts: DataFrame, per: float) -> DataFrame:
+    keys = [c for c in counts.columns if c not in ("AF", "AF_Ref", "D", "D_Ref", "_key")]
+    key = F.col("_key")
+    marked = lambda c: F.max(F.when(~key, F.col(c))).cast("double")
+    whole = lambda c: F.sum(F.when(key, F.col(c))).cast("double")
+    totals = counts.select(F.struct(whole("AF").alias("n1"), whole("AF_Ref").alias("n2"), marked("D").alias("d1"),
+                                    marked("D_Ref").alias("d2"))).scalar()
+    counts = counts.filter(key).withColumn("_t", totals)
+    n1, n2, d1, d2 = (F.col(f"_t.{c}") for c in ("n1", "n2", "d1", "d2"))
     o1, o2 = F.col("AF").cast("double"), F.col("AF_Ref").cast("double")
     tot = n1 + n2
     e1 = n1 * (o1 + o2) / tot
@@ -72,29 +69,21 @@ def significance_filter(df: DataFrame, threshold: float = 0.05, direction: str =
     return df.filter(keep)
 
 
-def keyness_table(target: DataFrame, reference: DataFrame, ndocs_t: Column, ndocs_r: Column,
-                  tags_only: bool = False, threshold: float = 0.05, direction: str = "positive",
-                  swap_target: bool = False) -> DataFrame:
-    """Keyness of target units against reference units.
-
-    ``target``/``reference`` are unit tables (doc_id, Token, Tag, ...).
-    """
+def keyness(target: DataFrame, reference: DataFrame, tags_only: bool = False, threshold: float = 0.05,
+            direction: str = "positive", swap_target: bool = False) -> DataFrame:
+    """Keyness of the counting rows of a target corpus against those of a reference."""
     if swap_target:
-        target, reference, ndocs_t, ndocs_r = reference, target, ndocs_r, ndocs_t
+        target, reference = reference, target
     keys = ["Tag"] if tags_only else ["Token", "Tag"]
-    return finish_keyness(side_counts(target, reference, keys), ndocs_t, ndocs_r,
-                          100.0 if tags_only else 1_000_000.0, threshold, direction)
+    stats = keyness_stats(side_counts(target, reference, keys), 100.0 if tags_only else 1_000_000.0)
+    return significance_filter(stats, threshold, direction)
 
 
-def finish_keyness(counts: DataFrame, ndocs_t: Column, ndocs_r: Column, per: float,
-                   threshold: float = 0.05, direction: str = "positive") -> DataFrame:
-    """Write the (vocabulary-sized) side counts once, read N1, N2 and the
-    document counts in one small job, and finish with literals."""
-    counts = materialize(counts, "keyness-counts")
-    n1, n2 = counts.agg(F.sum("AF"), F.sum("AF_Ref")).first()
-    d1, d2 = counts.sparkSession.range(1).select(ndocs_t.alias("t"), ndocs_r.alias("r")).first()
-    lit = lambda v: F.lit(float(v or 0))
-    return significance_filter(keyness_stats(counts, lit(n1), lit(n2), lit(d1), lit(d2), per), threshold, direction)
+def keyness_table(target: DataFrame, reference: DataFrame, tags_only: bool = False, **how) -> DataFrame:
+    """The same from unit tables (doc_id, Token, Tag, ...); documents are those that have a unit."""
+    keys = ["Tag"] if tags_only else ["Token", "Tag"]
+    counts = lambda u: unit_counts(u, keys).unionByName(document_marks(u, keys))
+    return keyness(counts(target), counts(reference), tags_only, **how)
 
 
 def keyness_sort(df: DataFrame, by: str = "LL", descending: bool = True) -> DataFrame:
@@ -113,14 +102,8 @@ def tag_filter(df: DataFrame, tags: Sequence[str] | None = None, drop_unclassifi
 
 
 def compare_bar_data(keyness_tags: DataFrame) -> DataFrame:
-    """(Tag, Mean, Corpus, RF) with Corpus in {Target, Reference}."""
+    """(Tag, Mean, Corpus, RF) with Corpus in {Target, Reference}, by Mean descending."""
     mean = (F.col("RF") + F.col("RF_Ref")) / 2.0
     return (keyness_tags.select("Tag", mean.alias("Mean"), F.col("RF").alias("Target"), F.col("RF_Ref").alias("Reference"))
-                        .unpivot(["Tag", "Mean"], ["Target", "Reference"], "Corpus", "RF"))
-
-
-def parts_flags(doc_cat: Column, tar_cats: Sequence[str], ref_cats: Sequence[str]) -> Column:
-    """Array of sides a document belongs to (a category may be in both lists)."""
-    return F.array_compact(F.array(
-        F.when(doc_cat.isin(list(tar_cats)), F.lit(True)),
-        F.when(doc_cat.isin(list(ref_cats)), F.lit(False))))
+                        .unpivot(["Tag", "Mean"], ["Target", "Reference"], "Corpus", "RF")
+                        .orderBy(F.col("Mean").desc(), "Tag", F.col("Corpus").desc()))

@@ -43,31 +43,22 @@ def kwic(tokens: DataFrame, node_word: str, search_type: str = "fixed", ignore_c
              .select("doc_id", "token_idx", "pre", surface("token").alias("node"), "post"))
 
 
-def kwic_in_documents(doc_tokens: DataFrame, node_word: str, search_type: str = "fixed", ignore_case: bool = True,
-                      reach: int = 10, tokens: str = "toks") -> DataFrame:
-    """Same result from document rows ``(doc_id, toks)``: hits are found and
-    their contexts sliced inside each document's token array, so nothing is
-    shuffled and only hit positions produce rows.  Documents whose text
-    cannot contain the node are skipped by a cheap string test first."""
+def kwic_in_documents(rows: DataFrame, node_word: str, search_type: str = "fixed", ignore_case: bool = True,
+                      reach: int = 10) -> DataFrame:
+    """Same result from whole document rows ``(doc_id, n, toks)``: hits are
+    found and their contexts sliced inside each document's token array, so
+    nothing is shuffled and only hit positions produce rows.  Documents whose
+    text cannot contain the node are skipped by a cheap string test first."""
     validate_node_word(node_word)
-    toks = F.col(tokens)
-    n = F.size(toks).cast("long")
-    joined = F.array_join(toks, "")
+    joined = F.array_join("toks", "")
     probe = F.lower(joined).contains(node_word.lower()) if ignore_case else joined.contains(node_word)
-
-    def surf(i):
-        return F.regexp_replace(toks[i], r"\s+$", "")
-
-    positions = F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<bigint>"))
-    hits = F.filter(positions, lambda i: _hit(surf(i), node_word, search_type, ignore_case))
-
-    def row(i):
-        lo = F.greatest(i - reach, F.lit(0).cast("long"))
-        pre = F.array_join(F.slice(toks, (lo + 1).cast("int"), (i - lo).cast("int")), "")
-        post = F.array_join(F.slice(toks, (i + 2).cast("int"), reach), "")
-        return F.struct(i.alias("token_idx"), strip_ws(pre).alias("pre"), surf(i).alias("node"), strip_ws(post).alias("post"))
-
-    off = F.col("_off") if "_off" in doc_tokens.columns else F.lit(0).cast("long")
-    return (doc_tokens.filter(probe).select("doc_id", off.alias("_o"), F.explode(F.transform(hits, row)).alias("k"))
-                      .select("doc_id", (F.col("_o") + F.col("k.token_idx")).alias("token_idx"),
-                              "k.pre", "k.node", "k.post"))
+    i = F.col("_i")
+    before = F.least(i, F.lit(reach))
+    pre = F.array_join(F.slice("toks", i - before + 1, before), "")
+    post = F.array_join(F.slice("toks", i + 2, F.lit(reach)), "")
+    node = surface(F.get("toks", i))
+    return (rows.filter((F.col("n") > 0) & probe)
+                .select("doc_id", "toks", F.explode_outer(F.sequence(F.lit(0), F.col("n") - 1)).alias("_i"))
+                .filter(_hit(node, node_word, search_type, ignore_case))
+                .select("doc_id", i.cast("long").alias("token_idx"), strip_ws(pre).alias("pre"), node.alias("node"),
+                        strip_ws(post).alias("post")))

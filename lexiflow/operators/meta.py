@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -10,35 +11,31 @@ from pyspark.sql import functions as F
 from ..functions.tags import (COMMON_DICTIONARY, COMMON_DICTIONARY_MARKERS, LARGE_DICTIONARY, PUNCT_TAG,
                               UNTAGGED)
 from ..functions.text import category, first_segment
-from .units import is_punct_unit
 
 # Accepted number of document categories.
 MIN_CATEGORIES, MAX_CATEGORIES = 2, 20
 
 
-def corpus_summary(corpus) -> DataFrame:
+def corpus_summary(kinds: DataFrame) -> DataFrame:
     """One row: tokens_pos, tokens_ds, ndocs, model, tags_ds, tags_pos.
 
-    Each figure is a partial-aggregated scalar; only the closed tag sets are
-    gathered as arrays (bounded by the tagsets).  The id list is
+    ``kinds`` has a row (kind, Tag, punct, n) for every kind of unit, tag and
+    whether it is punctuation, and a row of kind ``doc`` with the documents
+    (``Corpus.unit_kinds``); it is bounded by the tagsets, so the closed tag
+    lists are gathered from it in one aggregate.  The id list is
     ``doc_ids(corpus)``, a DataFrame, because it grows with the corpus.
     """
-    tok = corpus.tokens
-    tokens_pos = corpus.units("pos").filter(F.col("Tag") != PUNCT_TAG).select(F.count(F.lit(1))).scalar()
-    tokens_ds = corpus.units("ds").filter(~is_punct_unit("ds")).select(F.count(F.lit(1))).scalar()
-    marker = "|".join(COMMON_DICTIONARY_MARKERS)
-    tags_ds = tok.filter(F.col("ds_tag") != UNTAGGED).groupBy("ds_tag").agg(F.lit(1)).select(
-        F.array_sort(F.collect_list("ds_tag"))).scalar()
-    tags_pos = tok.filter(F.col("pos_tag") != PUNCT_TAG).groupBy("pos_tag").agg(F.lit(1)).select(
-        F.array_sort(F.collect_list("pos_tag"))).scalar()
-    return tok.agg(
-        F.countDistinct("doc_id").alias("ndocs"),
-        F.max(F.col("ds_tag").rlike(marker)).alias("_common"),
-    ).select(
-        tokens_pos.alias("tokens_pos"), tokens_ds.alias("tokens_ds"), "ndocs",
-        F.when(F.col("_common"), F.lit(COMMON_DICTIONARY)).otherwise(F.lit(LARGE_DICTIONARY)).alias("model"),
-        F.coalesce(tags_ds, F.array().cast("array<string>")).alias("tags_ds"),
-        F.coalesce(tags_pos, F.array().cast("array<string>")).alias("tags_pos"))
+    tag, n = F.col("Tag"), F.col("n")
+    of = lambda kind: F.col("kind") == kind
+    total = lambda cond: F.coalesce(F.sum(F.when(cond, n)), F.lit(0)).cast("long")
+    names = lambda cond: F.array_sort(F.collect_set(F.when(cond, tag)))
+    marked = functools.reduce(lambda a, b: a | b, [tag.contains(m) for m in COMMON_DICTIONARY_MARKERS])
+    common = F.max(of("ds") & marked)
+    return kinds.agg(
+        total(of("pos") & ~F.col("punct")).alias("tokens_pos"), total(of("ds") & ~F.col("punct")).alias("tokens_ds"),
+        total(of("doc")).alias("ndocs"),
+        F.when(common, F.lit(COMMON_DICTIONARY)).otherwise(F.lit(LARGE_DICTIONARY)).alias("model"),
+        names(of("ds") & (tag != UNTAGGED)).alias("tags_ds"), names(of("pos") & (tag != PUNCT_TAG)).alias("tags_pos"))
 
 
 def doc_ids(tokens: DataFrame) -> DataFrame:

@@ -1,20 +1,22 @@
-"""N-grams and anchored clusters over units.
+"""N-grams and anchored clusters.
 
-Units are ordered by a dense per-document ordinal; ``lead`` over a frame of
-bounded reach is evaluated per ``(doc, block)`` with boundary rows copied as
-context, so one very long document is spread over many tasks.  Counting is
-the usual two-level aggregation (document, then n-gram).
+Input are word sequences (``operators.docrows``): a row per document, or per
+block of a document of any length with a few words of its neighbours.  An
+n-gram is read from its sequence's array, so there is no window and no join.
+Whole documents give counting rows in place (first occurrences are known), and
+one shuffle on the n-gram follows; blocks are first counted by document.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .sequence import dense_rank_in_doc, with_context
-from .units import is_punct_unit
+from .docrows import counted_grams, gram_keys, grams
+from .freq import relative, summed, unit_counts
+from .sequence import dense_rank_in_doc
 
 MATCH_MODES = ("fixed", "starts_with", "ends_with", "contains")
 
@@ -27,22 +29,9 @@ def ordered_units(units: DataFrame, dense: bool = False) -> DataFrame:
     return dense_rank_in_doc(units, ["doc_id"], "pos", "ord")
 
 
-def ngram_rows(units: DataFrame, span: int, kind: str = "pos", dense: bool = False) -> DataFrame:
-    """One row per n-gram occurrence: doc_id, Token_1..n, Tag_1..n (units
-    that are punctuation break n-grams)."""
+def check_span(span: int) -> None:
     if not 2 <= span <= 10:
         raise ValueError("span must be between 2 and 10")
-    u = ordered_units(units.withColumn("_p", is_punct_unit(kind)), dense)
-    u = with_context(u, "ord", before=0, after=span - 1)
-    w = Window.partitionBy("doc_id", "_blk").orderBy("ord")
-    cols = {"Token_1": F.col("Token"), "Tag_1": F.col("Tag")}
-    ok = ~F.col("_p")
-    for k in range(1, span):
-        cols[f"Token_{k + 1}"] = F.lead("Token", k).over(w)
-        cols[f"Tag_{k + 1}"] = F.lead("Tag", k).over(w)
-        ok = ok & (F.lead("_p", k).over(w) == F.lit(False))
-    out = u.withColumns(cols).withColumn("_ok", ok).filter(F.col("_own") & F.col("_ok"))
-    return out.select("doc_id", *[f"Token_{i}" for i in range(1, span + 1)], *[f"Tag_{i}" for i in range(1, span + 1)])
 
 
 def match(col: Column, word: str, mode: str) -> Column:
@@ -58,38 +47,38 @@ def match(col: Column, word: str, mode: str) -> Column:
     raise ValueError(f"mode must be one of {MATCH_MODES}")
 
 
-def count_ngrams(rows: DataFrame, span: int, n_units: Column, ndocs: Column, min_rf: float | None) -> DataFrame:
-    keys = [f"Token_{i}" for i in range(1, span + 1)] + [f"Tag_{i}" for i in range(1, span + 1)]
-    base = rows.groupBy("doc_id", *keys).agg(F.count(F.lit(1)).alias("n"))
-    agg = base.groupBy(*keys).agg(F.sum("n").cast("long").alias("AF"), F.count(F.lit(1)).alias("_d"))
-    out = agg.select(*keys, "AF", (F.col("AF") / n_units * F.lit(1_000_000.0)).alias("RF"),
-                     (F.col("_d") * F.lit(100.0) / ndocs).alias("Range"))
-    if min_rf is not None:
-        out = out.filter(F.col("RF") > F.lit(min_rf))
-    return out
+def ngrams(sequences: DataFrame, span: int = 2, min_rf: float | None = 10.0, n_units: Column | None = None,
+           ndocs: Column | None = None, keep: Callable[[Column], Column] | None = None) -> DataFrame:
+    """N-gram frequency table: Token_i, Tag_i, AF, RF (per million units), Range.
 
+    Sequences of whole documents (with ``n_units``) carry their totals; for
+    blocks the totals are given.  ``keep`` tests the n-gram as a struct."""
+    check_span(span)
+    keys = gram_keys(span)
+    if "n_units" in sequences.columns:
+        agg = summed(counted_grams(sequences, span, keep), keys)
+        out = relative(agg, keys, 1_000_000.0, total=lambda t: t["marked"])
+    else:
+        found = grams(sequences, span)
+        if keep is not None:
+            found = found.filter(keep(F.struct(*keys)))
+        out = relative(summed(unit_counts(found, keys), keys), keys, 1_000_000.0, ndocs=ndocs, total=n_units)
+    return out if min_rf is None else out.filter(F.col("RF") > F.lit(min_rf))
 
-def ngrams(units: DataFrame, analytic_count: Column, ndocs: Column, span: int = 2, kind: str = "pos",
-           dense: bool = False, min_rf: float | None = 10.0) -> DataFrame:
-    """N-gram frequency table: Token_i, Tag_i, AF, RF (per million units), Range."""
-    return count_ngrams(ngram_rows(units, span, kind, dense), span, analytic_count, ndocs, min_rf)
 
-
-def clusters_by_token(units: DataFrame, analytic_count: Column, ndocs: Column, node_word: str, node_position: int = 1,
-                      span: int = 2, mode: str = "fixed", kind: str = "pos", dense: bool = False) -> DataFrame:
+def clusters_by_token(sequences: DataFrame, node_word: str, node_position: int = 1, span: int = 2, mode: str = "fixed",
+                      n_units: Column | None = None, ndocs: Column | None = None) -> DataFrame:
     if not 1 <= node_position <= span:
         raise ValueError("node_position must be within the span")
     validate_node_word(node_word)
-    rows = ngram_rows(units, span, kind, dense).filter(match(F.col(f"Token_{node_position}"), node_word, mode))
-    return count_ngrams(rows, span, analytic_count, ndocs, None)
+    return ngrams(sequences, span, None, n_units, ndocs, lambda g: match(g[f"Token_{node_position}"], node_word, mode))
 
 
-def clusters_by_tag(units: DataFrame, analytic_count: Column, ndocs: Column, tag: str, tag_position: int = 1,
-                    span: int = 2, kind: str = "pos", dense: bool = False) -> DataFrame:
+def clusters_by_tag(sequences: DataFrame, tag: str, tag_position: int = 1, span: int = 2,
+                    n_units: Column | None = None, ndocs: Column | None = None) -> DataFrame:
     if not 1 <= tag_position <= span:
         raise ValueError("tag_position must be within the span")
-    rows = ngram_rows(units, span, kind, dense).filter(F.col(f"Tag_{tag_position}") == F.lit(tag))
-    return count_ngrams(rows, span, analytic_count, ndocs, None)
+    return ngrams(sequences, span, None, n_units, ndocs, lambda g: g[f"Tag_{tag_position}"] == F.lit(tag))
 
 
 def ngram_tag_filter(table: DataFrame, tags_by_position: dict[int, Sequence[str]]) -> DataFrame:

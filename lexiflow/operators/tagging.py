@@ -7,19 +7,34 @@ Output is the token table::
 
 ``pos_id`` is the token index (one token per POS unit); ``ds_id`` is the token
 index of the first token of the rhetorical unit, so tokens sharing a phrase
-share an id.  Tokenizing, phrase tagging (higher-order functions over the
-document's token array) and POS tagging (broadcast lexicon join) are all
-narrow: building the token table shuffles nothing.
+share an id.  Tokenizing and both taggers work on the token array of a
+document's row, so building the token table shuffles nothing.
+
+A document too large for a row comes as segment rows (see
+``sources.documents.with_segment_offsets``).  A phrase may then begin in one
+segment and end in a later one: each segment knows the first tokens after it
+(``_ahead``), and how many of its own tokens an earlier phrase covers
+(``_skip``).  The scan of a segment maps each possible value of ``_skip`` to
+that of the next segment; these small maps are composed along the document,
+block by block.
+
+(In these expressions a lambda reads an outer array only if the same
+projection reads it more than once.  An array that is read once is otherwise
+computed inside the lambda, once for every element.)
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import DS_LEXICON, POS_LEXICON
 from ..functions.tags import PUNCT_TAG, UNCLASSIFIED_TAG, UNTAGGED
-from ..functions.text import surface, token_array
+from ..functions.text import rstrip_ws, token_array
+from .sequence import dense_rank_in_doc
+from .units import unit_key
 
 TOKEN_COLUMNS = ["doc_id", "token_idx", "token", "pos_tag", "ds_tag", "pos_id", "ds_id"]
 
@@ -44,23 +59,10 @@ def _lookup(key: Column, d: dict[str, str]) -> Column:
 
 
 def _offset(df: DataFrame) -> Column:
-    """Token offset of a document row: 0, or ``_off`` for segmented
-    documents (see ``sources.documents.with_segment_offsets``)."""
+    """Token offset of a document row: 0, or ``_off`` of a segment."""
     return F.col("_off") if "_off" in df.columns else F.lit(0).cast("long")
 
 
-def tokenize(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) -> (doc_id, token_idx, token); narrow, no shuffle."""
-    return (docs.select("doc_id", _offset(docs).alias("_o"),
-                        F.posexplode(token_array("text")).alias("token_idx", "token"))
-                .select("doc_id", (F.col("_o") + F.col("token_idx")).cast("long").alias("token_idx"), "token"))
-
-
-def lexicon_frame(spark, lexicon: dict[str, str] | None = None) -> DataFrame:
-    lex = POS_LEXICON if lexicon is None else lexicon
-    return spark.createDataFrame(sorted(lex.items()), "_lw string, _lex_tag string")
-
-
 def pos_tag_expr(s: Column, low: Column, lex_tag: Column) -> Column:
     """Rule chain of D3 given the surface ``s``, its lower case and the
     lexicon hit.  Non-ASCII test: more UTF-8 bytes than characters."""
@@ -76,18 +78,46 @@ def pos_tag_expr(s: Column, low: Column, lex_tag: Column) -> Column:
     return expr.otherwise(F.lit("NN1"))
 
 
-def pos_tag(tokens: DataFrame, lexicon: dict[str, str] | None = None) -> DataFrame:
-    """Closed-class words by a broadcast hash join with the lexicon (fixed
-    size, so the broadcast is bounded), then suffix rules."""
-    lex = F.broadcast(lexicon_frame(tokens.sparkSession, lexicon))
-    t = tokens.withColumn("_s", surface("token")).withColumn("_lw", F.lower(F.col("_s")))
-    t = t.join(lex, on="_lw", how="left")
-    return (t.withColumn("pos_tag", pos_tag_expr(F.col("_s"), F.col("_lw"), F.col("_lex_tag")))
-             .withColumn("pos_id", F.col("token_idx"))
-             .drop("_s", "_lw", "_lex_tag"))
+#: Adds an array ``tags`` to rows with arrays ``toks`` and ``low``: the part of speech of each token.
+Tagger = Callable[[DataFrame], DataFrame]
+
+
+def rule_tagger(lexicon: dict[str, str] | None = None) -> Tagger:
+    """The default tagger: closed-class words by a lexicon, then suffix rules."""
+    lex = POS_LEXICON if lexicon is None else lexicon
 
+    def tag(rows: DataFrame) -> DataFrame:
+        surfaces = F.transform("toks", rstrip_ws)
+        return rows.withColumn("tags", F.zip_with(surfaces, "low", lambda s, low: pos_tag_expr(s, low, _lookup(low, lex))))
+    return tag
+
+
+def document_rows(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
+    """(doc_id, n, toks, low, tags[, _off, _seg]): token strings, their lower
+    case and parts of speech per document (segment) row.  A segment's arrays go
+    on with the tokens ahead of it; ``n`` is the number of its own."""
+    if "_ahead" in docs.columns:
+        d = docs.select("doc_id", "_off", "_seg", F.size("_toks").alias("n"), F.concat("_toks", "_ahead").alias("toks"))
+    else:
+        d = docs.select("doc_id", token_array("text").alias("toks")).withColumn("n", F.size("toks"))
+    d = d.withColumn("low", F.transform("toks", lambda t: F.lower(rstrip_ws(t))))
+    return (tagger or rule_tagger())(d)
+
+
+def tokens_from_rows(rows: DataFrame) -> DataFrame:
+    """(doc_id, token_idx, token, pos_tag, pos_id); narrow, no shuffle."""
+    d = rows.select("doc_id", _offset(rows).alias("_o"), "toks", "tags",
+                    F.explode_outer(F.when(F.col("n") > 0, F.sequence(F.lit(0), F.col("n") - 1))).alias("i")).filter("i IS NOT NULL")
+    at = (F.col("_o") + F.col("i")).cast("long")
+    return d.select("doc_id", at.alias("token_idx"), F.get("toks", F.col("i")).alias("token"),
+                    F.get("tags", F.col("i")).alias("pos_tag"), at.alias("pos_id"))
+
+
+# The ASCII punctuation characters and the space: a unit of these alone is skipped.
+PUNCT_AND_SPACE = "".join(chr(c) for c in range(32, 127) if not chr(c).isalnum())
 
 UNIT_TYPE = "array<struct<pos:bigint,n:int,tag:string>>"
+SPAN_TYPE = "array<struct<s:bigint,n:int,tag:string>>"
 FOLD_CHUNK = 256
 
 
@@ -97,107 +127,160 @@ def _singles(a: Column, b: Column) -> Column:
         j.alias("pos"), F.lit(1).alias("n"), F.lit(UNTAGGED).alias("tag")))).otherwise(F.array().cast(UNIT_TYPE))
 
 
-def with_ds_units(df: DataFrame, tokens: str = "toks", out: str = "units",
-                  lexicon: dict[str, str] | None = None) -> DataFrame:
-    """Add the rhetorical units of each document row as an ordered array of
-    ``struct(pos, n, tag)`` covering every token exactly once.
-
-    Runs inside the document row with higher-order functions: candidate
-    starts are the positions whose word can open a phrase; the longest
-    lexicon phrase at each start is looked up; a left-to-right fold keeps
-    the leftmost-longest non-overlapping spans; gaps become Untagged
-    one-token units.  Work is O(tokens x max phrase length) per document and
-    nothing is shuffled or gathered (the document is already one row).
-    Intermediate arrays are separate columns so each is evaluated once.
-    """
-    lexicon = DS_LEXICON if lexicon is None else lexicon
-    max_len = max(len(p.split(" ")) for p in lexicon)
+def _with_candidates(rows: DataFrame, lexicon: dict[str, str]) -> DataFrame:
+    """Add ``_dc``: the longest lexicon phrase at each own position that begins one."""
+    max_len = phrase_length(lexicon)
     by_len = {n: {p: t for p, t in lexicon.items() if len(p.split(" ")) == n} for n in range(1, max_len + 1)}
     firsts = sorted({p.split(" ")[0] for p in lexicon})
-    words, size = F.col("_dw"), F.col("_dn")
+    words, own = F.col("low"), F.col("n").cast("long")
 
     def longest(i):
         best = None
         for n in range(max_len, 0, -1):
             if not by_len[n]:
                 continue
-            hit = F.when(i + n <= size, _lookup(F.array_join(F.slice(words, (i + 1).cast("int"), n), " "), by_len[n]))
+            hit = F.when(i + n <= F.size(words), _lookup(F.array_join(F.slice(words, (i + 1).cast("int"), n), " "), by_len[n]))
             cand = F.when(hit.isNotNull(), F.struct(i.alias("s"), F.lit(n).alias("n"), hit.alias("tag")))
             best = cand if best is None else F.coalesce(best, cand)
         return best
 
-    init = F.struct(F.lit(-1).cast("long").alias("e"),
-                    F.array().cast("array<struct<s:bigint,n:int,tag:string>>").alias("c"))
-    d = (df.withColumn("_dw", F.transform(tokens, lambda t: F.lower(F.regexp_replace(t, r"\s+$", ""))))
-           .withColumn("_dn", F.size(tokens).cast("long")))
-    positions = F.when(size > 0, F.sequence(F.lit(0).cast("long"), size - 1)).otherwise(F.array().cast("array<bigint>"))
-    d = d.withColumn("_dc", F.filter(F.transform(F.filter(positions, lambda i: words[i].isin(*firsts)), longest),
-                                     lambda x: x.isNotNull()))
-    # Greedy fold in two levels: an outer fold over chunks of FOLD_CHUNK
-    # candidates carries only the end of the last chosen span, the inner fold
-    # appends inside one chunk; appending costs O(chunk) instead of O(spans)
-    # per step, so a very long document stays near-linear.
+    positions = F.when(own > 0, F.sequence(F.lit(0).cast("long"), own - 1)).otherwise(F.array().cast("array<bigint>"))
+    starts = F.filter(positions, lambda i: words[i].isin(*firsts))
+    return rows.withColumn("_dc", F.filter(F.transform(starts, longest), lambda x: x.isNotNull()))
+
+
+def phrase_length(lexicon: dict[str, str] | None = None) -> int:
+    return max(len(p.split(" ")) for p in (DS_LEXICON if lexicon is None else lexicon))
+
+
+def in_chunks(values: Column, empty: str) -> Column:
+    """An array cut into arrays of ``FOLD_CHUNK``, so that a fold that appends stays near-linear."""
+    n = F.ceil(F.size(values) / F.lit(FOLD_CHUNK)).cast("int")
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.slice(values, j * FOLD_CHUNK + 1, FOLD_CHUNK))) \
+            .otherwise(F.array().cast(f"array<{empty}>"))
+
+
+def _chosen(candidates: Column, begin: Column) -> Column:
+    """Leftmost-longest spans from token ``begin`` on: a fold over chunks of
+    candidates carries only the end of the last chosen span, the fold inside a
+    chunk appends."""
     def inner(e0, chunk):
-        return F.aggregate(chunk, F.struct(e0.alias("e"), init["c"].alias("c")), lambda acc, x: F.when(
-            x["s"] >= acc["e"], F.struct((x["s"] + x["n"]).alias("e"), F.array_append(acc["c"], x).alias("c"))
-        ).otherwise(acc))
-
-    n_chunks = F.ceil(F.size("_dc") / F.lit(FOLD_CHUNK)).cast("int")
-    chunks = F.when(n_chunks > 0, F.transform(F.sequence(F.lit(0), n_chunks - 1),
-                                              lambda j: F.slice("_dc", j * FOLD_CHUNK + 1, FOLD_CHUNK)))
-    chunks = F.coalesce(chunks, F.array().cast("array<array<struct<s:bigint,n:int,tag:string>>>"))
-    outer_init = F.struct(F.lit(-1).cast("long").alias("e"),
-                          F.array().cast("array<array<struct<s:bigint,n:int,tag:string>>>").alias("parts"))
+        return F.aggregate(chunk, F.struct(e0.alias("e"), F.array().cast(SPAN_TYPE).alias("c")), lambda acc, x: F.when(
+            x["s"] >= acc["e"], F.struct((x["s"] + x["n"]).alias("e"), F.array_append(acc["c"], x).alias("c"))).otherwise(acc))
+
+    init = F.struct(begin.alias("e"), F.array().cast(f"array<{SPAN_TYPE}>").alias("parts"))
     # (a one-element transform binds the inner result so it is evaluated once)
-    chunked = F.flatten(F.aggregate(chunks, outer_init, lambda acc, ch: F.transform(
+    return F.flatten(F.aggregate(in_chunks(candidates, SPAN_TYPE), init, lambda acc, ch: F.transform(
         F.array(inner(acc["e"], ch)),
-        lambda r: F.struct(r["e"].alias("e"), F.array_append(acc["parts"], r["c"]).alias("parts")))[0]
-    )["parts"])
-    d = d.withColumn("_ds", F.when(F.size("_dc") <= FOLD_CHUNK, inner(F.lit(-1).cast("long"), F.col("_dc"))["c"])
-                             .otherwise(chunked))
+        lambda r: F.struct(r["e"].alias("e"), F.array_append(acc["parts"], r["c"]).alias("parts")))[0])["parts"])
+
+
+SCAN_BLOCK = 1024     # segments whose maps are composed in one row
+
+
+def _with_skip(rows: DataFrame, max_len: int) -> DataFrame:
+    """Add ``_skip``: how many own tokens a phrase of an earlier segment covers.
+
+    A segment's scan turns the tokens it must skip (0 .. max_len - 1) into
+    those that the next one must.  Maps of ``SCAN_BLOCK`` segments are
+    composed in a row, then those of a document's blocks, and the states go
+    back down; no row holds more than a block's maps."""
+    own = F.col("n").cast("long")
+    left = lambda c: F.greatest(F.aggregate("_dc", c, lambda e, x: F.when(x["s"] >= e, x["s"] + x["n"]).otherwise(e)) - own,
+                                F.lit(0).cast("long")).cast("int")
+    following = F.array(*[left(F.lit(c).cast("long")) for c in range(max_len)])
+    maps = dense_rank_in_doc(rows.select("doc_id", "_seg", following.alias("m")), ["doc_id"], "_seg", "at")
+    maps = maps.withColumn("b", F.expr(f"at div {SCAN_BLOCK}"))
+    blocks = maps.groupBy("doc_id", "b").agg(F.array_sort(F.collect_list(F.struct("at", "_seg", "m"))).alias("l"))
+
+    def passed(state, m):
+        return F.get(m, state)
+
+    whole = F.transform(F.array(*[F.lit(c) for c in range(max_len)]),
+                        lambda c: F.aggregate("l", c, lambda state, x: passed(state, x["m"])))
+    tops = blocks.select("doc_id", "b", whole.alias("m")).groupBy("doc_id").agg(
+        F.array_sort(F.collect_list(F.struct("b", "m"))).alias("l"))
+
+    def states_before(fields):
+        """Each element of ``l`` with the state in which it begins."""
+        kind = "array<struct<" + ",".join(f"{a}:{t}" for a, t in fields) + ",c:int>>"
+        step = lambda acc, x: F.struct(passed(acc["c"], x["m"]).alias("c"), F.array_append(
+            acc["o"], F.struct(*[x[a].alias(a) for a, _ in fields], acc["c"].alias("c"))).alias("o"))
+        return lambda begin: F.aggregate("l", F.struct(begin.alias("c"), F.array().cast(kind).alias("o")), step)["o"]
+
+    tops = tops.select("doc_id", F.explode(states_before([("b", "bigint")])(F.lit(0))).alias("s")).select(
+        "doc_id", "s.b", F.col("s.c").alias("begin"))
+    found = (blocks.join(tops, ["doc_id", "b"])
+                   .select("doc_id", F.explode(states_before([("_seg", "bigint")])(F.col("begin"))).alias("s"))
+                   .select("doc_id", "s._seg", F.col("s.c").cast("long").alias("_skip")))
+    return rows.join(found, ["doc_id", "_seg"])
+
+
+def with_ds_units(rows: DataFrame, lexicon: dict[str, str] | None = None) -> DataFrame:
+    """Add the rhetorical units that begin in each row as an ordered array
+    ``units`` of ``struct(pos, n, tag, key, punct)`` (the normalised text, and
+    whether it is punctuation that analyses skip); the units of a document
+    cover every token exactly once.
+
+    Runs inside the row with higher-order functions: candidate starts are the
+    positions whose word can open a phrase; the longest lexicon phrase at each
+    start is looked up; a left-to-right fold keeps the leftmost-longest
+    non-overlapping spans; gaps become Untagged one-token units.  Work is
+    O(tokens x max phrase length) per document.
+    """
+    lexicon = DS_LEXICON if lexicon is None else lexicon
+    d = _with_candidates(rows, lexicon)
+    segmented = "_seg" in rows.columns
+    if segmented:
+        d = _with_skip(d, phrase_length(lexicon))
+    skip = F.col("_skip") if segmented else F.lit(0).cast("long")
+    size = F.col("n").cast("long")
+    d = d.withColumn("_ds", _chosen(F.col("_dc"), skip))
     d = d.withColumn("_de", F.transform("_ds", lambda x: x["s"] + x["n"]))
-    prev_ends = F.slice(F.concat(F.array(F.lit(0).cast("long")), F.col("_de")), 1, F.size("_ds"))
+    prev_ends = F.slice(F.concat(F.array(skip), F.col("_de")), 1, F.size("_ds"))
     segments = F.zip_with("_ds", prev_ends, lambda x, pe: F.concat(
         _singles(pe, x["s"] - 1), F.array(F.struct(x["s"].alias("pos"), x["n"].alias("n"), x["tag"].alias("tag")))))
-    last_end = F.coalesce(F.get(F.col("_de"), F.size("_de") - 1), F.lit(0).cast("long"))
-    return (d.withColumn(out, F.concat(F.flatten(segments), _singles(last_end, size - 1)))
-             .drop("_dw", "_dn", "_dc", "_ds", "_de"))
-
-
-def document_units(docs: DataFrame, lexicon: dict[str, str] | None = None) -> DataFrame:
-    """(doc_id, toks, units[, _off]): token strings and DS units per document
-    row (per segment row for segmented documents; phrases do not cross
-    segment rows)."""
-    extra = ["_off"] if "_off" in docs.columns else []
-    return with_ds_units(docs.select("doc_id", *extra, token_array("text").alias("toks")), "toks", "units", lexicon)
+    last_end = F.coalesce(F.get(F.col("_de"), F.size("_ds") - 1), skip)
+    units = F.concat(F.flatten(segments), _singles(last_end, size - 1))
+    first = lambda u: F.get("toks", u["pos"].cast("int"))
+    return (d.withColumn("units", F.transform(units, lambda u: F.struct(
+        u["pos"].alias("pos"), u["n"].alias("n"), u["tag"].alias("tag"),
+        F.when(u["n"] > 1, unit_key(unit_text(u))).otherwise(F.lower(rstrip_ws(first(u)))).alias("key"),
+        ((u["tag"] == F.lit(UNTAGGED)) & (F.length(rstrip_ws(first(u))) == 1)
+         & (F.translate(first(u), PUNCT_AND_SPACE, "") == F.lit(""))).alias("punct"))))
+             .drop("_dc", "_ds", "_de", "_skip"))
 
 
 def tokens_from_units(doc_units: DataFrame) -> DataFrame:
-    """Explode a document's arrays into token rows with ds_tag / ds_id (the
-    first token index of the unit); narrow, no shuffle."""
+    """Token rows (TOKEN_COLUMNS) of a document's units; ``ds_id`` is the first
+    token index of the unit.  Narrow, no shuffle; a unit that runs into the
+    next segment brings its tokens along."""
     per_token = F.flatten(F.transform("units", lambda u: F.transform(
-        F.sequence(u["pos"], u["pos"] + u["n"] - 1), lambda j: F.struct(u["tag"].alias("t"), u["pos"].alias("i")))))
-    zipped = F.zip_with("toks", per_token, lambda tok, d: F.struct(tok.alias("token"), d["t"].alias("ds_tag"),
-                                                                   d["i"].alias("ds_id")))
-    o = F.col("_o")
-    return (doc_units.select("doc_id", _offset(doc_units).alias("_o"), F.posexplode(zipped).alias("token_idx", "x"))
-                     .select("doc_id", (o + F.col("token_idx")).cast("long").alias("token_idx"),
-                             "x.token", "x.ds_tag", (o + F.col("x.ds_id")).alias("ds_id")))
+        F.sequence(u["pos"], u["pos"] + u["n"] - 1), lambda j: F.struct(j.alias("j"), u["tag"].alias("t"), u["pos"].alias("i")))))
+    o, j = F.col("_o"), F.col("x.j").cast("int")
+    at = (o + F.col("x.j")).cast("long")
+    return (doc_units.select("doc_id", _offset(doc_units).alias("_o"), "toks", "tags", F.explode_outer(per_token).alias("x"))
+                     .filter("x IS NOT NULL").select("doc_id", at.alias("token_idx"), F.get("toks", j).alias("token"), F.get("tags", j).alias("pos_tag"),
+                             F.col("x.t").alias("ds_tag"), at.alias("pos_id"), (o + F.col("x.i")).alias("ds_id"))
+                     .select(*TOKEN_COLUMNS))
+
+
+def unit_text(u: Column) -> Column:
+    """Raw text of a unit of a document row."""
+    return F.when(u["n"] == 1, F.get("toks", u["pos"].cast("int"))).otherwise(
+        F.array_join(F.slice("toks", (u["pos"] + 1).cast("int"), u["n"]), ""))
 
 
 def ds_units_from_documents(doc_units: DataFrame) -> DataFrame:
-    """DS unit rows (doc_id, unit_id, Tag, pos, utext) straight from the
+    """DS unit rows (doc_id, unit_id, Tag, pos, utext, Token) straight from the
     document arrays: no grouping shuffle."""
-    with_text = F.transform("units", lambda u: F.struct(
-        u["pos"].alias("pos"), u["tag"].alias("Tag"),
-        F.array_join(F.slice("toks", (u["pos"] + 1).cast("int"), u["n"]), "").alias("utext")))
-    o = F.col("_o")
-    return (doc_units.select("doc_id", _offset(doc_units).alias("_o"), F.explode(with_text).alias("u"))
-                     .select("doc_id", (o + F.col("u.pos")).alias("unit_id"), F.col("u.Tag").alias("Tag"),
-                             (o + F.col("u.pos")).alias("pos"), F.col("u.utext").alias("utext")))
-
-
-def tag_tokens(docs: DataFrame, pos_lexicon: dict[str, str] | None = None,
-               ds_lexicon: dict[str, str] | None = None) -> DataFrame:
-    """(doc_id, text) -> token table (TOKEN_COLUMNS); no shuffle."""
-    return pos_tag(tokens_from_units(document_units(docs, ds_lexicon)), pos_lexicon).select(*TOKEN_COLUMNS)
+    u = F.col("u")
+    at = F.col("_o") + u["pos"]
+    return (doc_units.select("doc_id", _offset(doc_units).alias("_o"), "toks", F.explode_outer("units").alias("u"))
+                     .filter("u IS NOT NULL").select("doc_id", at.alias("unit_id"), u["tag"].alias("Tag"), at.alias("pos"),
+                             unit_text(u).alias("utext"), u["key"].alias("Token")))
+
+
+def document_units(docs: DataFrame, lexicon: dict[str, str] | None = None, tagger: Tagger | None = None) -> DataFrame:
+    """(doc_id, n, toks, low, tags, units[, _off, _seg]) per document (segment) row."""
+    return with_ds_units(document_rows(docs, tagger), lexicon)

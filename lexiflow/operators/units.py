@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tags import PUNCT_TAG, UNTAGGED
-from ..functions.text import PUNCT_SPACE_PATTERN, col_
+from ..functions.text import PUNCT_SPACE_PATTERN, norm, rstrip_ws
 
 KINDS = {"pos": ("pos_id", "pos_tag"), "ds": ("ds_id", "ds_tag")}
 
 
 def unit_key(token: str | Column) -> Column:
     """Lower case, trailing whitespace removed, inner whitespace runs -> one space."""
-    return F.lower(F.regexp_replace(F.regexp_replace(col_(token), r"\s+$", ""), r"\s+", " "))
+    return F.lower(F.regexp_replace(rstrip_ws(token), r"\s+", " "))
 
 
 def ordered_concat(token_idx: str, token: str) -> Column:
@@ -33,9 +33,9 @@ def units(tokens: DataFrame, kind: str = "pos", single_token: bool = False) -> D
     if single_token:
         u = tokens.select("doc_id", F.col(id_col).alias("unit_id"), F.col(tag_col).alias("Tag"),
                           F.col("token_idx").alias("pos"), F.col("token").alias("utext"))
-    else:
-        u = (tokens.groupBy("doc_id", F.col(id_col).alias("unit_id"), F.col(tag_col).alias("Tag"))
-                   .agg(F.min("token_idx").alias("pos"), ordered_concat("token_idx", "token").alias("utext")))
+        return u.withColumn("Token", norm("utext"))      # a token has no inner whitespace
+    u = (tokens.groupBy("doc_id", F.col(id_col).alias("unit_id"), F.col(tag_col).alias("Tag"))
+               .agg(F.min("token_idx").alias("pos"), ordered_concat("token_idx", "token").alias("utext")))
     return u.withColumn("Token", unit_key("utext"))
 
 

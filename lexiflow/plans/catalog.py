@@ -35,20 +35,25 @@ def rounded(df: DataFrame, nd: int = O.ROUND) -> DataFrame:
                        for c, t in df.dtypes])
 
 
-def english(spark: SparkSession, sf_dir: str, sources=None) -> Corpus:
-    return Corpus.from_documents(corpus_documents(spark, sf_dir, sources=sources))
+#: Session setting: documents are dealt to so many tasks before they are tagged (unset: as the files are split).
+PARTITIONS = "spark.lexiflow.corpus.partitions"
+
+
+def corpus(spark: SparkSession, sf_dir: str, sources=None) -> Corpus:
+    partitions = spark.conf.get(PARTITIONS, None)
+    return Corpus.from_documents(corpus_documents(spark, sf_dir, sources=sources), partitions=int(partitions or 0) or None)
 
 
 def target(spark, sf_dir) -> Corpus:
-    return english(spark, sf_dir, TARGET_SOURCES)
+    return corpus(spark, sf_dir, TARGET_SOURCES)
 
 
 def reference(spark, sf_dir) -> Corpus:
-    return english(spark, sf_dir, REFERENCE_SOURCES)
+    return corpus(spark, sf_dir, REFERENCE_SOURCES)
 
 
 # SQL prefixes shared by many twins
-ALL_EN = O.corpus_ctes(None, None, "tok")
+ALL = O.corpus_ctes(None, None, "tok")
 TAR = O.corpus_ctes(TARGET_SOURCES, None, "tar")
 REF = O.corpus_ctes(REFERENCE_SOURCES, None, "ref")
 

@@ -1,20 +1,29 @@
-"""A corpus = its token table plus how to read units from it.
-
-Analyses take units; ``Corpus`` builds them once per query plan.  For corpora
-tagged by our own tagger POS ids are per token, so POS units need no shuffle.
+"""A corpus: document rows, a token table, or a stored bundle of both.
+
+Built from documents, a corpus is one row per document with the arrays of its
+tokens, tags and units (``operators.tagging.document_rows``); analyses that
+concern one document at a time work inside the row.  A stored bundle holds the
+same rows, so analyses that start from it read no text, tokenize and tag
+nothing.  An imported token table, or a corpus with documents larger than a
+row, goes through unit rows and blocked windows (``operators.sequence``).
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tags import PUNCT_TAG, simplify_tag
+from ..operators import colloc, docrows, docview, ingest, keyness, kwic, meta, ngrams, sequence
 from ..operators import freq as fq
-from ..operators.tagging import (TOKEN_COLUMNS, document_units, ds_units_from_documents, pos_tag, tokenize,
-                                 tokens_from_units)
-from ..operators.units import analytic_units, unit_key, units
+from ..operators.tagging import (Tagger, document_rows, ds_units_from_documents, rule_tagger, tokens_from_rows,
+                                 tokens_from_units, with_ds_units)
+from ..operators.units import analytic_units, is_punct_unit, units
+
+DOC_ROWS = "doc_rows"       # the table that a bundle has besides the seven of SURVEY §2.1
 
 
 @dataclass
@@ -23,24 +32,51 @@ class Corpus:
     single_token_pos: bool = False
     pos_tokens: DataFrame | None = None   # same rows without the DS columns, cheaper to build
     docs: DataFrame | None = None         # (doc_id, text) when built from documents
-    doc_units: DataFrame | None = None    # (doc_id, toks, units) document-row arrays
-    pos_lexicon: dict | None = None       # the one it was tagged with, if not the default
+    rows: DataFrame | None = None         # document (segment) rows with units
+    whole_rows: bool = False              # every document is one row
+    tables: dict[str, DataFrame] = field(default_factory=dict)   # stored tables of the whole corpus
+
+    @classmethod
+    def from_documents(cls, docs: DataFrame, pos_lexicon: dict | None = None, ds_lexicon: dict | None = None,
+                       partitions: int | None = None, tagger: Tagger | None = None) -> "Corpus":
+        """From (doc_id, text), one row per document, or from segment rows
+        (``sources.documents.with_segment_offsets``).  ``partitions``: deal the
+        documents to so many tasks by id before they are tagged, for a table
+        whose files have fewer splits than the cluster has cores."""
+        if partitions:
+            docs = docs.repartition(partitions, "doc_id")
+        rows = document_rows(docs, tagger or rule_tagger(pos_lexicon))
+        return replace(cls.from_rows(with_ds_units(rows, ds_lexicon)), docs=docs)
+
+    @classmethod
+    def from_rows(cls, rows: DataFrame) -> "Corpus":
+        return cls(tokens_from_units(rows), True, tokens_from_rows(rows), rows=rows, whole_rows="_seg" not in rows.columns)
 
     @classmethod
-    def from_documents(cls, docs: DataFrame, pos_lexicon=None, ds_lexicon=None) -> "Corpus":
-        pos_only = pos_tag(tokenize(docs), pos_lexicon)
-        du = document_units(docs, ds_lexicon)
-        tokens = pos_tag(tokens_from_units(du), pos_lexicon).select(*TOKEN_COLUMNS)
-        return cls(tokens, single_token_pos=True, pos_tokens=pos_only, docs=docs, doc_units=du,
-                   pos_lexicon=pos_lexicon)
+    def from_bundle(cls, spark: SparkSession, path: str) -> "Corpus":
+        """A stored corpus.  The whole corpus's tables are read as stored;
+        other analyses start from the stored document rows, or, where the
+        bundle was made from a token table, from that."""
+        tables = ingest.load_bundle(spark, path)
+        rows = ingest.load_optional(spark, path, DOC_ROWS)
+        if rows is None:
+            return cls(tables["ds_tokens"], False, tables=tables)
+        return replace(cls.from_rows(rows), tokens=tables["ds_tokens"], tables=tables)
+
+    def subset(self, condition: Column) -> "Corpus":
+        """The documents whose id meets the condition."""
+        part = lambda df: None if df is None else df.filter(condition)
+        return replace(self, tokens=part(self.tokens), pos_tokens=part(self.pos_tokens), docs=part(self.docs),
+                       rows=part(self.rows), tables={})
+
+    # --- units and counting rows ---------------------------------------------
 
     def _for(self, kind: str) -> DataFrame:
         return self.pos_tokens if (kind == "pos" and self.pos_tokens is not None) else self.tokens
 
     def units(self, kind: str = "pos") -> DataFrame:
-        if kind == "ds" and self.doc_units is not None:
-            # DS units straight from the document arrays: no grouping shuffle
-            return ds_units_from_documents(self.doc_units).withColumn("Token", unit_key("utext"))
+        if kind == "ds" and self.rows is not None:
+            return ds_units_from_documents(self.rows)      # no grouping shuffle
         return units(self._for(kind), kind, single_token=(kind == "pos" and self.single_token_pos))
 
     def analytic(self, kind: str = "pos") -> DataFrame:
@@ -48,73 +84,136 @@ class Corpus:
             return self.units("ds")
         return analytic_units(self._for(kind), kind, single_token=(kind == "pos" and self.single_token_pos))
 
-    def doc_tokens(self) -> DataFrame | None:
-        """(doc_id, toks[, _off]): one row per document (segment) with its
-        token array, when the corpus was built from documents."""
-        if self.doc_units is None:
-            return None
-        extra = ["_off"] if "_off" in self.doc_units.columns else []
-        return self.doc_units.select("doc_id", *extra, "toks")
-
-    def kwic(self, node_word: str, search_type: str = "fixed", ignore_case: bool = True, reach: int = 10) -> DataFrame:
-        """KWIC inside document rows when available; for an imported token
-        table, bounded frames over (doc, block) windows (no per-document
-        gathering)."""
-        from ..operators import kwic as kw
-
-        rows = self.doc_tokens()
-        if rows is not None:
-            return kw.kwic_in_documents(rows, node_word, search_type, ignore_case, reach)
-        return kw.kwic(self.tokens, node_word, search_type, ignore_case, reach)
-
-    def ndocs(self):
-        """Documents with at least one token.  From the raw documents a text
-        has a token iff it has a non-space character, so the count needs no
-        tokenizing (a cheap scan-side scalar subquery)."""
-        if self.docs is not None:
-            return self.docs.filter(F.col("text").rlike(r"\S")).select(F.countDistinct("doc_id")).scalar()
+    def counts(self, kind: str = "pos", tags_only: bool = False) -> DataFrame:
+        """Counting rows (see ``operators.freq``) by Token and Tag, or by Tag."""
+        if self.whole_rows:
+            return (docrows.counted_tags if tags_only else docrows.counted_units)(self.rows, kind)
+        keys = ["Tag"] if tags_only else ["Token", "Tag"]
+        return fq.unit_counts(self.analytic(kind), keys).unionByName(fq.document_marks(self._for("pos"), keys))
+
+    def ndocs(self) -> Column:
+        """Documents with at least one token, as a scalar subquery."""
+        if self.whole_rows:
+            return self.rows.filter("n > 0").select(F.count(F.lit(1))).scalar()
         return fq.n_docs(self._for("pos"))
 
-    def analytic_count(self, kind: str = "pos"):
-        """Number of units that count (N of the frequency tables), as a
-        scalar subquery.  For POS units of a corpus tagged here, a token is
-        punctuation exactly when it is one non-letter, non-digit character
-        (the lexicon maps no word to Y), so N is the number of word / number
-        matches in the texts: a scan-side count with no explode or join."""
-        from ..functions.lexicon import POS_LEXICON
-        from ..functions.tags import PUNCT_TAG
-        from ..functions.text import WORD_OR_NUMBER_PATTERN, rstrip_ws
-
-        if kind == "pos" and self.docs is not None and PUNCT_TAG not in (self.pos_lexicon or POS_LEXICON).values():
-            matches = F.regexp_extract_all(rstrip_ws("text"), F.lit(WORD_OR_NUMBER_PATTERN), 0)
-            return self.docs.select(F.coalesce(F.sum(F.size(matches)), F.lit(0)).cast("long")).scalar()
+    def analytic_count(self, kind: str = "pos") -> Column:
+        """Number of units that count (N of the frequency tables), as a scalar subquery."""
+        if self.whole_rows:
+            n = F.size("units") if kind == "ds" else F.size(F.filter("tags", lambda t: t != PUNCT_TAG))
+            return self.rows.filter("n > 0").select(F.coalesce(F.sum(n), F.lit(0)).cast("long")).scalar()
         return self.analytic(kind).select(F.count(F.lit(1))).scalar()
 
+    def words(self, kind: str = "pos") -> DataFrame:
+        """Word sequences (see ``operators.docrows``)."""
+        if self.whole_rows:
+            return docrows.words(self.rows, kind)
+        ordered = ngrams.ordered_units(self.units(kind), dense=(kind == "pos" and self.single_token_pos))
+        return docrows.words_of_units(ordered, kind, sequence.BLOCK)
+
+    def unit_kinds(self) -> DataFrame:
+        """(kind, Tag, punct, n): units by kind, tag and whether they are punctuation; documents as kind ``doc``."""
+        if self.whole_rows:
+            pos = F.transform("tags", lambda t: F.struct(F.lit("pos").alias("kind"), t.alias("Tag"), (t == PUNCT_TAG).alias("punct")))
+            ds = F.transform("units", lambda u: F.struct(F.lit("ds").alias("kind"), u["tag"].alias("Tag"),
+                                                         u["punct"].alias("punct")))
+            doc = F.array(F.struct(F.lit("doc").alias("kind"), F.lit(None).cast("string").alias("Tag"), F.lit(False).alias("punct")))
+            found = self.rows.filter("n > 0").select(F.explode(F.concat(doc, pos, ds)).alias("x")).select("x.*")
+        else:
+            of = lambda kind: self.units(kind).select(F.lit(kind).alias("kind"), "Tag", is_punct_unit(kind).alias("punct"))
+            docs = self._for("pos").select("doc_id").distinct().select(
+                F.lit("doc").alias("kind"), F.lit(None).cast("string").alias("Tag"), F.lit(False).alias("punct"))
+            found = of("pos").unionByName(of("ds")).unionByName(docs)
+        return found.groupBy("kind", "Tag", "punct").agg(F.count(F.lit(1)).alias("n"))
+
+    # --- analyses ------------------------------------------------------------
+
+    def _stored(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        return self.tables[name] if name in self.tables else make()
+
+    def summary(self) -> DataFrame:
+        return meta.corpus_summary(self.unit_kinds())
+
     def frequency(self, kind: str = "pos") -> DataFrame:
-        return fq.frequency_table(self.analytic(kind), self.ndocs())
+        return self._stored(f"ft_{kind}", lambda: fq.frequency_table(self.counts(kind)))
 
     def tags(self, kind: str = "pos") -> DataFrame:
-        return fq.tags_table(self.analytic(kind), self.ndocs())
+        return self._stored(f"tt_{kind}", lambda: fq.tags_table(self.counts(kind, tags_only=True)))
 
     def dtm(self, kind: str = "pos") -> DataFrame:
-        return fq.dtm_long(self.analytic(kind))
+        return self._stored(f"dtm_{kind}", lambda: fq.dtm_long(self.analytic(kind)))
+
+    def simplified_frequency(self) -> DataFrame:
+        """Frequencies by simplified tag, the document counts made anew."""
+        if self.whole_rows:
+            items = F.transform(docrows.unit_array("pos"), lambda x: F.struct(x["Token"].alias("Token"), simplify_tag(x["Tag"]).alias("Tag")))
+            return fq.frequency_table(docrows.counted(self.rows, items, ["Token", "Tag"]))
+        u = self.analytic("pos").withColumn("Tag", simplify_tag("Tag"))
+        return fq.frequency_table(fq.unit_counts(u).unionByName(fq.document_marks(self._for("pos"))))
+
+    def keyness(self, reference: "Corpus", kind: str = "pos", tags_only: bool = False, **how) -> DataFrame:
+        return keyness.keyness(self.counts(kind, tags_only), reference.counts(kind, tags_only), tags_only, **how)
+
+    def _totals(self, kind: str) -> dict[str, Column]:
+        """Word sequences of whole documents carry their totals."""
+        return {} if self.whole_rows else {"n_units": self.analytic_count(kind), "ndocs": self.ndocs()}
+
+    def ngrams(self, kind: str = "pos", span: int = 2, min_rf: float | None = 10.0) -> DataFrame:
+        return ngrams.ngrams(self.words(kind), span, min_rf, **self._totals(kind))
+
+    def clusters_by_token(self, node_word: str, node_position: int = 1, span: int = 2, mode: str = "fixed",
+                          kind: str = "pos") -> DataFrame:
+        return ngrams.clusters_by_token(self.words(kind), node_word, node_position, span, mode, **self._totals(kind))
+
+    def clusters_by_tag(self, tag: str, tag_position: int = 1, span: int = 2, kind: str = "pos") -> DataFrame:
+        return ngrams.clusters_by_tag(self.words(kind), tag, tag_position, span, **self._totals(kind))
+
+    def collocates(self, node_word: str, node_tag: str | None = None, preceding: int = 4, following: int = 4,
+                   statistic: str = "npmi", kind: str = "pos") -> DataFrame:
+        return colloc.coll_table(self.words(kind), node_word, node_tag, preceding, following, statistic)
+
+    def kwic(self, node_word: str, search_type: str = "fixed", ignore_case: bool = True, reach: int = 10) -> DataFrame:
+        """Inside document rows where they are whole; else bounded frames over
+        (document, block), which cross the edges of segments."""
+        if self.whole_rows:
+            return kwic.kwic_in_documents(self.rows, node_word, search_type, ignore_case, reach)
+        return kwic.kwic(self._for("pos"), node_word, search_type, ignore_case, reach)
+
+    # --- views ---------------------------------------------------------------
+
+    def spans(self, view: str = "pos") -> DataFrame:
+        if self.whole_rows:
+            return docview.doc_spans_in_rows(self.rows, view)
+        return docview.doc_spans(self.units("ds" if view == "ds" else "pos"), view)
+
+    def html(self, view: str = "ds") -> DataFrame:
+        return docview.doc_html_in_rows(self.rows, view) if self.whole_rows else docview.doc_html(self.spans(view))
+
+    def tag_positions(self, tags, view: str = "ds") -> DataFrame:
+        if self.whole_rows:
+            return docview.doc_tag_positions_in_rows(self.rows, tags, view)
+        return docview.doc_tag_positions(self.units(view), tags, dense=(view == "pos" and self.single_token_pos))
+
+    def tagged_text(self, kind: str = "pos") -> DataFrame:
+        return docview.tagged_text_in_rows(self.rows, kind) if self.whole_rows else docview.tagged_text(self.units(kind), kind)
 
-    def subset(self, condition) -> "Corpus":
-        pt = None if self.pos_tokens is None else self.pos_tokens.filter(condition)
-        docs = None if self.docs is None else self.docs.filter(condition)
-        du = None if self.doc_units is None else self.doc_units.filter(condition)
-        return Corpus(self.tokens.filter(condition), self.single_token_pos, pt, docs, du, self.pos_lexicon)
+    # --- storage -------------------------------------------------------------
 
     def save_bundle(self, path: str) -> str:
-        """Write the seven corpus tables.  The token table is written first
-        and the six derived tables are computed from the written copy, so
-        tokenizing and tagging run once (and the lineage is cut there)."""
-        from ..operators.ingest import save_bundle
-
-        base = path.rstrip("/")
-        (self.tokens.repartition(F.col("doc_id")).sortWithinPartitions("doc_id", "token_idx")
-             .write.mode("overwrite").parquet(f"{base}/ds_tokens"))
-        saved = Corpus(self.tokens.sparkSession.read.parquet(f"{base}/ds_tokens"), self.single_token_pos)
-        derived = {"ft_pos": saved.frequency("pos"), "ft_ds": saved.frequency("ds"), "tt_pos": saved.tags("pos"),
-                   "tt_ds": saved.tags("ds"), "dtm_pos": saved.dtm("pos"), "dtm_ds": saved.dtm("ds")}
-        return save_bundle({"ds_tokens": saved.tokens, **derived}, base, skip=("ds_tokens",))
+        """Write the corpus.  Document rows are written first and everything
+        else is computed from the written copy, so tokenizing and tagging run
+        once (and the lineage is cut there); the tokens of a row are in order,
+        so the token table needs no shuffle.  A corpus from a token table is
+        clustered by document and ordered first."""
+        base, spark = path.rstrip("/"), self.tokens.sparkSession
+        if self.rows is not None:
+            self.rows.write.mode("overwrite").parquet(f"{base}/{DOC_ROWS}")
+            saved = Corpus.from_rows(spark.read.parquet(f"{base}/{DOC_ROWS}"))
+            saved.tokens.write.mode("overwrite").parquet(f"{base}/ds_tokens")
+        else:
+            (self.tokens.repartition(F.col("doc_id")).sortWithinPartitions("doc_id", "token_idx")
+                 .write.mode("overwrite").parquet(f"{base}/ds_tokens"))
+            saved = Corpus(spark.read.parquet(f"{base}/ds_tokens"), self.single_token_pos)
+        derived = {f"{t}_{k}": make(k) for k in ("pos", "ds")
+                   for t, make in (("ft", saved.frequency), ("tt", saved.tags), ("dtm", saved.dtm))}
+        return ingest.save_bundle({"ds_tokens": saved.tokens, **derived}, base, skip=("ds_tokens",))

@@ -10,7 +10,7 @@ from ..operators import keyness as K
 from ..operators.units import is_punct_unit
 from ..sources.documents import REFERENCE_SOURCES, TARGET_SOURCES
 from . import oracle as O
-from .catalog import ALL_EN, english, reference, register, rounded, target
+from .catalog import ALL, corpus, reference, register, rounded, target
 
 PART_TAR = [f"src{i}" for i in range(0, 6)]     # src5 is on both sides on purpose
 PART_REF = [f"src{i}" for i in range(5, 10)]
@@ -28,7 +28,7 @@ def keyness_sql(kind: str, tags_only: bool, threshold: float = 0.05, direction:
     t_in, r_in = O.in_list(tar), O.in_list(ref)
     if swap:
         t_in, r_in = r_in, t_in
-    ctes = ALL_EN + _units_sql(kind) + [
+    ctes = ALL + _units_sql(kind) + [
         f"u AS (SELECT doc_id, {keys}, true AS t FROM u0 WHERE {cat} IN {t_in} "
         f"UNION ALL SELECT doc_id, {keys}, false AS t FROM u0 WHERE {cat} IN {r_in})",
         f"base AS (SELECT t, doc_id, {keys}, count(*) AS n FROM u GROUP BY ALL)",
@@ -57,9 +57,8 @@ def keyness_sql(kind: str, tags_only: bool, threshold: float = 0.05, direction:
 
 
 def _keyness(spark, sf, kind, tags_only, threshold=0.05, direction="positive", swap=False):
-    t, r = target(spark, sf), reference(spark, sf)
-    return rounded(K.keyness_table(t.analytic(kind), r.analytic(kind), t.ndocs(), r.ndocs(),
-                                   tags_only=tags_only, threshold=threshold, direction=direction, swap_target=swap))
+    return rounded(target(spark, sf).keyness(reference(spark, sf), kind, tags_only, threshold=threshold, direction=direction,
+                                             swap_target=swap))
 
 
 @register("keyness_tokens_pos", keyness_sql("pos", False))
@@ -93,17 +92,9 @@ def keyness_sort(spark, sf):
 
 
 def keyness_parts_table(spark, sf, kind="pos", tags_only=False):
-    c = english(spark, sf, PART_TAR + PART_REF)
-    u = c.analytic(kind)
-    cat = first_segment("doc_id")
-    flagged = u.withColumn("_t", F.explode(K.parts_flags(cat, PART_TAR, PART_REF)))
-    keys = ["Tag"] if tags_only else ["Token", "Tag"]
-    counts = K.side_counts_flagged(flagged, keys)
-    docs = c.docs.filter(F.col("text").rlike(r"\S"))
-    d1 = docs.filter(first_segment("doc_id").isin(PART_TAR)).select(F.countDistinct("doc_id")).scalar()
-    d2 = docs.filter(first_segment("doc_id").isin(PART_REF)).select(F.countDistinct("doc_id")).scalar()
-    per = 100.0 if tags_only else 1_000_000.0
-    return rounded(K.finish_keyness(counts, d1, d2, per))
+    c = corpus(spark, sf, PART_TAR + PART_REF)
+    part = lambda names: c.subset(first_segment("doc_id").isin(names))
+    return rounded(part(PART_TAR).keyness(part(PART_REF), kind, tags_only))
 
 
 @register("keyness_parts", keyness_sql("pos", False, tar=PART_TAR, ref=PART_REF))
@@ -111,7 +102,7 @@ def keyness_parts(spark, sf):
     return keyness_parts_table(spark, sf)
 
 
-@register("keyness_parts_counts", O.with_(ALL_EN + O.unit_ctes("tok", "pos", "up") + O.unit_ctes("tok", "ds", "ud") + [
+@register("keyness_parts_counts", O.with_(ALL + O.unit_ctes("tok", "pos", "up") + O.unit_ctes("tok", "ds", "ud") + [
     f"sides AS (SELECT * FROM (VALUES ('target'), ('reference')) v(side))",
     f"cats AS (SELECT 'target' AS side, unnest({[*PART_TAR]}) AS cat UNION ALL SELECT 'reference', unnest({[*PART_REF]}))"],
     "SELECT sides.side, "
@@ -120,13 +111,13 @@ def keyness_parts(spark, sf):
     "(SELECT count(DISTINCT doc_id) FROM tok JOIN cats ON split_part(tok.doc_id, '_', 1) = cats.cat WHERE cats.side = sides.side) AS ndocs "
     "FROM sides"))
 def keyness_parts_counts(spark, sf):
-    c = english(spark, sf, PART_TAR + PART_REF)
+    c = corpus(spark, sf, PART_TAR + PART_REF)
     cat = first_segment("doc_id")
     side = F.explode(F.array_compact(F.array(F.when(cat.isin(PART_TAR), F.lit("target")),
                                              F.when(cat.isin(PART_REF), F.lit("reference")))))
     pos = c.units("pos").filter(F.col("Tag") != "Y").select(side.alias("side")).groupBy("side").agg(F.count(F.lit(1)).alias("tokens_pos"))
     ds = c.units("ds").filter(~is_punct_unit("ds")).select(side.alias("side")).groupBy("side").agg(F.count(F.lit(1)).alias("tokens_ds"))
-    nd = c.docs.filter(F.col("text").rlike(r"\S")).select("doc_id", side.alias("side")).groupBy("side").agg(F.countDistinct("doc_id").alias("ndocs"))
+    nd = c.rows.filter("n > 0").select("doc_id", side.alias("side")).groupBy("side").agg(F.countDistinct("doc_id").alias("ndocs"))
     return pos.join(ds, "side").join(nd, "side")
 
 

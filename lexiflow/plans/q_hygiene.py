@@ -11,7 +11,7 @@ from ..operators import meta as M
 from ..sources.documents import read_table
 from ..storage import materialize, scratch_path
 from . import oracle as O
-from .catalog import ALL_EN, english, register, rounded
+from .catalog import ALL, corpus, register, rounded
 
 STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
 
@@ -48,17 +48,17 @@ def _bundle_sql() -> str:
                              "tt_ds": "tt_ds", "dtm_pos": "dtm_pos", "dtm_ds": "dtm_ds"})
 
 
-@register("load_token_parquet", O.with_(ALL_EN, "SELECT doc_id, token_idx, token, pos_tag, ds_tag, pos_id, ds_id FROM tok"))
+@register("load_token_parquet", O.with_(ALL, "SELECT doc_id, token_idx, token, pos_tag, ds_tag, pos_id, ds_id FROM tok"))
 def load_token_parquet(spark, sf):
     path = scratch_path(spark, "tokens6")
-    (english(spark, sf).tokens.repartition("doc_id").sortWithinPartitions("doc_id", "token_idx")
+    (corpus(spark, sf).tokens.repartition("doc_id").sortWithinPartitions("doc_id", "token_idx")
         .select(*[f.name for f in IN.TOKEN_SCHEMA.fields]).write.parquet(path))
     return IN.load_token_parquet(spark, path)
 
 
 @register("corpus_bundle", _bundle_sql())
 def corpus_bundle(spark, sf):
-    path = english(spark, sf).save_bundle(scratch_path(spark, "bundle"))
+    path = corpus(spark, sf).save_bundle(scratch_path(spark, "bundle"))
     tables = IN.load_bundle(spark, path)
     parts = [df.select(F.lit(name).alias("table")) for name, df in tables.items()]
     out = parts[0]
@@ -90,7 +90,7 @@ def target_reference_overlap(spark, sf):
 @register("corpus_size", "SELECT CAST(coalesce(sum(strlen(text)), 0) AS BIGINT) AS bytes, CAST(NULL AS BIGINT) AS \"limit\", "
           "TRUE AS within_limit FROM documents")
 def corpus_size(spark, sf):
-    return CH.corpus_size(english(spark, sf).docs)
+    return CH.corpus_size(corpus(spark, sf).docs)
 
 
 def _profiles(spark, sf):
@@ -113,7 +113,7 @@ def language_fail_list(spark, sf):
     return lang.unionByName(dec.select("doc_id", F.lit("decode").alias("reason")))
 
 
-@register("corpus_readiness", O.with_(ALL_EN, "SELECT "
+@register("corpus_readiness", O.with_(ALL, "SELECT "
           "(SELECT count(*) FROM (SELECT doc_id FROM tok_docs WHERE split_part(doc_id, '_', 1) IN " + O.in_list([f"src{i}" for i in range(10)]) +
           " GROUP BY doc_id HAVING count(*) > 1)) = 0 AS no_duplicates, "
           "(SELECT count(*) FROM (SELECT DISTINCT doc_id FROM tok_docs WHERE split_part(doc_id, '_', 1) IN " + O.in_list([f"src{i}" for i in range(10)]) +
@@ -126,36 +126,36 @@ def language_fail_list(spark, sf):
           + O.in_list([f"src{i}" for i in range(10, 20)]) + ")) = 0 "
           "AND (SELECT count(*) FROM tok_docs) > 0) AS ready"))
 def corpus_readiness(spark, sf):
-    c = english(spark, sf)
+    c = corpus(spark, sf)
     cat = F.split("doc_id", "_", 2).getItem(0)
     t = c.docs.filter(cat.isin([f"src{i}" for i in range(10)])).select("doc_id")
     r = c.docs.filter(cat.isin([f"src{i}" for i in range(10, 20)])).select("doc_id")
     return CH.corpus_readiness(t, r, c.docs)
 
 
-@register("doc_categories", O.with_(ALL_EN, "SELECT doc_id, regexp_replace(doc_id, '_\\S+$', '') AS category FROM "
+@register("doc_categories", O.with_(ALL, "SELECT doc_id, regexp_replace(doc_id, '_\\S+$', '') AS category FROM "
                                     "(SELECT DISTINCT doc_id FROM tok_docs WHERE regexp_matches(text, '\\S')) "
                                     "WHERE (SELECT bool_and(contains(doc_id, '_') AND length(regexp_replace(doc_id, '_\\S+$', '')) > 0) FROM tok_docs)"))
 def doc_categories(spark, sf):
-    c = english(spark, sf)
+    c = corpus(spark, sf)
     return M.doc_categories(c.docs.filter(F.col("text").rlike(r"\S")).select("doc_id").distinct())
 
 
 def _cats(spark, sf):
-    c = english(spark, sf)
+    c = corpus(spark, sf)
     return M.doc_categories(c.docs.filter(F.col("text").rlike(r"\S")).select("doc_id").distinct())
 
 
 _CATS_SQL = "cats AS (SELECT doc_id, regexp_replace(doc_id, '_\\S+$', '') AS category FROM (SELECT DISTINCT doc_id FROM tok_docs WHERE regexp_matches(text, '\\S')))"
 
 
-@register("category_gate", O.with_(ALL_EN + [_CATS_SQL], "SELECT count(DISTINCT category) AS n_categories, "
+@register("category_gate", O.with_(ALL + [_CATS_SQL], "SELECT count(DISTINCT category) AS n_categories, "
                                    "count(DISTINCT category) BETWEEN 2 AND 20 AS accepted FROM cats"))
 def category_gate(spark, sf):
     return M.category_gate(_cats(spark, sf))
 
 
-@register("category_counts", O.with_(ALL_EN + [_CATS_SQL], "SELECT category, count(*) AS n_docs FROM cats GROUP BY category"))
+@register("category_counts", O.with_(ALL + [_CATS_SQL], "SELECT category, count(*) AS n_docs FROM cats GROUP BY category"))
 def category_counts(spark, sf):
     return M.category_counts(_cats(spark, sf))
 
@@ -171,17 +171,17 @@ def category_labels(spark, sf):
     return M.category_labels(M.category_counts(cats), LANG_LABELS)
 
 
-@register("subset_by_category", O.with_(ALL_EN, "SELECT doc_id, token_idx, token, pos_tag FROM tok WHERE split_part(doc_id, '_', 1) IN ('src1', 'src2')"))
+@register("subset_by_category", O.with_(ALL, "SELECT doc_id, token_idx, token, pos_tag FROM tok WHERE split_part(doc_id, '_', 1) IN ('src1', 'src2')"))
 def subset_by_category(spark, sf):
-    return M.subset_by_category(english(spark, sf).pos_tokens, ["src1", "src2"]).select("doc_id", "token_idx", "token", "pos_tag")
+    return M.subset_by_category(corpus(spark, sf).pos_tokens, ["src1", "src2"]).select("doc_id", "token_idx", "token", "pos_tag")
 
 
-@register("split_corpus_counts", O.with_(ALL_EN, "SELECT count(*) FILTER (WHERE starts_with(doc_id, 'src1')) AS tar_tokens, "
+@register("split_corpus_counts", O.with_(ALL, "SELECT count(*) FILTER (WHERE starts_with(doc_id, 'src1')) AS tar_tokens, "
           "count(*) FILTER (WHERE starts_with(doc_id, 'src1') AND NOT starts_with(pos_tag, 'Y')) AS tar_words, "
           "count(DISTINCT doc_id) FILTER (WHERE starts_with(doc_id, 'src1')) AS tar_ndocs, "
           "count(*) FILTER (WHERE starts_with(doc_id, 'src2')) AS ref_tokens, "
           "count(*) FILTER (WHERE starts_with(doc_id, 'src2') AND NOT starts_with(pos_tag, 'Y')) AS ref_words, "
           "count(DISTINCT doc_id) FILTER (WHERE starts_with(doc_id, 'src2')) AS ref_ndocs FROM tok"))
 def split_corpus_counts(spark, sf):
-    return M.split_corpus_counts(english(spark, sf).pos_tokens, ["src1"], ["src2"])
+    return M.split_corpus_counts(corpus(spark, sf).pos_tokens, ["src1"], ["src2"])
 

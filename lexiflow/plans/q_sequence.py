@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from ..operators import colloc as C
 from ..operators import ngrams as NG
 from . import oracle as O
-from .catalog import ALL_EN, english, register, rounded
+from .catalog import ALL, corpus, register, rounded
 
 ND = O.ndocs_sql("tok")
 
@@ -32,54 +29,41 @@ def ngram_sql(kind: str, span: int, where: str = "", min_rf: float | None = 10.0
     keys = ", ".join(toks + tags)
     having = f" HAVING sum(n) / {_n_units_sql(kind)} * 1000000.0 > {min_rf}" if min_rf is not None else ""
     extra = f" AND ({where})" if where else ""
-    return O.with_(ALL_EN + _units(kind) + [
+    return O.with_(ALL + _units(kind) + [
         f"o AS (SELECT doc_id, {', '.join(cols)} FROM u WINDOW w AS (PARTITION BY doc_id ORDER BY pos))",
         f"base AS (SELECT doc_id, {keys}, count(*) AS n FROM o WHERE {' AND '.join(ok)}{extra} GROUP BY ALL)"],
         f"SELECT {keys}, CAST(sum(n) AS BIGINT) AS AF, {O.r(f'sum(n) / {_n_units_sql(kind)} * 1000000.0')} AS RF, "
         f"{O.r(f'count(*) * 100.0 / {ND}')} AS Range FROM base GROUP BY {keys}{having}")
 
 
-def _ctx(spark, sf, kind):
-    c = english(spark, sf)
-    units = c.units(kind)
-    n_units = c.analytic_count(kind)
-    return c, units, n_units, kind == "pos"
-
-
 @register("ngrams_pos", ngram_sql("pos", 3))
 def ngrams_pos(spark, sf):
-    c, u, n, dense = _ctx(spark, sf, "pos")
-    return rounded(NG.ngrams(u, n, c.ndocs(), span=3, kind="pos", dense=dense))
+    return rounded(corpus(spark, sf).ngrams("pos", 3))
 
 
 @register("ngrams_ds", ngram_sql("ds", 2))
 def ngrams_ds(spark, sf):
-    c, u, n, dense = _ctx(spark, sf, "ds")
-    return rounded(NG.ngrams(u, n, c.ndocs(), span=2, kind="ds", dense=dense))
+    return rounded(corpus(spark, sf).ngrams("ds", 2))
 
 
 @register("clusters_by_token", ngram_sql("pos", 3, "Token_2 = 'of'", None))
 def clusters_by_token(spark, sf):
-    c, u, n, dense = _ctx(spark, sf, "pos")
-    return rounded(NG.clusters_by_token(u, n, c.ndocs(), "of", node_position=2, span=3, mode="fixed", dense=dense))
+    return rounded(corpus(spark, sf).clusters_by_token("of", node_position=2, span=3, mode="fixed"))
 
 
 @register("clusters_by_token_prefix", ngram_sql("pos", 2, "starts_with(Token_1, 'th')", None))
 def clusters_by_token_prefix(spark, sf):
-    c, u, n, dense = _ctx(spark, sf, "pos")
-    return rounded(NG.clusters_by_token(u, n, c.ndocs(), "th", node_position=1, span=2, mode="starts_with", dense=dense))
+    return rounded(corpus(spark, sf).clusters_by_token("th", node_position=1, span=2, mode="starts_with"))
 
 
 @register("clusters_by_tag", ngram_sql("pos", 2, "Tag_1 = 'AT'", None))
 def clusters_by_tag(spark, sf):
-    c, u, n, dense = _ctx(spark, sf, "pos")
-    return rounded(NG.clusters_by_tag(u, n, c.ndocs(), "AT", tag_position=1, span=2, dense=dense))
+    return rounded(corpus(spark, sf).clusters_by_tag("AT", tag_position=1, span=2))
 
 
 @register("ngram_tag_filter", ngram_sql("pos", 2, "Tag_1 IN ('AT', 'AT1') AND Tag_2 IN ('NN1', 'NN2')"))
 def ngram_tag_filter(spark, sf):
-    c, u, n, dense = _ctx(spark, sf, "pos")
-    t = NG.ngrams(u, n, c.ndocs(), span=2, kind="pos", dense=dense)
+    t = corpus(spark, sf).ngrams("pos", 2)
     return rounded(NG.ngram_tag_filter(t, {1: ["AT", "AT1"], 2: ["NN1", "NN2"]}))
 
 
@@ -97,7 +81,7 @@ def coll_sql(kind: str, node: str, node_tag: str | None, pre: int, fol: int, sta
         "pmi3": f"log2({o} * {o} * {o} / (fn * freq_total * n))",
         "npmi": f"CASE WHEN {o} = n THEN NULL ELSE log2({o} * n / (fn * freq_total)) / -log2({o} / n) END",
     }[stat]
-    return O.with_(ALL_EN + _units(kind) + [
+    return O.with_(ALL + _units(kind) + [
         f"f AS (SELECT doc_id, pos, Token, Tag, CASE WHEN {is_node} THEN 1 ELSE 0 END AS nd FROM u WHERE NOT p)",
         f"w AS (SELECT Token, Tag, nd, {' + '.join(wt) if wt else '0'} AS wt FROM f)",
         "c AS (SELECT Token, Tag, CAST(sum(wt) AS BIGINT) AS freq_span, count(*) AS freq_total, max(nd) AS is_node FROM w GROUP BY Token, Tag)",
@@ -106,7 +90,7 @@ def coll_sql(kind: str, node: str, node_tag: str | None, pre: int, fol: int, sta
 
 
 def _coll(spark, sf, kind, node, node_tag, pre, fol, stat):
-    return rounded(C.coll_table(english(spark, sf).units(kind), node, node_tag, pre, fol, stat, kind))
+    return rounded(corpus(spark, sf).collocates(node, node_tag, pre, fol, stat, kind))
 
 
 for _stat in ("pmi", "npmi", "pmi2", "pmi3"):
@@ -123,7 +107,7 @@ def kwic_sql(node: str, reach: int = 10, search: str = "fixed") -> str:
     cond = {"fixed": f"lower(s) = {O.q(node.lower())}", "starts_with": f"starts_with(lower(s), {O.q(node.lower())})",
             "ends_with": f"suffix(lower(s), {O.q(node.lower())})", "contains": f"contains(lower(s), {O.q(node.lower())})"}[search]
     strip = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
-    return O.with_(ALL_EN + [
+    return O.with_(ALL + [
         "t AS (SELECT doc_id, token_idx, token, regexp_replace(token, '\\s+$', '') AS s FROM tok)",
         f"k AS (SELECT doc_id, token_idx, s, {cond} AS hit, "
         f"coalesce(array_to_string(list(token) OVER (PARTITION BY doc_id ORDER BY token_idx ROWS BETWEEN {reach} PRECEDING AND 1 PRECEDING), ''), '') AS pre0, "
@@ -133,19 +117,19 @@ def kwic_sql(node: str, reach: int = 10, search: str = "fixed") -> str:
 
 @register("kwic", kwic_sql("of"))
 def kwic(spark, sf):
-    return english(spark, sf).kwic("of", "fixed", True, 10)
+    return corpus(spark, sf).kwic("of", "fixed", True, 10)
 
 
 @register("kwic_ends_with", kwic_sql("ing", 5, "ends_with"))
 def kwic_ends_with(spark, sf):
-    return english(spark, sf).kwic("ing", "ends_with", True, 5)
+    return corpus(spark, sf).kwic("ing", "ends_with", True, 5)
 
 
 @register("kwic_starts_with", kwic_sql("th", 3, "starts_with"))
 def kwic_starts_with(spark, sf):
-    return english(spark, sf).kwic("th", "starts_with", True, 3)
+    return corpus(spark, sf).kwic("th", "starts_with", True, 3)
 
 
 @register("kwic_contains", kwic_sql("tion", 4, "contains"))
 def kwic_contains(spark, sf):
-    return english(spark, sf).kwic("tion", "contains", True, 4)
+    return corpus(spark, sf).kwic("tion", "contains", True, 4)

@@ -12,7 +12,7 @@ from ..operators import groupstats as G
 from ..operators import pca as P
 from . import oracle as O
 from ..storage import materialize
-from .catalog import ALL_EN, english, register, rounded
+from .catalog import ALL, corpus, register, rounded
 
 SIMPLE_TAGS = sorted({lab for _, lab in SIMPLE_TAG_RULES} | {"Other"})
 GRP_A = [f"src{i}" for i in range(0, 5)]
@@ -23,7 +23,7 @@ SIMP = simplify_tag_sql("Tag")
 CAT = "split_part(doc_id, '_', 1)"
 
 U_POS = O.unit_ctes("tok", "pos", "upos", analytic=True)
-BASE = ALL_EN + U_POS + [
+BASE = ALL + U_POS + [
     "dtm AS (SELECT doc_id, Tag, count(*) AS n FROM upos GROUP BY doc_id, Tag)",
     f"dtm_s AS (SELECT doc_id, {SIMP} AS Tag, count(*) AS n FROM upos GROUP BY ALL)",
     "d1 AS (SELECT * FROM dtm_s WHERE Tag NOT IN ('Other', 'FU', 'Untagged'))",
@@ -45,7 +45,7 @@ def S(final: str, extra: list[str] | None = None) -> str:
 
 
 def _c(spark, sf):
-    return english(spark, sf)
+    return corpus(spark, sf)
 
 
 def _dtm(c):
@@ -222,7 +222,7 @@ def highlight_split(spark, sf):
     return G.highlight_split(w, ["src0", "src1"]).select("doc_id", "Group", "highlight")
 
 
-@register("tag_bar_data", O.with_(ALL_EN + U_POS + [
+@register("tag_bar_data", O.with_(ALL + U_POS + [
     "base AS (SELECT doc_id, Tag, count(*) AS n FROM upos GROUP BY ALL)"],
     f"SELECT Tag, CAST(sum(n) AS BIGINT) AS AF, {O.r('sum(n) / (SELECT sum(n) FROM base) * 100.0')} AS RF, "
     f"{O.r(f'count(*) * 100.0 / {O.ndocs_sql()}')} AS Range FROM base GROUP BY Tag ORDER BY RF DESC, Tag"))

@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import freq as fq
-from ..operators import keyness as K
 from .corpus import Corpus
 
 
@@ -78,6 +77,5 @@ def table_by_name(corpus: Corpus, name: str, scope: str = "Target", reference: C
         if key is None or reference is None:
             return None
         kind = "ds" if key.endswith("_ds") else "pos"
-        return K.keyness_table(corpus.analytic(kind), reference.analytic(kind), corpus.ndocs(), reference.ndocs(),
-                               tags_only=key.startswith("kt_"), threshold=threshold)
+        return corpus.keyness(reference, kind, tags_only=key.startswith("kt_"), threshold=threshold)
     return None

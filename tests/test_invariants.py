@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from conftest import SF_SMALL
 from lexiflow.functions.lexicon import DS_LEXICON
 from lexiflow.operators import colloc, freq, groupstats, keyness, ngrams, sequence
-from lexiflow.plans.catalog import english
+from lexiflow.plans.catalog import corpus as english
 
 
 @pytest.fixture(scope="module")
@@ -233,7 +233,7 @@ def test_quota_stream_keeps_every_row(spark, tmp_path):
 
 
 def test_default_corpus_reads_all_documents(spark):
-    from lexiflow.plans.catalog import english
+    from lexiflow.plans.catalog import corpus as english
 
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter(r"text rlike '\\S'")
     assert english(spark, "/root/testdata/sf0.001").pos_tokens.select("doc_id").distinct().count() == docs.count()
