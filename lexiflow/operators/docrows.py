@@ -41,9 +41,10 @@ def counted(rows: DataFrame, items: Column, keys: Sequence[str], total: Column |
     one = F.transform(items, lambda x: F.struct(*[x[k].alias(k) for k in keys], F.lit(1).cast("long").alias("n")))
     marker = F.struct(*[F.lit(None).cast("string").alias(k) for k in keys],
                       (F.lit(0) if total is None else total).cast("long").alias("n"))
-    d = rows.filter("n > 0").select(F.sort_array(F.concat(F.array(marker), one)).alias("_w"))
-    # (outer: no filter on the array's size is inferred, which would compute the array once more)
-    d = d.select("_w", F.posexplode_outer("_w").alias("_i", "_x"))
+    # (rows without tokens go after the explosion, and that is an outer one, as a filter on an array's
+    # size, given or inferred, would compute the array once more)
+    marked = F.when(F.col("n") > 0, F.sort_array(F.concat(F.array(marker), one)))
+    d = rows.select(marked.alias("_w")).select("_w", F.posexplode_outer("_w").alias("_i", "_x")).filter("_x IS NOT NULL")
     first = F.coalesce(F.get("_w", F.col("_i") - 1) != F.col("_x"), F.lit(True))
     return d.select(*[F.col(f"_x.{k}").alias(k) for k in keys], F.col("_x.n").alias("n"), first.cast("long").alias("docs"))
 

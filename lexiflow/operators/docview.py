@@ -64,7 +64,13 @@ def row_units(rows: DataFrame, view: str) -> DataFrame:
     else:
         both = F.zip_with("toks", "tags", lambda t, tag: F.struct(t.alias("utext"), tag.alias("Tag")))
         us = F.transform(both, lambda x, i: F.struct(i.cast("long").alias("pos"), x["utext"].alias("utext"), x["Tag"].alias("Tag")))
-    return rows.filter("n > 0").select("doc_id", us.alias("us"))
+    return rows.select("doc_id", us.alias("us"))
+
+
+def _one_text(units: DataFrame, text: Column) -> DataFrame:
+    """A row (doc_id, text) for each document with units (see ``docrows.counted`` on why it is exploded)."""
+    some = F.when(F.size("us") > 0, F.array(text))
+    return units.select("doc_id", F.explode_outer(some).alias("text")).filter("text IS NOT NULL")
 
 
 def doc_spans_in_rows(rows: DataFrame, view: str = "pos") -> DataFrame:
@@ -80,8 +86,8 @@ def doc_spans_in_rows(rows: DataFrame, view: str = "pos") -> DataFrame:
 
 def doc_html_in_rows(rows: DataFrame, view: str = "ds") -> DataFrame:
     """One HTML string per whole document row."""
-    return row_units(rows, view).select("doc_id", F.array_join(F.transform(
-        "us", lambda u: _span_text(u["utext"], _viewed(u["Tag"], view), NOT_WRAPPED[view])), "").alias("html"))
+    return _one_text(row_units(rows, view), F.array_join(F.transform(
+        "us", lambda u: _span_text(u["utext"], _viewed(u["Tag"], view), NOT_WRAPPED[view])), "")).withColumnRenamed("text", "html")
 
 
 def ordered_join(value: str, order: str, sep: str = "") -> Column:
@@ -136,5 +142,5 @@ def tagged_text(units: DataFrame, kind: str = "pos") -> DataFrame:
 
 def tagged_text_in_rows(rows: DataFrame, kind: str = "pos") -> DataFrame:
     """``tagged_text`` of whole document rows."""
-    return _with_file_name(row_units(rows, kind).select("doc_id", F.array_join(F.transform(
-        "us", lambda u: _tagged_item(u["utext"], u["Tag"], kind)), " ").alias("text")))
+    return _with_file_name(_one_text(row_units(rows, kind), F.array_join(F.transform(
+        "us", lambda u: _tagged_item(u["utext"], u["Tag"], kind)), " ")))

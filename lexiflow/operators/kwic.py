@@ -57,8 +57,8 @@ def kwic_in_documents(rows: DataFrame, node_word: str, search_type: str = "fixed
     pre = F.array_join(F.slice("toks", i - before + 1, before), "")
     post = F.array_join(F.slice("toks", i + 2, F.lit(reach)), "")
     node = surface(F.get("toks", i))
-    return (rows.filter((F.col("n") > 0) & probe)
-                .select("doc_id", "toks", F.explode_outer(F.sequence(F.lit(0), F.col("n") - 1)).alias("_i"))
-                .filter(_hit(node, node_word, search_type, ignore_case))
+    places = F.when((F.col("n") > 0) & probe, F.sequence(F.lit(0), F.col("n") - 1))
+    return (rows.select("doc_id", "toks", F.explode_outer(places).alias("_i"))
+                .filter(i.isNotNull() & _hit(node, node_word, search_type, ignore_case))
                 .select("doc_id", i.cast("long").alias("token_idx"), strip_ws(pre).alias("pre"), node.alias("node"),
                         strip_ws(post).alias("post")))

@@ -101,7 +101,7 @@ class Corpus:
         """Number of units that count (N of the frequency tables), as a scalar subquery."""
         if self.whole_rows:
             n = F.size("units") if kind == "ds" else F.size(F.filter("tags", lambda t: t != PUNCT_TAG))
-            return self.rows.filter("n > 0").select(F.coalesce(F.sum(n), F.lit(0)).cast("long")).scalar()
+            return self.rows.select(F.coalesce(F.sum(n), F.lit(0)).cast("long")).scalar()
         return self.analytic(kind).select(F.count(F.lit(1))).scalar()
 
     def words(self, kind: str = "pos") -> DataFrame:
@@ -118,7 +118,8 @@ class Corpus:
             ds = F.transform("units", lambda u: F.struct(F.lit("ds").alias("kind"), u["tag"].alias("Tag"),
                                                          u["punct"].alias("punct")))
             doc = F.array(F.struct(F.lit("doc").alias("kind"), F.lit(None).cast("string").alias("Tag"), F.lit(False).alias("punct")))
-            found = self.rows.filter("n > 0").select(F.explode(F.concat(doc, pos, ds)).alias("x")).select("x.*")
+            some = F.when(F.col("n") > 0, F.concat(doc, pos, ds))
+            found = self.rows.select(F.explode_outer(some).alias("x")).filter("x IS NOT NULL").select("x.*")
         else:
             of = lambda kind: self.units(kind).select(F.lit(kind).alias("kind"), "Tag", is_punct_unit(kind).alias("punct"))
             docs = self._for("pos").select("doc_id").distinct().select(

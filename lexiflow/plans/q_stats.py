@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.stats import student_t_p_sql
 from ..functions.tags import SIMPLE_TAG_RULES, simplify_tag_sql
 from ..functions.text import first_segment
 from ..operators import freq as fq
@@ -144,22 +145,19 @@ def _stats_sql(src: str, keys: str) -> str:
 
 @register("box_stats", _stats_sql("box", "Tag"))
 def box_stats(spark, sf):
-    b = G.box_data(dense_prop_simple(_c(spark, sf)), BOX_TAGS)
-    return rounded(G.box_stats(b, ["Tag"]))
+    return rounded(G.box_stats(G.box_values(dense_prop_simple(_c(spark, sf)), BOX_TAGS), ["Tag"]))
 
 
 @register("box_stats_grouped", _stats_sql("(SELECT * FROM boxg WHERE \"Group\" IS NOT NULL)", "\"Group\", Tag"))
 def box_stats_grouped(spark, sf):
-    b = G.box_data_grouped(dense_prop_simple(_c(spark, sf)), BOX_TAGS, GRP_A, GRP_B)
-    return rounded(G.box_stats(b, ["Group", "Tag"]))
+    return rounded(G.box_stats(G.box_values(dense_prop_simple(_c(spark, sf)), BOX_TAGS, GRP_A, GRP_B), ["Group", "Tag"]))
 
 
 @register("box_hover_stats", S(f"SELECT Tag, {O.r('avg(RF)')} AS mean, {O.r('quantile_cont(RF, 0.5)')} AS median, "
                                f"{O.r('quantile_cont(RF, 0.75) - quantile_cont(RF, 0.25)')} AS iqr, {O.r('min(RF)')} AS min, "
                                f"{O.r('max(RF)')} AS max FROM box GROUP BY Tag"))
 def box_hover_stats(spark, sf):
-    b = G.box_data(dense_prop_simple(_c(spark, sf)), BOX_TAGS)
-    return rounded(G.box_hover_stats(b, ["Tag"]))
+    return rounded(G.box_hover_stats(G.box_values(dense_prop_simple(_c(spark, sf)), BOX_TAGS), ["Tag"]))
 
 
 @register("scatter_data", S(f"SELECT doc_id, {O.r(X)} AS {X}, {O.r(Y)} AS {Y} FROM wide"))
@@ -186,29 +184,35 @@ def pearson(spark, sf):
     return G.pearson(G.scatter_data(dense_prop_simple(_c(spark, sf)), X, Y), X, Y)
 
 
-@register("pearson_p")
+@register("pearson_p", S("SELECT round(r, 3) AS r, n - 2 AS df, round(" + student_t_p_sql("r", "n") + ", 5) AS p FROM "
+                        f"(SELECT corr({X}, {Y}) AS r, count(*) AS n FROM wide)"))
 def pearson_p(spark, sf):
     return G.pearson_p(G.scatter_data(dense_prop_simple(_c(spark, sf)), X, Y), X, Y)
 
 
 @register("pearson_groups", S(
-    f"SELECT highlight, CASE WHEN count(*) > 2 THEN round(corr({X}, {Y}), 3) END AS r, "
-    f"CASE WHEN count(*) > 2 THEN count(*) - 2 END AS df FROM "
-    f"(SELECT *, \"Group\" IN {O.in_list(GRP_A)} AS highlight FROM wideg) GROUP BY highlight"))
+    "SELECT highlight, CASE WHEN n > 2 THEN round(r, 3) END AS r, CASE WHEN n > 2 THEN n - 2 END AS df, "
+    "CASE WHEN n > 2 THEN round(" + student_t_p_sql("r", "n") + ", 5) END AS p FROM "
+    f"(SELECT highlight, corr({X}, {Y}) AS r, count(*) AS n FROM "
+    f"(SELECT *, \"Group\" IN {O.in_list(GRP_A)} AS highlight FROM wideg) GROUP BY highlight)"))
 def pearson_groups(spark, sf):
     w = G.scatter_data_grouped(dense_prop_simple(_c(spark, sf)), X, Y)
     return G.pearson_groups(w, X, Y, GRP_A)
 
 
 @register("correlation_matrix", S(
-    f"SELECT a.Tag AS tag_a, b.Tag AS tag_b, {O.r('corr(a.RF, b.RF)')} AS r FROM dense a JOIN dense b "
-    "ON a.doc_id = b.doc_id AND a.Tag < b.Tag GROUP BY a.Tag, b.Tag"))
+    "SELECT a.Tag AS tag_a, b.Tag AS tag_b, round(CASE WHEN var_pop(a.RF) > 0 AND var_pop(b.RF) > 0 THEN corr(a.RF, b.RF) END, 6) AS r "
+    "FROM dall a JOIN dall b ON a.doc_id = b.doc_id AND a.Tag < b.Tag GROUP BY a.Tag, b.Tag",
+    ["ad AS (SELECT * FROM dtm WHERE Tag NOT IN ('Other', 'FU', 'Untagged'))",
+     "ap AS (SELECT doc_id, Tag, n / sum(n) OVER (PARTITION BY doc_id) AS RF FROM ad)",
+     "adoc AS (SELECT DISTINCT doc_id FROM ad)", "atag AS (SELECT DISTINCT Tag FROM ad)",
+     "dall AS (SELECT adoc.doc_id, atag.Tag, coalesce(ap.RF, 0.0) AS RF FROM adoc CROSS JOIN atag "
+     "LEFT JOIN ap ON ap.doc_id = adoc.doc_id AND ap.Tag = atag.Tag)"]))
 def correlation_matrix(spark, sf):
-    c = _c(spark, sf)
-    dense = dense_prop_simple(c)
-    tags = [r[0] for r in dense.select("Tag").distinct().collect()]   # closed tagset, bounded
-    wide = dense.groupBy("doc_id").pivot("Tag", sorted(tags)).agg(F.first("RF"))
-    return rounded(G.correlation_matrix(wide, tags))
+    """Over all tags, not only their simplified classes."""
+    d = fq.dtm_weight_prop(fq.drop_non_analytic(_dtm(_c(spark, sf)))).select("doc_id", "Tag", "RF")
+    tags = sorted(r[0] for r in d.select("Tag").distinct().collect())   # closed tagset, bounded
+    return rounded(G.correlation_matrix(fq.dtm_wide(d, tags, value="RF"), tags))
 
 
 @register("linear_trend", S(f"SELECT {O.r(f'regr_slope({Y}, {X})')} AS slope, {O.r(f'regr_intercept({Y}, {X})')} AS intercept FROM wide"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Fixed values (ours): the comparison used throughout the registered queries.
@@ -42,19 +42,32 @@ def documents_from_text_files(spark: SparkSession, path: str, fold_ascii: bool =
     return clean_documents(raw, fold=fold_ascii)
 
 
-def with_segment_offsets(segments: DataFrame, segment: str = "segment") -> DataFrame:
-    """Documents stored as several rows ``(doc_id, <segment>, text)``: add
-    ``_off``, the number of tokens in the earlier segments of the document,
-    so token positions are global.  The offsets are a blocked prefix sum
-    over the per-segment token counts, so a document with very many segments
-    is spread over many tasks.  Ordered operators (n-grams, collocations,
-    document views) then run across segment edges on the token table;
-    phrase tagging and KWIC contexts stay inside a segment row."""
-    from ..functions.text import token_array
-    from ..operators.sequence import prefix_sum
-
-    counts = segments.select("doc_id", F.col(segment).cast("long").alias("_seg"),
-                             F.size(token_array("text")).cast("long").alias("_n"))
-    offsets = prefix_sum(counts, ["doc_id"], "_seg", F.col("_n"), "_off", inclusive=False).drop("_n")
-    return (segments.withColumn("_seg", F.col(segment).cast("long"))
-                    .join(offsets, ["doc_id", "_seg"]).drop("_seg"))
+def with_segment_offsets(segments: DataFrame, segment: str = "segment", ahead: int | None = None) -> DataFrame:
+    """Documents stored as several rows ``(doc_id, <segment>, text)``, cut
+    between tokens: (doc_id, _seg, text, _toks, _off, _ahead).
+
+    ``_off`` is the number of tokens in the earlier segments, so token
+    positions are global; ``_ahead`` holds the first ``ahead`` tokens after the
+    segment (default: what the longest phrase needs), so that phrases run
+    across segment edges.  Segments without a token are left out; a segment
+    that does not end in whitespace is followed by a line break.  Offsets are a
+    blocked prefix sum and the tokens ahead come from bounded frames, so a
+    document with very many segments is spread over many tasks."""
+    from ..functions.text import TOKEN_PATTERN, WHITESPACE, token_array
+    from ..operators.sequence import dense_rank_in_doc, prefix_sum, with_context
+    from ..operators.tagging import phrase_length
+
+    ahead = phrase_length() - 1 if ahead is None else ahead
+    s = segments.select("doc_id", F.col(segment).cast("long").alias("_seg"), "text").filter(F.col("text").rlike(r"\S"))
+    s = s.join(s.groupBy("doc_id").agg(F.max("_seg").alias("_last")), "doc_id")
+    ended = F.when(F.right("text", F.lit(1)).isin(*WHITESPACE), F.col("text")).otherwise(F.concat("text", F.lit("\n")))
+    is_last = F.col("_seg") == F.col("_last")
+    s = s.withColumn("_toks", F.when(is_last, token_array("text")).otherwise(F.regexp_extract_all(ended, F.lit(TOKEN_PATTERN), 0)))
+    s = s.drop("_last")
+    narrow = s.select("doc_id", "_seg", F.size("_toks").cast("long").alias("_n"), F.slice("_toks", 1, max(ahead, 1)).alias("_head"))
+    placed = dense_rank_in_doc(prefix_sum(narrow, ["doc_id"], "_seg", F.col("_n"), "_off", inclusive=False), ["doc_id"], "_seg", "_at")
+    placed = with_context(placed, "_at", before=0, after=max(ahead, 1))
+    after = Window.partitionBy("doc_id", "_blk").orderBy("_at").rowsBetween(1, max(ahead, 1))
+    placed = placed.withColumn("_ahead", F.slice(F.flatten(F.collect_list("_head").over(after)), 1, max(ahead, 1)))
+    placed = placed.filter("_own").select("doc_id", "_seg", "_off", "_ahead" if ahead else F.array().cast("array<string>").alias("_ahead"))
+    return s.join(placed, ["doc_id", "_seg"])

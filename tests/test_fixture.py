@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexiflow.functions.tags import simplify_tag
-from lexiflow.operators import colloc, docview, freq, keyness, kwic, meta, ngrams
+from lexiflow.operators import colloc, docview, freq, keyness, kwic, meta
 from lexiflow.plans.corpus import Corpus
 
 
@@ -15,7 +15,7 @@ def rows(df, key):
 
 
 def test_corpus_summary(fixture_corpus):
-    r = meta.corpus_summary(fixture_corpus).first()
+    r = fixture_corpus.summary().first()
     assert (r.tokens_pos, r.tokens_ds, r.ndocs) == (11, 11, 2)
     assert r.tags_pos == ["AT", "FU", "II", "NN1", "PPH1", "VVD"]
     assert r.tags_ds == ["Character", "Narrative", "Reasoning"]
@@ -57,8 +57,7 @@ def test_simplify(spark):
 
 def test_ngrams_pos(fixture_corpus):
     c = fixture_corpus
-    n = c.analytic("pos").count()
-    t = rows(ngrams.ngrams(c.units("pos"), F.lit(n), F.lit(2), span=2, min_rf=None),
+    t = rows(c.ngrams("pos", 2, None),
              lambda r: (r.Token_1, r.Token_2))
     assert t[("the", "cat")].AF == 3 and t[("the", "cat")].Range == 100
     assert t[("the", "cat")].RF == pytest.approx(272727.272727)
@@ -71,19 +70,19 @@ def test_keyness_tags(fixture_corpus):
     c = fixture_corpus
     a = c.analytic("pos").filter(F.col("doc_id").startswith("A"))
     b = c.analytic("pos").filter(F.col("doc_id").startswith("B"))
-    k = rows(keyness.keyness_table(a, b, F.lit(1), F.lit(1), tags_only=True, threshold=1.0, direction="both"),
+    k = rows(keyness.keyness_table(a, b, tags_only=True, threshold=1.0, direction="both"),
              lambda r: r.Tag)
     assert k["VVD"].LL == pytest.approx(2.424543, abs=1e-6)
     assert k["VVD"].LR == pytest.approx(1.736966, abs=1e-6)
     assert k["VVD"].PV == pytest.approx(0.119448, abs=1e-6)
     assert k["NN1"].LL == pytest.approx(0.182373, abs=1e-6) and k["NN1"].PV == pytest.approx(0.669342, abs=1e-6)
     assert k["II"].LL == pytest.approx(-1.576915, abs=1e-6) and k["II"].LR == pytest.approx(-1.263034, abs=1e-6)
-    strict = keyness.keyness_table(a, b, F.lit(1), F.lit(1), tags_only=True, threshold=0.05, direction="both")
+    strict = keyness.keyness_table(a, b, tags_only=True, threshold=0.05, direction="both")
     assert strict.count() == 0
 
 
 def test_collocates(fixture_corpus):
-    u = fixture_corpus.units("pos")
+    u = fixture_corpus.words("pos")
     res = {}
     for stat in ("pmi", "npmi", "pmi2", "pmi3"):
         for r in colloc.coll_table(u, "cat", None, 1, 1, stat).collect():
@@ -148,9 +147,9 @@ def test_categories(spark):
 
 def test_node_word_rules(fixture_corpus):
     with pytest.raises(ValueError):
-        colloc.coll_table(fixture_corpus.units("pos"), "two words")
+        fixture_corpus.collocates("two words")
     with pytest.raises(ValueError):
-        ngrams.ngram_rows(fixture_corpus.units("pos"), 11)
+        fixture_corpus.ngrams("pos", 11)
 
 
 _ = (math, Corpus)

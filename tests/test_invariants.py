@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from lexiflow.functions.lexicon import DS_LEXICON
-from lexiflow.operators import colloc, freq, groupstats, keyness, ngrams, sequence
+from lexiflow.operators import colloc, freq, groupstats, keyness, sequence
 from lexiflow.plans.catalog import corpus as english
+from lexiflow.plans.corpus import Corpus
 
 
 @pytest.fixture(scope="module")
@@ -40,10 +41,12 @@ def test_keyness_swap_flips_sign(spark):
     from lexiflow.plans.catalog import reference, target
 
     t, r = target(spark, SF_SMALL), reference(spark, SF_SMALL)
-    a = {x.Tag: x.LL for x in keyness.keyness_table(t.analytic("pos"), r.analytic("pos"), t.ndocs(), r.ndocs(),
-                                                     tags_only=True, threshold=1.0, direction="both").collect()}
-    b = {x.Tag: x.LL for x in keyness.keyness_table(t.analytic("pos"), r.analytic("pos"), t.ndocs(), r.ndocs(),
-                                                     tags_only=True, threshold=1.0, direction="both", swap_target=True).collect()}
+    a = {x.Tag: x.LL for x in t.keyness(r, "pos", tags_only=True, threshold=1.0, direction="both").collect()}
+    b = {x.Tag: x.LL for x in t.keyness(r, "pos", tags_only=True, threshold=1.0, direction="both", swap_target=True).collect()}
+    # unit rows (imported token tables) give the same as document rows
+    c = {x.Tag: x.LL for x in keyness.keyness_table(t.analytic("pos"), r.analytic("pos"), tags_only=True, threshold=1.0,
+                                                    direction="both").collect()}
+    assert a == pytest.approx(c)
     assert a and set(a) == set(b)
     for k in a:
         assert a[k] == pytest.approx(-b[k], abs=1e-9)
@@ -61,16 +64,15 @@ def test_blocked_prefix_sum_matches_plain(spark, corpus, monkeypatch):
 
 
 def test_blocked_windows_match_unblocked(spark, corpus, monkeypatch):
-    """n-grams and collocations are identical with tiny blocks (context copies)."""
-    n = corpus.analytic("pos").select(F.count(F.lit(1))).scalar()
-    base_ng = ngrams.ngrams(corpus.units("pos"), n, F.lit(1), span=3, min_rf=None, dense=True)
-    base_co = colloc.span_counts(corpus.units("pos"), "the", None, 3, 2)
-    a_ng = sorted(base_ng.collect())
-    a_co = sorted(base_co.collect())
-    monkeypatch.setattr(sequence, "BLOCK", 5)
-    b_ng = sorted(ngrams.ngrams(corpus.units("pos"), n, F.lit(1), span=3, min_rf=None, dense=True).collect())
-    b_co = sorted(colloc.span_counts(corpus.units("pos"), "the", None, 3, 2).collect())
-    assert a_ng == b_ng and a_co == b_co
+    """n-grams and collocations from a token table in tiny blocks equal those of document rows, for both kinds of unit."""
+    table = Corpus(corpus.tokens, single_token_pos=True)
+    monkeypatch.setattr(sequence, "BLOCK", 12)
+    near = lambda rows: {tuple(r)[:-2]: pytest.approx(tuple(r)[-2:]) for r in rows}
+    for kind in ("pos", "ds"):
+        a, b = corpus.ngrams(kind, 3, None).collect(), table.ngrams(kind, 3, None).collect()
+        assert len(a) == len(b) > 0 and near(a) == {tuple(r)[:-2]: tuple(r)[-2:] for r in b}
+        a, b = (sorted(colloc.span_counts(c.words(kind), "the", None, 3, 2).collect()) for c in (corpus, table))
+        assert a == b and len(a) > 0
 
 
 def test_collocation_equals_exploded_join(corpus):
@@ -79,7 +81,7 @@ def test_collocation_equals_exploded_join(corpus):
     nodes = u.filter(F.col("Token") == "of").select("doc_id", F.col("ord").alias("q"))
     off = nodes.select("doc_id", F.explode(F.array(*[F.col("q") + k for k in range(-4, 5) if k != 0])).alias("ord"))
     brute = off.join(u, ["doc_id", "ord"]).groupBy("Token", "Tag").agg(F.count(F.lit(1)).alias("b"))
-    win = colloc.span_counts(corpus.units("pos"), "of", None, 4, 4).filter("freq_span > 0")
+    win = colloc.span_counts(corpus.words("pos"), "of", None, 4, 4).filter("freq_span > 0")
     joined = win.join(brute, ["Token", "Tag"], "full_outer")
     assert joined.filter(F.col("freq_span").isNull() | F.col("b").isNull() | (F.col("freq_span") != F.col("b"))).count() == 0
 
@@ -171,7 +173,7 @@ def test_invariance_to_input_row_order(spark, fixture_tokens):
         spark.conf.set("spark.sql.shuffle.partitions", str(parts))
         c = Corpus(tokens, single_token_pos=False)
         return (sorted(c.frequency("ds").collect()), sorted(docview.tagged_text(c.units("ds"), "ds").collect()),
-                sorted(ngrams.ngrams(c.units("pos"), F.lit(11), F.lit(2), span=2, min_rf=None).collect()))
+                sorted(c.ngrams("pos", 2, None).collect()))
 
     try:
         base = run(fixture_tokens, 1)
@@ -195,12 +197,122 @@ def test_segmented_documents_match_whole_documents(spark, corpus):
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
     t = seg.tokens.select("doc_id", "token_idx", F.regexp_replace("token", r"\s+$", "").alias("s"), "pos_tag")
     assert t.exceptAll(b).count() == 0
-    n = corpus.analytic("pos").count()
-    ga = sorted(ngrams.ngrams(corpus.units("pos"), F.lit(n), F.lit(1), span=3, min_rf=None, dense=True).collect())
-    gb = sorted(ngrams.ngrams(seg.units("pos"), F.lit(n), F.lit(1), span=3, min_rf=None, dense=True).collect())
+    ga, gb = ({tuple(r)[:-2] for r in c.ngrams("pos", 3, None).collect()} for c in (corpus, seg))
     assert ga == gb
 
 
+def test_phrases_and_contexts_cross_segments(spark, corpus, monkeypatch):
+    """Documents cut after every few tokens, inside phrases too: same units,
+    frequencies and contexts; the maps of the scan are composed over many blocks."""
+    from lexiflow.operators import tagging
+    from lexiflow.sources.documents import with_segment_offsets
+
+    monkeypatch.setattr(tagging, "SCAN_BLOCK", 3)
+    docs = corpus.docs.filter(F.crc32("doc_id") % 4 == 0)
+    pieces = F.regexp_extract_all(F.ltrim("text"), F.lit(r"(?s)(?:\S+\s*){1,2}"), 0)
+    cut = docs.select("doc_id", F.posexplode(pieces).alias("segment", "text"))
+    whole, seg = Corpus.from_documents(docs), Corpus.from_documents(with_segment_offsets(cut))
+    assert not seg.whole_rows
+    units = lambda c: sorted(map(tuple, c.units("ds").select("doc_id", "pos", "Tag", "utext", "Token").collect()))
+    a, b = units(whole), units(seg)
+    assert a == b and any(len(r[3].split()) > 1 for r in a)
+    assert sorted(whole.tokens.collect()) == sorted(seg.tokens.collect())
+    assert sorted(whole.kwic("of", reach=4).collect()) == sorted(seg.kwic("of", reach=4).collect())
+    f = lambda c: {(r.Token, r.Tag): (r.AF, pytest.approx(r.RF), pytest.approx(r.Range)) for r in c.frequency("ds").collect()}
+    assert f(whole) == {k: (v[0], v[1].expected, v[2].expected) for k, v in f(seg).items()}
+
+
+def _plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stored_corpus_reads_no_text(spark, corpus, tmp_path):
+    """Analyses from a bundle: no text scan, no regex, no exchange on doc_id; same rows."""
+    stored = Corpus.from_bundle(spark, corpus.save_bundle(str(tmp_path / "bundle")))
+    ref = Corpus.from_bundle(spark, str(tmp_path / "bundle")).subset(F.col("doc_id").startswith("src1"))
+    one = lambda c: c.subset(~F.col("doc_id").startswith("src1"))
+    runs = {"freq pos": lambda c: one(c).frequency("pos"), "freq ds": lambda c: one(c).frequency("ds"),
+            "stored freq": lambda c: c.frequency("ds"), "ngrams": lambda c: c.ngrams("pos", 3), "ngrams ds": lambda c: c.ngrams("ds", 2),
+            "colloc": lambda c: c.collocates("of"), "summary": lambda c: c.summary(), "kwic": lambda c: c.kwic("of"),
+            "keyness": lambda c: one(c).keyness(ref if c is stored else c.subset(F.col("doc_id").startswith("src1")), "ds", threshold=1.0, direction="both")}
+    num = lambda v: round(v, 9) if isinstance(v, float) else v
+    for name, run in runs.items():
+        got = run(stored)
+        plan = _plan(got)
+        for word in ("documents.parquet", "regexp", "RLIKE", "hashpartitioning(doc_id"):
+            assert word not in plan, (name, word)
+        rows = lambda df: sorted((tuple(map(num, r)) for r in df.collect()), key=repr)
+        assert rows(got) == rows(run(corpus)), name
+
+
+def test_one_shuffle_for_frequencies(corpus):
+    """From documents: the only exchange by key is that of the vocabulary, and the texts are read once."""
+    for run in (lambda: corpus.frequency("pos"), lambda: corpus.frequency("ds"), lambda: corpus.tags("pos"), lambda: corpus.ngrams("ds", 2)):
+        plan = _plan(run())
+        final = plan.split("== Initial Plan ==")[0]
+        assert "hashpartitioning(doc_id" not in plan
+        # the totals are a subquery over the table's own shuffle
+        reused = [x for x in final.splitlines() if "ReusedExchange" in x or "FileScan" in x]
+        assert sum("ReusedExchange" in x for x in reused) == 1, final
+
+
+def test_orders_and_guards(spark, corpus):
+    """Results that have an order come in it; wrong input is refused."""
+    from lexiflow.plans import q_compare, q_stats
+
+    pairs = lambda df, *cols: [tuple(r[c] for c in cols) for r in df.collect()]
+    ordered = lambda xs, *signs: xs == sorted(xs, key=lambda r: [s * v if isinstance(v, (int, float)) else v for s, v in zip(signs, r)])
+    assert ordered(pairs(q_stats.box_data(spark, SF_SMALL), "Median", "Tag"), -1, 1)
+    assert ordered(pairs(q_stats.box_data_grouped(spark, SF_SMALL), "Median", "Tag"), -1, 1)
+    grouped = pairs(q_stats.tags_table_grouped(spark, SF_SMALL), "RF", "Group")
+    assert grouped == sorted(grouped, key=lambda r: r[1], reverse=True) or [r[0] for r in grouped] == sorted((r[0] for r in grouped), reverse=True)
+    assert ordered([r[:1] for r in pairs(q_compare.compare_bar_data(spark, SF_SMALL), "Mean")], -1)
+    from lexiflow.operators import docview
+
+    counts = pairs(docview.doc_tag_counts(corpus.units("pos")), "doc_id", "AF", "Tag")
+    assert counts == sorted(counts, key=lambda r: (r[0], -r[1], r[2]))
+    with pytest.raises(ValueError):
+        freq.tags_table_grouped(freq.dtm_dense(corpus.dtm("pos")))
+    with pytest.raises(ValueError):
+        freq.freq_simplify(corpus.dtm("pos"))
+    with pytest.raises(Exception, match="part-of-speech"):
+        freq.freq_simplify(corpus.frequency("ds")).collect()
+
+
+def test_quantiles_of_tied_values(spark, tmp_path):
+    """95 % equal values: they are one row for the tasks that rank; null groups keep theirs."""
+    vals = [("a" if i % 2 else None, 0.0 if i % 20 else float(i)) for i in range(4000)]
+    df = spark.createDataFrame(vals, "g string, v double")
+    got = {r.g: (r.q1, r.m, r.q9) for r in groupstats.exact_quantiles(df, ["g"], "v", {"q1": 0.25, "m": 0.5, "q9": 0.97}).collect()}
+    for g in ("a", None):
+        xs = [v for k, v in vals if k == g]
+        assert got[g] == pytest.approx(tuple(np.quantile(xs, [0.25, 0.5, 0.97])))
+
+
+def test_student_t_p_values(spark):
+    """Against the closed forms for 1, 2 and 4 degrees of freedom, and the normal limit."""
+    import math
+
+    from lexiflow.functions.stats import student_t_p
+
+    def exact(r, df):
+        t = abs(r) * math.sqrt(df / (1 - r * r))
+        if df == 1:
+            return 1 - 2 / math.pi * math.atan(t)
+        if df == 2:
+            return 1 - t / math.sqrt(2 + t * t)
+        u = t / math.sqrt(4 + t * t)
+        return 1 - u * (1.5 - u * u / 2)
+
+    cases = [(r, df + 2) for r in (0.0, 0.01, -0.3, 0.5, 0.93, -0.9999) for df in (1, 2, 4)]
+    rows = spark.createDataFrame(cases + [(0.01, 40_000), (1.0, 9), (0.5, 2), (None, 9)], "r double, n long")
+    got = [x[0] for x in rows.select(student_t_p(F.col("r"), F.col("n"))).collect()]
+    assert got[:len(cases)] == pytest.approx([exact(r, n - 2) for r, n in cases], abs=1e-12)
+    assert got[len(cases)] == pytest.approx(math.erfc(2 / math.sqrt(2)), rel=1e-3)
+    assert got[len(cases) + 1:] == [0.0, None, None]
+
+
 def test_scan_side_unit_count(corpus):
     """N from the texts equals the number of non-punctuation POS units."""
     got = corpus.tokens.sparkSession.range(1).select(corpus.analytic_count("pos")).first()[0]
@@ -212,7 +324,7 @@ def test_kwic_paths_agree(corpus, monkeypatch):
     token tables (forced into many blocks)."""
     from lexiflow.operators import kwic
 
-    a = sorted(kwic.kwic_in_documents(corpus.doc_tokens(), "the", "fixed", True, 6).collect())
+    a = sorted(kwic.kwic_in_documents(corpus.rows, "the", "fixed", True, 6).collect())
     monkeypatch.setattr(sequence, "BLOCK", 9)
     b = sorted(kwic.kwic(corpus.tokens, "the", "fixed", True, 6).collect())
     assert a == b and len(a) > 0
