@@ -13,9 +13,9 @@ Whole copies of a document are found first, by a hash of all its words, and
 take no part: what they repeat starts in the document that they copy.
 
 Counts are grouped aggregates of (hash, id), combined before the shuffle; a
-passage that a third of the documents share is one row per task there.  The
-join back to the windows leaves a hot hash to Spark's skew handling, since the
-other side has one row for it.
+passage that a third of the documents share is one row per task and salt there,
+and the join back to the windows is by hash and salt.  Windows and whole
+documents are told apart by 128 bits.
 """
 
 from __future__ import annotations
@@ -32,9 +32,11 @@ from pyspark.sql import types as T
 from ..storage import materialize
 from .rows import with_columns
 from .scratch import Scratch
-from .words import mix, runs, sequence_hashes, word_hashes
+from .words import placed_sums, runs, sequence_hashes, word_hashes
 
 LENGTH = 50
+#: A hot hash is dealt to so many keys.
+SALTS = 32
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -63,19 +65,18 @@ def _read(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame
                 least = np.empty(0, np.int64)
                 if n >= length:
                     least = np.unique(_sliding_min(sequence_hashes(w, half), length - half + 1)).view(np.int64)
-                whole = sequence_hashes(w, n)[0].astype(np.int64) if n else 0
-                place = mix(w + np.arange(n, dtype=np.uint64)).sum(dtype=np.uint64).astype(np.int64) if n else 0
-                rows.append((n, int(whole), int(place), _sha(t.split()), least))
+                rows.append((n, *placed_sums(w), _sha(t.split()), least))
         yield pd.DataFrame({"doc_id": b["doc_id"], "n_words": [r[0] for r in rows], "h1": [r[1] for r in rows],
                             "h2": [r[2] for r in rows], "sha": [r[3] for r in rows], "least": [r[4] for r in rows]})
 
 
 def _extend(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
-    """Full windows around surviving half windows: (h, doc_id, at)."""
+    """Full windows around surviving half windows: (h, g, doc_id, at); h and g together are a hash of 128 bits."""
     half = length // 2
     for b in batches:
         for first, run in runs(list(b["text"])):
             h, at, _, _ = word_hashes(run)
+            other = word_hashes(run, seed=1)[0]
             out = []
             for i in range(len(run)):
                 w = h[at[i]:at[i + 1]]
@@ -83,6 +84,7 @@ def _extend(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFra
                 least = _sliding_min(sequence_hashes(w, half), length - half + 1)
                 p = np.flatnonzero(np.isin(least, alive))
                 out.append(pd.DataFrame({"h": sequence_hashes(w, length)[p].view(np.int64),
+                                         "g": sequence_hashes(other[at[i]:at[i + 1]], length)[p].view(np.int64),
                                          "doc_id": b["doc_id"].iloc[first + i], "at": p.astype(np.int32)}))
             yield pd.concat(out)
 
@@ -125,9 +127,15 @@ class Repeats:
             alive = (least.join(several, "h", "left_semi").groupBy("doc_id").agg(F.collect_list("h").alias("alive")))
             self.candidates = materialize(self.texts.join(alive, "doc_id").dropDuplicates(["doc_id"]), "substring-texts")
             scratch.drop("substring-half")
-            windows = scratch.write(self.candidates.mapInPandas(lambda b: _extend(b, length), "h long, doc_id long, at int"), "substring-full")
-            start = windows.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a <> b").select("h", "a")
-            self.starts = materialize(windows.join(start, "h").filter("doc_id > a").groupBy("doc_id").agg(
+            windows = scratch.write(self.candidates.mapInPandas(lambda b: _extend(b, length), "h long, g long, doc_id long, at int"), "substring-full")
+            # a hash that very many documents have is dealt out by salt: first ids are found for each salt,
+            # then for the hash, and go back to the salts that have it
+            salted = windows.withColumn("salt", F.pmod("doc_id", F.lit(SALTS)).cast("int"))
+            key = ["h", "g"]
+            some = salted.groupBy(*key, "salt").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
+            start = some.groupBy(*key).agg(F.min("a").alias("a"), F.max("b").alias("b"), F.collect_set("salt").alias("salts"))
+            start = start.filter("a <> b").select(*key, "a", F.explode("salts").alias("salt"))
+            self.starts = materialize(salted.join(start, [*key, "salt"]).filter("doc_id > a").groupBy("doc_id").agg(
                 F.collect_list("at").alias("starts")), "substring-starts")
         f = firsts.select("first", F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.col("n_words").alias("k"))
         self.read = read.join(f, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")) & (F.col("n_words") == F.col("k"))

@@ -2,9 +2,11 @@
 
 A word is a maximal run of bytes other than space and 0x09-0x0D; UTF-8 never
 uses those bytes inside a character, so the rule holds for any language.
-Hashes are 64-bit: a polynomial over the bytes (prefix sums, so one pass per
-batch and no Python loop over words), then a mixing step.  Word sequences are
-hashed the same way over the word hashes.
+Hashes are 64-bit and not linear: a word's hash adds up a mix of each eight
+bytes with their place, a sequence's hash mixes the hashes of its halves, so
+no rearrangement of equal parts cancels out.  Different ``seed``s give
+independent hashes, two of which make one of 128 bits.  No Python loop runs
+over words.
 """
 
 from __future__ import annotations
@@ -16,33 +18,19 @@ import numpy as np
 #: Texts are handled in runs of about so many bytes, which bounds memory; one longer text is a run of its own.
 RUN_BYTES = 1 << 20
 
-_BYTE_BASE = 0x9E3779B97F4A7C15   # odd, so it has an inverse modulo 2**64
-_WORD_BASE = 0xD1B54A32D192ED03
-_M = (1 << 64) - 1
+_SEED = np.uint64(0x9E3779B97F4A7C15)
+_ODD = np.uint64(0xD1B54A32D192ED03)
 
 _SEP = np.zeros(256, bool)
 _SEP[[0x20, *range(0x09, 0x0E)]] = True
-_SAME = (np.arange(256) + 1).astype(np.uint64)
-_LOWER = _SAME.copy()
-_LOWER[65:91] += np.uint64(32)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Keeps the first 0 .. 8 bytes of a little-endian word.
+_FIRST = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
 
 
-class _Powers:
-    """base**i and base**-i modulo 2**64, grown by doubling."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        while len(self.up) < n:
-            k = len(self.up)
-            self.up = np.concatenate([self.up, self.up * np.uint64(pow(self.base, k, 1 << 64))])
-            self.down = np.concatenate([self.down, self.down * np.uint64(pow(self.inverse, k, 1 << 64))])
-        return self.up[:n], self.down[:n]
-
-
-_bytes_powers, _word_powers = _Powers(_BYTE_BASE), _Powers(_WORD_BASE)
+def _times(n: int) -> np.uint64:
+    return np.uint64(int(_SEED) * n % (1 << 64))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -68,32 +56,68 @@ def runs(texts: Sequence[str | None]) -> Iterator[tuple[int, list[bytes]]]:
         yield first, held
 
 
-def word_hashes(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes], lower: bool = False, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash of each word, then the first word of each text (one more at the
     end), and the byte spans of the words in ``b"\\n".join(texts)``."""
-    a = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    sep = _SEP[a]
+    a = np.frombuffer(b"\n".join(texts) + b"\n" * 8, np.uint8)
+    if lower:
+        a = _LOWER[a]
+    sep = _SEP[a[:len(a) - 7]]
     edge = np.flatnonzero(sep[1:] != sep[:-1]) + 1
-    if len(a) and not sep[0]:
+    if not sep[0]:
         edge = np.concatenate([[0], edge])
     start, end = edge[::2], edge[1::2]          # the last byte is a separator, so words are closed
-    up, down = _bytes_powers(len(a))
-    total = np.cumsum((_LOWER if lower else _SAME)[a] * up)
-    h = (total[end - 1] - np.where(start > 0, total[start - 1], np.uint64(0))) * down[start]
     text_start = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
     first = np.searchsorted(start, text_start)
-    return mix(h), first, start, end
+    return _span_hashes(a, start, end, seed), first, start, end
+
+
+def _span_hashes(a: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+    length = end - start
+    salt = _times(2 * seed + 1)
+    # eight bytes from every place, as one number, without a copy
+    eight = np.lib.stride_tricks.as_strided(a[:8].view("<u8"), (max(len(a) - 7, 0),), (1,))
+    h = mix((eight[start] & _FIRST[np.minimum(length, 8)]) ^ salt) + length.astype(np.uint64)
+    long = np.flatnonzero(length > 8)
+    if len(long):
+        parts = (length[long] - 1) // 8
+        owner = np.repeat(long, parts)
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts) + 1
+        at = start[owner] + 8 * place
+        value = eight[at] & _FIRST[np.minimum(end[owner] - at, 8)]
+        more = mix(mix(value ^ salt) + place.astype(np.uint64) * _ODD)
+        h[long] += np.add.reduceat(more, np.cumsum(parts) - parts)
+    return mix(h)
 
 
 def sequence_hashes(h: np.ndarray, length: int) -> np.ndarray:
     """Hash of each run of ``length`` consecutive words (of the whole array:
-    the caller leaves out runs that cross a text's edge)."""
-    n = len(h) - length + 1
-    if n <= 0:
+    the caller leaves out runs that cross a text's edge).  Hashes of runs of
+    1, 2, 4 ... words are doubled, those that the length is made of joined."""
+    if len(h) < length:
         return np.empty(0, np.uint64)
-    up, down = _word_powers(len(h) + 1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up[:len(h)])])
-    return mix((total[length:] - total[:-length])[:n] * down[:n] + np.uint64(length))
+    whole, done, run, size = None, 0, h, 1
+    while True:
+        if length & size:
+            whole = run if whole is None else _joined(whole, run[done:], size)
+            done += size
+        if done == length:
+            return mix(whole[:len(h) - length + 1] + _times(length))
+        run = _joined(run, run[size:], size)
+        size *= 2
+
+
+def _joined(left: np.ndarray, right: np.ndarray, size: int) -> np.ndarray:
+    n = min(len(left), len(right))
+    return mix(left[:n] * _ODD + mix(right[:n] + _times(size)))
+
+
+def placed_sums(h: np.ndarray) -> tuple[int, int]:
+    """128 bits that stand for a whole sequence of words."""
+    place = np.arange(len(h), dtype=np.uint64)
+    x = mix(h + place * _SEED)
+    y = mix(mix(h ^ _ODD) + place * _ODD)
+    return tuple(int(v.sum(dtype=np.uint64).astype(np.int64)) if len(h) else 0 for v in (x, y))
 
 
 def shingle_set(h: np.ndarray, width: int) -> np.ndarray:
