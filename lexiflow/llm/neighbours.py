@@ -145,7 +145,8 @@ def _route(batches: Iterator[pd.DataFrame], routers, every: int) -> Iterator[pd.
             order = np.argsort(-z, axis=1, kind="stable").astype(np.int32)
             query = (same["vec_id"] % every == 0).to_numpy()
             yield pd.DataFrame({"vec_id": same["vec_id"], "dim": dim, "part": order[:, 0],
-                                "probes": [o.tolist() if q else None for o, q in zip(order[:, :r.probes if r else 1], query, strict=True)],
+                                "probes": [o.tolist() if q else None for o, q in zip(order, query, strict=True)],
+                                "first": r.probes if r else 1,
                                 "v": [row.tobytes() for row in x]})
 
 
@@ -194,11 +195,18 @@ def search(table: DataFrame, every: int = 20, k: int = 20, parts: int = PARTS, s
     routers = {dim: fit_router(stacked(same["v"].to_numpy()), parts, k) for dim, same in chosen.groupby(chosen["v"].map(len))}
     sent = spark.sparkContext.broadcast(routers)
     index = materialize(t.mapInPandas(lambda b: _route(b, sent, every),
-                                      "vec_id long, dim int, part int, probes array<int>, v binary"), "vector-index")
-    sizes = index.groupBy("dim", "part").agg(F.count(F.lit(1)).alias("n")).collect()     # at most ``parts`` per length
-    # enough queries come to a part, whatever their number: they are cut into chunks as well
+                                      "vec_id long, dim int, part int, probes array<int>, first int, v binary"), "vector-index")
+    sizes = index.groupBy("dim", "part").agg(F.count_distinct("vec_id").alias("ids"), F.count(F.lit(1)).alias("n")).collect()
+    # (at most ``parts`` per length); a query opens its ``probes`` most probable parts, and further ones until
+    # they hold k other ids
     asked = index.filter("probes IS NOT NULL").dropDuplicates(["vec_id"])
-    probed = asked.select("vec_id", "dim", F.explode("probes").alias("part"), "v")
+    held = F.lit(0)
+    for r in sizes:
+        held = F.when((F.col("dim") == r["dim"]) & (F.col("_x") == r["part"]), r["ids"]).otherwise(held)
+    opened = asked.select("vec_id", "dim", "v", "first", F.posexplode("probes").alias("_i", "_x"))
+    before = Window.partitionBy("vec_id").orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
+    opened = opened.withColumn("_held", F.coalesce(F.sum(held).over(before), F.lit(0)))
+    probed = opened.filter((F.col("_i") < F.col("first")) | (F.col("_held") <= k)).select("vec_id", "dim", F.col("_x").alias("part"), "v")
     queried = {(r["dim"], r["part"]): r["n"] for r in probed.groupBy("dim", "part").agg(F.count(F.lit(1)).alias("n")).collect()}
     row_chunks, query_chunks = F.lit(1), F.lit(1)
     for r in sizes:
