@@ -48,7 +48,7 @@ DISGUISE = 0.5
 #: Readings of a disguised word that are looked up.
 READINGS = 8
 #: Words that a Python worker remembers.
-KEPT = 500_000
+KEPT = 100_000
 
 # What signs and digits stand for in disguised words.
 LOOKALIKES = {
