@@ -5,10 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Size limits in bytes (text, token table).
-MAX_BYTES_TEXT = 20_000_000
-MAX_BYTES_TABLE = 150_000_000
-
 
 def duplicate_doc_ids(ids: DataFrame) -> DataFrame:
     """Ids (spaces removed) that occur at least twice, with their count."""
@@ -28,7 +24,8 @@ def corpus_size(docs: DataFrame, limit: int | None = None) -> DataFrame:
 
 
 def corpus_readiness(target_ids: DataFrame, reference_ids: DataFrame, docs: DataFrame,
-                     limit: int | None = None, language_rejects: DataFrame | None = None) -> DataFrame:
+                     limit: int | None = None, language_rejects: DataFrame | None = None,
+                     decode_rejects: DataFrame | None = None) -> DataFrame:
     """One row of booleans; each check is a scalar subquery of one small
     aggregate (no joins between the one-row results)."""
     dup = duplicate_doc_ids(target_ids).select(F.count(F.lit(1))).scalar()
@@ -37,8 +34,9 @@ def corpus_readiness(target_ids: DataFrame, reference_ids: DataFrame, docs: Data
     n = docs.select(F.count(F.lit(1))).scalar()
     cols = [(dup == 0).alias("no_duplicates"), (ovl == 0).alias("no_overlap"),
             (F.lit(True) if limit is None else size <= F.lit(limit)).alias("size_ok"), (n > 0).alias("not_empty")]
-    if language_rejects is not None:
-        cols.append((language_rejects.select(F.count(F.lit(1))).scalar() == 0).alias("language_ok"))
+    for rejects, name in ((language_rejects, "language_ok"), (decode_rejects, "decode_ok")):
+        if rejects is not None:
+            cols.append((rejects.select(F.count(F.lit(1))).scalar() == 0).alias(name))
     spark = docs.sparkSession
     row = spark.range(1).select(*cols)
     verdict = F.lit(True)

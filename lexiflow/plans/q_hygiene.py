@@ -34,11 +34,21 @@ def ingest_documents(spark, sf):
     return IN.clean_documents(_raw(spark, sf), fold=True)
 
 
-@register("undecodable_docs", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, true AS valid FROM documents")
+#: Stand-in for undecodable files: the bytes of every seventh id end in one that UTF-8 never has.
+BROKEN_EVERY = 7
+
+
+def _contents(spark, sf):
+    d = read_table(spark, sf, "documents")
+    raw = F.encode("text", "UTF-8")
+    content = F.when(F.col("doc_id") % BROKEN_EVERY == 0, F.concat(raw, F.unhex(F.lit("FF")))).otherwise(raw)
+    return d.select(F.col("doc_id").cast("string").alias("doc_id"), content.alias("content"))
+
+
+@register("undecodable_docs", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN text IS NOT NULL THEN "
+          f"doc_id % {BROKEN_EVERY} <> 0 END AS valid FROM documents")
 def undecodable_docs(spark, sf):
-    d = read_table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"),
-                                                   F.encode("text", "UTF-8").alias("content"))
-    return IN.decode_check(d).select("doc_id", "valid")
+    return IN.decode_check(_contents(spark, sf)).select("doc_id", "valid")
 
 
 def _bundle_sql() -> str:
@@ -109,7 +119,7 @@ def language_filter(spark, sf):
 def language_fail_list(spark, sf):
     docs = read_table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
     lang = LI.language_filter(docs, _profiles(spark, sf), "en").filter(~F.col("passed")).select("doc_id", F.lit("language").alias("reason"))
-    dec = IN.decode_check(docs.select("doc_id", F.encode("text", "UTF-8").alias("content"))).filter(~F.col("valid"))
+    dec = IN.decode_check(_contents(spark, sf)).filter(~F.col("valid"))
     return lang.unionByName(dec.select("doc_id", F.lit("decode").alias("reason")))
 
 
@@ -120,7 +130,8 @@ def language_fail_list(spark, sf):
           ") a WHERE doc_id IN (SELECT doc_id FROM tok_docs WHERE split_part(doc_id, '_', 1) IN " + O.in_list([f"src{i}" for i in range(10, 20)]) + ")) = 0 AS no_overlap, "
           "TRUE AS size_ok, "
           "(SELECT count(*) FROM tok_docs) > 0 AS not_empty, "
-          "((SELECT count(*) FROM (SELECT doc_id FROM tok_docs WHERE split_part(doc_id, '_', 1) IN " + O.in_list([f"src{i}" for i in range(10)]) +
+          f"(SELECT count(*) FROM documents WHERE text IS NOT NULL AND doc_id % {BROKEN_EVERY} = 0) = 0 AS decode_ok, "
+          f"((SELECT count(*) FROM documents WHERE text IS NOT NULL AND doc_id % {BROKEN_EVERY} = 0) = 0 AND (SELECT count(*) FROM (SELECT doc_id FROM tok_docs WHERE split_part(doc_id, '_', 1) IN " + O.in_list([f"src{i}" for i in range(10)]) +
           " GROUP BY doc_id HAVING count(*) > 1)) = 0 AND (SELECT count(*) FROM (SELECT DISTINCT doc_id FROM tok_docs WHERE split_part(doc_id, '_', 1) IN "
           + O.in_list([f"src{i}" for i in range(10)]) + ") a WHERE doc_id IN (SELECT doc_id FROM tok_docs WHERE split_part(doc_id, '_', 1) IN "
           + O.in_list([f"src{i}" for i in range(10, 20)]) + ")) = 0 "
@@ -130,7 +141,8 @@ def corpus_readiness(spark, sf):
     cat = F.split("doc_id", "_", 2).getItem(0)
     t = c.docs.filter(cat.isin([f"src{i}" for i in range(10)])).select("doc_id")
     r = c.docs.filter(cat.isin([f"src{i}" for i in range(10, 20)])).select("doc_id")
-    return CH.corpus_readiness(t, r, c.docs)
+    broken = IN.decode_check(_contents(spark, sf)).filter(~F.col("valid"))
+    return CH.corpus_readiness(t, r, c.docs, decode_rejects=broken)
 
 
 @register("doc_categories", O.with_(ALL, "SELECT doc_id, regexp_replace(doc_id, '_\\S+$', '') AS category FROM "
