@@ -62,6 +62,11 @@ def _away_from_zero(v: Column) -> Column:
     return F.when(F.abs(v) < _TINY, F.lit(_TINY)).otherwise(v)
 
 
+def with_term(half, term: Column):
+    """A function of one argument (a second one would be taken for the element's index)."""
+    return lambda s: half(s, term)
+
+
 def _beta_fraction(a: Column, b: Column, x: Column) -> Column:
     """Continued fraction of the incomplete beta function (modified Lentz),
     as a fold over its terms: plain Column arithmetic, no UDF."""
@@ -81,7 +86,7 @@ def _beta_fraction(a: Column, b: Column, x: Column) -> Column:
             return F.struct(s["c"].alias("c"), s["d"].alias("d"), (s["h"] * s["c"] * s["d"]).alias("h"))
 
         for term in (even, odd):       # one-element transforms bind each half's result once
-            s = F.transform(F.transform(F.array(s), lambda v, t=term: half(v, t)), told)[0]
+            s = F.transform(F.transform(F.array(s), with_term(half, term)), told)[0]
         return s
 
     terms = F.transform(F.sequence(F.lit(1), F.lit(BETA_TERMS)), lambda m: m.cast("double"))
