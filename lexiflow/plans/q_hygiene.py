@@ -103,22 +103,47 @@ def corpus_size(spark, sf):
     return CH.corpus_size(corpus(spark, sf).docs)
 
 
-def _profiles(spark, sf):
-    """Trigram profiles (languages x trigram alphabet: small) written once;
-    scoring reads them several times."""
-    return materialize(LI.train_profiles(read_table(spark, sf, "documents").select("lang", "text")), "lang-profiles")
+#: Twin of the two-fold trigram model: counts of one fold, scores of the other.
+LANG_SQL = [
+    "ld AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, CASE WHEN substr(md5(CAST(doc_id AS VARCHAR)), 1, 1) < '8' THEN 0 ELSE 1 END AS fold, "
+    "string_split(' ' || trim(lower(regexp_replace(text, '[^\\p{L}]+', ' ', 'g')), ' ') || ' ', '') AS t FROM documents)",
+    "lg AS (SELECT doc_id, lang, fold, unnest(list_transform(range(1, len(t) - 1), lambda i: t[i] || t[i + 1] || t[i + 2])) AS gram FROM ld)",
+    "lc AS (SELECT 1 - fold AS fold, lang, gram, count(*) AS c FROM lg WHERE lang IS NOT NULL GROUP BY ALL)",
+    "lt AS (SELECT fold, lang, sum(c) + count(*) + 1 AS n FROM lc GROUP BY ALL)",
+    "lk AS (SELECT doc_id, fold, gram, count(*) AS k FROM lg GROUP BY ALL)",
+    "lh AS (SELECT lk.doc_id, lc.lang, sum(k * ln(c + 1)) AS gain FROM lk JOIN lc USING (fold, gram) GROUP BY ALL)",
+    "ls AS (SELECT d.doc_id, lt.lang, coalesce(gain, 0) - coalesce(m.k, 0) * ln(lt.n) AS ll "
+    "FROM (SELECT DISTINCT doc_id, fold FROM ld) d JOIN lt USING (fold) "
+    "LEFT JOIN (SELECT doc_id, sum(k) AS k FROM lk GROUP BY ALL) m ON m.doc_id = d.doc_id "
+    "LEFT JOIN lh ON lh.doc_id = d.doc_id AND lh.lang = lt.lang)",
+    "lp AS (SELECT doc_id, lang, exp(ll - m) / sum(exp(ll - m)) OVER (PARTITION BY doc_id) AS p FROM "
+    "(SELECT *, max(ll) OVER (PARTITION BY doc_id) AS m FROM ls))",
+    "lf AS (SELECT doc_id, coalesce(max(p) FILTER (WHERE lang = 'en'), 0) AS p_target FROM lp GROUP BY doc_id)",
+]
+
+
+def _labelled(spark, sf):
+    return read_table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "lang", "text")
+
+
+@register("language_filter", O.with_(LANG_SQL, f"SELECT doc_id, {O.r('p_target')} AS p_target, p_target > {LI.THRESHOLD} AS passed FROM lf"))
+def language_filter(spark, sf):
+    docs = _labelled(spark, sf)
+    return rounded(LI.language_filter(docs, LI.train_profiles(docs), "en"))
 
 
-@register("language_filter")
-def language_filter(spark, sf):
-    docs = read_table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    return rounded(LI.language_filter(docs, _profiles(spark, sf), "en"))
+@register("language_confusion", O.with_(LANG_SQL, "SELECT lang, predicted, count(*) AS n_docs FROM ld JOIN "
+          "(SELECT doc_id, arg_min(lang, (-round(p, 9), lang)) AS predicted FROM lp GROUP BY doc_id) USING (doc_id) GROUP BY ALL"))
+def language_confusion(spark, sf):
+    docs = _labelled(spark, sf)
+    return LI.language_confusion(docs, LI.train_profiles(docs))
 
 
-@register("language_fail_list")
+@register("language_fail_list", O.with_(LANG_SQL, f"SELECT doc_id, 'language' AS reason FROM lf WHERE NOT p_target > {LI.THRESHOLD} "
+          f"UNION ALL SELECT CAST(doc_id AS VARCHAR), 'decode' FROM documents WHERE text IS NOT NULL AND doc_id % {BROKEN_EVERY} = 0"))
 def language_fail_list(spark, sf):
-    docs = read_table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    lang = LI.language_filter(docs, _profiles(spark, sf), "en").filter(~F.col("passed")).select("doc_id", F.lit("language").alias("reason"))
+    docs = _labelled(spark, sf)
+    lang = LI.language_filter(docs, LI.train_profiles(docs), "en").filter(~F.col("passed")).select("doc_id", F.lit("language").alias("reason"))
     dec = IN.decode_check(_contents(spark, sf)).filter(~F.col("valid"))
     return lang.unionByName(dec.select("doc_id", F.lit("decode").alias("reason")))
 

@@ -40,7 +40,7 @@ def rolling_quota(spark, sf):
           "SELECT user_id, date_trunc('hour', ts) - to_hours(k) AS window_start FROM events, range(0, 24) r(k) "
           f"WHERE event_type = '{USER_EVENT}') GROUP BY ALL")
 def rolling_quota_stream(spark, sf):
-    return run_quota_stream(spark, f"{sf.rstrip('/')}/events.parquet", F.col("event_type") == USER_EVENT)
+    return run_quota_stream(spark, f"{sf.rstrip('/')}/events.parquet", F.col("event_type") == USER_EVENT).windows()
 
 
 @register("message_intent", "SELECT conv_id, turn, CASE WHEN text IS NULL OR regexp_replace(text, '^\\s+|\\s+$', '', 'g') = '' "

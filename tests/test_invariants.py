@@ -1,5 +1,7 @@
 """Invariants on real data (sf0.001) and brute-force cross-checks."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -330,18 +332,80 @@ def test_kwic_paths_agree(corpus, monkeypatch):
     assert a == b and len(a) > 0
 
 
+def _day_file(spark, tmp_path, day):
+    from pyspark.sql import functions as F
+
+    spark.createDataFrame([(1, f"2024-01-{day:02d} 10:30:00"), (2, f"2024-01-{day:02d} 11:15:00")], "user_id long, t string") \
+         .select("user_id", F.to_timestamp("t").alias("ts")).coalesce(1).write.mode("append").parquet(str(tmp_path / "e"))
+
+
 def test_quota_stream_keeps_every_row(spark, tmp_path):
-    """Files out of time order: the bounded stream gives one answer for any batch size."""
+    """Files out of time order: one answer for any batch size, late rows in the side
+    table, a second run goes on where the first stopped, a repeated batch counts once."""
+    from datetime import datetime
+
     from pyspark.sql import functions as F
 
-    from lexiflow.streaming.quota import run_quota_stream
+    from lexiflow.streaming.quota import run_quota_stream, write_increment
 
-    for i, day in enumerate((20, 21, 22, 5)):
-        spark.createDataFrame([(1, f"2024-01-{day:02d} 10:30:00"), (2, f"2024-01-{day:02d} 11:15:00")], "user_id long, t string") \
-             .select("user_id", F.to_timestamp("t").alias("ts")).coalesce(1).write.mode("append").parquet(str(tmp_path / "e"))
+    for day in (20, 21, 22, 5):
+        _day_file(spark, tmp_path, day)
+        time.sleep(1.1)     # the file source takes files by their time
+    source = str(tmp_path / "e") + "/*.parquet"
     key = lambda df: sorted(tuple(r) for r in df.collect())
-    one, many = (key(run_quota_stream(spark, str(tmp_path / "e") + "/*.parquet", F.lit(True), max_files_per_trigger=n)) for n in (1, 1000))
-    assert one == many and len(one) == 4 * 2 * 24
+    place = {"out_path": str(tmp_path / "out"), "checkpoint": str(tmp_path / "ckpt")}
+    one = run_quota_stream(spark, source, F.lit(True), max_files_per_trigger=1, **place)
+    many = run_quota_stream(spark, source, F.lit(True))
+    assert key(one.windows()) == key(many.windows()) and one.windows().count() == 4 * 2 * 24
+    late = one.late_rows().collect()
+    assert sorted(r.user_id for r in late) == [1, 2] and {r.ts.day for r in late} == {5}
+    assert {r.due for r in late} == {datetime(2024, 1, 22, 10, 15)} and many.late_rows().count() == 0
+
+    _day_file(spark, tmp_path, 21)
+    again = run_quota_stream(spark, source, F.lit(True), **place)
+    assert again.windows().agg(F.sum("n")).first()[0] == 5 * 2 * 24 and again.late_rows().count() == 4
+    batch = spark.createDataFrame([(7, datetime(2024, 1, 23, 1)), (7, None), (None, datetime(2024, 1, 23, 2))], "user_id long, ts timestamp")
+    for _ in range(2):      # Spark repeats a batch whose end it has not recorded
+        write_increment(again, batch, 5)
+    assert again.windows().agg(F.sum("n")).first()[0] == 12 * 24
+    write_increment(again, batch.limit(0), 6)
+    assert again.newest_before(7) == datetime(2024, 1, 23, 2)
+
+
+def test_languages_are_judged_by_the_other_fold(spark):
+    """Against a plain version; texts without letters have the prior, a language that
+    only one fold knows has no share in the other."""
+    import hashlib
+    import math
+    from collections import Counter, defaultdict
+
+    from lexiflow.operators import langid
+
+    rows = [(str(i), ("en", "the cat sat on the mat") if i % 3 else ("de", "die Katze sa\u00df auf der Matte")) for i in range(12)]
+    rows = [(d, lang, f"{text} {'x' * (int(d) % 4)}") for d, (lang, text) in rows]
+    rows += [("30", "fr", "le chat est l\u00e0"), ("31", None, "the mat"), ("32", "en", ""), ("33", "de", None), ("34", "en", "12 34")]
+    docs = spark.createDataFrame(rows, "doc_id string, lang string, text string")
+    fold = {d: int(hashlib.md5(d.encode()).hexdigest()[0] >= "8") for d, _, _ in rows}
+    grams = lambda t: [f" {t.lower().strip()} "[i:i + 3] for i in range(len(t.strip()))] if t and t[0].isalpha() else []
+    counts = {f: defaultdict(Counter) for f in (0, 1)}
+    for d, lang, t in rows:
+        if lang and grams(t):
+            counts[1 - fold[d]][lang].update(grams(t))
+    want = {}
+    for d, _, t in rows:
+        ll = {}
+        for lang, c in counts[fold[d]].items():
+            n = sum(c.values()) + len(c) + 1
+            ll[lang] = sum(math.log((c[g] + 1) / n) for g in grams(t))
+        e = {lang: math.exp(v - max(ll.values())) for lang, v in ll.items()}
+        want.update({(d, lang): e.get(lang, 0.0) / sum(e.values()) for lang in ("de", "en", "fr")})
+    profiles = langid.train_profiles(docs)
+    got = {(r.doc_id, r.lang): r.p for r in langid.language_scores(docs, profiles).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert {r.doc_id for r in langid.language_filter(docs, profiles).collect()} == {d for d, _, _ in rows}
+    assert {r.p_target for r in langid.language_filter(docs, profiles, "xx").collect()} == {0.0}
+    none = langid.train_profiles(docs.limit(0))
+    assert langid.language_scores(docs, none).count() == 0 and langid.language_scores(docs.limit(0), profiles).count() == 0
 
 
 def test_default_corpus_reads_all_documents(spark):
