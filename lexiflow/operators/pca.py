@@ -35,17 +35,33 @@ def pca_scores(wide: DataFrame, tags: Sequence[str], k: int | None = None, group
     from pyspark.ml.functions import vector_to_array
 
     model, assembled, loadings, _ = fit_pca(wide, tags, k)
-    k = loadings.shape[1]
-    x = vector_to_array(F.col("_x"))   # scores = x . loadings, as Column arithmetic
+    raw = model.pc.toArray()
+    pc = vector_to_array(F.col("_pc"))
     comps = []
-    for j in range(k):
-        expr = None
-        for i in range(len(tags)):
-            term = x[i] * F.lit(float(loadings[i, j]))
-            expr = term if expr is None else expr + term
-        comps.append(expr.alias(f"PC{j + 1}"))
+    for j in range(loadings.shape[1]):
+        flipped = bool((raw[:, j] * loadings[:, j]).sum() < 0)      # the model has its own sign of a component
+        comps.append((-pc[j] if flipped else pc[j]).alias(f"PC{j + 1}"))
     cols = ["doc_id"] + (["Group"] if group and "Group" in wide.columns else [])
-    return assembled.select(*cols, *comps)
+    return model.transform(assembled).select(*cols, *comps)
+
+
+def pca_reconstruction(wide: DataFrame, tags: Sequence[str]) -> DataFrame:
+    """(Tag_a, Tag_b, cov): the covariance that all components together give
+    back, loadings x variances x loadings; equal to that of the input if the
+    components are right.  tags x tags rows, bounded by the tagset."""
+    tags = list(tags)
+    _, _, loadings, share = fit_pca(wide, tags)
+    total = wide.agg(*[F.var_samp(f"`{t}`") for t in tags]).first()
+    cov = (loadings * share) @ loadings.T * sum(v or 0.0 for v in total)
+    return wide.sparkSession.createDataFrame([(a, b, float(cov[i, j])) for i, a in enumerate(tags) for j, b in enumerate(tags)],
+                                             "Tag_a string, Tag_b string, cov double")
+
+
+def pca_score_norms(scores: DataFrame) -> DataFrame:
+    """(doc_id, norm2): the squared length of each document's scores; over all
+    components that of its z-scores, as rotations keep lengths."""
+    comps = [F.pow(c, 2) for c in scores.columns if c.startswith("PC")]
+    return scores.select("doc_id", sum(comps[1:], comps[0]).alias("norm2"))
 
 
 def pca_variance(wide: DataFrame, tags: Sequence[str], k: int | None = None) -> DataFrame:

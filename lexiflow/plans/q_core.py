@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions.tags import simplify_tag, simplify_tag_sql
 from ..operators import freq as fq
+from ..operators import trained_tagger
+from ..operators.langid import fold_of
 from . import oracle as O
 from .catalog import ALL, corpus, register, rounded
 
@@ -34,6 +36,13 @@ def tokenize(spark, sf):
     return corpus(spark, sf).tokens.select("doc_id", "token_idx", "token")
 
 
+#: No twin (a Viterbi per document); held against a plain Viterbi in the tests.
+@register("pos_tag_trained")
+def pos_tag_trained(spark, sf):
+    rows = corpus(spark, sf).rows
+    return trained_tagger.tag_agreement(rows, fold_of(F.col("doc_id")))
+
+
 @register("pos_tag", O.with_(ALL, "SELECT doc_id, token_idx, pos_tag, pos_id FROM tok"))
 def pos_tag(spark, sf):
     return corpus(spark, sf).tokens.select("doc_id", "token_idx", "pos_tag", "pos_id")

@@ -234,7 +234,17 @@ def tag_bar_data(spark, sf):
     return rounded(fq.tag_bar_data(_c(spark, sf).tags("pos")))
 
 
-# --- PCA: Spark ML; checked against numpy in tests (no SQL twin) ---------
+# --- PCA: Spark ML; checked against numpy in tests, and by what all components give back ---------
+
+PCA_SQL = [
+    "pa AS (SELECT doc_id, Tag, n / sum(n) OVER (PARTITION BY doc_id) AS RF FROM dtm_s)",
+    "pd AS (SELECT a.doc_id, t.Tag, coalesce(pa.RF, 0.0) AS RF FROM (SELECT DISTINCT doc_id FROM pa) a "
+    "CROSS JOIN (SELECT DISTINCT Tag FROM pa) t LEFT JOIN pa ON pa.doc_id = a.doc_id AND pa.Tag = t.Tag)",
+    "pz AS (SELECT doc_id, Tag, CASE WHEN s IS NULL OR s = 0 THEN 0.0 ELSE (RF - m) / s END AS Z FROM (SELECT *, "
+    "avg(RF) OVER (PARTITION BY Tag) AS m, stddev_samp(RF) OVER (PARTITION BY Tag) AS s FROM pd) "
+    "WHERE Tag NOT IN ('Other', 'FU', 'Untagged'))",
+]
+
 
 def pca_input(c):
     """dtm_pos -> simplify -> prop -> scale; drop Other/FU/Untagged AFTER
@@ -276,3 +286,16 @@ def pca_top_contrib(spark, sf):
 def pca_contrib_bar(spark, sf):
     wide, tags = pca_input(_c(spark, sf))
     return rounded(P.pca_contrib_bar(P.pca_contrib(wide, tags), "PC1", "PC2"))
+
+
+@register("pca_reconstruction", S(f"SELECT a.Tag AS Tag_a, b.Tag AS Tag_b, {O.r('covar_samp(a.Z, b.Z)')} + 0.0 AS cov "
+                                  "FROM pz a JOIN pz b ON a.doc_id = b.doc_id GROUP BY a.Tag, b.Tag", PCA_SQL))
+def pca_reconstruction(spark, sf):
+    wide, tags = pca_input(_c(spark, sf))
+    return P.pca_reconstruction(wide, tags).withColumn("cov", F.round("cov", O.ROUND) + F.lit(0.0))
+
+
+@register("pca_score_norms", S(f"SELECT doc_id, {O.r('sum(Z * Z)')} AS norm2 FROM pz GROUP BY doc_id", PCA_SQL))
+def pca_score_norms(spark, sf):
+    wide, tags = pca_input(_c(spark, sf))
+    return rounded(P.pca_score_norms(P.pca_scores(wide, tags)))

@@ -413,3 +413,53 @@ def test_default_corpus_reads_all_documents(spark):
 
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter(r"text rlike '\\S'")
     assert english(spark, "/root/testdata/sf0.001").pos_tokens.select("doc_id").distinct().count() == docs.count()
+
+
+def test_trained_tagger_is_viterbi(spark):
+    """Against a plain version; through the hook every table of a corpus is there."""
+    import math
+    from collections import Counter
+
+    from lexiflow.operators import trained_tagger as tt
+
+    base = english(spark, SF_SMALL)
+    docs = base.docs.orderBy("doc_id").limit(20)
+    rows = Corpus.from_documents(docs).rows.collect()
+    word, ending, move, tags = Counter(), Counter(), Counter(), Counter()
+    for r in rows:
+        for w, t, before in zip(r.low, r.tags, ["", *r.tags]):
+            word[tt.bucket(w, tt.WORD_BUCKETS), t] += 1
+            ending[tt.bucket(w[-3:], tt.ENDING_BUCKETS), t] += 1
+            move[before, t] += 1
+            tags[t] += 1
+    every = sorted(tags)
+    prior = {t: (tags[t] + 1) / (sum(tags.values()) + len(every)) for t in every}
+    sums = [Counter(), Counter(), Counter()]
+    for total, table in zip(sums, (word, ending, move)):
+        for (key, _), n in table.items():
+            total[key] += n
+    share = lambda i, table, key, t, p: (table[key, t] + 4 * p) / (sums[i][key] + 4)
+
+    def emit(w, t):
+        e = share(1, ending, tt.bucket(w[-3:], tt.ENDING_BUCKETS), t, prior[t])
+        return math.log(share(0, word, tt.bucket(w, tt.WORD_BUCKETS), t, e)) - math.log(prior[t])
+
+    step = {(a, t): math.log(share(2, move, a, t, prior[t])) for a in ["", *every] for t in every}
+    value = lambda low, path: sum(emit(w, t) + step[a, t] for w, t, a in zip(low, path, ["", *path]))
+    model = tt.train_tagger(Corpus.from_documents(docs).rows)
+    trained = Corpus.from_documents(docs, tagger=tt.trained_tagger(model))
+    got = {r.doc_id: r for r in trained.rows.collect()}
+    assert len(got) == len(rows)
+    for r in rows[:4]:
+        best = {"": (0.0, [])}
+        for w in r.low:
+            best = {t: max(((s + step[a, t] + emit(w, t), [*p, t]) for a, (s, p) in best.items()), key=lambda x: x[0]) for t in every}
+        assert len(got[r.doc_id].tags) == len(r.low)
+        assert abs(value(r.low, got[r.doc_id].tags) - max(s for s, _ in best.values())) < 1e-6
+    assert trained.tokens.count() == sum(r.n for r in rows) and trained.counts("pos").count() > 0
+    agree = tt.tag_agreement(Corpus.from_documents(docs).rows, F.crc32(F.col("doc_id").cast("binary")) % 2).collect()
+    assert sum(r.n for r in agree) == sum(r.n for r in rows)
+    right = sum(r.n for r in agree if r.pos_tag == r.trained_tag)
+    assert right > 1.5 * max(tags.values())      # ten documents teach far more than the commonest tag
+    none = Corpus.from_documents(spark.createDataFrame([("a", ""), ("b", None)], "doc_id string, text string"), tagger=tt.trained_tagger(model))
+    assert none.tokens.count() == 0 and tt.train_tagger(none.rows).tags == ["FU"]
