@@ -457,9 +457,8 @@ def test_trained_tagger_is_viterbi(spark):
         assert len(got[r.doc_id].tags) == len(r.low)
         assert abs(value(r.low, got[r.doc_id].tags) - max(s for s, _ in best.values())) < 1e-6
     assert trained.tokens.count() == sum(r.n for r in rows) and trained.counts("pos").count() > 0
-    agree = tt.tag_agreement(Corpus.from_documents(docs).rows, F.crc32(F.col("doc_id").cast("binary")) % 2).collect()
-    assert sum(r.n for r in agree) == sum(r.n for r in rows)
-    right = sum(r.n for r in agree if r.pos_tag == r.trained_tag)
-    assert right > 1.5 * max(tags.values())      # ten documents teach far more than the commonest tag
+    agree = tt.tag_agreement(base.rows, F.crc32(F.col("doc_id").cast("binary")) % 2).collect()
+    assert sum(r.n for r in agree) == base.pos_tokens.count()
+    assert sum(r.n for r in agree if r.pos_tag == r.trained_tag) > 0.9 * sum(r.n for r in agree)      # the commonest tag: 0.49
     none = Corpus.from_documents(spark.createDataFrame([("a", ""), ("b", None)], "doc_id string, text string"), tagger=tt.trained_tagger(model))
     assert none.tokens.count() == 0 and tt.train_tagger(none.rows).tags == ["FU"]
