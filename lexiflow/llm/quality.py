@@ -12,6 +12,10 @@ moments), so a site with few documents counts as the global prior.  All of it
 is two grouped aggregations; the table of sites is broadcast only while it is
 small, else joined.
 
+A document's own evidence is left out of its site's and path's figures, so a
+site of one document does not confirm itself: the two add up as independent
+evidence.
+
 A document is rejected if evidence and path posterior together give 0.5 or
 more.
 """
@@ -140,31 +144,44 @@ def _logit(p):
     return F.log(p) - F.log(1 - p)
 
 
-def path_posteriors(scored: DataFrame, prior: float, site: str = "source", path: str = "lang") -> DataFrame:
-    """(site, path, path_posterior, site_posterior): shares of low quality,
-    shrunk from path to site to the global mean."""
-    p = 1 / (1 + F.exp(-(F.col("__llm_evidence") + F.lit(prior))))
-    paths = materialize(scored.groupBy(F.col(site).alias("__llm_site"), F.col(path).alias("__llm_path"))
-                              .agg(F.count(F.lit(1)).alias("n"), F.sum(p).alias("bad")), "quality-paths")
-    sites = paths.groupBy("__llm_site").agg(F.sum("n").alias("sn"), F.sum("bad").alias("sbad"))
+def _probability(prior: float):
+    """A document's probability of low quality by its own evidence."""
+    return 1 / (1 + F.exp(-(F.col("__llm_evidence") + F.lit(prior))))
+
+
+class Sites:
+    """Grouped evidence.  ``table``: (site, path, n, bad, sn, sbad), the number of
+    documents and the sum of their probabilities in the path and in the site."""
+
+    def __init__(self, scored: DataFrame, prior: float, site: str = "source", path: str = "lang"):
+        self.prior = prior
+        p = _probability(prior)
+        paths = materialize(scored.groupBy(F.col(site).alias("__llm_site"), F.col(path).alias("__llm_path"))
+                                  .agg(F.count(F.lit(1)).alias("__llm_n"), F.sum(p).alias("__llm_bad")), "quality-paths")
+        sites = paths.groupBy(F.col("__llm_site").alias("_s")).agg(F.sum("__llm_n").alias("__llm_sn"), F.sum("__llm_bad").alias("__llm_sbad"))
+        self.n, self.bad, self.site_weight = self._weight(sites, "__llm_sn", "__llm_sbad")
+        _, _, self.path_weight = self._weight(paths, "__llm_n", "__llm_bad")
+        self.table = paths.join(sites, F.col("__llm_site").eqNullSafe(F.col("_s"))).drop("_s")
 
-    def weight(t: DataFrame, n: str, bad: str) -> tuple[float, float]:
-        """Global share, and the documents that the prior is worth."""
+    @staticmethod
+    def _weight(t: DataFrame, n: str, bad: str) -> tuple[int, float, float]:
+        """Documents, their sum of probabilities, and the documents that the level above is worth."""
         r = t.agg(F.sum(n).alias("n"), F.sum(bad).alias("b"), F.count(F.lit(1)).alias("k")).first()
         if not r["n"]:
-            return 0.5, 1.0
+            return 0, 0.0, 1.0
         m = min(max((r["b"] or 0) / r["n"], 1e-6), 1 - 1e-6)
         v = t.agg(F.sum(F.col(n) * F.pow(F.col(bad) / F.col(n) - m, 2)).alias("v")).first()["v"]
         between = max(v / r["n"] - m * (1 - m) * r["k"] / r["n"], 1e-6)
-        return m, min(max(m * (1 - m) / between - 1, 1.0), 1e6)
+        return r["n"], r["b"], min(max(m * (1 - m) / between - 1, 1.0), 1e6)
 
-    mean, site_weight = weight(sites, "sn", "sbad")
-    _, path_weight = weight(paths, "n", "bad")
-    sites = sites.withColumn("site_posterior", (F.col("sbad") + site_weight * mean) / (F.col("sn") + site_weight))
-    return (paths.join(sites.withColumnRenamed("__llm_site", "_s"), F.col("__llm_site").eqNullSafe(F.col("_s")))
-                 .select("__llm_site", "__llm_path", "site_posterior",
-                         ((F.col("bad") + path_weight * F.col("site_posterior")) / (F.col("n") + path_weight))
-                         .alias("path_posterior")))
+    def posteriors(self):
+        """(site, path) posteriors of a row that has its evidence and its line of ``table``:
+        those of the other documents, shrunk from path to site to the global mean,
+        and that toward the labels' share by one document."""
+        p = _probability(self.prior)
+        mean = (F.lit(self.bad) - p + F.lit(1 / (1 + math.exp(-self.prior)))) / F.lit(max(self.n, 1))
+        site = (F.col("__llm_sbad") - p + self.site_weight * mean) / (F.col("__llm_sn") - 1 + self.site_weight)
+        return site, (F.col("__llm_bad") - p + self.path_weight * site) / (F.col("__llm_n") - 1 + self.path_weight)
 
 
 def judge(docs: DataFrame, labels: DataFrame, rows: int = ROWS_PER_CLASS, id_col: str = "doc_id", text_col: str = "text",
@@ -172,17 +189,19 @@ def judge(docs: DataFrame, labels: DataFrame, rows: int = ROWS_PER_CLASS, id_col
     """All columns of ``docs`` and ``low_quality`` (0 to 1), ``site_posterior``,
     ``path_posterior``, ``rejected``; columns of these names are replaced.
     Null and empty texts have the evidence of an empty text; null sites and
-    paths are groups of their own; repeated rows are judged alike; an empty
-    table gives an empty result."""
+    paths are groups of their own; the posteriors are those of the site's and path's
+    other documents; repeated rows are judged alike; an empty table gives an empty result."""
     made = ["low_quality", "site_posterior", "path_posterior", "rejected"]
     docs = docs.drop(*made)
     evidence = fit(docs, labels, rows, id_col, text_col)
-    posteriors = materialize(path_posteriors(
-        with_evidence(docs.select(site, path, text_col), evidence, text_col), evidence.prior, site, path), "quality-posteriors")
-    if posteriors.count() <= BROADCAST_ROWS:
-        posteriors = F.broadcast(posteriors)
+    sites = Sites(with_evidence(docs.select(site, path, text_col), evidence, text_col), evidence.prior, site, path)
+    table = materialize(sites.table, "quality-posteriors")
+    if table.count() <= BROADCAST_ROWS:
+        table = F.broadcast(table)
     out = with_evidence(docs, evidence, text_col).join(
-        posteriors, F.col(site).eqNullSafe(F.col("__llm_site")) & F.col(path).eqNullSafe(F.col("__llm_path")), "left")
-    x = F.col("__llm_evidence") + _logit(F.least(F.greatest(F.col("path_posterior"), F.lit(1e-6)), F.lit(1 - 1e-6)))
+        table, F.col(site).eqNullSafe(F.col("__llm_site")) & F.col(path).eqNullSafe(F.col("__llm_path")), "left")
+    of_site, of_path = sites.posteriors()
+    x = F.col("__llm_evidence") + _logit(F.least(F.greatest(of_path, F.lit(1e-6)), F.lit(1 - 1e-6)))
     p = 1 / (1 + F.exp(-x))
-    return out.select(*docs.columns, p.alias("low_quality"), "site_posterior", "path_posterior", (p >= 0.5).alias("rejected"))
+    return out.select(*docs.columns, p.alias("low_quality"), of_site.alias("site_posterior"), of_path.alias("path_posterior"),
+                      (p >= 0.5).alias("rejected"))

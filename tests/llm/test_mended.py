@@ -103,3 +103,42 @@ def test_kept_documents_of_the_middle_stages(spark):
         want[i] = hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest()
     cut = corpus_pipeline.cut_repeats(spark, docs, SMALL)
     assert {r.doc_id: hashlib.sha256(" ".join(WORD.findall(r.text or "")).encode()).hexdigest() for r in cut.collect()} == want
+
+
+def test_no_document_confirms_its_own_site(spark):
+    """Low quality against a plain version in which each document is left out of its
+    site's and path's figures; sites of one document, null sites."""
+    import math
+    from collections import defaultdict
+
+    from lexiflow.llm import quality
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    site = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("own"), "doc_id")).when(F.col("doc_id") % 7 != 0, F.lit("shared"))
+    docs = docs.withColumn("source", site)
+    evidence = quality.fit(docs, labels)
+    rows = docs.collect()
+    p = {r.doc_id: 1 / (1 + math.exp(-(float(e) + evidence.prior))) for r, e in zip(rows, evidence([r.text for r in rows]))}
+    sites, paths = defaultdict(list), defaultdict(list)
+    for r in rows:
+        sites[r.source].append(p[r.doc_id])
+        paths[r.source, r.lang].append(p[r.doc_id])
+
+    def weight(groups):
+        n = sum(map(len, groups))
+        m = sum(map(sum, groups)) / n
+        v = sum(len(g) * (sum(g) / len(g) - m) ** 2 for g in groups) / n
+        return min(max(m * (1 - m) / max(v - m * (1 - m) * len(groups) / n, 1e-6) - 1, 1.0), 1e6)
+
+    of_site, of_path = weight(sites.values()), weight(paths.values())
+    got = {r.doc_id: r for r in quality.judge(docs, labels).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        x, s, q = p[r.doc_id], sites[r.source], paths[r.source, r.lang]
+        mean = (sum(p.values()) - x + 1 / (1 + math.exp(-evidence.prior))) / len(rows)
+        a = (sum(s) - x + of_site * mean) / (len(s) - 1 + of_site)
+        b = (sum(q) - x + of_path * a) / (len(q) - 1 + of_path)
+        assert abs(got[r.doc_id].site_posterior - a) < 1e-9 and abs(got[r.doc_id].path_posterior - b) < 1e-9
+        want = 1 / (1 + math.exp(-(math.log(x / (1 - x)) - evidence.prior + math.log(b / (1 - b)))))
+        assert abs(got[r.doc_id].low_quality - want) < 1e-9 and got[r.doc_id].rejected == (want >= 0.5)
