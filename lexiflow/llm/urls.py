@@ -4,18 +4,23 @@ Pages that a rule covers are the labelled ones.  The others are judged by the
 template of their path: digits and long hexadecimal runs are masked, each
 path is a branch of its host's tree, and level by level
 
-* where a segment varies (MIN_VALUES values or more that are seen on fewer than
-  MIN_PAGES pages each), these values, labelled or not, become the wildcard ``*``;
+* where a segment varies (the chance that the next page brings a value not seen
+  before, estimated as values seen once / (pages + 1), is NEW_SHARE or more), its values
+  on fewer than MIN_PAGES pages, labelled or not, become the wildcard ``*``, but for
+  labelled ones whose share of blocked pages differs from that of their siblings;
 * another labelled value seen on fewer than MIN_PAGES pages, or whose share of blocked
   pages does not differ from that of its labelled siblings (two-proportion
   test, |z| < 1.96), is merged with them into ``~``;
 * any other value stays as it is.
 
-So an unlabelled value that is seen often, or has few siblings, never inherits
-the verdict of one that only happens to stand under the same host.
+From level LEVELS on the rest of the path is one value, whole and masked.
 
-Templates are rejected by smoothed purity: (blocked + 1) / (labelled + 2) of
-at least PURITY.  Without labelled pages a template has 0.5 and is allowed.
+Templates are rejected by smoothed purity, (blocked + K base) / (labelled + K)
+of at least PURITY, where ``base`` is the blocked share of all of the host's pages,
+itself smoothed toward that of all pages; pages without a rule count there as
+not blocked.  A template is evidence for the pages it covers only if COVERED of
+them are labelled: a few blocked pages among many paths that merely stand under
+the same host condemn none of them.
 
 All counting is on distinct (host, masked path) pairs, aggregated before the
 shuffle, so a host with a third of all pages is a few rows there.
@@ -30,10 +35,11 @@ from pyspark.sql import functions as F
 
 from ..storage import materialize
 
-MIN_PAGES, MIN_VALUES = 8, 8
+MIN_PAGES = 8
+NEW_SHARE = 0.2
 Z2 = 1.96 * 1.96
-PURITY = 0.75
-#: Levels of the tree; what lies deeper is one tail ``**``.
+PURITY, COVERED = 0.75, 0.5
+K = 2.0     # pages that the level above is worth
 LEVELS = 3
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -67,20 +73,19 @@ def rule_verdict(rule: Column, rules: Sequence[tuple[str, str]]) -> Column:
 
 
 def masked_segments(path: Column) -> list[Column]:
-    """The first LEVELS path segments, masked (null where there is none); the
-    last is ``**`` if more follow."""
+    """LEVELS values of the path, masked (null where there is none): its first
+    segments, and the rest as one."""
     segs = F.filter(F.split(path, "/"), lambda s: s != "")
     mask = lambda s: F.regexp_replace(F.regexp_replace(s, "[0-9a-f]{12,}", "{x}"), "[0-9]+", "{n}")
-    out = [mask(F.get(segs, F.lit(i))) for i in range(LEVELS)]
-    out[-1] = F.when(F.size(segs) > LEVELS, F.lit("**")).otherwise(out[-1])
-    return out
+    rest = F.when(F.size(segs) >= LEVELS, F.array_join(F.slice(segs, F.lit(LEVELS), F.size(segs)), "/"))
+    return [mask(F.get(segs, F.lit(i))) for i in range(LEVELS - 1)] + [mask(rest)]
 
 
 def judge_pages(pages: DataFrame, rules: Sequence[tuple[str, str]], id_col: str = "page_id",
                 url_col: str = "url") -> DataFrame:
-    """page_id, host, path, rule, verdict, template, purity.
+    """page_id, host, path, rule, verdict, template, purity, covered.
 
-    The rule's verdict where one fits (template and purity are then null),
+    The rule's verdict where one fits (template and figures are then null),
     else that of the path's template.  Null and malformed urls have an empty
     host and path, which is a template like any other.  Repeated rows and ids
     are kept; other columns are left out; an empty table gives an empty result."""
@@ -98,18 +103,22 @@ def judge_pages(pages: DataFrame, rules: Sequence[tuple[str, str]], id_col: str
     for i, s in enumerate(raw):
         tree = _generalise(tree, ["host", *done], s, f"t{i}")
         done.append(f"t{i}")
-    stats = tree.groupBy("host", *done).agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
-    purity = (F.col("b") + 1.0) / (F.col("l") + 2.0)
-    scored = stats.select("host", *done, purity.alias("purity"))
+    stats = tree.groupBy("host", *done).agg(F.sum("n").alias("n"), F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
+    hosts = tree.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("blocked").alias("hb"))
+    whole = hosts.agg(F.sum("hn").alias("n"), F.sum("hb").alias("b")).first()
+    base = (F.col("hb") + K * (whole["b"] or 0) / (whole["n"] or 1)) / (F.col("hn") + K)
+    scored = _join(stats, hosts, ["host"]).select("host", *done, ((F.col("b") + K * base) / (F.col("l") + K)).alias("purity"),
+                                                  (F.col("l") / F.col("n")).alias("covered"))
     by_path = (_join(tree.select(*keys, *done), scored, ["host", *done])
-               .select(*keys, "purity", F.concat(F.col("host"), F.lit("/"), F.concat_ws("/", *done)).alias("template")))
+               .select(*keys, "purity", "covered", F.concat(F.col("host"), F.lit("/"), F.concat_ws("/", *done)).alias("template")))
 
     ruled = p.filter(F.col("rule").isNotNull()).select(
         "page_id", "host", "path", "rule", "verdict",
-        F.lit(None).cast("string").alias("template"), F.lit(None).cast("double").alias("purity"))
+        F.lit(None).cast("string").alias("template"), F.lit(None).cast("double").alias("purity"), F.lit(None).cast("double").alias("covered"))
     rest = _join(p.filter(F.col("rule").isNull()).drop("verdict"), by_path, keys).select(
         "page_id", "host", "path", "rule",
-        F.when(F.col("purity") >= PURITY, F.lit("block")).otherwise(F.lit("allow")).alias("verdict"), "template", "purity")
+        F.when((F.col("purity") >= PURITY) & (F.col("covered") >= COVERED), F.lit("block")).otherwise(F.lit("allow")).alias("verdict"),
+        "template", "purity", "covered")
     return ruled.unionByName(rest)
 
 
@@ -125,14 +134,16 @@ def _generalise(tree: DataFrame, node: list[str], value: str, name: str) -> Data
     child = tree.groupBy(*node, value).agg(F.sum("n").alias("cn"), F.sum("labelled").alias("cl"),
                                            F.sum("blocked").alias("cb"))
     seldom = F.col(value).isNotNull() & (F.col("cn") < MIN_PAGES)
-    parent = child.groupBy(*node).agg(F.sum("cl").alias("pl"), F.sum("cb").alias("pb"), F.count_if(seldom).alias("varied"))
+    once = F.count_if(F.col(value).isNotNull() & (F.col("cn") == 1))
+    parent = child.groupBy(*node).agg(F.sum("cl").alias("pl"), F.sum("cb").alias("pb"), (once / (F.sum("cn") + 1)).alias("new"))
     both = _join(child, parent, node)
     others, others_b = F.col("pl") - F.col("cl"), F.col("pb") - F.col("cb")
-    share = F.col("pb") / F.col("pl")
-    gap = F.col("cb") / F.col("cl") - others_b / others
-    similar = (others > 0) & (gap * gap <= F.lit(Z2) * share * (1 - share) * (1.0 / F.col("cl") + 1.0 / others))
+    share = F.try_divide("pb", "pl")
+    gap = F.try_divide("cb", "cl") - F.try_divide(others_b, others)
+    spread = share * (1 - share) * (F.try_divide(F.lit(1.0), F.col("cl")) + F.try_divide(F.lit(1.0), others))
+    similar = (others > 0) & (gap * gap <= F.lit(Z2) * spread)
     became = (F.when(F.col(value).isNull(), F.lit(None).cast("string"))
-               .when(seldom & (F.col("varied") >= MIN_VALUES), F.lit("*"))
+               .when(seldom & (F.col("new") >= NEW_SHARE) & F.coalesce(similar | (others == 0) | (F.col("cl") == 0), F.lit(True)), F.lit("*"))
                .when(F.col("cl") == 0, F.col(value))
                .when((F.col("cn") < MIN_PAGES) | similar, F.lit("~")).otherwise(F.col(value)))
     # written, so that the plan of one level does not repeat those before it

@@ -169,17 +169,27 @@ def test_urls(spark):
 
 
 def test_url_templates(spark):
-    """Pages that only the tree judges: varied segments share their labels, settled ones do not."""
+    """Pages that only the tree judges: varied segments share their labels, settled ones do not,
+    and a few blocked pages condemn nothing, however many paths stand beside them."""
     paths = [("varied.net", f"{s}/{i}") for s in ("es", "fr") for i in range(7)]
     paths += [("varied.net", f"{'abcdefghij'[k] * 3}/{k}") for k in range(10)]
     paths += [("settled.net", f"{s}/{i}") for s in ("es", "fr", "en", "de") for i in range(20)]
     paths += [("plain.org", f"{'abcdefghij'[k] * 3}/{k}") for k in range(10)]
+    for n in (6, 7, 30):
+        paths += [(f"few{n}.net", f"es/{i}") for i in range(2)] + [(f"few{n}.net", f"p{'abcdefghij'[k // 10]}{'abcdefghij'[k % 10]}/{k}") for k in range(n)]
+    paths += [("deep.org", f"a/b/c/{x}/{i}") for x in ("d", "e") for i in range(9)]
     got = urls.judge_pages(spark.createDataFrame([(i, f"http://{h}/{p}") for i, (h, p) in enumerate(paths)],
                                                  "page_id long, url string"), URL_RULES).collect()
     assert len(got) == len(paths)
-    judged = {(r.host, r.verdict, r.template, r.purity) for r in got if r.rule is None}
-    assert judged == {("varied.net", "block", "varied.net/*/{n}", 15 / 16), ("plain.org", "allow", "plain.org/*/{n}", 0.5),
-                      ("settled.net", "allow", "settled.net/en/{n}", 0.5), ("settled.net", "allow", "settled.net/de/{n}", 0.5)}
+    share = (14 + 40 + 3 * 2) / len(paths)
+    base = lambda blocked, pages: (blocked + 2 * share) / (pages + 2)
+    judged = {(r.host, r.verdict, r.template, round(r.purity, 9), round(r.covered, 9)) for r in got if r.rule is None}
+    want = {("varied.net", "block", "varied.net/*/{n}", (14 + 2 * base(14, 24)) / 16, 14 / 24),
+            ("plain.org", "allow", "plain.org/*/{n}", base(0, 10), 0.0),
+            ("deep.org", "allow", "deep.org/a/b/c/d/{n}", base(0, 18), 0.0), ("deep.org", "allow", "deep.org/a/b/c/e/{n}", base(0, 18), 0.0)}
+    want |= {("settled.net", "allow", f"settled.net/{x}/{{n}}", base(40, 80), 0.0) for x in ("en", "de")}
+    want |= {(f"few{n}.net", "allow", f"few{n}.net/*/{{n}}", (2 + 2 * base(2, n + 2)) / 4, 2 / (n + 2)) for n in (6, 7, 30)}
+    assert judged == {(h, v, t, round(p, 9), round(c, 9)) for h, v, t, p, c in want}
 
 
 def vector_table(spark):
