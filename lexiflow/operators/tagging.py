@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from ..functions.lexicon import DS_LEXICON, POS_LEXICON
 from ..functions.tags import PUNCT_TAG, UNCLASSIFIED_TAG, UNTAGGED
 from ..functions.text import rstrip_ws, token_array
+from . import arrow_tagging
 from .sequence import dense_rank_in_doc
-from .units import unit_key
 
 TOKEN_COLUMNS = ["doc_id", "token_idx", "token", "pos_tag", "ds_tag", "pos_id", "ds_id"]
 
@@ -48,47 +48,25 @@ SUFFIX_RULES = [
 ]
 
 
-def _map_literal(d: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for k in sorted(d) for x in (k, d[k])])
-
-
-def _lookup(key: Column, d: dict[str, str]) -> Column:
-    """Value of ``key`` in a small fixed dict, NULL if absent.  The hashed
-    ``isin`` (InSet) guard rejects misses in O(1); the map is read on hits."""
-    return F.when(key.isin(*sorted(d)), _map_literal(d)[key])
-
-
 def _offset(df: DataFrame) -> Column:
     """Token offset of a document row: 0, or ``_off`` of a segment."""
     return F.col("_off") if "_off" in df.columns else F.lit(0).cast("long")
 
 
-def pos_tag_expr(s: Column, low: Column, lex_tag: Column) -> Column:
-    """Rule chain of D3 given the surface ``s``, its lower case and the
-    lexicon hit.  Non-ASCII test: more UTF-8 bytes than characters."""
-    expr = (F.when((F.length(s) == 1) & ~s.rlike(r"[\p{L}\p{N}]"), F.lit(PUNCT_TAG))
-             .when(s.rlike(r"^\p{N}+$"), F.lit("MC"))
-             .when(lex_tag.isNotNull(), lex_tag)
-             .when(F.octet_length(s) != F.length(s), F.lit(UNCLASSIFIED_TAG)))
-    for suffixes, tag in SUFFIX_RULES:
-        cond = F.lit(False)
-        for suf in suffixes:
-            cond = cond | low.endswith(suf)
-        expr = expr.when(cond, F.lit(tag))
-    return expr.otherwise(F.lit("NN1"))
-
-
 #: Adds an array ``tags`` to rows with arrays ``toks`` and ``low``: the part of speech of each token.
 Tagger = Callable[[DataFrame], DataFrame]
 
 
 def rule_tagger(lexicon: dict[str, str] | None = None) -> Tagger:
-    """The default tagger: closed-class words by a lexicon, then suffix rules."""
+    """The default tagger: closed-class words by a lexicon, then suffix rules
+    on arrays of tokens (``arrow_tagging``).  A null array stays null."""
     lex = POS_LEXICON if lexicon is None else lexicon
+    tags = F.arrow_udf(arrow_tagging.word_tagger(lex, SUFFIX_RULES, PUNCT_TAG, UNCLASSIFIED_TAG), "array<string>")
 
     def tag(rows: DataFrame) -> DataFrame:
-        surfaces = F.transform("toks", rstrip_ws)
-        return rows.withColumn("tags", F.zip_with(surfaces, "low", lambda s, low: pos_tag_expr(s, low, _lookup(low, lex))))
+        text = F.array_join("toks", "")
+        marks, digits = (F.regexp_extract_all(text, F.lit(p), 0) for p in (r"[^\x00-\x7F\s\p{L}\p{N}]", r"[\p{N}&&[^\x00-\x7F]]"))
+        return rows.withColumn("tags", tags("toks", "low", marks, digits))
     return tag
 
 
@@ -100,8 +78,7 @@ def document_rows(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
         d = docs.select("doc_id", "_off", "_seg", F.size("_toks").alias("n"), F.concat("_toks", "_ahead").alias("toks"))
     else:
         d = docs.select("doc_id", token_array("text").alias("toks")).withColumn("n", F.size("toks"))
-    d = d.withColumn("low", F.transform("toks", lambda t: F.lower(rstrip_ws(t))))
-    return (tagger or rule_tagger())(d)
+    return (tagger or rule_tagger())(d.withColumn("low", F.transform("toks", lambda t: F.lower(rstrip_ws(t)))))
 
 
 def tokens_from_rows(rows: DataFrame) -> DataFrame:
@@ -113,42 +90,11 @@ def tokens_from_rows(rows: DataFrame) -> DataFrame:
                     F.get("tags", F.col("i")).alias("pos_tag"), at.alias("pos_id"))
 
 
-# The ASCII punctuation characters and the space: a unit of these alone is skipped.
-PUNCT_AND_SPACE = "".join(chr(c) for c in range(32, 127) if not chr(c).isalnum())
-
-UNIT_TYPE = "array<struct<pos:bigint,n:int,tag:string>>"
+UNIT_TYPE = "array<struct<pos:bigint,n:int,tag:string,key:string,punct:boolean>>"
 SPAN_TYPE = "array<struct<s:bigint,n:int,tag:string>>"
 FOLD_CHUNK = 256
 
 
-def _singles(a: Column, b: Column) -> Column:
-    """Untagged one-token units for positions a..b (empty when b < a)."""
-    return F.when(b >= a, F.transform(F.sequence(a, b), lambda j: F.struct(
-        j.alias("pos"), F.lit(1).alias("n"), F.lit(UNTAGGED).alias("tag")))).otherwise(F.array().cast(UNIT_TYPE))
-
-
-def _with_candidates(rows: DataFrame, lexicon: dict[str, str]) -> DataFrame:
-    """Add ``_dc``: the longest lexicon phrase at each own position that begins one."""
-    max_len = phrase_length(lexicon)
-    by_len = {n: {p: t for p, t in lexicon.items() if len(p.split(" ")) == n} for n in range(1, max_len + 1)}
-    firsts = sorted({p.split(" ")[0] for p in lexicon})
-    words, own = F.col("low"), F.col("n").cast("long")
-
-    def longest(i):
-        best = None
-        for n in range(max_len, 0, -1):
-            if not by_len[n]:
-                continue
-            hit = F.when(i + n <= F.size(words), _lookup(F.array_join(F.slice(words, (i + 1).cast("int"), n), " "), by_len[n]))
-            cand = F.when(hit.isNotNull(), F.struct(i.alias("s"), F.lit(n).alias("n"), hit.alias("tag")))
-            best = cand if best is None else F.coalesce(best, cand)
-        return best
-
-    positions = F.when(own > 0, F.sequence(F.lit(0).cast("long"), own - 1)).otherwise(F.array().cast("array<bigint>"))
-    starts = F.filter(positions, lambda i: words[i].isin(*firsts))
-    return rows.withColumn("_dc", F.filter(F.transform(starts, longest), lambda x: x.isNotNull()))
-
-
 def phrase_length(lexicon: dict[str, str] | None = None) -> int:
     return max(len(p.split(" ")) for p in (DS_LEXICON if lexicon is None else lexicon))
 
@@ -160,21 +106,6 @@ def in_chunks(values: Column, empty: str) -> Column:
             .otherwise(F.array().cast(f"array<{empty}>"))
 
 
-def _chosen(candidates: Column, begin: Column) -> Column:
-    """Leftmost-longest spans from token ``begin`` on: a fold over chunks of
-    candidates carries only the end of the last chosen span, the fold inside a
-    chunk appends."""
-    def inner(e0, chunk):
-        return F.aggregate(chunk, F.struct(e0.alias("e"), F.array().cast(SPAN_TYPE).alias("c")), lambda acc, x: F.when(
-            x["s"] >= acc["e"], F.struct((x["s"] + x["n"]).alias("e"), F.array_append(acc["c"], x).alias("c"))).otherwise(acc))
-
-    init = F.struct(begin.alias("e"), F.array().cast(f"array<{SPAN_TYPE}>").alias("parts"))
-    # (a one-element transform binds the inner result so it is evaluated once)
-    return F.flatten(F.aggregate(in_chunks(candidates, SPAN_TYPE), init, lambda acc, ch: F.transform(
-        F.array(inner(acc["e"], ch)),
-        lambda r: F.struct(r["e"].alias("e"), F.array_append(acc["parts"], r["c"]).alias("parts")))[0])["parts"])
-
-
 SCAN_BLOCK = 1024     # segments whose maps are composed in one row
 
 
@@ -222,47 +153,29 @@ def with_ds_units(rows: DataFrame, lexicon: dict[str, str] | None = None) -> Dat
     whether it is punctuation that analyses skip); the units of a document
     cover every token exactly once.
 
-    Runs inside the row with higher-order functions: candidate starts are the
-    positions whose word can open a phrase; the longest lexicon phrase at each
-    start is looked up; a left-to-right fold keeps the leftmost-longest
-    non-overlapping spans; gaps become Untagged one-token units.  Work is
-    O(tokens x max phrase length) per document.
+    The longest lexicon phrase is looked up at each word; from left to right
+    those that overlap none taken before stay; words outside are Untagged units
+    of one token.  Work is O(tokens x max phrase length) per document.
     """
-    lexicon = DS_LEXICON if lexicon is None else lexicon
-    d = _with_candidates(rows, lexicon)
-    segmented = "_seg" in rows.columns
-    if segmented:
-        d = _with_skip(d, phrase_length(lexicon))
-    skip = F.col("_skip") if segmented else F.lit(0).cast("long")
-    size = F.col("n").cast("long")
-    d = d.withColumn("_ds", _chosen(F.col("_dc"), skip))
-    d = d.withColumn("_de", F.transform("_ds", lambda x: x["s"] + x["n"]))
-    prev_ends = F.slice(F.concat(F.array(skip), F.col("_de")), 1, F.size("_ds"))
-    segments = F.zip_with("_ds", prev_ends, lambda x, pe: F.concat(
-        _singles(pe, x["s"] - 1), F.array(F.struct(x["s"].alias("pos"), x["n"].alias("n"), x["tag"].alias("tag")))))
-    last_end = F.coalesce(F.get(F.col("_de"), F.size("_ds") - 1), skip)
-    units = F.concat(F.flatten(segments), _singles(last_end, size - 1))
-    first = lambda u: F.get("toks", u["pos"].cast("int"))
-    return (d.withColumn("units", F.transform(units, lambda u: F.struct(
-        u["pos"].alias("pos"), u["n"].alias("n"), u["tag"].alias("tag"),
-        F.when(u["n"] > 1, unit_key(unit_text(u))).otherwise(F.lower(rstrip_ws(first(u)))).alias("key"),
-        ((u["tag"] == F.lit(UNTAGGED)) & (F.length(rstrip_ws(first(u))) == 1)
-         & (F.translate(first(u), PUNCT_AND_SPACE, "") == F.lit(""))).alias("punct"))))
-             .drop("_dc", "_ds", "_de", "_skip"))
+    phrases = arrow_tagging.Phrases(DS_LEXICON if lexicon is None else lexicon, UNTAGGED)
+    skip = F.lit(0).cast("long")
+    if "_seg" in rows.columns:
+        candidates = F.arrow_udf(phrases.candidates, SPAN_TYPE)
+        rows = _with_skip(rows.withColumn("_dc", candidates("low", "n")), phrase_length(lexicon))
+        skip = F.col("_skip")
+    return rows.withColumn("units", F.arrow_udf(phrases.units, UNIT_TYPE)("toks", "low", "n", skip)).drop("_dc", "_skip")
 
 
 def tokens_from_units(doc_units: DataFrame) -> DataFrame:
     """Token rows (TOKEN_COLUMNS) of a document's units; ``ds_id`` is the first
     token index of the unit.  Narrow, no shuffle; a unit that runs into the
     next segment brings its tokens along."""
-    per_token = F.flatten(F.transform("units", lambda u: F.transform(
-        F.sequence(u["pos"], u["pos"] + u["n"] - 1), lambda j: F.struct(j.alias("j"), u["tag"].alias("t"), u["pos"].alias("i")))))
-    o, j = F.col("_o"), F.col("x.j").cast("int")
-    at = (o + F.col("x.j")).cast("long")
-    return (doc_units.select("doc_id", _offset(doc_units).alias("_o"), "toks", "tags", F.explode_outer(per_token).alias("x"))
-                     .filter("x IS NOT NULL").select("doc_id", at.alias("token_idx"), F.get("toks", j).alias("token"), F.get("tags", j).alias("pos_tag"),
-                             F.col("x.t").alias("ds_tag"), at.alias("pos_id"), (o + F.col("x.i")).alias("ds_id"))
-                     .select(*TOKEN_COLUMNS))
+    o, u, j = F.col("_o"), F.col("u"), F.col("j").cast("int")
+    each = (doc_units.select("doc_id", _offset(doc_units).alias("_o"), "toks", "tags", F.explode_outer("units").alias("u")).filter("u IS NOT NULL")
+                     .select("doc_id", "_o", "toks", "tags", "u", F.explode(F.sequence(u["pos"], u["pos"] + u["n"] - 1)).alias("j")))
+    at = (o + F.col("j")).cast("long")
+    return each.select("doc_id", at.alias("token_idx"), F.get("toks", j).alias("token"), F.get("tags", j).alias("pos_tag"),
+                       u["tag"].alias("ds_tag"), at.alias("pos_id"), (o + u["pos"]).alias("ds_id")).select(*TOKEN_COLUMNS)
 
 
 def unit_text(u: Column) -> Column:
