@@ -3,12 +3,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import strip_ws
-from ..storage import table_exists
+from ..storage import materialize, table_exists
 
 # Fixed values (ours): ASCII folding of Latin letters, then multi-letter
 # replacements; anything else outside ASCII is dropped.
@@ -69,22 +73,55 @@ def load_token_parquet(spark: SparkSession, path: str, block: int = 1 << 16) ->
     """Read a pre-tagged token table and recover ``token_idx`` from the file
     order: rows of a document are ranked by (file path, row index).
 
-    The rank is a blocked ordinal: rows are numbered inside blocks of
-    (document, file, row_index div block) and the counts of earlier blocks
-    of the document are added from a small per-block table, so a document
-    spread over many rows never lands in one task."""
+    A document whose rows stand together is numbered by its first row's index,
+    in file order and without a shuffle.  One that comes in several runs (cut by
+    a split, or scattered) is ranked by a blocked ordinal: rows are numbered
+    inside blocks of (document, file, row_index div block) and the counts of
+    earlier blocks of the document are added from a small per-block table, so a
+    document spread over many rows never lands in one task."""
     df = spark.read.parquet(path)
     if not check_token_schema(df):
         raise ValueError(f"not a token table: {df.schema.simpleString()}")
     d = df.select("*", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.row_index").alias("_r"))
+    d = d.withColumn("_s", F.arrow_udf(run_starts, "bigint")("doc_id", "_f", "_r"))
+    names = ["doc_id", "token_idx", "token", "pos_tag", "ds_tag", "pos_id", "ds_id"]
+    whole = d.withColumn("token_idx", F.col("_r") - F.col("_s"))
+    cut = d.groupBy("doc_id", "_f", "_s").agg(F.count(F.lit(1)).alias("n")).groupBy("doc_id").count().filter("count > 1")
+    cut = materialize(cut.select("doc_id"), "cut-documents")
+    if cut.isEmpty():
+        return whole.select(*names)
+    same = d["doc_id"].eqNullSafe(cut["doc_id"])
+    return whole.join(cut, same, "left_anti").select(*names).unionByName(
+        _ranked_by_block(d.join(cut, same, "left_semi"), block).select(*names))
+
+
+def run_starts(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """(document, file, row index) in the order of the file -> the row index at
+    which each row's run of rows of one document begins; a run may span batches."""
+    last = None         # document, file, row index and start of the row before
+    for doc, file, row in batches:
+        r = row.to_numpy(zero_copy_only=False)
+        if not len(r):
+            yield pa.array([], pa.int64())
+            continue
+        new = np.ones(len(r), bool)
+        code = [x.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False) for x in (doc, file)]
+        new[1:] = (np.diff(code[0]) != 0) | (np.diff(code[1]) != 0) | (np.diff(r) != 1)
+        start = r[np.maximum.accumulate(np.where(new, np.arange(len(r)), 0))]
+        if last is not None and (doc[0].as_py(), file[0].as_py(), r[0] - 1) == last[:3]:
+            end = np.flatnonzero(new[1:])
+            start[:end[0] + 1 if len(end) else len(r)] = last[3]
+        last = doc[-1].as_py(), file[-1].as_py(), r[-1], start[-1]
+        yield pa.array(start)
+
+
+def _ranked_by_block(d: DataFrame, block: int) -> DataFrame:
     d = d.withColumn("_b", F.expr(f"_r div {int(block)}"))
     d = d.withColumn("_in", F.row_number().over(Window.partitionBy("doc_id", "_f", "_b").orderBy("_r")) - 1)
     totals = d.groupBy("doc_id", "_f", "_b").agg(F.count(F.lit(1)).alias("_c"))
     w = Window.partitionBy("doc_id").orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("doc_id", "_f", "_b", F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_o"))
-    return (d.join(offsets, ["doc_id", "_f", "_b"])
-             .withColumn("token_idx", (F.col("_o") + F.col("_in")).cast("long"))
-             .select("doc_id", "token_idx", "token", "pos_tag", "ds_tag", "pos_id", "ds_id"))
+    return d.join(offsets, ["doc_id", "_f", "_b"]).withColumn("token_idx", (F.col("_o") + F.col("_in")).cast("long"))
 
 
 def save_bundle(tables: dict[str, DataFrame], path: str, skip: tuple[str, ...] = ()) -> str:

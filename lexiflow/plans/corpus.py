@@ -22,10 +22,16 @@ from ..operators import freq as fq
 from ..operators.tagging import (Tagger, document_rows, ds_units_from_documents, rule_tagger, tokens_from_rows,
                                  tokens_from_units, with_ds_units)
 from ..operators.units import analytic_units, is_punct_unit, units
+from ..storage import materialize
 
 DOC_ROWS = "doc_rows"       # the table that a bundle has besides the seven of SURVEY §2.1
 
 
+def clustered(tokens: DataFrame) -> DataFrame:
+    """A token table with each document's rows in one partition, in order."""
+    return tokens.repartition(F.col("doc_id")).sortWithinPartitions("doc_id", "token_idx")
+
+
 @dataclass
 class Corpus:
     tokens: DataFrame
@@ -200,6 +206,19 @@ class Corpus:
 
     # --- storage -------------------------------------------------------------
 
+    def clustered_tokens(self) -> DataFrame:
+        """The token table, each document's rows together and in order.  A row
+        holds its whole document, so only documents whose id comes more than
+        once are brought together by a shuffle."""
+        if not self.whole_rows or self.rows is None:
+            return clustered(self.tokens)
+        again = materialize(self.rows.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated-ids")
+        if again.isEmpty():
+            return self.tokens
+        same = self.rows["doc_id"].eqNullSafe(again["doc_id"])
+        return tokens_from_units(self.rows.join(again, same, "left_anti")).unionByName(
+            clustered(tokens_from_units(self.rows.join(again, same, "left_semi"))))
+
     def save_bundle(self, path: str) -> str:
         """Write the corpus.  Document rows are written first and everything
         else is computed from the written copy, so tokenizing and tagging run
@@ -212,8 +231,7 @@ class Corpus:
             saved = Corpus.from_rows(spark.read.parquet(f"{base}/{DOC_ROWS}"))
             saved.tokens.write.mode("overwrite").parquet(f"{base}/ds_tokens")
         else:
-            (self.tokens.repartition(F.col("doc_id")).sortWithinPartitions("doc_id", "token_idx")
-                 .write.mode("overwrite").parquet(f"{base}/ds_tokens"))
+            (clustered(self.tokens).write.mode("overwrite").parquet(f"{base}/ds_tokens"))
             saved = Corpus(spark.read.parquet(f"{base}/ds_tokens"), self.single_token_pos)
         derived = {f"{t}_{k}": make(k) for k in ("pos", "ds")
                    for t, make in (("ft", saved.frequency), ("tt", saved.tags), ("dtm", saved.dtm))}

@@ -61,7 +61,7 @@ def _bundle_sql() -> str:
 @register("load_token_parquet", O.with_(ALL, "SELECT doc_id, token_idx, token, pos_tag, ds_tag, pos_id, ds_id FROM tok"))
 def load_token_parquet(spark, sf):
     path = scratch_path(spark, "tokens6")
-    (corpus(spark, sf).tokens.repartition("doc_id").sortWithinPartitions("doc_id", "token_idx")
+    (corpus(spark, sf).clustered_tokens()
         .select(*[f.name for f in IN.TOKEN_SCHEMA.fields]).write.parquet(path))
     return IN.load_token_parquet(spark, path)
 

@@ -9,10 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.corpus import Corpus, clustered
 
-def export_tokens(tokens: DataFrame, path: str, mode: str = "overwrite") -> str:
-    (tokens.repartition(F.col("doc_id")).sortWithinPartitions("doc_id", "token_idx")
-           .write.mode(mode).parquet(path))
+
+def export_tokens(corpus: DataFrame | Corpus, path: str, mode: str = "overwrite") -> str:
+    """``corpus``: a token table, or a corpus, whose tokens need no shuffle where a document is one row."""
+    tokens = corpus.clustered_tokens() if isinstance(corpus, Corpus) else clustered(corpus)
+    tokens.write.mode(mode).parquet(path)
     return path
 
 
