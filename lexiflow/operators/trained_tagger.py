@@ -23,16 +23,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import materialize
 from .tagging import Tagger
 
 WORD_BUCKETS, ENDING_BUCKETS = 16_384, 4_096
 ENDING = 3          # characters
 K = 4.0             # what the coarser estimate is worth, in occurrences
 START = ""          # the tag before the first one
+TEXTS = 256         # documents that are tagged at a time
 
 
 @dataclass(frozen=True)
@@ -66,11 +69,43 @@ class TagModel:
             out[i - 1] = back[i, out[i]]
         return out
 
+    def best_paths(self, evidence: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """``best_path`` of many texts at once: ``at`` has the texts' rows of
+        ``evidence`` one after the other.  The longest texts come first, so those
+        that still go on at a step are the first ones."""
+        k = evidence.shape[1]
+        order = np.argsort(-sizes, kind="stable")
+        begin = (np.cumsum(sizes) - sizes)[order]
+        going = np.searchsorted(-sizes[order], -np.arange(int(sizes.max(initial=0))), "left")      # texts longer than step i
+        to_from = np.ascontiguousarray(self.moves[:k].T)
+        back = np.zeros((len(at), k), np.int16)
+        out = np.empty(len(at), np.int64)
+        score = self.moves[k] + evidence[at[begin[:going[0]]]] if len(going) else None
+        for i in range(1, len(going)):
+            here = begin[:going[i]] + i
+            out[begin[going[i]:going[i - 1]] + i - 1] = score[going[i]:].argmax(1)
+            paths = score[:going[i], None, :] + to_from
+            back[here] = best = paths.argmax(2)
+            score = np.take_along_axis(paths, best[:, :, None], 2)[:, :, 0] + evidence[at[here]]
+        if len(going):
+            out[begin[:going[-1]] + len(going) - 1] = score.argmax(1)
+        for i in range(len(going) - 1, 0, -1):
+            here = begin[:going[i]] + i
+            out[here - 1] = back[here, out[here]]
+        return out
+
     def tag(self, words: Sequence[str]) -> list[str]:
-        if not len(words):
-            return []
-        distinct, at = np.unique(np.asarray(words, object), return_inverse=True)
-        return [self.tags[t] for t in self.best_path(self.evidence(list(distinct))[at])]
+        return self.tag_all(pa.array([list(words)], pa.list_(pa.string())))[0].as_py()
+
+    def tag_all(self, texts: pa.Array) -> pa.Array:
+        """The tags of each text of a list array; a null one stays null."""
+        sizes = pc.fill_null(pc.list_value_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = pc.fill_null(texts.flatten(), "").dictionary_encode()
+        edges = np.concatenate([[0], np.cumsum(sizes)])
+        found = np.zeros(0, np.int64)
+        if edges[-1]:
+            found = self.best_paths(self.evidence(coded.dictionary.to_pylist()), coded.indices.to_numpy(zero_copy_only=False), sizes)
+        return pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(self.tags, pa.string()).take(pa.array(found)), mask=texts.is_null())
 
 
 def bucket(word: str, buckets: int) -> int:
@@ -116,11 +151,9 @@ def trained_tagger(model: TagModel) -> Tagger:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for i in range(b.num_rows):     # one document at a time, so a batch's words are never all Python objects
-                    one = b.slice(i, 1)
-                    low = one.column(place)[0].as_py()
-                    tags = pa.array([None if low is None else model.tag([w or "" for w in low])], pa.list_(pa.string()))
-                    yield pa.RecordBatch.from_arrays([*one.columns, tags], [*one.schema.names, "tags"])
+                for i in range(0, b.num_rows, TEXTS):     # some documents at a time, so a batch's words are never all Python objects
+                    some = b.slice(i, TEXTS)
+                    yield pa.RecordBatch.from_arrays([*some.columns, model.tag_all(some.column(place))], [*some.schema.names, "tags"])
         return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("tags", T.ArrayType(T.StringType()))]))
     return tag
 
@@ -128,7 +161,8 @@ def trained_tagger(model: TagModel) -> Tagger:
 def tag_agreement(rows: DataFrame, fold: Column) -> DataFrame:
     """(pos_tag, trained_tag, n): the given tags of document rows against those of
     a model that was trained on the other fold (0 or 1) of the documents."""
-    parts = []
+    rows = materialize(rows.select(fold.alias("fold"), "n", "low", "tags"), "tagged-rows")     # tokenized and tagged once, not per model and fold
+    fold, parts = F.col("fold"), []
     for k in (0, 1):
         model = train_tagger(rows.filter(fold != k))
         part = rows.filter(fold == k).withColumnRenamed("tags", "given")
