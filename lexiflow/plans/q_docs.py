@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from ..functions.tags import simplify_tag_sql
 from ..operators import docview as D
 from ..sinks import export as X
-from ..storage import scratch_path
+from ..storage import materialize, scratch_path
 from . import oracle as O
 from .catalog import ALL, corpus, register, rounded
+from .corpus import Corpus
 
 STRIP = "regexp_replace(utext, '^\\s+|\\s+$', '', 'g')"
 
@@ -107,19 +108,19 @@ def table_counts_sql(tables: dict[str, str], formats: list[str] | None = None) -
 
 @register("export_tokens", O.with_(ALL, "SELECT * FROM tok"))
 def export_tokens(spark, sf):
-    path = X.export_tokens(corpus(spark, sf).tokens, scratch_path(spark, "export-tokens"))
+    path = X.export_tokens(corpus(spark, sf), scratch_path(spark, "export-tokens"))
     return spark.read.parquet(path)
 
 
 @register("export_all_tables", table_counts_sql({"ft_pos": "ft_pos", "ft_ds": "ft_ds", "tt_pos": "tt_pos", "tt_ds": "tt_ds",
                                                 "dtm_pos": "dtm_pos", "dtm_ds": "dtm_ds"}, ["parquet", "csv"]))
 def export_all_tables(spark, sf):
-    c = corpus(spark, sf)
+    c = Corpus.from_rows(materialize(corpus(spark, sf).rows, "export-rows"))      # tokenized and tagged once
     tables = {"ft_pos": c.frequency("pos"), "ft_ds": c.frequency("ds"), "tt_pos": c.tags("pos"),
               "tt_ds": c.tags("ds"), "dtm_pos": c.dtm("pos"), "dtm_ds": c.dtm("ds")}
     base = scratch_path(spark, "export-tables")
     pq = X.export_tables(tables, base + "/parquet", "parquet")
-    csv = X.export_tables(tables, base + "/csv", "csv")
+    csv = X.export_tables({n: spark.read.parquet(p) for n, p in pq.items()}, base + "/csv", "csv")
     parts = [spark.read.parquet(p).select(F.lit(n).alias("table"), F.lit("parquet").alias("format")) for n, p in pq.items()]
     parts += [spark.read.option("header", True).csv(p).select(F.lit(n).alias("table"), F.lit("csv").alias("format")) for n, p in csv.items()]
     out = parts[0]

@@ -1,8 +1,5 @@
 """Shared steps that grew too slowly: the taggers, the import of token tables, tables written once."""
 
-import pytest
-from pyspark.sql import functions as F
-
 from lexiflow.functions.lexicon import DS_LEXICON, POS_LEXICON
 from lexiflow.operators import tagging
 from lexiflow.operators.tagging import SUFFIX_RULES
@@ -43,3 +40,63 @@ def test_taggers_by_batch_match_plain_python(spark):
                              not n and words[i] in tagging.arrow_tagging.PUNCT and r.toks[i][1:].strip(" ") == ""))
             i += max(n, 1)
         assert [tuple(u) for u in r.units] == expected
+
+
+def test_import_numbers_runs_without_ranking(spark, tmp_path):
+    """Documents whose rows stand together are numbered without a window; scattered ones as before."""
+    from lexiflow.operators import ingest
+
+    names = [f.name for f in ingest.TOKEN_SCHEMA.fields]
+    docs = ["a"] * 5 + ["b"] * 3 + [None] * 2 + ["c"]
+    rows = [(d, f"{d}{i} ", "NN1", "Untagged", i, i) for i, d in enumerate(docs)]
+    path = str(tmp_path / "together")
+    spark.createDataFrame(rows, ingest.TOKEN_SCHEMA).coalesce(1).write.parquet(path)
+    found = ingest.load_token_parquet(spark, path)
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+    first = {d: docs.index(d) for d in docs}
+    assert sorted((r.token, r.token_idx) for r in found.collect()) == sorted((r[1], r[4] - first[r[0]]) for r in rows)
+    spark.createDataFrame([rows[5], *rows[:5], *rows[6:]], ingest.TOKEN_SCHEMA).coalesce(1).write.parquet(str(tmp_path / "cut"))
+    cut = {(r.token, r.token_idx) for r in ingest.load_token_parquet(spark, str(tmp_path / "cut")).select("token_idx", *names).collect()}
+    assert cut == {(r[1], r[4] - first[r[0]]) for r in rows}
+
+
+def test_runs_go_on_between_batches():
+    import pyarrow as pa
+
+    from lexiflow.operators.ingest import run_starts
+
+    docs, files, at = ["a", "a", "a", "b", None, None, "a"], ["f"] * 6 + ["g"], [3, 4, 5, 6, 7, 8, 0]
+    for k in (1, 2, 3, 7):
+        parts = [tuple(pa.array(x[i:i + k], t) for x, t in ((docs, pa.string()), (files, pa.string()), (at, pa.int64()))) for i in range(0, 7, k)]
+        assert [v for p in run_starts(iter(parts)) for v in p.to_pylist()] == [3, 3, 3, 6, 7, 7, 0]
+
+
+def test_clustered_tokens_shuffle_only_repeated_ids(spark):
+    from lexiflow.plans.corpus import Corpus, clustered
+
+    once = spark.createDataFrame([("a_1", "The cat sat."), ("b_1", "In spite of it.")], "doc_id string, text string")
+    assert "Exchange" not in Corpus.from_documents(once).clustered_tokens()._jdf.queryExecution().executedPlan().toString()
+    twice = Corpus.from_documents(once.union(once.limit(1)).union(spark.createDataFrame([(None, "x y"), (None, "x")], once.schema)))
+    assert sorted(map(str, twice.clustered_tokens().collect())) == sorted(map(str, clustered(twice.tokens).collect()))
+
+
+def test_tables_are_exported_from_rows_tagged_once(spark, monkeypatch):
+    from lexiflow.plans import catalog, q_docs
+
+    kept, write = [], q_docs.materialize
+    monkeypatch.setattr(q_docs, "materialize", lambda df, name: kept.append(name) or write(df, name))
+    out = {(r.table, r.format): r.rows for r in catalog.import_all()["export_all_tables"](spark, "/root/testdata/sf0.001").collect()}
+    assert kept == ["export-rows"] and all(out[t, "csv"] == n for (t, f), n in out.items() if f == "parquet") and len(out) == 12
+
+
+def test_paths_of_many_texts_equal_paths_one_by_one():
+    import numpy as np
+
+    from lexiflow.operators.trained_tagger import TagModel
+
+    r = np.random.default_rng(1)
+    model = TagModel(["a", "b", "c"], None, None, None, np.log(r.integers(1, 4, (4, 3)) / 6))
+    evidence, sizes = np.log(r.integers(1, 4, (9, 3)) / 6), np.array([4, 0, 1, 17, 4])
+    at, ends = r.integers(0, 9, sizes.sum()), np.cumsum(sizes)
+    each = [model.best_path(evidence[at[e - n:e]]) for e, n in zip(ends, sizes) if n]
+    assert model.best_paths(evidence, at, sizes).tolist() == np.concatenate(each).tolist()
