@@ -42,11 +42,11 @@ def simplify_tag(tag: str | Column) -> Column:
     c = col_(tag)
     expr = None
     for pattern, label in SIMPLE_TAG_RULES:
-        cond = c.rlike(pattern)
+        cond = c.startswith(pattern[1:-len(r"\S*$")])       # (the rest of the patterns is tested once, below)
         expr = F.when(cond, F.lit(label)) if expr is None else expr.when(cond, F.lit(label))
     # A tag with whitespace or an empty tag is left as it is (the rewrite
     # patterns need one or more non-space characters).
-    return expr.when(c.rlike(r"^\S+$"), F.lit(OTHER)).otherwise(c)
+    return F.when(c.rlike(r"^\S+$"), expr.otherwise(F.lit(OTHER))).otherwise(c)
 
 
 def simplify_tag_sql(tag: str) -> str:

@@ -1,9 +1,8 @@
 """Single-document views, built for all documents at once,
 and tagged-text rendering (§2.11).
 
-Whole document rows (``operators.tagging``) are viewed in place: character
-offsets are running sums inside the document's array, texts are joined in the
-row, and nothing is shuffled.  Unit rows of any origin, documents larger than a
+Whole document rows (``operators.tagging``) are viewed in place: spans are listed
+from Arrow batches, texts are joined in the row, and nothing is shuffled.  Unit rows of any origin, documents larger than a
 row included, take the blocked prefix sum instead.
 """
 
@@ -13,37 +12,30 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.tags import OTHER, PUNCT_TAG, UNCLASSIFIED_TAG, UNTAGGED, simplify_tag
 from ..functions.text import WHITESPACE, strip_ws
+from . import arrow_counting
 from .sequence import dense_rank_in_doc, prefix_sum
-from .tagging import in_chunks, unit_text
+from .tagging import unit_text
 
 NOT_WRAPPED = {"pos": PUNCT_TAG, "simple": OTHER, "ds": UNTAGGED}
 
 
-def running_sums(values: Column) -> Column:
-    """Inclusive running sums of an array: a fold over chunks carries the sum,
-    the fold inside a chunk appends, so long arrays stay near-linear."""
-    def inner(s0, chunk):
-        return F.aggregate(chunk, F.struct(s0.alias("s"), F.array().cast("array<bigint>").alias("o")), lambda acc, x: F.struct(
-            (acc["s"] + x).alias("s"), F.array_append(acc["o"], acc["s"] + x).alias("o")))
-
-    init = F.struct(F.lit(0).cast("long").alias("s"), F.array().cast("array<array<bigint>>").alias("parts"))
-    return F.flatten(F.aggregate(in_chunks(values, "array<bigint>"), init, lambda acc, ch: F.transform(
-        F.array(inner(acc["s"], ch)),
-        lambda r: F.struct(r["s"].alias("s"), F.array_append(acc["parts"], r["o"]).alias("parts")))[0])["parts"])
-
-
 def _viewed(tag: Column, view: str) -> Column:
     return simplify_tag(tag) if view == "simple" else tag
 
 
 def _span_text(utext: Column, tag: Column, plain: str) -> Column:
     """A unit as HTML: wrapped unless it has the view's plain tag; one trailing whitespace stays."""
-    token, last = strip_ws(utext), F.right(utext, F.lit(1))
+    last = F.right(utext, F.lit(1))
+    return _wrapped(strip_ws(utext), F.when(last.isin(*WHITESPACE), last).otherwise(F.lit("")), tag, plain)
+
+
+def _wrapped(token: Column, last: Column, tag: Column, plain: str) -> Column:
     wrapped = F.concat(F.lit('<span class="'), tag, F.lit('">'), token, F.lit("</span>"))
-    return F.concat(F.when(tag != F.lit(plain), wrapped).otherwise(token), F.when(last.isin(*WHITESPACE), last).otherwise(F.lit("")))
+    return F.concat(F.when(tag != F.lit(plain), wrapped).otherwise(token), last)
 
 
 def doc_spans(units: DataFrame, view: str = "pos") -> DataFrame:
@@ -68,20 +60,20 @@ def row_units(rows: DataFrame, view: str) -> DataFrame:
 
 
 def _one_text(units: DataFrame, text: Column) -> DataFrame:
-    """A row (doc_id, text) for each document with units (see ``docrows.counted`` on why it is exploded)."""
+    """A row (doc_id, text) for each document with units, exploded as a filter on the array's size would compute it once more."""
     some = F.when(F.size("us") > 0, F.array(text))
     return units.select("doc_id", F.explode_outer(some).alias("text")).filter("text IS NOT NULL")
 
 
 def doc_spans_in_rows(rows: DataFrame, view: str = "pos") -> DataFrame:
-    """``doc_spans`` of whole document rows."""
-    lengths = F.transform("us", lambda u: F.length(strip_ws(u["utext"])).cast("long"))
-    d = row_units(rows, view).withColumn("_l", lengths).withColumn("_e", running_sums(F.col("_l")))
-    d = d.select("doc_id", "_e", F.posexplode_outer("us").alias("_i", "u")).filter("u IS NOT NULL")
-    token, tag, end = strip_ws(F.col("u.utext")), _viewed(F.col("u.Tag"), view), F.get("_e", F.col("_i"))
-    return d.select("doc_id", F.col("u.pos").alias("pos"), token.alias("token"), tag.alias("Tag"),
-                    (end - F.length(token)).alias("tag_start"), end.alias("tag_end"),
-                    _span_text(F.col("u.utext"), tag, NOT_WRAPPED[view]).alias("Text"))
+    """``doc_spans`` of whole document rows, listed by pieces of Arrow batches."""
+    phrases = view == "ds"
+    units = [F.col("units.pos").alias("pos"), F.col("units.n").alias("n"), F.col("units.tag").alias("Tag")] if phrases else [F.col("tags").alias("Tag")]
+    schema = T.StructType([rows.schema["doc_id"], *T._parse_datatype_string("pos bigint, token string, Tag string, tag_end bigint, last string")])
+    u = rows.select("doc_id", "toks", *units).mapInArrow(arrow_counting.span_lister(phrases), schema)
+    return u.withColumn("Tag", _viewed(F.col("Tag"), view)).select(
+        "doc_id", "pos", "token", "Tag", (F.col("tag_end") - F.length("token")).alias("tag_start"), "tag_end",
+        _wrapped(F.col("token"), F.col("last"), F.col("Tag"), NOT_WRAPPED[view]).alias("Text"))
 
 
 def doc_html_in_rows(rows: DataFrame, view: str = "ds") -> DataFrame:

@@ -64,9 +64,9 @@ def rule_tagger(lexicon: dict[str, str] | None = None) -> Tagger:
     tags = F.arrow_udf(arrow_tagging.word_tagger(lex, SUFFIX_RULES, PUNCT_TAG, UNCLASSIFIED_TAG), "array<string>")
 
     def tag(rows: DataFrame) -> DataFrame:
-        text = F.array_join("toks", "")
-        marks, digits = (F.regexp_extract_all(text, F.lit(p), 0) for p in (r"[^\x00-\x7F\s\p{L}\p{N}]", r"[\p{N}&&[^\x00-\x7F]]"))
-        return rows.withColumn("tags", tags("toks", "low", marks, digits))
+        beyond = F.regexp_replace(F.array_join("toks", ""), r"[\x00-\x7F]+", "")      # one quick scan; both patterns are beyond ASCII
+        marks, digits = (F.regexp_extract_all("_beyond", F.lit(p), 0) for p in (r"[^\x00-\x7F\s\p{L}\p{N}]", r"[\p{N}&&[^\x00-\x7F]]"))
+        return rows.withColumn("_beyond", beyond).withColumn("tags", tags("toks", "low", marks, digits)).drop("_beyond")
     return tag
 
 
