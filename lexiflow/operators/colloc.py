@@ -24,12 +24,8 @@ def span_counts(sequences: DataFrame, node_word: str, node_tag: str | None = Non
     if not (0 <= preceding <= 9 and 0 <= following <= 9):
         raise ValueError("reach must be between 0 and 9")
 
-    def is_node(w):
-        cond = w["Token"] == F.lit(node_word.lower())
-        return cond & w["Tag"].startswith(node_tag) if node_tag else cond
-
-    return near_nodes(sequences, is_node, preceding, following).groupBy("Token", "Tag").agg(
-        F.sum("nodes").alias("freq_span"), F.count(F.lit(1)).alias("freq_total"), F.max("is_node").alias("_is_node"))
+    return near_nodes(sequences, node_word.lower(), node_tag, preceding, following).groupBy("Token", "Tag").agg(
+        F.sum("nodes").alias("freq_span"), F.sum("n").alias("freq_total"), F.max("is_node").alias("_is_node"))
 
 
 def association(freq_span: Column, freq_total: Column, f_node: Column, n: Column, statistic: str) -> Column:

@@ -6,9 +6,9 @@ words, and which (Token, Tag) it has for the first time.  Rows that count are
 
     keys..., n, docs
 
-``n`` occurrences, ``docs`` 1 if the document has the key for the first time
-here; and for each document with a token one row whose keys are null: ``n`` its
-units that count, ``docs`` 1.  So AF, document counts and totals come from one
+``n`` occurrences, ``docs`` documents that have the key, both added up over some
+documents; and rows whose keys are null: ``n`` the units of these documents that
+count, ``docs`` those with a token.  So AF, document counts and totals come from one
 aggregation with one vocabulary-sized shuffle, and the texts are read once.
 """
 
@@ -18,8 +18,10 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.tags import PUNCT_TAG
+from . import arrow_counting
 from .sequence import with_context
 from .units import is_punct_unit
 
@@ -27,51 +29,54 @@ from .units import is_punct_unit
 CONTEXT = 10
 
 
-def unit_array(kind: str) -> Column:
-    """All units of a document row that count: struct(Token, Tag)."""
+def unit_lists(kind: str) -> dict[str, Column]:
+    """The units of a document row as parallel arrays; those with the tag ``uncounted(kind)`` do not count."""
     if kind == "pos":
-        both = F.zip_with("low", "tags", lambda low, tag: F.struct(low.alias("Token"), tag.alias("Tag")))
-        return F.filter(both, lambda x: x["Tag"] != PUNCT_TAG)
-    return F.transform("units", lambda u: F.struct(u["key"].alias("Token"), u["tag"].alias("Tag")))
+        return {"Token": F.col("low"), "Tag": F.col("tags")}
+    return {"Token": F.col("units.key"), "Tag": F.col("units.tag")}
 
 
-def counted(rows: DataFrame, items: Column, keys: Sequence[str], total: Column | None = None) -> DataFrame:
-    """Counting rows (keys..., n, docs) of an array of key structs per document
-    row: sorted, so that equal keys are neighbours and the first one is known."""
-    one = F.transform(items, lambda x: F.struct(*[x[k].alias(k) for k in keys], F.lit(1).cast("long").alias("n")))
-    marker = F.struct(*[F.lit(None).cast("string").alias(k) for k in keys],
-                      (F.lit(0) if total is None else total).cast("long").alias("n"))
-    # (rows without tokens go after the explosion, and that is an outer one, as a filter on an array's
-    # size, given or inferred, would compute the array once more)
-    marked = F.when(F.col("n") > 0, F.sort_array(F.concat(F.array(marker), one)))
-    d = rows.select(marked.alias("_w")).select("_w", F.posexplode_outer("_w").alias("_i", "_x")).filter("_x IS NOT NULL")
-    first = F.coalesce(F.get("_w", F.col("_i") - 1) != F.col("_x"), F.lit(True))
-    return d.select(*[F.col(f"_x.{k}").alias(k) for k in keys], F.col("_x.n").alias("n"), first.cast("long").alias("docs"))
+def uncounted(kind: str) -> str | None:
+    return PUNCT_TAG if kind == "pos" else None
+
+
+def counted(rows: DataFrame, lists: dict[str, Column], without: str | None = None) -> DataFrame:
+    """Counting rows (keys..., n, docs) of parallel arrays of keys per document
+    row, counted by pieces of Arrow batches; ``without``: a tag that does not count."""
+    columns = [c.alias(k) for k, c in lists.items()]
+    schema = ", ".join([f"{k} string" for k in lists] + ["n bigint", "docs bigint"])
+    return rows.select(F.col("n").alias("size"), *columns).mapInArrow(
+        arrow_counting.unit_counter(list(lists), without), schema)
 
 
 def counted_units(rows: DataFrame, kind: str) -> DataFrame:
-    return counted(rows, unit_array(kind), ["Token", "Tag"])
+    return counted(rows, unit_lists(kind), uncounted(kind))
 
 
 def counted_tags(rows: DataFrame, kind: str) -> DataFrame:
-    return counted(rows, unit_array(kind), ["Tag"])
+    return counted(rows, {"Tag": unit_lists(kind)["Tag"]}, uncounted(kind))
+
+
+def tag_matrix(rows: DataFrame, kind: str) -> DataFrame:
+    """(doc_id, Tag, n) of whole document rows; what rows of one document have is added up."""
+    found = rows.select("doc_id", unit_lists(kind)["Tag"].alias("Tag")).mapInArrow(
+        arrow_counting.tag_matrix(uncounted(kind)), T.StructType([rows.schema["doc_id"], *T._parse_datatype_string("Tag string, n bigint")]))
+    return found.groupBy("doc_id", "Tag").agg(F.sum("n").alias("n"))
 
 
 def words(rows: DataFrame, kind: str) -> DataFrame:
-    """(doc_id, n_units, lead, own, words): the units of a document that are no
-    punctuation, as struct(Token, Tag, brk); ``brk`` if one stands right before
-    or the document begins.  n_units counts what frequency tables count."""
-    if kind == "pos":
-        units = F.zip_with("low", "tags", lambda low, tag: F.struct(low.alias("key"), tag.alias("tag"), (tag == PUNCT_TAG).alias("punct")))
-        n_units = F.size("words")
-    else:
-        units, n_units = F.col("units"), F.col("_u")
-    before = F.concat(F.array(F.lit(True)), F.transform("us", lambda u: u["punct"]))     # one longer than the units
-    kept = F.filter(F.zip_with("us", before, lambda u, brk: F.struct(
-        u["key"].alias("Token"), u["tag"].alias("Tag"), brk.alias("brk"), u["punct"].alias("punct"))), lambda x: ~x["punct"])
-    d = rows.select("doc_id", "n", units.alias("us"))
-    d = d.select("doc_id", "n", F.size("us").alias("_u"), F.transform(kept, lambda x: x.dropFields("punct")).alias("words"))
-    return d.select("doc_id", "n", n_units.cast("long").alias("n_units"), F.lit(0).alias("lead"), F.size("words").alias("own"), "words")
+    """(doc_id, n, Token, Tag, punct_<kind>): the units of whole documents as parallel
+    arrays.  Those that are punctuation are left out when words are counted
+    (``arrow_counting.words_of``): for ``pos`` by their tag, for ``ds`` by ``punct``."""
+    punct = F.col("units.punct") if kind == "ds" else F.lit(None).cast("array<boolean>")
+    return rows.select("doc_id", "n", *[c.alias(k) for k, c in unit_lists(kind).items()], punct.alias(f"punct_{kind}"))
+
+
+def whole_words(sequences: DataFrame) -> tuple[list[Column], str | None]:
+    """Columns of the units of whole documents (none for blocks), and the tag that punctuation has, if a tag tells."""
+    if "punct_ds" in sequences.columns:
+        return [F.col("Token"), F.col("Tag"), F.col("punct_ds").alias("punct")], None
+    return [F.col("Token"), F.col("Tag")] if "punct_pos" in sequences.columns else [], PUNCT_TAG
 
 
 def words_of_units(ordered: DataFrame, kind: str, block: int) -> DataFrame:
@@ -112,9 +117,10 @@ def gram_keys(span: int) -> list[str]:
 
 def counted_grams(sequences: DataFrame, span: int, keep: Callable[[Column], Column] | None = None) -> DataFrame:
     """Counting rows of the n-grams of whole documents (one row each), with the total of units that count."""
-    grams = F.filter(F.transform(_own(sequences), lambda i: gram_struct(i, span)), lambda g: g.isNotNull() if keep is None else (
-        g.isNotNull() & keep(g)))
-    return counted(sequences, grams, gram_keys(span), total=F.col("n_units"))
+    keys, (columns, punct_tag) = gram_keys(span), whole_words(sequences)
+    found = sequences.select(F.col("n").alias("size"), *columns).mapInArrow(
+        arrow_counting.gram_counter(span, keys, punct_tag), ", ".join([f"{k} string" for k in keys] + ["n bigint", "docs bigint"]))
+    return found if keep is None else found.filter(F.col(keys[0]).isNull() | keep(F.struct(*keys)))
 
 
 def grams(sequences: DataFrame, span: int) -> DataFrame:
@@ -123,12 +129,11 @@ def grams(sequences: DataFrame, span: int) -> DataFrame:
     return d.select("doc_id", gram_struct(F.col("_i"), span).alias("_g")).filter("_g IS NOT NULL").select("doc_id", "_g.*")
 
 
-def near_nodes(sequences: DataFrame, is_node: Callable[[Column], Column], preceding: int, following: int) -> DataFrame:
-    """(Token, Tag, nodes, is_node) per word: how many nodes it stands 1..preceding before or 1..following behind."""
-    d = sequences.select("words", F.explode_outer(_own(sequences)).alias("_i")).filter("_i IS NOT NULL")
-    hit = lambda k: F.coalesce(is_node(F.get("words", F.col("_i") + k)).cast("long"), F.lit(0).cast("long"))
-    near = F.lit(0).cast("long")
-    for k in [*range(1, preceding + 1), *range(-following, 0)]:
-        near = near + hit(k)
-    w = F.get("words", F.col("_i"))
-    return d.select(w["Token"].alias("Token"), w["Tag"].alias("Tag"), near.alias("nodes"), hit(0).alias("is_node"))
+def near_nodes(sequences: DataFrame, node: str, node_tag: str | None, preceding: int, following: int) -> DataFrame:
+    """(Token, Tag, nodes, n, is_node): how many nodes (of the given token, with a tag that begins as given) a
+    word's ``n`` places stand 1..preceding before or 1..following behind; added up by pieces of Arrow batches."""
+    columns, punct_tag = whole_words(sequences)
+    blocks = ["lead", "own", F.col("words.Token").alias("Token"), F.col("words.Tag").alias("Tag")]
+    return sequences.select(*(columns or blocks)).mapInArrow(
+        arrow_counting.neighbour_counter(node, node_tag, preceding, following, bool(columns), punct_tag),
+        "Token string, Tag string, nodes bigint, n bigint, is_node bigint")

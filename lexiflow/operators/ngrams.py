@@ -3,7 +3,7 @@
 Input are word sequences (``operators.docrows``): a row per document, or per
 block of a document of any length with a few words of its neighbours.  An
 n-gram is read from its sequence's array, so there is no window and no join.
-Whole documents give counting rows in place (first occurrences are known), and
+Whole documents are counted by pieces of Arrow batches (``arrow_counting``), and
 one shuffle on the n-gram follows; blocks are first counted by document.
 """
 
@@ -51,11 +51,10 @@ def ngrams(sequences: DataFrame, span: int = 2, min_rf: float | None = 10.0, n_u
            ndocs: Column | None = None, keep: Callable[[Column], Column] | None = None) -> DataFrame:
     """N-gram frequency table: Token_i, Tag_i, AF, RF (per million units), Range.
 
-    Sequences of whole documents (with ``n_units``) carry their totals; for
-    blocks the totals are given.  ``keep`` tests the n-gram as a struct."""
+    Sequences of whole documents carry their totals; for blocks they are given.  ``keep`` tests the n-gram as a struct."""
     check_span(span)
     keys = gram_keys(span)
-    if "n_units" in sequences.columns:
+    if "words" not in sequences.columns:
         agg = summed(counted_grams(sequences, span, keep), keys)
         out = relative(agg, keys, 1_000_000.0, total=lambda t: t["marked"])
     else:

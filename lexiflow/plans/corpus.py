@@ -148,13 +148,15 @@ class Corpus:
         return self._stored(f"tt_{kind}", lambda: fq.tags_table(self.counts(kind, tags_only=True)))
 
     def dtm(self, kind: str = "pos") -> DataFrame:
+        if self.whole_rows:
+            return self._stored(f"dtm_{kind}", lambda: docrows.tag_matrix(self.rows, kind))
         return self._stored(f"dtm_{kind}", lambda: fq.dtm_long(self.analytic(kind)))
 
     def simplified_frequency(self) -> DataFrame:
         """Frequencies by simplified tag, the document counts made anew."""
         if self.whole_rows:
-            items = F.transform(docrows.unit_array("pos"), lambda x: F.struct(x["Token"].alias("Token"), simplify_tag(x["Tag"]).alias("Tag")))
-            return fq.frequency_table(docrows.counted(self.rows, items, ["Token", "Tag"]))
+            simple = F.transform("tags", lambda t: F.when(t != PUNCT_TAG, simplify_tag(t)))     # (null does not count)
+            return fq.frequency_table(docrows.counted(self.rows, {"Token": F.col("low"), "Tag": simple}, PUNCT_TAG))
         u = self.analytic("pos").withColumn("Tag", simplify_tag("Tag"))
         return fq.frequency_table(fq.unit_counts(u).unionByName(fq.document_marks(self._for("pos"))))
 
