@@ -176,7 +176,7 @@ def scatter_data_grouped(spark, sf):
     [f"fo AS (SELECT doc_id, CASE WHEN Tag IN ('{X}', '{Y}') THEN Tag ELSE 'Other' END AS Tag, sum(n) AS n FROM dtm_s GROUP BY ALL)",
      "sh AS (SELECT doc_id, Tag, n / sum(n) OVER (PARTITION BY doc_id) * 100 AS RF FROM fo)"]))
 def scatter_axis_share(spark, sf):
-    return rounded(G.scatter_axis_share(fq.dtm_simplify(_c(spark, sf).dtm("pos")), [X, Y]))
+    return rounded(G.scatter_axis_share(fq.dtm_simplify(_dtm(_c(spark, sf))), [X, Y]))
 
 
 @register("pearson", S(f"SELECT round(corr({X}, {Y}), 3) AS r, count(*) - 2 AS df FROM wide"))

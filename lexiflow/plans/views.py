@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import freq as fq
+from ..storage import materialize
 from .corpus import Corpus
 
 
@@ -45,6 +46,11 @@ KEYNESS_TABLES = {
 }
 
 
+def _dtm(corpus: Corpus, kind: str) -> DataFrame:
+    """The document-term matrix, written once: what is made of it reads it in several passes."""
+    return corpus.dtm(kind) if f"dtm_{kind}" in corpus.tables else materialize(corpus.dtm(kind), f"dtm-{kind}")
+
+
 def _prop_long(dtm: DataFrame, group: bool) -> DataFrame:
     dense = fq.dtm_dense(dtm)
     p = fq.dtm_weight_prop(dense).select("doc_id", "Tag", "RF")
@@ -66,9 +72,9 @@ def table_by_name(corpus: Corpus, name: str, scope: str = "Target", reference: C
                 return corpus.tags(kind)
             if name == "Tags Table: Parts-of-Speech Simplified":
                 return fq.tags_simplify(corpus.dtm("pos"), corpus.ndocs())
-            d = fq.dtm_simplify(corpus.dtm(kind)) if simple else corpus.dtm(kind)
+            d = fq.dtm_simplify(_dtm(corpus, kind)) if simple else _dtm(corpus, kind)
             return _prop_long(d, group=False)
-        d = fq.dtm_simplify(corpus.dtm(kind)) if simple else corpus.dtm(kind)
+        d = fq.dtm_simplify(_dtm(corpus, kind)) if simple else _dtm(corpus, kind)
         if name.startswith("Tags Table"):
             return fq.tags_table_grouped(fq.with_group(fq.dtm_dense(d)))
         return _prop_long(d, group=True)

@@ -100,3 +100,105 @@ def test_paths_of_many_texts_equal_paths_one_by_one():
     at, ends = r.integers(0, 9, sizes.sum()), np.cumsum(sizes)
     each = [model.best_path(evidence[at[e - n:e]]) for e, n in zip(ends, sizes) if n]
     assert model.best_paths(evidence, at, sizes).tolist() == np.concatenate(each).tolist()
+
+
+COUNTED = [("a_1", "In spite of it, the cat ran. The cat — of course — sat on THE mat of 12 cats!"), ("b_1", " of the cat\n of  "),
+           ("b_1", "cat of the cat"), (None, "of"), ("c_1", None), ("d_1", ""), ("e_1", "?!")]
+
+
+def plain_words(r, kind):
+    """(Token, Tag, whether punctuation) per unit of a collected document row."""
+    if kind == "pos":
+        return [(low, tag, tag == "Y") for low, tag in zip(r.low or [], r.tags or [])]
+    return [(u.key, u.tag, u.punct) for u in r.units]
+
+
+def test_rows_counted_by_batch_match_plain_python(spark, monkeypatch):
+    """Frequencies, n-grams, neighbours and matrices are counted by pieces of batches (before: lambdas and explosions, unit by unit)."""
+    from collections import Counter
+
+    from lexiflow.operators import arrow_counting, docrows
+    from lexiflow.plans.corpus import Corpus
+
+    c = Corpus.from_documents(spark.createDataFrame(COUNTED, "doc_id string, text string"))
+    rows = c.rows.collect()
+    for kind in ("pos", "ds"):
+        assert "MapInArrow" in docrows.counted_grams(c.words(kind), 2)._jdf.queryExecution().executedPlan().toString()
+        units = [plain_words(r, kind) for r in rows]
+        words = [[u for u in us if not u[2]] for us in units]
+        counting = [[u[:2] for u in (w if kind == "pos" else us)] for us, w in zip(units, words)]
+        grams = [[us[i:i + 2] for i in range(len(us) - 1) if not us[i][2] and not us[i + 1][2]] for us in units]
+        grams = [[(x[0], y[0], x[1], y[1]) for x, y in g] for g in grams]
+        some = sum((r.n or 0) > 0 for r in rows)
+        for found, items, total in ((c.counts(kind), counting, 0), (docrows.counted_grams(c.words(kind), 2), grams, sum(map(len, counting))),
+                                    (c.counts(kind, tags_only=True), [[x[1:] for x in items] for items in counting], 0)):
+            n, docs, got_n, got_docs = Counter(), Counter(), Counter(), Counter()
+            for items_of in items:
+                n.update(items_of)
+                docs.update(set(items_of))
+            width = len(found.columns) - 2
+            n[(None,) * width], docs[(None,) * width] = total, some
+            for r in found.collect():
+                got_n[tuple(r[:width])] += r.n
+                got_docs[tuple(r[:width])] += r.docs
+            assert (+got_n, got_docs) == (+n, docs)
+        near = Counter()
+        for w in words:
+            for i, x in enumerate(w):
+                near[x[:2]] += sum(y[0] == "of" for y in w[max(i - 2, 0):i] + w[i + 1:i + 4])
+        got = Counter()
+        for r in docrows.near_nodes(c.words(kind), "of", None, 3, 2).collect():
+            got[r.Token, r.Tag] += r.nodes
+        assert +got == +near
+        matrix = Counter((r.doc_id, tag) for r, items in zip(rows, counting) for _, tag in items)
+        assert {(r.doc_id, r.Tag): r.n for r in c.dtm(kind).collect()} == dict(matrix)
+    import pyarrow as pa
+
+    monkeypatch.setattr(arrow_counting, "WORDS", 3)
+    batch = pa.RecordBatch.from_pydict({"x": pa.array([[1], [2, 3], None, [4] * 9, [], [5]])})
+    assert [len(p["x"]) for p in arrow_counting.pieces([batch], "x")] == [3, 1, 2]
+    monkeypatch.setattr(arrow_counting, "MOST", 4)
+    import numpy as np
+
+    many = arrow_counting.combined([(np.array([0, 1, 0, 1]), 2), (np.array([0, 2, 0, 1]), 3), (np.array([1, 0, 1, 1]), 2)])[0]
+    assert many[0] == many[2] and len(set(many.tolist())) == 3
+
+
+def test_spans_listed_by_batch_match_plain_python(spark):
+    """Spans come from batches (before: running sums by appending, tags simplified by ten patterns each)."""
+    from lexiflow.functions.tags import simplify_tag
+    from lexiflow.plans.corpus import Corpus
+
+    c = Corpus.from_documents(spark.createDataFrame(COUNTED, "doc_id string, text string"))
+    rows = c.rows.collect()
+    tags = sorted({t for r in rows for t in r.tags or []})
+    simple = {r.t: r.s for r in spark.createDataFrame([(t,) for t in tags], "t string").select("t", simplify_tag("t").alias("s")).collect()}
+    for view, plain in (("pos", "Y"), ("simple", "Other"), ("ds", "Untagged")):
+        found = c.spans(view)
+        assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+        expected = []
+        for r in rows:
+            units = [(u.pos, "".join(r.toks[u.pos:u.pos + u.n]), u.tag) for u in r.units] if view == "ds" else [
+                (i, t, simple[tag] if view == "simple" else tag) for i, (t, tag) in enumerate(zip(r.toks or [], r.tags or []))]
+            end = 0
+            for pos, text, tag in units:
+                token = text.strip(tagging.arrow_tagging.WS)
+                last = text[-1] if text[-1] in tagging.arrow_tagging.WS else ""
+                expected.append((r.doc_id, pos, token, tag, end, end + len(token),
+                                 (token if tag == plain else f'<span class="{tag}">{token}</span>') + last))
+                end += len(token)
+        assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, expected))
+
+
+def test_matrix_is_written_once_for_tables_by_name(spark, monkeypatch):
+    """The dense tables read a stored matrix (before: the corpus was tagged again in each pass)."""
+    from lexiflow.plans import q_stats, views
+    from lexiflow.plans.catalog import import_all
+
+    kept, write = [], views.materialize
+    for module in (views, q_stats):
+        monkeypatch.setattr(module, "materialize", lambda df, name: kept.append(name) or write(df, name))
+    for name in ("table_by_name", "scatter_axis_share"):
+        plan = import_all()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "ArrowEvalPython" not in plan and "MapInArrow" not in plan
+    assert kept == ["dtm-pos", "dtm-pos"]
