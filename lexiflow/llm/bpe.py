@@ -3,7 +3,7 @@
 The pattern that splits text before the merges never joins a character with a
 following space, so a text may be cut before any space that follows a
 non-space character without a change in the ids.  Chunks repeat a lot; their
-ids are kept in a bounded dictionary that lives as long as the Python worker.
+ids are kept in a bounded dictionary until the Python worker turns to another step.
 Texts with white space before a space, and texts that hold a special token's
 string (which the library turns into that token), are encoded whole.
 """
@@ -17,6 +17,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
+from .workers import held
+
 #: Chunks kept by a Python worker, in two generations: about 25 MB.
 KEPT = 120_000
 _ODD_SPACE = re.compile(r"\s ")
@@ -38,23 +40,22 @@ def _chunk_encoder(tokenizer):
     special = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
     ranks = {t: i for t, i in ranks.items() if t.decode("utf-8", "replace") not in special}
     return tiktoken.Encoding("chunks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-_WORKERS: dict[str, "ByteBpe"] = {}
 
 
 class ByteBpe:
     def __new__(cls, path: str):
-        if path not in _WORKERS:
-            os.environ["TOKENIZERS_PARALLELISM"] = "false"   # Spark deals out the cores
-            from tokenizers import Tokenizer
+        return held((cls, path), lambda: super(ByteBpe, cls).__new__(cls)._load(path))
+
+    def _load(self, path: str) -> "ByteBpe":
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"   # Spark deals out the cores
+        from tokenizers import Tokenizer
 
-            self = super().__new__(cls)
-            self.tokenizer = Tokenizer.from_file(path)
-            self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-            self.chunks = _chunk_encoder(self.tokenizer)
-            self.kept: dict[str, bytes] = {}
-            self.older: dict[str, bytes] = {}
-            _WORKERS[path] = self
-        return _WORKERS[path]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.chunks = _chunk_encoder(self.tokenizer)
+        self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        return self
 
     def _learn(self, wanted: set[str]) -> None:
         chunks = [c for c in wanted if c not in self.kept]

@@ -37,6 +37,7 @@ from ..storage import materialize
 from .components import components
 from .scratch import Scratch
 from .words import mix, runs, shingle_set, word_hashes
+from .workers import lean, small_batches
 
 #: Hashed counts that order the shingles.
 CELLS = 1 << 20
@@ -87,10 +88,10 @@ def shingle_counts(texts: DataFrame, width: int) -> np.ndarray:
     task counts into its own table; tables are added in rounds, so that neither
     a task nor the driver gets more than a few dozen of them."""
     with Scratch() as scratch:
-        t = scratch.write(texts.mapInPandas(lambda b: _count_cells(b, width), "part int, n binary"), "shingle-counts")
+        t = scratch.write(texts.mapInPandas(lean(lambda b: _count_cells(b, width)), "part int, n binary"), "shingle-counts")
         rows = t.count()
         while rows > 16 * 64:
-            t = scratch.write(t.repartition(rows // (64 * 4)).mapInPandas(_add_cells, t.schema), "shingle-counts")
+            t = scratch.write(t.repartition(rows // (64 * 4)).mapInPandas(lean(_add_cells), t.schema), "shingle-counts")
             rows = t.count()
         total = np.zeros((64, CELLS // 64), np.int64)
         for r in t.toLocalIterator():
@@ -204,7 +205,7 @@ def _linked(pairs: DataFrame, texts: DataFrame, repeated: bool, width: int, shar
 
     def of_texts(ids: DataFrame, value: Callable[[np.ndarray], bytes]) -> DataFrame:
         wanted = texts.join(_small(ids), texts["doc_id"] == F.col("id")).select("id", "text")
-        made = wanted.mapInPandas(lambda b: _of_sets(b, width, value), "id long, s binary")
+        made = wanted.mapInPandas(lean(lambda b: _of_sets(b, width, value)), "id long, s binary")
         return made.dropDuplicates(["id"]) if repeated else made
 
     with Scratch() as scratch:
@@ -212,14 +213,14 @@ def _linked(pairs: DataFrame, texts: DataFrame, repeated: bool, width: int, shar
         spread = scratch.write(of_texts(ids, _spread), "pair-spreads")
         likely = scratch.write(
             pairs.select("a", "b").join(spread.toDF("a", "pa"), "a").join(spread.toDF("b", "pb"), "b")
-                 .mapInPandas(lambda x: _bounded(x, share), "a long, b long"), "bounded-pairs")
+                 .mapInPandas(lean(lambda x: _bounded(x, share)), "a long, b long"), "bounded-pairs")
         ids = scratch.write(ids_of(likely), "pair-ids")
         sides = scratch.write(likely.select("a", "b", F.lit(False).alias("second"), F.col("a").alias("id")).unionByName(
             likely.select("a", "b", F.lit(True).alias("second"), F.col("b").alias("id"))), "pair-sides")
         sets = of_texts(ids, np.ndarray.tobytes)
         return materialize(
             sets.join(_small(sides), "id").select("a", "b", "second", "s").repartition("a", "b")
-                .sortWithinPartitions("a", "b", "second").mapInPandas(lambda x: _compare(x, share), "a long, b long"), "links")
+                .sortWithinPartitions("a", "b", "second").mapInPandas(lean(lambda x: _compare(x, share)), "a long, b long"), "links")
 
 
 def _search(texts: DataFrame, heads: DataFrame, scratch: Scratch, share: int, width: int) -> tuple[DataFrame, DataFrame]:
@@ -292,9 +293,9 @@ def jaccard_join(docs: DataFrame, share: int = 85, width: int = 4, id_col: str =
     results."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     spark = docs.sparkSession
-    levels = spark.sparkContext.broadcast(shingle_counts(texts.select("text"), width))
-    with Scratch() as scratch:
-        heads = scratch.write(texts.mapInPandas(lambda b: _heads(b, levels, width, share),
+    with small_batches(spark), Scratch() as scratch:
+        levels = spark.sparkContext.broadcast(shingle_counts(texts.select("text"), width))
+        heads = scratch.write(texts.mapInPandas(lean(lambda b: _heads(b, levels, width, share)),
                                                 "doc_id long, n long, s1 long, s2 long, head array<long>"), "shingle-heads")
         sizes = materialize(heads.select("doc_id", "n", "s1", "s2"), "shingle-sizes")
         firsts, links = _search(texts, heads, scratch, share, width)

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ..storage import materialize
 from .bpe import ByteBpe
+from .workers import lean, small_batches
 
 LENGTH = 2048
 END_ID = 1
@@ -170,8 +171,9 @@ def pack(docs: DataFrame, vocabulary: str, length: int = LENGTH, open_windows: i
 
     ``vocabulary`` is a byte-level BPE file that every executor can read."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    first = materialize(slim.mapInPandas(
-        lambda b: _pieces(b, vocabulary, length, open_windows, max_gap), PIECE), "pack-pieces")
+    with small_batches(docs.sparkSession):
+        first = materialize(slim.mapInPandas(
+            lean(lambda b: _pieces(b, vocabulary, length, open_windows, max_gap), keeps=True), PIECE), "pack-pieces")
     done = first.filter(~F.col("open")).drop("open")
 
     piece = F.struct("doc_id", "start", "length", "ids_crc32", "doc_tokens")
@@ -187,7 +189,7 @@ def pack(docs: DataFrame, vocabulary: str, length: int = LENGTH, open_windows: i
         tasks = math.ceil(parts / FAN_IN)
         merged = materialize(
             left.repartitionByRange(tasks, F.floor(F.col("part") / FAN_IN)).mapInPandas(
-                lambda b, f=numbered, last=tasks == 1: _merge(b, length, open_windows, f, last), MERGED), "pack-merged")
+                lean(lambda b, f=numbered, last=tasks == 1: _merge(b, length, open_windows, f, last)), MERGED), "pack-merged")
         finished = merged.filter(~F.col("open"))
         results.append(finished.select("sequence_id", F.posexplode("pieces").alias("_i", "p"), F.expr(
             "aggregate(slice(pieces, 1, _i), 0L, (a, x) -> a + x.length)").alias("offset"))

@@ -35,6 +35,7 @@ from ..storage import materialize
 from .rows import with_columns
 from .samples import ROWS_PER_CLASS, labelled_sample
 from .words import runs, word_hashes
+from .workers import lean
 
 #: Upper edges of the bins of each feature (the last bin is open).
 BINS = {
@@ -122,7 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS_PER_CLASS, id_col:
     """From at most ``rows`` labelled documents of each class outside the
     held-out fold.  Without labels of a class all evidence is 0."""
     sample, sizes = labelled_sample(docs.select(F.col(id_col), F.col(text_col).alias("text")), labels, label, rows, id_col)
-    got = (sample.select("text", "y").mapInPandas(_count_bins, "y int, feature int, bin int")
+    got = (sample.select("text", "y").mapInPandas(lean(_count_bins), "y int, feature int, bin int")
                  .groupBy("y", "feature", "bin").agg(F.count(F.lit(1)).alias("n")).collect())
     tables = []
     for k, edges in enumerate(BINS.values()):

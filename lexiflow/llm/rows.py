@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from .workers import lean
+
 
 def with_columns(docs: DataFrame, inputs: Sequence[str], compute: Callable[..., Sequence[Sequence]],
                  made: Sequence[tuple[str, T.DataType]]) -> DataFrame:
@@ -30,4 +32,4 @@ def with_columns(docs: DataFrame, inputs: Sequence[str], compute: Callable[...,
             both = {**old, **cols}
             yield pa.RecordBatch.from_arrays(list(both.values()), list(both))
 
-    return docs.mapInArrow(run, T.StructType(fields))
+    return docs.mapInArrow(lean(run), T.StructType(fields))

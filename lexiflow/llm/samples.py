@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .words import mix, runs, shingle_set, word_hashes
+from .workers import lean
 
 #: Labelled rows of each class used to fit a classifier (parameter of the callers).
 ROWS_PER_CLASS = 20_000
@@ -37,7 +38,7 @@ def without_copies(sample: DataFrame) -> DataFrame:
     """One document of each group of near copies in a bounded sample with
     ``_row`` and ``text``: no two that are kept share a minimum of one of four
     hashes of their word shingles."""
-    ids = sample.select("_row", "text").mapInPandas(_minima, "_row long, m0 long, m1 long, m2 long, m3 long")
+    ids = sample.select("_row", "text").mapInPandas(lean(_minima), "_row long, m0 long, m1 long, m2 long, m3 long")
     for k in range(4):
         ids = ids.groupBy(f"m{k}").agg(F.min(F.struct("_row", "m0", "m1", "m2", "m3")).alias("x")).select("x.*")
     return sample.join(F.broadcast(ids.select("_row")), "_row")

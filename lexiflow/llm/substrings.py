@@ -33,6 +33,7 @@ from ..storage import materialize
 from .rows import with_columns
 from .scratch import Scratch
 from .words import placed_sums, runs, sequence_hashes, word_hashes
+from .workers import lean, small_batches
 
 LENGTH = 50
 #: A hot hash is dealt to so many keys.
@@ -116,18 +117,19 @@ class Repeats:
     def __init__(self, docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text"):
         self.length = length
         self.texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-        read = materialize(self.texts.mapInPandas(
-            lambda b: _read(b, length), "doc_id long, n_words long, h1 long, h2 long, sha string, least array<long>"), "substring-read")
+        with small_batches(docs.sparkSession):
+            read = materialize(self.texts.mapInPandas(lean(
+                lambda b: _read(b, length)), "doc_id long, n_words long, h1 long, h2 long, sha string, least array<long>"), "substring-read")
         known = read.filter(F.col("doc_id").isNotNull() & (F.col("n_words") >= length))
         firsts = materialize(known.groupBy("h1", "h2", "n_words").agg(F.min("doc_id").alias("first")), "substring-firsts")
         ids = firsts.select(F.col("first").alias("doc_id"))
-        with Scratch() as scratch:
+        with small_batches(docs.sparkSession), Scratch() as scratch:
             least = scratch.write(read.join(ids, "doc_id", "left_semi").select("doc_id", F.explode("least").alias("h")), "substring-half")
             several = (least.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a <> b").select("h"))
             alive = (least.join(several, "h", "left_semi").groupBy("doc_id").agg(F.collect_list("h").alias("alive")))
             self.candidates = materialize(self.texts.join(alive, "doc_id").dropDuplicates(["doc_id"]), "substring-texts")
             scratch.drop("substring-half")
-            windows = scratch.write(self.candidates.mapInPandas(lambda b: _extend(b, length), "h long, g long, doc_id long, at int"), "substring-full")
+            windows = scratch.write(self.candidates.mapInPandas(lean(lambda b: _extend(b, length)), "h long, g long, doc_id long, at int"), "substring-full")
             # a hash that very many documents have is dealt out by salt: first ids are found for each salt,
             # then for the hash, and go back to the salts that have it
             salted = windows.withColumn("salt", F.pmod("doc_id", F.lit(SALTS)).cast("int"))
@@ -157,7 +159,7 @@ def digest(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_c
             yield pd.DataFrame({"doc_id": b["doc_id"], "removed": [x[0] for x in r], "cut_sha": [_sha(x[1]) for x in r]})
 
     cuts = materialize(found.candidates.select("doc_id", "text").join(found.starts, "doc_id").mapInPandas(
-        cut, "doc_id long, removed long, cut_sha string"), "substring-cuts")
+        lean(cut), "doc_id long, removed long, cut_sha string"), "substring-cuts")
     copy = F.col("first") < F.col("doc_id")
     return found.read.join(cuts, "doc_id", "left").select(
         "doc_id", "n_words", F.when(copy, F.col("n_words")).otherwise(F.coalesce("removed", F.lit(0))).alias("n_removed"),

@@ -35,6 +35,7 @@ from pyspark.sql import types as T
 from ..storage import materialize
 from .rows import with_columns
 from .samples import ROWS_PER_CLASS, in_fit_fold, labelled_sample, without_copies
+from .workers import lean
 
 #: Characters of the model: code points below this that are lower-case letters; all others are one class.
 CODES = 0x100
@@ -101,7 +102,7 @@ def _count_trigrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def character_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """Log probability of a character class after two others, N_CLASSES**3
     numbers (a fixed size) from the counts of all texts."""
-    rows = (docs.select(F.col(text_col).alias("text")).mapInPandas(_count_trigrams, "gram long, n long")
+    rows = (docs.select(F.col(text_col).alias("text")).mapInPandas(lean(_count_trigrams), "gram long, n long")
                 .groupBy("gram").agg(F.sum("n").alias("n")).collect())
     n3 = np.zeros(N_CLASSES ** 3)
     n3[[r["gram"] for r in rows]] = [r["n"] for r in rows]
@@ -328,7 +329,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS_PER_CLASS, id_col:
 
     def counts(y: int, wanted: frozenset | None, without: frozenset | None) -> tuple[dict[str, int], int]:
         df = sample.filter(F.col("y") == y).select("text").mapInPandas(
-            lambda b: _fit_counts(b, model, wanted, without), "feature string, n long").groupBy("feature").agg(
+            lean(lambda b: _fit_counts(b, model, wanted, without)), "feature string, n long").groupBy("feature").agg(
             F.sum("n").alias("n"))
         total = (df.filter("feature = ''").first() or {"n": 0})["n"]
         least = max(2, SUPPORT * total) if wanted is None else 1

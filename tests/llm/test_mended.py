@@ -6,7 +6,7 @@ import numpy as np
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from lexiflow.llm import jaccard, neighbours, substrings, words
+from lexiflow.llm import bpe, jaccard, neighbours, packing, substrings, workers, words
 
 DOCS = "doc_id long, text string"
 
@@ -142,3 +142,55 @@ def test_no_document_confirms_its_own_site(spark):
         assert abs(got[r.doc_id].site_posterior - a) < 1e-9 and abs(got[r.doc_id].path_posterior - b) < 1e-9
         want = 1 / (1 + math.exp(-(math.log(x / (1 - x)) - evidence.prior + math.log(b / (1 - b)))))
         assert abs(got[r.doc_id].low_quality - want) < 1e-9 and got[r.doc_id].rejected == (want >= 0.5)
+
+
+def test_workers_keep_one_step_only(spark):
+    """The encoder of the packing step stays for its own tasks and is gone, with
+    the memory it took, when a task of another step begins."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert bpe.ByteBpe(path) is bpe.ByteBpe(path)
+    assert list(workers.lean(lambda b: (x for x in [*b, len(workers._HELD)]), keeps=True)(iter([7]))) == [7, 1]
+    assert list(workers.lean(lambda b: (x for x in [*b, len(workers._HELD)]))(iter([7]))) == [7, 0]
+    docs = spark.createDataFrame([(1, "a b c")], DOCS).coalesce(1)
+    assert packing.pack(docs, path).count() == 1
+
+    def encoders(batches):
+        import gc
+
+        for b in batches:
+            yield b.assign(n=sum(isinstance(x, bpe.ByteBpe) for x in gc.get_objects()))[["n"]]
+
+    assert {r.n for r in docs.mapInPandas(workers.lean(encoders), "n long").collect()} == {0}
+
+
+def test_small_batches(spark):
+    """Batches within the join are bounded by rows and bytes; the session's settings come back."""
+    def sizes(batches):
+        for b in batches:
+            yield b.iloc[:1].assign(n=len(b))[["n"]]
+
+    def most(df):
+        return max(r.n for r in df.coalesce(1).mapInPandas(workers.lean(sizes), "n long").collect())
+
+    rows, name = spark.range(2500), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, seen = most(rows), {}
+    with workers.small_batches(spark):
+        assert most(rows) == 1000 and most(rows.limit(40).selectExpr("repeat('x', 1000000) AS t")) <= 8
+    assert most(rows) == before > 1000
+    real = jaccard._search
+
+    def search(*args):
+        seen["rows"] = spark.conf.get(name)
+        return real(*args)
+
+    jaccard._search = search
+    try:
+        jaccard.jaccard_join(spark.createDataFrame([(1, "a b c d e")], DOCS)).collect()
+        assert seen["rows"] == "1000" and spark.conf.get(name, None) is None
+        spark.conf.set(name, "300")
+        with workers.small_batches(spark):
+            assert most(rows) == 300
+        assert spark.conf.get(name) == "300"
+    finally:
+        jaccard._search = real
+        spark.conf.unset(name)
