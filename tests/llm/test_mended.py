@@ -194,3 +194,41 @@ def test_small_batches(spark):
     finally:
         jaccard._search = real
         spark.conf.unset(name)
+
+
+def test_new_words_of_many_texts_are_encoded_in_one_call():
+    """Ids as the library gives them, with one call for all distinct new words that
+    hold no white space, and kept words not encoded again, whatever leaves the dictionary."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    path, rng = public_tokenizers.path("byte_bpe_50k.json"), random.Random(7)
+    library = Tokenizer.from_file(path)
+    odd = ["don't", "'s", "'sa", "it's'll", "x\ny", "\nz", "a\n\nb", "a b", " ", " x", "été", "×", "ǅx", "中文", "é", "12a3",
+           "--", "\x1c", "a\x1fb", "\x7f", "\t", "tab\tx", "\U0001f600", "İ", "١٢", "...x", "_", "�"]
+    words = ["".join(rng.choice("abcdefghéßAZ09.,'") for _ in range(rng.randrange(1, 12))) for _ in range(300)]
+    texts = [" ".join(rng.choice(odd if rng.random() < 0.1 else words) for _ in range(rng.randrange(1, 60))) for _ in range(300)]
+    texts += ["", None, " ", "  ", "a ", " a", "a  b", "a\n", " \n", "a \n", "a \n\n", "a b\n", "x <|endoftext|> y", "\n", "a \nb", *odd, *(f"a {w}" for w in odd)]
+
+    def check(ours):
+        for t, ids in zip(texts, ours.encode(texts), strict=True):
+            assert ids.tolist() == library.encode(t or "", add_special_tokens=False).ids, t
+
+    ours, calls = bpe.ByteBpe(path), []
+    ours.kept, ours.older = {}, {}
+    real = ours.words
+    ours.words = lambda t: calls.append(t.split()) or real(t)
+    most, size = bpe.KEPT, bpe.RUN_CHARS
+    try:
+        check(ours)
+        assert len(calls) == 1 and len(calls[0]) == len(set(calls[0])) > 250
+        check(ours)
+        assert len(calls) == 1
+        bpe.KEPT, bpe.RUN_CHARS = 200, 500
+        check(ours)
+        assert len(calls) > 10
+    finally:
+        bpe.KEPT, bpe.RUN_CHARS = most, size
+        ours.words = real
+        ours.kept, ours.older = {}, {}
