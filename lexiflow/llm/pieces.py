@@ -65,12 +65,18 @@ class Pieces:
         known = sorted({c for p in self.ids for c in p} - {MARK})
         inner = "".join(re.escape(c) for c in known)
         self.unit = re.compile(f"{MARK}*[{inner}]+|{MARK}+|[^{MARK}{inner}]")
-        lengths: dict[str, set[int]] = {}
+        # lengths of the pieces of more than one character by the last two, and of more than two by the last three
+        two, three = {}, {}
         for p in self.ids:
-            lengths.setdefault(p[-2:], {1}).add(len(p))
-        self.lengths = {c: sorted(n, reverse=True) for c, n in lengths.items() if len(c) == 2}   # longest first
+            if len(p) > 1:
+                two.setdefault(p[-2:], set()).add(len(p))
+            if len(p) > 2:
+                three.setdefault(p[-3:], set()).add(len(p))
+        self.short = {c: (2, 1) for c, n in two.items() if 2 in n}
+        self.long = {c: (*sorted(n, reverse=True), *self.short.get(c[1:], (1,))) for c, n in three.items()}   # longest first
         self.pairs: dict[str, bool] = {}
         self.words: dict[str, bytes] = {}
+        self.bytes_of: dict[str, bytes] = {p: i.to_bytes(4, "little") for p, i in self.ids.items()}
         self.table = np.array(self.text, object)
 
     def merged(self, text: str) -> list[str]:
@@ -102,32 +108,47 @@ class Pieces:
         if len(self.words) + len(new) > KEPT:
             self.words.clear()
             new = list(wanted)
+        short, long, ids, pairs, bytes_of = self.short, self.long, self.ids, self.pairs, self.bytes_of
         last: list[str] = []          # the last token of each prefix of the word before
         previous = ""
         for w in sorted(new):
-            n = 0
-            for x, y in zip(previous, w, strict=False):
-                if x != y:
-                    break
-                n += 1
-            del last[n:]
+            if w.startswith(previous):
+                n = len(previous)
+            else:
+                n = 0
+                for x, y in zip(previous, w, strict=False):
+                    if x != y:
+                        break
+                    n += 1
+                del last[n:]
             for i in range(n, len(w)):
-                for k in self.lengths.get(w[i - 1:i + 1], (1,)) if i else (1,):
+                # a piece of more than two characters that ends here, if any, tells which shorter ones do
+                for k in long.get(w[i - 2:i + 1]) or short.get(w[i - 1:i + 1], (1,)) if i > 1 else short.get(w[:2], (1,)) if i else (1,):
                     j = i + 1 - k
                     if j < 0:
                         continue
                     token = w[j:i + 1]
-                    if (k == 1 or token in self.ids) and self.stays(last[j - 1] if j else "", token):
-                        last.append(token)
-                        break
+                    if k == 1 or token in ids:
+                        before = last[j - 1] if j else ""
+                        stays = pairs.get(before + "\0" + token)
+                        if stays is None:
+                            stays = self.stays(before, token)
+                        if stays:
+                            last.append(token)
+                            break
                 else:
                     raise AssertionError(f"no last token for {w[:i + 1]!r}")
             previous = w
             tokens, i = [], len(w)
             while i:
-                tokens.append(last[i - 1])
-                i -= len(last[i - 1])
-            self.words[w] = np.array([x for t in reversed(tokens) for x in self._token_ids(t)], "<u4").tobytes()
+                token = last[i - 1]
+                tokens.append(bytes_of[token] if token in bytes_of else self._token_bytes(token))
+                i -= len(token)
+            tokens.reverse()
+            self.words[w] = b"".join(tokens)
+
+    def _token_bytes(self, token: str) -> bytes:
+        return np.array(self._token_ids(token), "<u4").tobytes()
 
     def _token_ids(self, token: str) -> list[int]:
         i = self.ids.get(token)

@@ -232,3 +232,34 @@ def test_new_words_of_many_texts_are_encoded_in_one_call():
         bpe.KEPT, bpe.RUN_CHARS = most, size
         ours.words = real
         ours.kept, ours.older = {}, {}
+
+
+def test_last_tokens_are_looked_for_among_pieces_that_end_there(monkeypatch):
+    """Ids of the library, from a forward pass that tries only lengths of pieces with the
+    same last three characters (two for pieces of two)."""
+    import random
+
+    import sentencepiece
+
+    from lexiflow.llm import pieces
+
+    path, rng = public_tokenizers.path("piece_bpe_32k.model"), random.Random(9)
+    m = sentencepiece.SentencePieceProcessor(model_file=path)
+    ours = pieces.Pieces(path)
+    syllables = ["the", "an", "ti", "on", "sch", "en", "ü", "中", "文", "ing", "к", "о", "er", "a", "x", "ß", "12", ".", "\U0001f600", "\n", "\t"]
+    texts = [" ".join("".join(rng.choice(syllables) for _ in range(rng.randrange(0, 9))) for _ in range(40)) for _ in range(200)]
+    texts += ["", None, " ", "   ", "a", "aa", "aaa", "a" * 3000, " a  b ", "▁x", "\x00", "क्ष"]
+    for t, ids in zip(texts, ours.encode(texts), strict=True):
+        assert ids.tolist() == m.encode(t or ""), t
+    tried = []
+
+    class Ids(dict):
+        def __contains__(self, token):
+            tried.append(token)
+            return dict.__contains__(self, token)
+
+    monkeypatch.setattr(ours, "ids", Ids(ours.ids))
+    monkeypatch.setattr(ours, "words", {})
+    list(ours.encode(texts))
+    chars = sum(len(w) for w in ours.words)
+    assert len(tried) < 1.05 * chars, (len(tried), chars)
