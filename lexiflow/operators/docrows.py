@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.tags import PUNCT_TAG
-from . import arrow_counting
+from . import arrow_counting, text_counting
 from .sequence import with_context
 from .units import is_punct_unit
 
@@ -115,11 +115,18 @@ def gram_keys(span: int) -> list[str]:
     return [f"Token_{i}" for i in range(1, span + 1)] + [f"Tag_{i}" for i in range(1, span + 1)]
 
 
-def counted_grams(sequences: DataFrame, span: int, keep: Callable[[Column], Column] | None = None) -> DataFrame:
+def counted_grams(sequences: DataFrame | text_counting.Texts, span: int, keep: Callable[[Column], Column] | None = None) -> DataFrame:
     """Counting rows of the n-grams of whole documents (one row each), with the total of units that count."""
-    keys, (columns, punct_tag) = gram_keys(span), whole_words(sequences)
+    keys = gram_keys(span)
+    if isinstance(sequences, text_counting.Texts):
+        return _kept(text_counting.counted_grams(sequences, span), keys, keep)
+    columns, punct_tag = whole_words(sequences)
     found = sequences.select(F.col("n").alias("size"), *columns).mapInArrow(
         arrow_counting.gram_counter(span, keys, punct_tag), ", ".join([f"{k} string" for k in keys] + ["n bigint", "docs bigint"]))
+    return _kept(found, keys, keep)
+
+
+def _kept(found: DataFrame, keys: Sequence[str], keep: Callable[[Column], Column] | None) -> DataFrame:
     return found if keep is None else found.filter(F.col(keys[0]).isNull() | keep(F.struct(*keys)))
 
 
@@ -129,9 +136,11 @@ def grams(sequences: DataFrame, span: int) -> DataFrame:
     return d.select("doc_id", gram_struct(F.col("_i"), span).alias("_g")).filter("_g IS NOT NULL").select("doc_id", "_g.*")
 
 
-def near_nodes(sequences: DataFrame, node: str, node_tag: str | None, preceding: int, following: int) -> DataFrame:
+def near_nodes(sequences: DataFrame | text_counting.Texts, node: str, node_tag: str | None, preceding: int, following: int) -> DataFrame:
     """(Token, Tag, nodes, n, is_node): how many nodes (of the given token, with a tag that begins as given) a
     word's ``n`` places stand 1..preceding before or 1..following behind; added up by pieces of Arrow batches."""
+    if isinstance(sequences, text_counting.Texts):
+        return text_counting.near_nodes(sequences, node, node_tag, preceding, following)
     columns, punct_tag = whole_words(sequences)
     blocks = ["lead", "own", F.col("words.Token").alias("Token"), F.col("words.Tag").alias("Tag")]
     return sequences.select(*(columns or blocks)).mapInArrow(

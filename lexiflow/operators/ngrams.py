@@ -14,6 +14,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import text_counting
 from .docrows import counted_grams, gram_keys, grams
 from .freq import relative, summed, unit_counts
 from .sequence import dense_rank_in_doc
@@ -47,7 +48,7 @@ def match(col: Column, word: str, mode: str) -> Column:
     raise ValueError(f"mode must be one of {MATCH_MODES}")
 
 
-def ngrams(sequences: DataFrame, span: int = 2, min_rf: float | None = 10.0, n_units: Column | None = None,
+def ngrams(sequences: DataFrame | text_counting.Texts, span: int = 2, min_rf: float | None = 10.0, n_units: Column | None = None,
            ndocs: Column | None = None, keep: Callable[[Column], Column] | None = None) -> DataFrame:
     """N-gram frequency table: Token_i, Tag_i, AF, RF (per million units), Range.
 
@@ -55,7 +56,11 @@ def ngrams(sequences: DataFrame, span: int = 2, min_rf: float | None = 10.0, n_u
     check_span(span)
     keys = gram_keys(span)
     if "words" not in sequences.columns:
-        agg = summed(counted_grams(sequences, span, keep), keys)
+        if isinstance(sequences, text_counting.Texts) and keep is None and min_rf is not None and min_rf >= text_counting.LEAST_RF:
+            found = text_counting.frequent_grams(sequences, span, min_rf)
+        else:
+            found = counted_grams(sequences, span, keep)
+        agg = summed(found, keys)
         out = relative(agg, keys, 1_000_000.0, total=lambda t: t["marked"])
     else:
         found = grams(sequences, span)

@@ -41,6 +41,7 @@ class Corpus:
     rows: DataFrame | None = None         # document (segment) rows with units
     whole_rows: bool = False              # every document is one row
     tables: dict[str, DataFrame] = field(default_factory=dict)   # stored tables of the whole corpus
+    texts: docrows.text_counting.Texts | None = None             # whole documents that the default taggers tag
 
     @classmethod
     def from_documents(cls, docs: DataFrame, pos_lexicon: dict | None = None, ds_lexicon: dict | None = None,
@@ -52,7 +53,9 @@ class Corpus:
         if partitions:
             docs = docs.repartition(partitions, "doc_id")
         rows = document_rows(docs, tagger or rule_tagger(pos_lexicon))
-        return replace(cls.from_rows(with_ds_units(rows, ds_lexicon)), docs=docs)
+        whole = tagger is None and "_ahead" not in docs.columns
+        texts = docrows.text_counting.Texts(docs, "pos", pos_lexicon, ds_lexicon) if whole else None
+        return replace(cls.from_rows(with_ds_units(rows, ds_lexicon)), docs=docs, texts=texts)
 
     @classmethod
     def from_rows(cls, rows: DataFrame) -> "Corpus":
@@ -73,7 +76,7 @@ class Corpus:
         """The documents whose id meets the condition."""
         part = lambda df: None if df is None else df.filter(condition)
         return replace(self, tokens=part(self.tokens), pos_tokens=part(self.pos_tokens), docs=part(self.docs),
-                       rows=part(self.rows), tables={})
+                       rows=part(self.rows), tables={}, texts=self.texts and replace(self.texts, docs=part(self.texts.docs)))
 
     # --- units and counting rows ---------------------------------------------
 
@@ -110,8 +113,13 @@ class Corpus:
             return self.rows.select(F.coalesce(F.sum(n), F.lit(0)).cast("long")).scalar()
         return self.analytic(kind).select(F.count(F.lit(1))).scalar()
 
-    def words(self, kind: str = "pos") -> DataFrame:
-        """Word sequences (see ``operators.docrows``)."""
+    def _texts(self, kind: str) -> docrows.text_counting.Texts:
+        return replace(self.texts, kind=kind)
+
+    def words(self, kind: str = "pos") -> DataFrame | docrows.text_counting.Texts:
+        """Word sequences (see ``operators.docrows``), or the texts that have them."""
+        if self.texts:
+            return self._texts(kind)
         if self.whole_rows:
             return docrows.words(self.rows, kind)
         ordered = ngrams.ordered_units(self.units(kind), dense=(kind == "pos" and self.single_token_pos))
