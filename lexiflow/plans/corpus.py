@@ -95,6 +95,8 @@ class Corpus:
 
     def counts(self, kind: str = "pos", tags_only: bool = False) -> DataFrame:
         """Counting rows (see ``operators.freq``) by Token and Tag, or by Tag."""
+        if self.texts:
+            return docrows.text_counting.counted(self._texts(kind), tags_only)
         if self.whole_rows:
             return (docrows.counted_tags if tags_only else docrows.counted_units)(self.rows, kind)
         keys = ["Tag"] if tags_only else ["Token", "Tag"]
