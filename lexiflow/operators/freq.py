@@ -55,7 +55,8 @@ def relative(agg: DataFrame, keys: Sequence[str], per: float, ndocs: Column | No
                                  F.max(F.when(~key, F.col("AF"))).alias("marked"))).scalar()
     out = agg.filter(key).withColumn("_t", totals)
     n = F.col("_t.n") if total is None else total(F.col("_t")) if callable(total) else total
-    return out.select(*keys, "AF", (F.col("AF") / n * F.lit(per)).alias("RF"),
+    # (keys that hang on an aggregate: a filter on them stays above it, else the totals would read the texts again)
+    return out.select(*[F.when(key, F.col(k)).alias(k) for k in keys], "AF", (F.col("AF") / n * F.lit(per)).alias("RF"),
                       (F.col("_docs") * F.lit(100.0) / (F.col("_t.d") if ndocs is None else ndocs)).alias("Range"))
 
 
