@@ -42,6 +42,7 @@ class Corpus:
     whole_rows: bool = False              # every document is one row
     tables: dict[str, DataFrame] = field(default_factory=dict)   # stored tables of the whole corpus
     texts: docrows.text_counting.Texts | None = None             # whole documents that the default taggers tag
+    counted: DataFrame | None = None                             # what these texts count, stored (text_counting.tabulated)
 
     @classmethod
     def from_documents(cls, docs: DataFrame, pos_lexicon: dict | None = None, ds_lexicon: dict | None = None,
@@ -76,7 +77,7 @@ class Corpus:
         """The documents whose id meets the condition."""
         part = lambda df: None if df is None else df.filter(condition)
         return replace(self, tokens=part(self.tokens), pos_tokens=part(self.pos_tokens), docs=part(self.docs),
-                       rows=part(self.rows), tables={}, texts=self.texts and replace(self.texts, docs=part(self.texts.docs)))
+                       rows=part(self.rows), tables={}, counted=None, texts=self.texts and replace(self.texts, docs=part(self.texts.docs)))
 
     # --- units and counting rows ---------------------------------------------
 
@@ -95,6 +96,8 @@ class Corpus:
 
     def counts(self, kind: str = "pos", tags_only: bool = False) -> DataFrame:
         """Counting rows (see ``operators.freq``) by Token and Tag, or by Tag."""
+        if self.counted is not None:
+            return docrows.text_counting.counts_in(self.counted, kind, tags_only)
         if self.texts:
             return docrows.text_counting.counted(self._texts(kind), tags_only)
         if self.whole_rows:
@@ -158,6 +161,8 @@ class Corpus:
         return self._stored(f"tt_{kind}", lambda: fq.tags_table(self.counts(kind, tags_only=True)))
 
     def dtm(self, kind: str = "pos") -> DataFrame:
+        if self.counted is not None:
+            return self._stored(f"dtm_{kind}", lambda: docrows.text_counting.matrix_in(self.counted, kind))
         if self.whole_rows:
             return self._stored(f"dtm_{kind}", lambda: docrows.tag_matrix(self.rows, kind))
         return self._stored(f"dtm_{kind}", lambda: fq.dtm_long(self.analytic(kind)))

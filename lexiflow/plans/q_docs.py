@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from ..functions.tags import simplify_tag_sql
 from ..operators import docview as D
+from ..operators.text_counting import tabulated
 from ..sinks import export as X
 from ..storage import materialize, scratch_path
 from . import oracle as O
 from .catalog import ALL, corpus, register, rounded
-from .corpus import Corpus
 
 STRIP = "regexp_replace(utext, '^\\s+|\\s+$', '', 'g')"
 
@@ -115,7 +117,8 @@ def export_tokens(spark, sf):
 @register("export_all_tables", table_counts_sql({"ft_pos": "ft_pos", "ft_ds": "ft_ds", "tt_pos": "tt_pos", "tt_ds": "tt_ds",
                                                 "dtm_pos": "dtm_pos", "dtm_ds": "dtm_ds"}, ["parquet", "csv"]))
 def export_all_tables(spark, sf):
-    c = Corpus.from_rows(materialize(corpus(spark, sf).rows, "export-rows"))      # tokenized and tagged once
+    c = corpus(spark, sf)
+    c = replace(c, counted=materialize(tabulated(c.texts), "export-rows"))      # tokenized, tagged and counted once
     tables = {"ft_pos": c.frequency("pos"), "ft_ds": c.frequency("ds"), "tt_pos": c.tags("pos"),
               "tt_ds": c.tags("ds"), "dtm_pos": c.dtm("pos"), "dtm_ds": c.dtm("ds")}
     base = scratch_path(spark, "export-tables")
