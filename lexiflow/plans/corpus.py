@@ -10,7 +10,8 @@ row, goes through unit rows and blocked windows (``operators.sequence``).
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,6 +26,21 @@ from ..operators.units import analytic_units, is_punct_unit, units
 from ..storage import materialize
 
 DOC_ROWS = "doc_rows"       # the table that a bundle has besides the seven of SURVEY §2.1
+ROW_GROUP = 1 << 25         # bytes of a row group of document rows
+BATCH_SIZE = "spark.sql.parquet.columnarReaderBatchSize"
+
+
+@contextmanager
+def few_rows(spark: SparkSession) -> Iterator[None]:
+    """Queries that run inside read Parquet 256 rows at a time; what the session sets itself stays."""
+    own = spark.conf.get(BATCH_SIZE) == "4096"
+    if own:
+        spark.conf.set(BATCH_SIZE, "256")
+    try:
+        yield
+    finally:
+        if own:
+            spark.conf.unset(BATCH_SIZE)
 
 
 def clustered(tokens: DataFrame) -> DataFrame:
@@ -237,16 +253,22 @@ class Corpus:
             clustered(tokens_from_units(self.rows.join(again, same, "left_semi"))))
 
     def save_bundle(self, path: str) -> str:
-        """Write the corpus.  Document rows are written first and everything
-        else is computed from the written copy, so tokenizing and tagging run
-        once (and the lineage is cut there); the tokens of a row are in order,
-        so the token table needs no shuffle.  A corpus from a token table is
-        clustered by document and ordered first."""
+        """Write the corpus.  Document rows are written first and the tokens
+        are computed from the written copy (the lineage is cut there); the tokens of a row are in order,
+        so the token table needs no shuffle.  The other tables come from the counts of
+        one more reading of the texts, where the default taggers tag them, else
+        from the written copy.  A corpus from a token table is
+        clustered by document and ordered first.  Arrays are written in small
+        row groups and read a few rows at a time, as a row holds its whole document."""
         base, spark = path.rstrip("/"), self.tokens.sparkSession
         if self.rows is not None:
-            self.rows.write.mode("overwrite").parquet(f"{base}/{DOC_ROWS}")
+            rows = docrows.text_counting.document_rows(self.texts) if self.texts else self.rows
+            rows.write.option("parquet.block.size", ROW_GROUP).mode("overwrite").parquet(f"{base}/{DOC_ROWS}")
             saved = Corpus.from_rows(spark.read.parquet(f"{base}/{DOC_ROWS}"))
-            saved.tokens.write.mode("overwrite").parquet(f"{base}/ds_tokens")
+            with few_rows(spark):
+                saved.tokens.write.mode("overwrite").parquet(f"{base}/ds_tokens")
+            if self.texts:
+                saved = replace(saved, counted=materialize(docrows.text_counting.tabulated(self.texts), "bundle-counts"))
         else:
             (clustered(self.tokens).write.mode("overwrite").parquet(f"{base}/ds_tokens"))
             saved = Corpus(spark.read.parquet(f"{base}/ds_tokens"), self.single_token_pos)
