@@ -35,7 +35,7 @@ BYTES, ROWS = 1 << 22, 1 << 16
 #: Bytes of text whose arrays of words are handed on at a time.
 ROW_BYTES = 1 << 19
 #: Words and keys that a task numbers before it hands on its counts and begins anew.
-VOCABULARY = 1 << 20
+VOCABULARY = 3 << 17
 #: Words whose n-grams are counted together when frequent ones are looked for.
 CHUNK = 1 << 22
 #: The least relative frequency (per million) for which n-grams are counted in two readings.
@@ -552,7 +552,7 @@ def _likely(texts: Texts, span: int, share: float) -> DataFrame:
             if units >= CHUNK or reader.full():
                 yield from rows()
                 held, units = [], 0
-                if reader.full():
+                if len(reader.pairs) > VOCABULARY // 2:      # (else the next chunk would end early)
                     reader.renew()
         if units:
             yield from rows()
